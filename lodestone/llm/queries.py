@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_store
+from . import packing, pii, token_store
 from .common import new_folder, table
 
 
@@ -20,5 +20,10 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), end_id=1, window=2048)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_store, op6_pack)}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document. See pii."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_token_store, op6_pack, op9_pii)}
 ORACLES: dict[str, str] = {}

@@ -1,0 +1,71 @@
+"""Spans against a plain scan with Python's regular expressions."""
+
+import hashlib
+import re
+
+import pytest
+
+from lodestone.llm import pii
+
+BASE = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"),
+    ("card", r"[0-9](?:[ -]?[0-9])+"),
+    ("phone", r"\+[0-9][ ().0-9-]+[0-9]"),
+)
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def holds(kind, m):
+    digits = re.sub("[^0-9]", "", m)
+    return {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m.split(".")), "card": 12 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+
+
+def base_spans(text):
+    found = [(m.start(), k, kind, m.end()) for k, (kind, pattern) in enumerate(BASE) for m in re.finditer(pattern, text) if holds(kind, m.group())]
+    return ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(found))
+
+
+TEXTS = [
+    None, "", "no data at all", "a@b.c", "a@b.c_d@e.f.g-h.", "x..y@z.co.uk. a@b a@b. @c.d +a%b@c-.-d.e", "ab.cd@ef.gh.@ij.kl",
+    "1.2.3.4 300.1.2.3.4 1.2.3.4.5.6.7.8 001.002.003.0004 1.2.3 1.2.3.256 99999999999999999999.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1111 5", "4111111111111111 4111111111111111",
+    "call +1 (375) 555-4393 or +49 30 1234567, +1234, +1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "é@ü ééé a@b.cé 4111111111111111é", "5 5 5  4111\x01111111111111 \x02 a\x01b@c.d", "1 " * 3000, "9" * 20000, "a" * 30000 + "@", "x@" + "a." * 9000 + "b",
+    "GB82 WEST 1234 5698 7654 32 is the account", "ssn 123-45-6789", "123-45-6789", "phone 555 123 4567", "555 123 4567", "1.1.1.1 " * 2000, "+1(((((((" * 500, "\n".join(["4111 1111", "1111 1111"]),
+]
+
+
+def test_against_a_plain_scan(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    for row in pii.find(docs).collect():
+        text = TEXTS[row.doc_id] or ""
+        want = base_spans(text)
+        assert row.base_sha256 == hashlib.sha256(want.encode()).hexdigest(), (row.doc_id, text[:80], want[:200], row.spans[:200])
+        assert set(filter(None, want.split(","))) <= set(row.spans.split(","))
+        assert row.n_email == want.count("email:") and row.n_ip == want.count("ip:") and row.n_card == want.count("card:") and row.n_phone == want.count("phone:")
+
+
+@pytest.mark.parametrize(("text", "kind"), [("GB82 WEST 1234 5698 7654 32 is the account", "iban"), ("my ssn 123-45-6789", "ssn"), ("phone 555 123 4567", "local_phone")])
+def test_added_kinds_need_checksum_or_context(spark, text, kind):
+    got = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
+    assert kind in got
+    bare = pii.find(spark.createDataFrame([(1, text.replace("ssn", "x").replace("phone", "x").replace("82", "83"))], "doc_id long, text string")).first().spans
+    assert kind not in bare
+
+
+def test_redaction_keeps_columns_and_clean_texts(spark):
+    docs = spark.createDataFrame([(1, "write a@b.c or +1 (375) 555-4393.", "x"), (2, "clean", "y"), (3, None, "z")], "doc_id long, text string, __pii_all string")
+    docs = docs.withColumnRenamed("__pii_all", "source")
+    got = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert got == {1: "write <EMAIL> or <PHONE>.", 2: "clean", 3: None}
+    assert pii.redact(docs).columns == docs.columns
+
+
+def test_empty_table(spark):
+    assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
