@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, token_store
+from . import langid, packing, pii, token_store
 from .common import new_folder, table
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the documents that are not held out. See langid."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn(docs.where(~langid.held_out()))
+    return langid.predict(docs, model, ["doc_id", langid.held_out().alias("held_out")])
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document through the store's files. See token_store."""
     path = token_store.write_store(table(spark, sf_dir, "documents"), new_folder(spark, "tokens"), end_id=0)
@@ -25,5 +32,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_store, op6_pack, op9_pii)}
+QUERIES = {f.__name__: f for f in (op2_langid, op3_token_store, op6_pack, op9_pii)}
 ORACLES: dict[str, str] = {}
