@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, pii, token_store
+from . import fingerprint, langid, packing, pii, token_store, unigram
 from .common import new_folder, table
 
 
@@ -27,10 +27,20 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), end_id=1, window=2048)
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text. See fingerprint."""
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document. See pii."""
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_langid, op3_token_store, op6_pack, op9_pii)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under a unigram vocabulary. See unigram."""
+    return unigram.token_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_langid, op3_token_store, op6_pack, op7_fingerprint, op9_pii, op10_token_counts)}
 ORACLES: dict[str, str] = {}
