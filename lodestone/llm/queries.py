@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, packing, pii, token_store, unigram
+from . import fingerprint, jaccard, langid, packing, pii, token_store, unigram
 from .common import new_folder, table
 
 
@@ -22,6 +22,11 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, path)
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by 4-word shingles at 85 percent. See jaccard."""
+    return jaccard.components_by_jaccard(table(spark, sf_dir, "documents"), jaccard.Rule(4, 85))
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in sequences of 2048. See packing."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), end_id=1, window=2048)
@@ -42,5 +47,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_langid, op3_token_store, op6_pack, op7_fingerprint, op9_pii, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_langid, op3_token_store, op4_jaccard, op6_pack, op7_fingerprint, op9_pii, op10_token_counts)}
 ORACLES: dict[str, str] = {}
