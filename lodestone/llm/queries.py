@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, jaccard, langid, packing, pii, token_store, unigram
+from . import blocks, fingerprint, jaccard, langid, packing, pii, suffixes, token_store, unigram
 from .common import new_folder, table
 
 
@@ -27,6 +27,11 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components_by_jaccard(table(spark, sf_dir, "documents"), jaccard.Rule(4, 85))
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated strings of 400 bytes. See suffixes."""
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), 400)
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in sequences of 2048. See packing."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), end_id=1, window=2048)
@@ -37,6 +42,11 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated windows of 35 words. See blocks."""
+    return blocks.remove_repeats(table(spark, sf_dir, "documents"), 35)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document. See pii."""
     return pii.find(table(spark, sf_dir, "documents"))
@@ -47,5 +57,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_langid, op3_token_store, op4_jaccard, op6_pack, op7_fingerprint, op9_pii, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_langid, op3_token_store, op4_jaccard, op5_suffixes, op6_pack, op7_fingerprint, op8_blocks, op9_pii, op10_token_counts)}
 ORACLES: dict[str, str] = {}
