@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, fingerprint, jaccard, langid, packing, pii, suffixes, token_store, unigram
+from . import blocks, decontaminate, fingerprint, jaccard, langid, packing, pii, suffixes, token_store, unigram
 from .common import new_folder, table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents. See decontaminate."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the documents that are not held out. See langid."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -57,5 +62,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_langid, op3_token_store, op4_jaccard, op5_suffixes, op6_pack, op7_fingerprint, op8_blocks, op9_pii, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_langid, op3_token_store, op4_jaccard, op5_suffixes, op6_pack, op7_fingerprint, op8_blocks, op9_pii, op10_token_counts)}
 ORACLES: dict[str, str] = {}
