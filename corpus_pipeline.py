@@ -1,13 +1,81 @@
-"""A corpus pipeline over documents. STAGES lists its stages; each one's rows are the next one's documents."""
+"""A corpus pipeline over documents. STAGES lists its stages; each one's rows are the next one's documents.
+
+Every stage takes (spark, docs, sf_dir) and looks at all of docs; all but the last return the columns of
+documents. A stage copes with what its operator copes with: nulls in any column, empty and very long texts,
+repeated rows, and tables without rows.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import decontaminate, jaccard, langid, packing, pii
+from lodestone.llm.common import BROADCAST_IDS, cut, table
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in ids (doc_id); ids are broadcast only if few."""
+    ids = cut(ids.where("doc_id is not null").distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in no language (no text, or no letter in it); fills in languages that are not given."""
+    model = langid.learn(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
+    told = langid.predict(docs, model, docs.columns)
+    # A table without a single known language has nothing to learn from, and then keeps what has letters.
+    spoken = F.col("lang_pred") != langid.UNKNOWN if model else F.regexp_like("text", F.lit(r"\p{L}"))
+    named = told.where(spoken).withColumn("lang", F.coalesce("lang", F.col("lang_pred")))
+    return named.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the least id in each group linked by 5-word shingles at 80 percent.
+
+    Of rows with the same id that stay, one stays (the one with the least text); rows without an id stay.
+    """
+    grouped = cut(jaccard.components_by_jaccard(docs, jaccard.Rule(5, 80)))
+    kept = _without(docs, grouped.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+    again = grouped.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    again = cut(again)
+    few = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
+    first = kept.join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull().alias("none"), "text", *(c for c in docs.columns if c not in ("doc_id", "text")))).alias("row"))
+    one = first.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return kept.join(few, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item, verbatim or paraphrased."""
+    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts the kind of each piece of personal data in its place."""
+    return pii.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 ids. See packing."""
+    return packing.pack_documents(docs, end_id=1, window=2048)
+
+
+STAGES = [
+    ("language", languages),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontaminated),
+    ("personal data", without_personal_data),
+    ("packing", packed),
+]
+
+#: No SQL for a learned classifier or a tokenizer: tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/lodestone"
+#: Ids that are broadcast at most (8 bytes each, counted first); more are joined by shuffling.
+BROADCAST_IDS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
