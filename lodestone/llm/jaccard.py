@@ -13,10 +13,12 @@ among what both offer, for before it both have only parts that differ. Should a
 parts, it offers those of another deal as well, and so does any partner that was missed for that reason;
 the last deal takes parts however small. Documents near the border of a band take part in the next one.
 
-Documents with equal sets become one node before anything is joined. In each bucket of nodes that share a
-sketch, nodes are first linked to one of them; pairs are only looked at between nodes which that leaves in
-different components, and only if whole parity sketches (whose Hamming distance is at most the symmetric
-difference) allow a link.
+Documents with equal sets become one node before anything is joined. Nodes that share a part's sketch meet
+in a bucket, where whole parity sketches are compared, whose Hamming distance is at most the symmetric
+difference. First, in a share of the buckets, each node is linked to the nearest one of another component;
+after that, all pairs between components that sizes and sketches allow are verified, in all buckets that
+still hold several. A bucket of many nodes is split into cells that hold two of its blocks each, so that no
+task holds all of it and no pair is left out.
 
 A null or wordless text has the empty set, links with nothing and is its own component. component_id is the
 least doc_id reachable. Rows with null ids take part; their component is the least id of the others, or
@@ -33,19 +35,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ship
-from .components import bits, components
+from .common import BROADCAST_IDS, cut, ship
+from .components import components
 from .wordhash import mixed, run_hashes, word_hashes
 
 #: How many times the least size the sizes of a band go up to; spare parts as a share of those needed.
 BAND, SPARE = 1.5, 0.35
 #: Deals of shingles into parts; the last one takes parts of any size.
 DEALS = 4
-SKETCH_BITS = 512
+SKETCH_BITS = 1024
+#: Nodes in a block of a bucket; those of the buckets (one in so many) that the first turns look at.
+BLOCK, FIRST_TURNS = 4096, (8, 4)
 #: Sets that a task remembers so as to offer each once.
 SEEN = 2_000_000
-#: Nodes looked up by a broadcast at most (8 bytes each); more are joined by shuffling.
-BROADCAST_IDS = 1_000_000
 _DEAL = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -191,8 +193,8 @@ def components_by_jaccard(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     # Buckets of nodes that share a part's sketch: rows stream by in order, none is held.
     by_key = Window.partitionBy("key").orderBy("node")
     keys = offers.select("node", F.explode("keys").alias("key"))
-    met = keys.select("key", "node", F.first("node").over(by_key.rowsBetween(Window.unboundedPreceding, 0)).alias("hub"), F.lead("node").over(by_key).alias("next"))
-    buckets = cut(met.where("node <> hub or next <> node").select("key", "node", "hub").distinct())
+    met = keys.select("key", "node", F.lag("node").over(by_key).alias("last"), F.lead("node").over(by_key).alias("next"))
+    buckets = cut(met.where("last <> node or next <> node").select("key", "node").distinct())
 
     touched = cut(buckets.select("node").distinct().join(nodes, "node"))
     n = touched.count()
@@ -215,29 +217,119 @@ def components_by_jaccard(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 def _all_links(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(node, component) over all links between nodes that share a bucket."""
-    # Every node against the hub it shares most: the least one.
-    star = buckets.where("node <> hub").groupBy(F.col("node").alias("u")).agg(F.min("hub").alias("v"))
-    links = cut(_linked(star, sets, rule.percent))
-    left = buckets.select("key", "node")
-    for turn in range(8):
-        label = cut(components(links))
-        left = left.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        spans = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("hub")).where("lo < hi")
-        open_ = cut(left.join(spans.select("key", "n", "hub"), "key"))
-        rows = open_.agg(F.count("*").alias("rows"), F.sum(F.col("n") - 1).alias("pairs")).first()
-        if not rows.rows:
-            return label
-        left = open_.select("key", "node")
-        if rows.pairs <= 16 * rows.rows or turn == 7:
-            break
-        # Crowded buckets: another hub first, one for each node and turn.
-        hubs = open_.select(F.col("hub").alias("node"), "key").distinct().join(label, "node", "left").select("key", F.coalesce("component", "node").alias("hub_c"))
-        star = open_.join(hubs, "key").where("c <> hub_c").groupBy(F.col("node").alias("u")).agg(F.min_by("hub", F.xxhash64("hub", F.lit(turn))).alias("v"))
-        links = cut(links.union(_linked(star, sets, rule.percent)))
-    # Between components, every pair that sizes and whole sketches allow.
-    full = open_.select("key", "node", "c").join(nodes.select("node", "n", "sketch"), "node")
-    one, other = (full.select("key", *(F.col(x).alias(f"{x}_{s}") for x in ("node", "c", "n", "sketch"))) for s in "uv")
-    total = F.col("n_u") + F.col("n_v")
-    fits = (F.col("c_u") < F.col("c_v")) & (F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * rule.percent) & (bits(F.col("sketch_u"), F.col("sketch_v")) * (100 + rule.percent) <= total * (100 - rule.percent))
-    pairs = one.join(other, "key").where(fits).select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
-    return components(links.union(_linked(pairs, sets, rule.percent)))
+    links, label, left = None, None, buckets
+    for share in (*FIRST_TURNS, 1):
+        now = left.select("key", "node", F.col("node").alias("c")) if label is None else left.select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+        several = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
+        left = cut(now.join(several, "key"))
+        near = _near(left.where(F.pmod(F.xxhash64("key", F.lit(share)), F.lit(share)) == 0), nodes, rule, share > 1)
+        got = _linked(near, sets, rule.percent)
+        links = cut(got if links is None else links.union(got))
+        label = components(links)
+        if share > 1:
+            label = cut(label)
+    return label
+
+
+def _near(rows: DataFrame, nodes: DataFrame, rule: Rule, nearest: bool) -> DataFrame:
+    """Pairs (u, v) of nodes of rows (key, node, c, size) in one bucket but not one component, which may link.
+
+    nearest: only the nearest such node for each, among those that a task sees.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    cells = rows.withColumn("blocks", blocks).select("key", "node", "c", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node", "c").join(nodes.select("node", "n", "sketch"), "node")
+    dealt = cells.repartition("cell").sortWithinPartitions("cell").select("cell", "node", "c", "n", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[int, int]] = {}
+        seen: set[tuple[int, int]] = set()
+        for cell, node, c, n, sketch in _whole_cells(batches):
+            for u, v, apart in _allowed(cell, c, n, sketch, rule):
+                a, b = node[u], node[v]
+                if nearest:
+                    for x, y in ((a, b), (b, a)):
+                        order = np.argsort(apart, kind="stable")
+                        for i, j, d in zip(x[order].tolist(), y[order].tolist(), apart[order].tolist(), strict=True):
+                            if i not in best or d < best[i][0]:
+                                best[i] = (d, j)
+                else:
+                    new = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)) - seen
+                    if new:
+                        yield _pairs(new)
+                    if len(seen) < SEEN:
+                        seen |= new
+            if len(best) > SEEN:
+                yield _pairs({(i, j) for i, (_, j) in best.items()})
+                best = {}
+        if best:
+            yield _pairs({(i, j) for i, (_, j) in best.items()})
+
+    pairs = dealt.mapInArrow(run, "u long, v long")
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
+    u, v = zip(*found, strict=True)
+    return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of rows in the order of their cells, cut only between cells; sketches are a matrix."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def joined() -> tuple[np.ndarray, ...]:
+        return tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        flat = batch.column(4).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1)
+        cut_at = np.flatnonzero(columns[0] != columns[0][-1])
+        at = int(cut_at[-1]) + 1 if len(cut_at) else 0
+        if held and (at or held[-1][0][-1] != columns[0][0]):
+            first = int(np.searchsorted(columns[0] != held[-1][0][-1], True)) if at else 0
+            held.append(tuple(x[:first] for x in (*columns, flat)))
+            yield joined()
+            held = []
+            if first < at:
+                yield tuple(x[first:at] for x in (*columns, flat))
+        elif at:
+            yield tuple(x[:at] for x in (*columns, flat))
+        held.append(tuple(x[at:] for x in (*columns, flat)))
+    if held:
+        yield joined()
+
+
+#: Cells of at most so many rows are compared by shifts of all rows at once.
+FEW = 24
+
+
+def _allowed(cell: np.ndarray, c: np.ndarray, n: np.ndarray, sketch: np.ndarray, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, other row, distance of their sketches) of the pairs of each cell that may link."""
+    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    sizes = np.diff(np.append(starts, len(cell)))
+    few = np.repeat(sizes <= FEW, sizes)
+    for shift in range(1, min(FEW, int(sizes.max()))):
+        u = np.flatnonzero((cell[:-shift] == cell[shift:]) & (c[:-shift] != c[shift:]) & few[:-shift])
+        if len(u):
+            yield from _kept(u, u + shift, np.bitwise_count(sketch[u] ^ sketch[u + shift]).sum(axis=1, dtype=np.int64), n, rule)
+    for lo, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+        signs = np.unpackbits(np.ascontiguousarray(sketch[lo : lo + size]).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+        for at in range(0, size, 1024):
+            apart = (SKETCH_BITS - signs[at : at + 1024] @ signs[at:].T) / 2
+            own, other = n[lo + at : lo + min(at + 1024, size)], n[lo + at : lo + size]
+            fits = apart * (100 + rule.percent) <= (own[:, None] + other[None, :]) * (100 - rule.percent)
+            fits &= c[lo + at : lo + at + len(own), None] != c[None, lo + at : lo + size]
+            u, v = np.nonzero(np.triu(fits, 1))
+            if len(u):
+                yield from _kept(lo + at + u, lo + at + v, apart[u, v].astype(np.int64), n, rule)
+
+
+def _kept(u: np.ndarray, v: np.ndarray, apart: np.ndarray, n: np.ndarray, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    small, large = np.minimum(n[u], n[v]), np.maximum(n[u], n[v])
+    fits = (small * 100 >= large * rule.percent) & (apart * (100 + rule.percent) <= (small + large) * (100 - rule.percent))
+    if fits.any():
+        yield u[fits], v[fits], apart[fits]

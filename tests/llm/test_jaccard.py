@@ -59,7 +59,9 @@ def test_against_all_pairs(spark, seed, words, percent):
     assert sorted(tuple(r) for r in got) == brute(rows, words, percent)
 
 
-def test_a_large_group_of_near_copies(spark):
+@pytest.mark.parametrize("block", [4096, 37])
+def test_a_large_group_of_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = random.Random(9)
     root = [f"v{i}" for i in range(120)]
     rows = []
