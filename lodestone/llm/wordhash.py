@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words kept per Python worker; beyond it, new ones are hashed without being kept.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 250_000
 
 
 class _Hashes(dict):
