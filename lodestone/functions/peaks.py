@@ -79,20 +79,22 @@ def bin_of(mz: Column, width: float, bins: int) -> Column:
 
 def pairs(a: Column, b: Column, tol: float, shift: Column) -> Column:
     """(i, j, product) of peaks that match directly, or shifted by more than tol; best products first."""
-    def of(i: Column) -> Column:
-        x = F.get(a, i)
-        near = lambda y: ((y["mz"] >= x["mz"] - tol) & (y["mz"] <= x["mz"] + tol)) | ((F.abs(shift) > tol) & (y["mz"] + shift >= x["mz"] - tol) & (y["mz"] + shift <= x["mz"] + tol))
-        at = F.filter(F.sequence(F.lit(0), F.size(b) - 1), lambda j: near(F.get(b, j)))
-        return F.transform(at, lambda j: F.struct((-(x["intensity"] * F.get(b, j)["intensity"])).alias("p"), i.alias("i"), j.alias("j")))
+    def of(x: Column, i: Column) -> Column:
+        lo, hi = x["mz"] - tol, x["mz"] + tol
+        near = lambda m: ((m >= lo) & (m <= hi)) | (F.abs(shift) > tol) & (m + shift >= lo) & (m + shift <= hi)
+        product = lambda y, j: F.struct((-(x["intensity"] * y["intensity"])).alias("p"), i.alias("i"), j.alias("j"), y["mz"].alias("m"))
+        found = F.filter(F.transform(b, product), lambda y: near(y["m"]))
+        return F.transform(found, lambda y: F.struct(y["p"].alias("p"), y["i"].alias("i"), y["j"].alias("j")))
 
     none = F.array().cast("array<struct<p:double,i:int,j:int>>")
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.array_sort(F.flatten(F.transform(F.sequence(F.lit(0), F.size(a) - 1), of)))).otherwise(none)
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.array_sort(F.flatten(F.transform(a, of)))).otherwise(none)
 
 
-def modified_cosine(a: Column, b: Column, shift: Column, tol: float = 0.02) -> Column:
+def modified_cosine(a: Column, b: Column, shift: Column, tol: float = 0.02, weighted: bool = False) -> Column:
     """Greedy one-to-one matches by product (ties: lower i, then j) over the norms of all peaks.
 
-    shift is what is added to b's mz for the second way to match; 0 leaves the plain cosine.
+    shift is what is added to b's mz for the second way to match; 0 leaves the plain cosine. weighted: the
+    intensities are entropy-weighted already, as where a spectrum takes part in many pairs.
     """
 
     def greedy(found: Column) -> Column:
@@ -102,9 +104,10 @@ def modified_cosine(a: Column, b: Column, shift: Column, tol: float = 0.02) -> C
 
     def body(s: Column) -> Column:
         scale = norm(field(s["a"], "intensity")) * norm(field(s["b"], "intensity"))
-        return F.when(scale > 0, greedy(pairs(s["a"], s["b"], tol, s["shift"])) / scale).otherwise(0.0)
+        return let(scale, lambda n: F.when(n > 0, greedy(pairs(s["a"], s["b"], tol, s["shift"])) / n).otherwise(0.0))
 
-    return let(F.struct(reweighted(a).alias("a"), reweighted(b).alias("b"), shift.alias("shift")), body)
+    own = (lambda p: p) if weighted else reweighted
+    return let(F.struct(own(a).alias("a"), own(b).alias("b"), shift.alias("shift")), body)
 
 
 def cosine(a: Column, b: Column, tol: float = 0.02) -> Column:

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the folder that all executors share (spark.checkpoint.dir; a local one if unset)."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/lodestone")
+    return df.checkpoint(eager=True)
+
+
 def bounded_broadcast(df: DataFrame, rows: int = DEFAULT.broadcast_rows) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows (it is counted up to that), else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -36,14 +44,17 @@ def widening_join(queries: DataFrame, pool: DataFrame, query_id: str, center: st
 
     accept: a row only counts as found where this holds (rows that don't are dropped). A cascade: each width
     joins the queries that narrower ones left open, so that dense pools are never joined at the widest one.
+    Each turn's rows are kept, or each would compute all before it again.
     """
-    found, open_ = None, queries
+    found, open_ = None, durable(queries)
     for level, width in enumerate(widths, 1):
         hits = band_join(open_, pool, center, mass, width)
-        hits = (hits if accept is None else hits.where(accept)).withColumn("level", F.lit(level))
+        hits = durable((hits if accept is None else hits.where(accept)).withColumn("level", F.lit(level)))
         found = hits if found is None else found.unionByName(hits)
         if level < len(widths):
-            open_ = open_.join(hits.select(query_id).distinct(), query_id, "left_anti")
+            open_ = durable(open_.join(hits.select(query_id).distinct(), query_id, "left_anti"))
+            if open_.isEmpty():
+                break
     return found
 
 

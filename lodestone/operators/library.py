@@ -57,11 +57,15 @@ def search(queries: DataFrame, library: DataFrame, cfg: EngineConfig = DEFAULT)
     """
     q = queries.withColumn("peaks", P.top_peaks(F.col("peaks"), cfg.peaks_kept)).where(F.size("peaks") > 0)
     screened = coarse(q, binned(library, "spec_id", cfg), cfg)
-    own = q.select("query_id", F.col("precursor_mz").alias("q_mz"), F.col("peaks").alias("q_peaks"))
-    met = screened.join(own, "query_id").join(library.select("spec_id", "key", "smiles", "precursor_mz", "peaks"), "spec_id")
+    # Weights are made once for each spectrum, not for each pair.
+    own = q.select("query_id", F.col("precursor_mz").alias("q_mz"), P.reweighted(F.col("peaks")).alias("q_peaks"))
+    known = library.select("spec_id", "key", "smiles", "precursor_mz", P.reweighted(F.col("peaks")).alias("peaks"))
+    met = screened.join(own, "query_id").join(known, "spec_id")
     near = F.abs(F.col("precursor_mz") - F.col("q_mz")) <= F.col("q_mz") * cfg.ppm / 1e6
-    exact = P.modified_cosine(F.col("q_peaks"), F.col("peaks"), F.col("q_mz") - F.col("precursor_mz"), cfg.match_tol)
-    scored = met.select("query_id", "spec_id", "key", "smiles", (exact + F.when(near, cfg.ppm_bonus).otherwise(0.0)).alias("sim")).where("sim > 0")
+    exact = P.modified_cosine(F.col("q_peaks"), F.col("peaks"), F.col("q_mz") - F.col("precursor_mz"), cfg.match_tol, weighted=True)
+    sim = exact + F.when(near, cfg.ppm_bonus).otherwise(0.0)
+    # As rows of an array, so that the filter isn't pushed below and the similarity computed twice.
+    scored = met.select("query_id", "spec_id", "key", "smiles", F.explode(F.filter(F.array(sim), lambda s: s > 0)).alias("sim"))
     return top_k(scored, ["query_id"], [F.col("sim").desc(), F.col("spec_id")], cfg.fine_top)
 
 
