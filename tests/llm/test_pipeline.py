@@ -75,7 +75,7 @@ def test_retrieval_recall_against_all_pairs(spark):
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     space = decontaminate._space(table, items, 256)
     places = decontaminate._places(space.vocabulary)
-    found = {(t, i) for t, i, *_ in decontaminate._search(texts, space, places, 0.28)}
+    found = {(t, i) for t, i, *_ in decontaminate._search(texts, space, places, 0.35)}
     size = len(space.idf)
     vector = lambda words: np.bincount([places[w] for w in words], minlength=size) * space.idf
     want = set()
@@ -85,7 +85,7 @@ def test_retrieval_recall_against_all_pairs(spark):
             v = vector(w[at : at + decontaminate.WINDOW])
             for i, (_, item) in enumerate(items):
                 q = vector(decontaminate.words_of(item))
-                if v @ q >= 0.35 * np.linalg.norm(v) * np.linalg.norm(q):
+                if v @ q >= 0.4 * np.linalg.norm(v) * np.linalg.norm(q):
                     want.add((t, i))
     assert len(want & found) >= 0.9 * len(want) > 0
 
