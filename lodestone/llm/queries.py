@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import blocks, decontaminate, fingerprint, jaccard, langid, packing, pii, suffixes, token_store, unigram
 from .common import new_folder, table
+from .oracles import ORACLES
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,5 +63,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_langid, op3_token_store, op4_jaccard, op5_suffixes, op6_pack, op7_fingerprint, op8_blocks, op9_pii, op10_token_counts)}
-ORACLES: dict[str, str] = {}

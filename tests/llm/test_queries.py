@@ -32,3 +32,14 @@ def test_columns_and_rows(spark, op):
     ids = {r.doc_id for r in got.select("doc_id").distinct().collect()}
     known = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
     assert ids == known if op != "op1" else ids <= known
+
+
+@pytest.mark.parametrize("name", ["op4_jaccard", "op5_suffixes", "op8_blocks"])
+def test_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(entry.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(tuple(r) for r in entry.queries()[name](spark, SF).select(*columns).collect()) == sorted(want.fetchall())
