@@ -30,7 +30,7 @@ def sign_words(values: Column, words: int, width: int = 32) -> Column:
 
 def on_bits(words: Column, lo: int, hi: int, width: int = 32) -> Column:
     """Places of set bits in [lo, hi)."""
-    return F.filter(F.sequence(F.lit(lo), F.lit(hi - 1)), lambda i: F.shiftright(F.get(words, F.floor(i / width).cast("int")), 0).bitwiseAND(F.pow(F.lit(2.0), i % width).cast("long")) != 0)
+    return F.filter(F.sequence(F.lit(lo), F.lit(hi - 1)), lambda i: F.get(words, F.floor(i / width).cast("int")).bitwiseAND(F.pow(F.lit(2.0), i % width).cast("long")) != 0)
 
 
 def pack(words: Column) -> Column:

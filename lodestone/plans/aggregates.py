@@ -13,8 +13,6 @@ from . import carriers as C
 from .carriers import table
 from .registry import query
 
-D = "::DOUBLE"
-
 
 @query("SELECT o_custkey AS id, count(*) AS n, min(o_orderkey) AS first, list_sum(list(o_orderkey))::BIGINT AS keys FROM orders GROUP BY 1")
 def a1_group_rows(spark, d):

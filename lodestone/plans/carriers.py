@@ -47,7 +47,3 @@ def queries(spark: SparkSession, sf_dir: str, offset: float = 0.0004) -> DataFra
 
 
 QUERIES = "queries AS (SELECT p_partkey AS query_id, p_retailprice + p_size * 0.0004::DOUBLE + CASE WHEN p_partkey % 5 = 0 THEN 101.0::DOUBLE ELSE 0.0::DOUBLE END AS center FROM part WHERE p_brand = 'Brand#7')"
-
-
-def rr(n: int = 10) -> str:
-    return f"(1.0::DOUBLE / {n})"

@@ -414,7 +414,8 @@ def u2_array_union(spark, d):
 
 @query("SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_nationkey < 10")
 def u3_except(spark, d):
-    return table(spark, d, "orders").select("o_custkey").exceptAll(table(spark, d, "orders").select("o_custkey").limit(0)).distinct().join(table(spark, d, "customer").where("c_nationkey < 10").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_anti")
+    gone = table(spark, d, "customer").where("c_nationkey < 10").select(F.col("c_custkey").alias("o_custkey"))
+    return table(spark, d, "orders").select("o_custkey").subtract(gone)
 
 
 @query("SELECT o_custkey AS id, 'own' AS v FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT c_custkey, 'fallback' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
