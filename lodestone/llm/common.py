@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,12 +16,43 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints/lodestone"
 BROADCAST_IDS = 1_000_000
 
 
+#: What Python workers keep between tasks, and how it is dropped; the operator that ran last.
+_kept: dict[str, Callable[[], None]] = {}
+_last: list[str] = [""]
+
+
+def keeps(name: str, drop: Callable[[], None]) -> None:
+    """Tells of a cache that a worker keeps between tasks."""
+    _kept[name] = drop
+
+
+def working(name: str = "") -> None:
+    """Called where an operator's code starts in a worker: caches of other operators go, for workers are shared."""
+    if _last[0] == name:
+        return
+    for other, drop in _kept.items():
+        if other != name:
+            drop()
+    _last[0] = name
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can give memory back
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a batch that goes to Python: texts are long, and a worker holds a batch or two.
+BATCH_ROWS = 512
+
+
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver found it."""
+    """Lets Python workers import this package from where the driver found it, and keeps batches of texts small.
+
+    The size of batches is the session's; it is only changed where it is Spark's default.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     have = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
@@ -44,6 +78,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
+    """df in as many partitions as its rows need, if it has more: a small table in hundreds makes thousands of files."""
+    return df.coalesce(max(2, -(-rows // each)))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a table that outlives the query."""
     return f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, working
 from .wordhash import mixed, word_hashes
 
 DIGEST_LANES, SKETCH_LANES = 8, 128
@@ -150,6 +150,7 @@ def _range(cuts: list[int]):
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    working("words")
     held = None  # the row before, which waits for its follower: (doc_id, text, fingerprint, range, ahead)
     for batch in batches:
         rows = []

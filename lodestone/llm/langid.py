@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, working
 
 #: Families of languages by ISO 639-1 code (fixed values).
 FAMILIES = {
@@ -240,24 +240,29 @@ def learn(labelled: DataFrame, per_lang: int = PER_LANG) -> Model | None:
 def predict(docs: DataFrame, model: Model | None, keep: list[str | Column] = ()) -> DataFrame:
     """For each text of docs: the columns in keep, lang_pred and score."""
     ship(docs.sparkSession)
-    chosen = docs.select(*keep, F.col("text").alias("__text"), F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False)).alias("__spoken"))
-    kept = chosen.columns[:-2]
+    # A text that is kept anyway goes to the workers once.
+    own = [] if any(isinstance(c, str) and c == "text" for c in keep) else [F.col("text").alias("__text")]
+    spoken = F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False)).alias("__spoken")
+    chosen = docs.select(*keep, *own, spoken)
+    kept = chosen.columns[: -1 - len(own)]
+    at_text = len(kept) if own else kept.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working()
         for batch in batches:
             # A few hundred texts at a time, so that many long ones never meet.
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                spoken = part.column(len(kept) + 1).to_numpy(zero_copy_only=False).astype(bool)
+                spoken = part.column(part.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
                 if model is None:
                     names, scores = np.full(part.num_rows, UNKNOWN, dtype=object), np.zeros(part.num_rows)
                 else:
-                    sums, counts = _sums(*_texts(part.column(len(kept))), model.weights)
+                    sums, counts = _sums(*_texts(part.column(at_text)), model.weights)
                     names, scores = model.predict(sums / counts.clip(1)[:, None] + model.biases)
                 names[~spoken], scores[~spoken] = UNKNOWN, 0.0
                 yield pa.record_batch([*part.columns[: len(kept)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in chosen.dtypes[:-2]), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in chosen.dtypes[: len(kept)]), "lang_pred string", "score double"])
     return chosen.mapInArrow(run, schema)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, working
 
 #: Code points in a batch, about.
 BATCH_CHARS = 4_000_000
@@ -213,6 +213,7 @@ def repeats(docs: DataFrame, plan: Plan) -> DataFrame:
     keyed = keyed.withColumn("batch", F.pmod(F.xxhash64("k", F.lit(11)), F.lit(batches)))
 
     def first(key: tuple, table: pa.Table) -> pa.Table:
+        working("words")
         _, texts = _texts(table)
         prints, marks, second_keys = plan.first(plan.state(texts))
         entries = Sorted.of(prints, bits, second_keys)

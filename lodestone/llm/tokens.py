@@ -12,6 +12,8 @@ import os
 import re
 from array import array
 
+from .common import keeps, working
+
 #: Unicode White_Space, which the pre-tokenizer splits on (fixed values of the Unicode standard).
 SPACE = "\t-\r \x85\xa0  -     　"
 #: White space that doesn't stand alone between two words; the plain split is only exact without it.
@@ -22,9 +24,10 @@ RARE = "\t\x0b\x0c\r\x00\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 #: Pieces kept per Python worker (about 200 bytes each); beyond it, new ones are encoded without being kept.
-KEPT_PIECES = 1_200_000
+KEPT_PIECES = 800_000
 
 _open: dict[str, "PieceEncoder"] = {}
+keeps("tokens", _open.clear)
 
 
 def default_vocabulary() -> str:
@@ -49,6 +52,7 @@ class PieceEncoder:
     @classmethod
     def of(cls, path: str) -> "PieceEncoder":
         """One encoder for each vocabulary and worker, kept between tasks."""
+        working("tokens")
         if path not in _open:
             _open[path] = cls(path)
             gc.set_threshold(100_000, 50, 50)  # a worker makes many short-lived lists and no cycles

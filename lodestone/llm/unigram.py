@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import keeps, ship, working
 
 SPACE = "▁"
 #: What an unknown character costs below the least score (a fixed value of the tokenizer).
@@ -33,6 +33,7 @@ UNKNOWN_BELOW = 10.0
 KEPT_WORDS = 1_000_000
 
 _open: dict[str, "Counter"] = {}
+keeps("unigram", _open.clear)
 
 
 def default_model() -> str:
@@ -70,6 +71,7 @@ class Counter:
     @classmethod
     def of(cls, path: str) -> "Counter":
         """One counter for each vocabulary and worker, kept between tasks."""
+        working("unigram")
         if path not in _open:
             _open[path] = cls(*vocabulary(path))
         return _open[path]

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import keeps
+
 #: Words kept per Python worker; beyond it, new ones are hashed without being kept.
 KEPT_WORDS = 250_000
 
@@ -18,6 +20,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+keeps("words", _hashes.clear)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

@@ -16,7 +16,7 @@ COLUMNS = {
     "op7": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     "op8": ["doc_id", "n_words", "n_removed", "kept_sha256"],
     "op9": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
-    "op10": ["doc_id", "n_tokens"],
+    "op10": ["doc_id", "n_chars", "n_tokens"],
 }
 NAMES = {n.split("_")[0]: n for n in entry.queries() if n.startswith("op")}
 
