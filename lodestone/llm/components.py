@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sized
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
     """Links each node's (larger, or smaller and own) neighbours to the least of all."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -17,7 +17,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     linked = kept.select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         linked = linked.union(least.select("u", F.col("m").alias("v")))
-    return linked.where(F.col("u") != F.col("v")).distinct()
+    return sized(sized(linked.where(F.col("u") != F.col("v")), rows).distinct(), rows)
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -30,16 +30,17 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
 
     The number of turns grows with the logarithm of the longest path. Null ends and loops are left out.
     """
-    edges = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null and u <> v").distinct()
-    edges = cut(edges)
+    edges = cut(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null and u <> v"))
+    rows = edges.count()
+    edges = cut(sized(sized(edges, rows).distinct(), rows))
     seen = _sum(edges)
     while seen[0]:
-        edges = cut(_star(_star(edges, True), False))
+        edges = cut(_star(_star(edges, True, rows), False, rows))
         now = _sum(edges)
         if now == seen:
             break
         seen = now
-    linked = edges.groupBy("u").agg(F.min("v").alias("v"))
-    heads = edges.select(F.col("v").alias("u"), F.col("v")).distinct()
-    return linked.union(heads).select(F.col("u").alias("node"), F.col("v").alias("component")).groupBy("node").agg(F.min("component").alias("component"))
+    # At the end, each edge leads from a node to its component.
+    both = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")))
+    return sized(both.groupBy("node").agg(F.min("component").alias("component")), rows)
 

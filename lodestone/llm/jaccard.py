@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, cut, ship
+from .common import BROADCAST_IDS, cut, ship, sized, working
 from .components import components
 from .wordhash import mixed, run_hashes, word_hashes
 
@@ -140,6 +140,7 @@ def _offers(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n, node, sketch and keys of each document; keys are empty where the task offered that set before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("words")
         seen: set[int] = set()
         cache: dict = {}
         for batch in batches:
@@ -196,14 +197,16 @@ def components_by_jaccard(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     met = keys.select("key", "node", F.lag("node").over(by_key).alias("last"), F.lead("node").over(by_key).alias("next"))
     buckets = cut(met.where("last <> node or next <> node").select("key", "node").distinct())
 
-    touched = cut(buckets.select("node").distinct().join(nodes, "node"))
+    rows = buckets.count()
+    buckets = sized(buckets, rows)
+    touched = cut(sized(buckets.select("node").distinct().join(nodes, "node"), rows))
     n = touched.count()
     links = None
     if n:
         wanted = touched.select(F.col("least").alias("id")).distinct()
         some = docs.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-        sets = cut(_sets(some, rule).groupBy("node").agg(F.first("own").alias("own")).join(touched.select("node"), "node", "left_semi"))
-        links = _all_links(buckets, touched, sets, rule)
+        sets = cut(_sets(some, rule).groupBy("node").agg(F.first("own").alias("own")).join(touched.select("node"), "node", "left_semi").coalesce(max(8, -(-n // 20_000))))
+        links = _all_links(buckets, touched, sets, rule, rows)
 
     known = offers.select("doc_id", F.col("n").alias("n_shingles"), "node")
     if links is None:
@@ -215,16 +218,16 @@ def components_by_jaccard(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return known.join(placed, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _all_links(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+def _all_links(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, rule: Rule, rows: int) -> DataFrame:
     """(node, component) over all links between nodes that share a bucket."""
     links, label, left = None, None, buckets
     for share in (*FIRST_TURNS, 1):
         now = left.select("key", "node", F.col("node").alias("c")) if label is None else left.select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
         several = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
-        left = cut(now.join(several, "key"))
+        left = cut(sized(now.join(several, "key"), rows))
         near = _near(left.where(F.pmod(F.xxhash64("key", F.lit(share)), F.lit(share)) == 0), nodes, rule, share > 1)
         got = _linked(near, sets, rule.percent)
-        links = cut(got if links is None else links.union(got))
+        links = cut(sized(got if links is None else links.union(got), rows))
         label = components(links)
         if share > 1:
             label = cut(label)
@@ -243,6 +246,7 @@ def _near(rows: DataFrame, nodes: DataFrame, rule: Rule, nearest: bool) -> DataF
     dealt = cells.repartition("cell").sortWithinPartitions("cell").select("cell", "node", "c", "n", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working()
         best: dict[int, tuple[int, int]] = {}
         seen: set[tuple[int, int]] = set()
         for cell, node, c, n, sketch in _whole_cells(batches):
