@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
-from .tokens import PieceEncoder, default_vocabulary
+from .tokens import KEPT_PIECES, PieceEncoder, default_vocabulary
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Ids held at once by a task; a unit ends with the document that reaches it.
@@ -126,15 +126,18 @@ def pack(lengths: list[int], window: int) -> list[tuple[int, int, int, int, int]
     return pieces
 
 
-def pack_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window: int = 2048) -> DataFrame:
-    """One row for each piece of each document of docs (doc_id, text)."""
+def pack_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window: int = 2048, keep: int = KEPT_PIECES) -> DataFrame:
+    """One row for each piece of each document of docs (doc_id, text).
+
+    keep: words whose ids a worker keeps, at some 200 bytes each; fewer cost time and no results.
+    """
     ship(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end = PieceEncoder.of(vocabulary), end_id.to_bytes(4, "little")
+        encoder, end = PieceEncoder.of(vocabulary, keep), end_id.to_bytes(4, "little")
         # Sequence ids: the task in the high bits, then a running number.
         base = TaskContext.get().partitionId() << 36
         ids: list = []

@@ -24,7 +24,7 @@ RARE = "\t\x0b\x0c\r\x00\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 #: Pieces kept per Python worker (about 200 bytes each); beyond it, new ones are encoded without being kept.
-KEPT_PIECES = 800_000
+KEPT_PIECES = 1_200_000
 
 _open: dict[str, "PieceEncoder"] = {}
 keeps("tokens", _open.clear)
@@ -50,12 +50,13 @@ class PieceEncoder:
         self.keep = keep
 
     @classmethod
-    def of(cls, path: str) -> "PieceEncoder":
+    def of(cls, path: str, keep: int = KEPT_PIECES) -> "PieceEncoder":
         """One encoder for each vocabulary and worker, kept between tasks."""
         working("tokens")
         if path not in _open:
-            _open[path] = cls(path)
+            _open[path] = cls(path, keep)
             gc.set_threshold(100_000, 50, 50)  # a worker makes many short-lived lists and no cycles
+        _open[path].keep = keep
         return _open[path]
 
     def _learn(self, names: set[str]) -> dict[str, bytes]:
