@@ -75,7 +75,7 @@ def test_retrieval_recall_against_all_pairs(spark):
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     space = decontaminate._space(table, items, 256)
     places = decontaminate._places(space.vocabulary)
-    found = {(t, i) for t, i, *_ in decontaminate._search(texts, space, places, 0.35)}
+    found = {(t, i) for t, i, *_ in decontaminate._search(texts, space, 0.33)}
     size = len(space.idf)
     vector = lambda words: np.bincount([places[w] for w in words], minlength=size) * space.idf
     want = set()
