@@ -3,10 +3,12 @@
 Passages are windows of WINDOW words, one beginning every STEP words. Their TF-IDF vectors have a place for
 each word of the benchmark and hashed places for all other words; document frequencies are counted over
 every passage of the corpus. In a search, words outside the benchmark only lengthen a passage, each by the
-mean of theirs. A randomised SVD of the benchmark's passages and a bounded sample of the
-corpus' passages (Z = A'(A Omega), summed over the sample's tasks, then one power of A'A on its basis)
-gives the latent space. A passage is a candidate for an item where the cosine in that space is at least
-``least_cosine``; every passage is projected and held against every item.
+mean of theirs. Items' passages are taken in groups of ``rank`` at most, and an SVD of a group's gives its
+latent space, in which each of them keeps its whole length: what is found does not depend on how many other
+items there are. (Directions of the corpus could add nothing, for items have no part in them.) A passage is a
+candidate for an item where the cosine in that space is at least ``least_cosine``, or what an item of n words
+reaches with ``part`` of them at half their mean weight, part * sqrt(n / WINDOW) / 2, if that is less; every
+passage is held against every item.
 
 A candidate's neighbourhood in the document is compared with the whole item: the longest common
 subsequence of words, as a share of the item's, and the share of the item's answer (the words of its last
@@ -15,7 +17,7 @@ subsequence is at least ``whole``, or at least ``part`` with ``answer`` of the a
 fewer than SHORT words are only found whole and in one piece.
 
 The benchmark is a query set of checked size: beyond BLOCK_ITEMS items it is searched in blocks, each with
-a space of its own. Null or wordless texts are never contaminated, null or wordless items find nothing;
+document frequencies of its own. Null or wordless texts are never contaminated, null or wordless items find nothing;
 items with equal texts are all reported; rows with equal ids are reported as one, rows with a null id under
 the null id. Empty tables on either side give no rows. Other columns are ignored.
 """
@@ -38,10 +40,10 @@ from .common import ship, working
 WINDOW, STEP = 48, 24
 #: Places that words outside the benchmark share; words kept per worker; words worked on at once.
 HASHED, KEPT_WORDS, SLICE = 1 << 13, 250_000, 1 << 18
-#: Rank of the latent space at most, spare columns of the random projection, sampled documents of the corpus.
-RANK, SPARE, SAMPLE_DOCS = 256, 8, 600
+#: Rank of a latent space at most, and so the number of items' passages it is for.
+RANK = 256
 #: Steps that are projected at once.
-STEPS = 2048
+STEPS = 512
 BLOCK_ITEMS, SHORT = 2000, 8
 _FLAT = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 RESULT = "doc_id long, item_id long, cosine double, lcs double, answer double, start_word long"
@@ -52,17 +54,26 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_FLAT).split()
 
 
+@dataclass
+class Group:
+    """Some of the items' passages and the latent space that holds them."""
+
+    #: The row of each of the benchmark's words in scores; the last one, of zeros, for words of other groups.
+    row: np.ndarray
+    #: Words by the group's passages: what an occurrence adds to a passage's product with each of these, which
+    #: is the product of the word's and the item's latent vectors.
+    scores: np.ndarray
+    #: The item of each of the group's passages.
+    owners: np.ndarray
+
+
 @dataclass
 class Space:
     vocabulary: dict[bytes, int]
     idf: np.ndarray
     #: The squared weight of each of the benchmark's words, and then the mean of all other words'.
     weight: np.ndarray
-    #: Words of the benchmark by latent dimensions, each row with its word's idf in it.
-    basis: np.ndarray
-    #: Latent vectors of the items' passages, scaled to length 1, and the item each belongs to.
-    queries: np.ndarray
-    owners: np.ndarray
+    groups: list[Group]
     #: Of each item: its id, its words, its answer's words.
     items: list[tuple[int | None, list[bytes], frozenset[bytes]]]
 
@@ -137,52 +148,17 @@ def _frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndar
     return counts, total
 
 
-def _rows(texts: list[str | None], places: _Places, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, TF-IDF of length 1) of each passage of WINDOW words."""
-    for text in texts:
-        flat = np.fromiter(map(places.__getitem__, words_of(text)), dtype=np.int64)
-        for at in range(0, len(flat), WINDOW):
-            used, tf = np.unique(flat[at : at + WINDOW], return_counts=True)
-            value = tf * idf[used]
-            if (norm := np.sqrt(value @ value)) > 0:
-                yield used, value / norm
-
-
-def _svd(docs: DataFrame, items: list[str], vocabulary: dict[bytes, int], idf: np.ndarray, rank: int, share: float) -> np.ndarray:
-    """An orthonormal basis (places by rank) of the leading right singular vectors, by a randomised SVD.
-
-    Items weigh as much as all sampled passages: the space is to hold what tells them apart.
-    """
-    size, width = len(vocabulary) + HASHED, rank + SPARE
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 24)) < int(share * (1 << 24))).select("text").coalesce(4)
-
-    def product(factor: np.ndarray, rows) -> np.ndarray:
-        out = np.zeros((size, width), dtype=np.float32)
-        for used, value in rows:
-            out[used] += np.outer(value, value @ factor[used])
-        return out
-
-    def spread(factor: np.ndarray) -> np.ndarray:
-        """A'(A factor), the corpus' part of it summed over tasks."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            places, out, n = _places(vocabulary), np.zeros((size, width), dtype=np.float32), 0
-            for batch in batches:
-                rows = list(_rows(batch.column(0).to_pylist(), places, idf))
-                out, n = out + product(factor, rows), n + len(rows)
-            yield pa.record_batch([pa.array([out.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["part", "n"])
-
-        parts = sample.mapInArrow(run, "part binary, n long").collect()
-        own = list(_rows(items, _places(vocabulary), idf))
-        total = sum(r.n for r in parts)
-        corpus = sum((np.frombuffer(r.part, np.float32).reshape(size, width) for r in parts), np.zeros((size, width), np.float32))
-        return product(factor, own) / max(len(own), 1) + corpus / max(total, 1)
-
-    rng = np.random.default_rng(20)
-    basis, _ = np.linalg.qr(spread(rng.standard_normal((size, width), dtype=np.float32)))
-    again = spread(basis.astype(np.float32))
-    turn, _, _ = np.linalg.svd(basis.T @ again)
-    return (basis @ turn[:, :rank]).astype(np.float32)
+def _group(passages: list[tuple[int, np.ndarray]], idf: np.ndarray) -> Group:
+    """The space of (item, places of words)."""
+    known = np.unique(np.concatenate([words for _, words in passages]))
+    row = np.full(len(idf) + 2, len(known), dtype=np.int32)
+    row[known] = np.arange(len(known))
+    rows = np.stack([np.bincount(row[words], minlength=len(known)) for _, words in passages]) * idf[known]
+    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+    # As many right singular vectors as there are passages: each passage lies in their space.
+    _, _, basis = np.linalg.svd(rows, full_matrices=False)
+    scores = (basis.T * idf[known, None]) @ (basis @ rows.T)
+    return Group(row, np.concatenate([scores, np.zeros((1, len(passages)))]).astype(np.float32), np.array([k for k, _ in passages]))
 
 
 def _answer(text: str) -> frozenset[bytes]:
@@ -214,19 +190,16 @@ def _space(docs: DataFrame, items: list[tuple[int | None, str]], rank: int) -> S
     others = counts[len(vocabulary) :]
     mean = (others * idf[len(vocabulary) :] ** 2).sum() / others.sum() if others.sum() else idf[0] ** 2
     weight = np.append(idf[: len(vocabulary)] ** 2, mean)
-    n_docs = docs.count()
-    passages = [(k, " ".join(w.decode("utf-8", "surrogatepass") for w in words_of(t)[at : at + WINDOW])) for k, (_, t) in enumerate(items) for at in range(0, len(words_of(t)), WINDOW)]
-    rank = min(rank, len(passages), len(vocabulary))
-    basis = _svd(docs, [p for _, p in passages], vocabulary, idf, rank, min(1.0, SAMPLE_DOCS / max(n_docs, 1)))[: len(vocabulary)] * idf[: len(vocabulary), None].astype(np.float32)
-    places = _places(vocabulary)
-    queries = np.stack([basis[np.fromiter(map(places.__getitem__, words_of(p)), np.int64)].sum(axis=0) for _, p in passages])
-    norms = np.linalg.norm(queries, axis=1, keepdims=True)
-    return Space(vocabulary, idf, weight, basis, (queries / np.maximum(norms, 1e-9)).astype(np.float32), np.array([k for k, _ in passages]), [(i, words_of(t), _answer(t)) for i, t in items])
-
-
-def _search(texts: list[str | None], space: Space, least: float) -> Iterator[tuple[int, int, float, int, list[bytes]]]:
-    """(text, item, cosine, start of the passage, the text's words) of candidates."""
-    known, width, get = len(space.vocabulary), space.basis.shape[1], space.vocabulary.get
+    told = [np.fromiter(map(vocabulary.__getitem__, words_of(t)), np.int64) for _, t in items]
+    passages = [(k, own[at : at + WINDOW]) for k, own in enumerate(told) for at in range(0, len(own), WINDOW)]
+    groups = [_group(passages[at : at + rank], idf[: len(vocabulary)]) for at in range(0, len(passages), rank)]
+    return Space(vocabulary, idf, weight, groups, [(i, words_of(t), _answer(t)) for i, t in items])
+
+
+def _search(texts: list[str | None], space: Space, least: float | np.ndarray) -> Iterator[tuple[int, int, float, int, list[bytes]]]:
+    """(text, item, cosine, start of the passage, the text's words) of candidates; least is for all items or for each."""
+    least = np.broadcast_to(np.asarray(least, dtype=np.float32), len(space.items))
+    known, get = len(space.vocabulary), space.vocabulary.get
     words = [words_of(t) for t in texts]
     offsets = np.cumsum([0] + [len(w) for w in words])
     if not offsets[-1]:
@@ -241,20 +214,24 @@ def _search(texts: list[str | None], space: Space, least: float) -> Iterator[tup
     places = places.reshape(-1, STEP)
     energy = np.append(space.weight, 0.0)[places].sum(axis=1)
     energy[:-1] += np.where(follows[:-1], energy[1:], 0)
-    basis = np.concatenate([space.basis, np.zeros((2, width), dtype=np.float32)])
-    # Latent vectors of steps; a passage is a step and the one behind it, if that is of the same text.
+    # A word that occurs twice adds no more to the length than two words do: cosines are never too small.
+    length = np.sqrt(np.maximum(energy, 1e-9)).astype(np.float32)
+    # Products of steps; a passage is a step and the one behind it, if that is of the same text.
     for at in range(0, len(starts), STEPS):
-        latent = basis[places[at : at + STEPS + 1]].sum(axis=1)
         n = min(STEPS, len(starts) - at)
-        passage = latent[:n].copy()
         both = np.flatnonzero(follows[at : at + n])
-        passage[both] += latent[both + 1]
-        # A word that occurs twice adds no more to the length than two words do: cosines are never too small.
-        passage /= np.sqrt(np.maximum(energy[at : at + n], 1e-9)).astype(np.float32)[:, None]
-        cosine = passage @ space.queries.T
-        for a, q in zip(*np.nonzero(cosine >= least), strict=True):
-            step = at + a
-            yield owner[step], int(space.owners[q]), float(min(cosine[a, q], 1.0)), int(starts[step] - offsets[owner[step]]), words[owner[step]]
+        for group in space.groups:
+            rows = group.row[places[at : at + STEPS + 1]]
+            cosine = group.scores[rows[:, 0]]
+            more = np.empty_like(cosine)
+            for k in range(1, STEP):
+                np.take(group.scores, rows[:, k], axis=0, out=more, mode="clip")
+                cosine += more
+            cosine[both] += cosine[both + 1]
+            cosine = cosine[:n] / length[at : at + n, None]
+            for a, q in zip(*np.nonzero(cosine >= least[group.owners]), strict=True):
+                step = at + a
+                yield owner[step], int(group.owners[q]), float(min(cosine[a, q], 1.0)), int(starts[step] - offsets[owner[step]]), words[owner[step]]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, least_cosine: float = 0.28, whole: float = 0.75, part: float = 0.5, answer: float = 0.6) -> DataFrame:
@@ -283,6 +260,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, least_
 
 
 def _finder(space: Space, least: float, whole: float, part: float, answer: float):
+    sizes = np.array([len(own) for _, own, _ in space.items])
+    reached = np.minimum(least, part * np.sqrt(np.minimum(sizes, WINDOW) / WINDOW) / 2)
+
     def verified(item: int, words: list[bytes], start: int) -> tuple[float, float] | None:
         _, own, closing = space.items[item]
         lo, hi = max(start - len(own), 0), start + WINDOW + len(own)
@@ -301,7 +281,7 @@ def _finder(space: Space, least: float, whole: float, part: float, answer: float
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 ids, best = batch.column(0).slice(at, 128).to_pylist(), {}
-                for text, item, cosine, start, words in _search(batch.column(1).slice(at, 128).to_pylist(), space, least):
+                for text, item, cosine, start, words in _search(batch.column(1).slice(at, 128).to_pylist(), space, reached):
                     if shares := verified(item, words, start):
                         got = (shares[0], cosine, -start, shares[1])
                         if (text, item) not in best or got > best[text, item]:

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pyarrow.parquet as pq
+import pytest
 from lodestone.llm import decontaminate as D
 
 SF = "/root/testdata/sf0.1"
@@ -61,3 +62,20 @@ def test_paraphrases_in_long_documents(spark):
     got = found(spark, texts, items)
     print(f"recall of {len(want)} paraphrases, {len(items)} items: {len(want & got) / len(want):.3f}")
     assert len(want) >= 100 and len(want & got) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("n", [200, 1000, 2000])
+def test_copies_whatever_the_size_of_the_benchmark(spark, n):
+    """The given items, filled up with passages of 15 to 59 words cut from documents."""
+    rng = random.Random(6)
+    items, texts = column("benchmark"), [t.split() for t in column("documents")]
+    while len(items) < n:
+        words = rng.choice(texts)
+        at, size = rng.randrange(len(words)), rng.randint(15, 59)
+        if len(words) - at >= size:
+            items.append(" ".join(words[at : at + size]))
+    some = rng.sample(range(n), 200)
+    got = found(spark, planted([items[k] for k in some], long_docs(), rng, lambda item: item), items)
+    recall = sum((d, k) in got for d, k in enumerate(some)) / len(some)
+    print(f"recall of verbatim copies, {n} items: {recall:.3f}")
+    assert recall >= 0.99
