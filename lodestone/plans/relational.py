@@ -195,9 +195,9 @@ def p4_sources(spark, d):
 
 
 @query("WITH a AS (SELECT event_id, event_type, user_id FROM events WHERE event_id % 10 = 0), b AS (SELECT event_id AS other, event_type, user_id FROM events WHERE event_id % 10 = 1) SELECT event_type, count(*) AS n FROM a JOIN b USING (event_type, user_id) GROUP BY event_type")
-def p5_same_mode(spark, d):
+def p5_same_mode(spark, d, left="event_id % 10 = 0", right="event_id % 10 = 1"):
     e = table(spark, d, "events").select("event_id", "event_type", "user_id")
-    return e.where("event_id % 10 = 0").join(e.where("event_id % 10 = 1"), ["event_type", "user_id"]).groupBy("event_type").agg(F.count("*").alias("n"))
+    return e.where(left).join(e.where(right), ["event_type", "user_id"]).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS score FROM embeddings WHERE embedding[1] > 0")
@@ -206,9 +206,9 @@ def p6_positive(spark, d):
 
 
 @query(f"WITH {C.QUERIES} SELECT query_id, p_partkey, round(CASE WHEN abs(p_retailprice - center) <= center * 3000.0::DOUBLE / 1e6 THEN 0.05 ELSE 0 END, 6)::DOUBLE AS sim FROM queries JOIN part ON p_size = query_id % 50 WHERE abs(p_retailprice - center) <= center * 3000.0::DOUBLE / 1e6")
-def p7_ppm_bonus(spark, d):
+def p7_ppm_bonus(spark, d, queries=C.queries):
     """A row without similarity survives by the bonus alone."""
-    met = C.queries(spark, d).join(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), F.col("p_size") == F.col("query_id") % 50)
+    met = queries(spark, d).join(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), F.col("p_size") == F.col("query_id") % 50)
     sim = F.lit(0.0) + F.when(F.abs(F.col("p_retailprice") - F.col("center")) <= F.col("center") * 3000.0 / 1e6, 0.05).otherwise(0.0)
     return met.select("query_id", "p_partkey", F.round(sim, 6).alias("sim")).where("sim > 0")
 
@@ -262,8 +262,8 @@ def p14_derive(spark, d):
 
 
 @query(f"WITH {C.QUERIES} SELECT query_id, p_partkey FROM queries JOIN part ON p_retailprice >= center - 0.35::DOUBLE AND p_retailprice <= center + 0.35::DOUBLE")
-def j1_band(spark, d):
-    return J.band_join(C.queries(spark, d), table(spark, d, "part").select("p_partkey", "p_retailprice"), "center", "p_retailprice", 0.35).select("query_id", "p_partkey")
+def j1_band(spark, d, queries=C.queries):
+    return J.band_join(queries(spark, d), table(spark, d, "part").select("p_partkey", "p_retailprice"), "center", "p_retailprice", 0.35).select("query_id", "p_partkey")
 
 
 _LEVELS = "CASE WHEN mass >= center - 0.001::DOUBLE AND mass <= center + 0.001::DOUBLE THEN 1 WHEN mass >= center - 0.01::DOUBLE AND mass <= center + 0.01::DOUBLE THEN 2 WHEN mass >= center - 0.1::DOUBLE AND mass <= center + 0.1::DOUBLE THEN 3 ELSE 4 END"
@@ -271,19 +271,19 @@ _WIDE = f"wide AS (SELECT query_id, key, {{more}}{_LEVELS} AS level FROM queries
 
 
 @query(f"WITH {C.QUERIES}, {C.POOL}, {_WIDE.format(more='')} SELECT query_id, key, level FROM wide QUALIFY level = min(level) OVER (PARTITION BY query_id)")
-def j2_widen(spark, d):
-    return J.widening_join(C.queries(spark, d), C.pool(spark, d).select("key", "mass"), "query_id", "center", "mass").select("query_id", "key", "level")
+def j2_widen(spark, d, queries=C.queries):
+    return J.widening_join(queries(spark, d), C.pool(spark, d).select("key", "mass"), "query_id", "center", "mass").select("query_id", "key", "level")
 
 
 @query(f"WITH {C.QUERIES}, {C.POOL}, {_WIDE.format(more='')} SELECT query_id, key, level FROM wide QUALIFY level = min(level) OVER (PARTITION BY query_id)")
-def j2_widen_tagged(spark, d):
+def j2_widen_tagged(spark, d, queries=C.queries):
     """The same by one join at the widest band."""
-    return J.widening_join_tagged(C.queries(spark, d), C.pool(spark, d).select("key", "mass"), "query_id", "center", "mass").select("query_id", "key", "level")
+    return J.widening_join_tagged(queries(spark, d), C.pool(spark, d).select("key", "mass"), "query_id", "center", "mass").select("query_id", "key", "level")
 
 
 @query(f"WITH {C.QUERIES}, {C.POOL}, {_WIDE.format(more='popcount, ')} SELECT query_id, key, level FROM wide WHERE popcount > 33 QUALIFY level = min(level) OVER (PARTITION BY query_id)")
-def j3_widen_until_scored(spark, d):
-    return J.widening_join(C.queries(spark, d), C.pool(spark, d).select("key", "mass", "popcount"), "query_id", "center", "mass", accept=F.col("popcount") > 33).select("query_id", "key", "level")
+def j3_widen_until_scored(spark, d, queries=C.queries):
+    return J.widening_join(queries(spark, d), C.pool(spark, d).select("key", "mass", "popcount"), "query_id", "center", "mass", accept=F.col("popcount") > 33).select("query_id", "key", "level")
 
 
 @query(f"WITH {C.POOL} SELECT o_orderkey, popcount FROM orders JOIN pooled ON key = o_custkey")
@@ -296,21 +296,21 @@ _TAN = "CASE WHEN a.popcount + b.popcount - (bit_count(a.w0 & b.w0) + bit_count(
 
 
 @query(f"WITH {C.POOL} SELECT a.key AS candidate, b.key AS anchor, round({_TAN}, 6) AS tanimoto FROM pooled a JOIN pooled b ON a.label = b.label WHERE a.key % 5 = 0 AND b.key % 25 = 1")
-def j5_candidates_by_anchors(spark, d):
+def j5_candidates_by_anchors(spark, d, candidates="key % 5 = 0", which="key % 25 = 1"):
     """Every candidate with every anchor of its own group."""
     p = C.pool(spark, d)
-    anchors = p.where("key % 25 = 1").select("label", F.col("key").alias("anchor"), F.col("fp").alias("a_fp"), F.col("popcount").alias("a_pop"))
-    return p.where("key % 5 = 0").join(anchors, "label").select(F.col("key").alias("candidate"), "anchor", F.round(B.tanimoto(F.col("fp"), F.col("a_fp"), F.col("popcount"), F.col("a_pop")), 6).alias("tanimoto"))
+    anchors = p.where(which).select("label", F.col("key").alias("anchor"), F.col("fp").alias("a_fp"), F.col("popcount").alias("a_pop"))
+    return p.where(candidates).join(anchors, "label").select(F.col("key").alias("candidate"), "anchor", F.round(B.tanimoto(F.col("fp"), F.col("a_fp"), F.col("popcount"), F.col("a_pop")), 6).alias("tanimoto"))
 
 
 _BINS = f"{C.PEAKS}, b AS (SELECT molecule_id, adduct, floor(mz / 0.5)::INT AS bin, sum(intensity) AS w FROM peaks GROUP BY ALL)"
 
 
 @query(f"WITH {_BINS} SELECT q.molecule_id AS query, l.molecule_id AS hit, round(sum(q.w * l.w), 6) AS dot FROM b q JOIN b l ON q.bin = l.bin AND q.adduct = l.adduct WHERE q.molecule_id % 10 = 0 AND l.molecule_id % 10 <> 0 GROUP BY ALL")
-def j6_sparse_dot(spark, d):
+def j6_sparse_dot(spark, d, queries="molecule_id % 10 = 0", hits="molecule_id % 10 <> 0"):
     b = C.peaks(spark, d).groupBy("molecule_id", "adduct", F.floor(F.col("mz") / 0.5).cast("int").alias("bin")).agg(F.sum("intensity").alias("w"))
-    q = b.where("molecule_id % 10 = 0").select(F.col("molecule_id").alias("query"), "adduct", "bin", F.col("w").alias("qw"))
-    l = b.where("molecule_id % 10 <> 0").select(F.col("molecule_id").alias("hit"), "adduct", "bin", "w")
+    q = b.where(queries).select(F.col("molecule_id").alias("query"), "adduct", "bin", F.col("w").alias("qw"))
+    l = b.where(hits).select(F.col("molecule_id").alias("hit"), "adduct", "bin", "w")
     return q.join(l, ["adduct", "bin"]).groupBy("query", "hit").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("dot"))
 
 

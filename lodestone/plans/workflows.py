@@ -24,11 +24,11 @@ from .spectral import KINDS
     f"WITH {C.QUERIES}, {C.POOL}, anchor AS (SELECT w0 AS a0, w1 AS a1, popcount AS ap FROM pooled WHERE key = 0), c AS (SELECT query_id, key, bit_count(w0 & a0) + bit_count(w1 & a1) AS i, popcount + ap AS s FROM queries JOIN pooled ON mass >= center - 3.0::DOUBLE AND mass <= center + 3.0::DOUBLE, anchor), r AS (SELECT query_id, key, CASE WHEN s > i THEN i::DOUBLE / (s - i) ELSE 0 END AS t FROM c) "
     "SELECT query_id, key, round(t, 6) AS tanimoto, row_number() OVER (PARTITION BY query_id ORDER BY t DESC, key) AS rank FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY t DESC, key) <= 25"
 )
-def q_band_top25(spark, d):
+def q_band_top25(spark, d, queries=C.queries):
     """The flagship: candidates in a mass band, by similarity to an anchor, 25 for each query."""
     pool = C.pool(spark, d)
     anchor = F.broadcast(pool.where("key = 0").select(F.col("fp").alias("a_fp"), F.col("popcount").alias("a_pop")))  # one row
-    met = J.band_join(C.queries(spark, d), pool.select("key", "mass", "fp", "popcount"), "center", "mass", 3.0).crossJoin(anchor)
+    met = J.band_join(queries(spark, d), pool.select("key", "mass", "fp", "popcount"), "center", "mass", 3.0).crossJoin(anchor)
     scored = met.select("query_id", "key", B.tanimoto(F.col("fp"), F.col("a_fp"), F.col("popcount"), F.col("a_pop")).alias("t"))
     return R.top_k(scored, ["query_id"], [F.col("t").desc(), F.col("key")], 25).select("query_id", "key", F.round("t", 6).alias("tanimoto"), F.col("rank").cast("long").alias("rank"))
 
@@ -116,9 +116,9 @@ def q4_build_pool(spark, d):
 
 
 @query(f"WITH {C.QUERIES}, {C.POOL}, w AS (SELECT query_id, key, w0, w1, popcount FROM queries JOIN pooled ON mass >= center - 3.0::DOUBLE AND mass <= center + 3.0::DOUBLE), s AS (SELECT query_id, w.key AS key, pow((a.key % 10 + 1) / 10.0::DOUBLE, 2.5::DOUBLE) * (bit_count(w.w0 & a.w0) + bit_count(w.w1 & a.w1))::DOUBLE / (w.popcount + a.popcount - bit_count(w.w0 & a.w0) - bit_count(w.w1 & a.w1)) AS s FROM w JOIN pooled a ON a.key % 50 = query_id % 50), b AS (SELECT query_id, key, max(s) AS prop FROM s GROUP BY ALL) SELECT query_id, key, round(prop, 6) AS prop FROM b WHERE prop > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY prop DESC, key) <= 50")
-def q5_propagate(spark, d):
+def q5_propagate(spark, d, queries=C.queries):
     pool = C.pool(spark, d).select("key", "mass", "fp", "popcount")
-    q = C.queries(spark, d)
+    q = queries(spark, d)
     window = J.band_join(q, pool, "center", "mass", 3.0)
     near = pool.select((F.col("key") % 50).alias("g"), ((F.col("key") % 10 + 1) / 10.0).alias("sim"), F.col("fp").alias("a_fp"), F.col("popcount").alias("a_pop"))
     anchors = q.select("query_id", (F.col("query_id") % 50).alias("g")).join(near, "g").select("query_id", "sim", "a_fp", "a_pop")
@@ -217,9 +217,9 @@ def q16_fault_isolation(spark, d):
 
 
 @query(f"WITH {C.QUERIES}, {C.POOL}, w AS (SELECT query_id, key, w0, w1, bit_count(w0) + 0.001::DOUBLE * key AS score FROM queries JOIN pooled ON mass >= center - 3.0::DOUBLE AND mass <= center + 3.0::DOUBLE), n AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM w), t AS (SELECT query_id, arg_min(w0, key) AS t0, arg_min(w1, key) AS t1 FROM w GROUP BY query_id), m AS (SELECT n.*, w0 = t0 AND w1 = t1 AS is_true FROM n JOIN t USING (query_id) WHERE n.n >= 2), r AS (SELECT *, 1 + count(*) FILTER (score > ts) OVER (PARTITION BY query_id) AS true_rank FROM (SELECT *, max(score) FILTER (is_true) OVER (PARTITION BY query_id) AS ts FROM m)) SELECT query_id, key, true_rank::BIGINT AS true_rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM r WHERE NOT is_true QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) <= 8")
-def c14_hard_decoys(spark, d):
+def c14_hard_decoys(spark, d, queries=C.queries):
     pool = C.pool(spark, d).select("key", "mass", "fp", "popcount")
-    w = J.band_join(C.queries(spark, d), pool, "center", "mass", 3.0).withColumn("score", F.bit_count(F.get("fp", F.lit(0))) + 0.001 * F.col("key"))
+    w = J.band_join(queries(spark, d), pool, "center", "mass", 3.0).withColumn("score", F.bit_count(F.get("fp", F.lit(0))) + 0.001 * F.col("key"))
     truth = w.groupBy("query_id").agg(F.min_by("fp", "key").alias("fp"))
     return V.hard_decoys(w, truth, 8).select("query_id", "key", F.col("true_rank").cast("long").alias("true_rank"), F.col("rank").cast("long").alias("rank"))
 

@@ -1,0 +1,37 @@
+"""Queries over every row: each names an id that the filtered query of the same name leaves out."""
+
+import duckdb
+
+from lodestone.plans.catalog import ORACLES, QUERIES
+from lodestone.plans.whole import UNSTATED
+
+from .conftest import SF_SMALL
+
+
+def test_no_filter_is_left():
+    names = [n for n in QUERIES if n.endswith("_whole")]
+    assert len(names) == 17 and set(names) == set(ORACLES) & set(names) | set(UNSTATED)
+    for n in names:
+        assert not any(x in (ORACLES | UNSTATED)[n] for x in ("Brand#7", "vec_id % 4", "c_custkey < 170", "event_id % 10", "molecule_id % 10 ", "key % 25", "b.key % 20"))
+
+
+def test_every_id_takes_part(spark):
+    rows = lambda n, c: {r[0] for r in QUERIES[n](spark, SF_SMALL).select(c).distinct().collect()}
+    keys = rows("f7_popcount", "key")
+    assert rows("j5_candidates_by_anchors_whole", "candidate") == rows("j5_candidates_by_anchors_whole", "anchor") == keys
+    assert rows("a7_max_over_anchors_whole", "key") == keys
+    asked = rows("j6_sparse_dot_whole", "query")
+    assert asked == rows("j6_sparse_dot_whole", "hit") == {r[0] for r in spark.read.parquet(f"{SF_SMALL}/events.parquet").select("user_id").distinct().collect()}
+    assert QUERIES["a13_mrr_whole"](spark, SF_SMALL).first().n == spark.read.parquet(f"{SF_SMALL}/customer.parquet").count()
+    assert rows("j1_band_whole", "query_id") > rows("j1_band", "query_id")
+
+
+def test_propagation_for_all_queries(spark):
+    """All but the key of a tie at the cut."""
+    con = duckdb.connect()
+    for t in ("part", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF_SMALL}/{t}.parquet'")
+    want = sorted((q, p) for q, _, p in con.execute(UNSTATED["q5_propagate_whole"]).fetchall())
+    got = sorted((r.query_id, r.prop) for r in QUERIES["q5_propagate_whole"](spark, SF_SMALL).collect())
+    assert len(got) == len(want) > 0
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 2e-6 for a, b in zip(got, want, strict=True))
