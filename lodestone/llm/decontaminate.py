@@ -14,7 +14,7 @@ A candidate's neighbourhood in the document is compared with the whole item: the
 subsequence of words, as a share of the item's, and the share of the item's answer (the words of its last
 sentence, or of its last third if it has one sentence) that is there. An item is found where the
 subsequence is at least ``whole``, or at least ``part`` with ``answer`` of the answer's words. Items of
-fewer than SHORT words are only found whole and in one piece.
+fewer than SHORT words are only found whole and in one piece, wherever their run of words is in a text, at any cosine.
 
 The benchmark is a query set of checked size: beyond BLOCK_ITEMS items it is searched in blocks, each with
 document frequencies of its own. Null or wordless texts are never contaminated, null or wordless items find nothing;
@@ -76,6 +76,8 @@ class Space:
     groups: list[Group]
     #: Of each item: its id, its words, its answer's words.
     items: list[tuple[int | None, list[bytes], frozenset[bytes]]]
+    #: Of the rarest word of each item of fewer than SHORT words: (item, its words, where the rarest is in it).
+    short: dict[int, list[tuple[int, np.ndarray, int]]]
 
 
 class _Places(dict):
@@ -193,7 +195,29 @@ def _space(docs: DataFrame, items: list[tuple[int | None, str]], rank: int) -> S
     told = [np.fromiter(map(vocabulary.__getitem__, words_of(t)), np.int64) for _, t in items]
     passages = [(k, own[at : at + WINDOW]) for k, own in enumerate(told) for at in range(0, len(own), WINDOW)]
     groups = [_group(passages[at : at + rank], idf[: len(vocabulary)]) for at in range(0, len(passages), rank)]
-    return Space(vocabulary, idf, weight, groups, [(i, words_of(t), _answer(t)) for i, t in items])
+    short: dict[int, list[tuple[int, np.ndarray, int]]] = {}
+    for k, own in enumerate(told):
+        if len(own) < SHORT:
+            at = int(np.argmax(idf[own]))
+            short.setdefault(int(own[at]), []).append((k, own, at))
+    return Space(vocabulary, idf, weight, groups, [(i, words_of(t), _answer(t)) for i, t in items], short)
+
+
+def _runs(flat: np.ndarray, offsets: np.ndarray, starts: np.ndarray, space: Space) -> dict[int, np.ndarray]:
+    """Of each short item that is in the texts in one piece, the steps in which it begins."""
+    found = {}
+    for word, items in space.short.items():
+        spots = np.flatnonzero(flat == word)
+        for k, own, at in items:
+            first = spots - at
+            first = first[(first >= 0) & (first + len(own) <= len(flat))]
+            for j, w in enumerate(own):
+                first = first[flat[first + j] == w]
+            # In one text.
+            first = first[np.searchsorted(offsets, first, "right") == np.searchsorted(offsets, first + len(own) - 1, "right")]
+            if len(first):
+                found[k] = np.unique(np.searchsorted(starts, first, "right") - 1)
+    return found
 
 
 def _search(texts: list[str | None], space: Space, least: float | np.ndarray) -> Iterator[tuple[int, int, float, int, list[bytes]]]:
@@ -216,6 +240,7 @@ def _search(texts: list[str | None], space: Space, least: float | np.ndarray) ->
     energy[:-1] += np.where(follows[:-1], energy[1:], 0)
     # A word that occurs twice adds no more to the length than two words do: cosines are never too small.
     length = np.sqrt(np.maximum(energy, 1e-9)).astype(np.float32)
+    runs = _runs(flat, offsets, starts, space)
     # Products of steps; a passage is a step and the one behind it, if that is of the same text.
     for at in range(0, len(starts), STEPS):
         n = min(STEPS, len(starts) - at)
@@ -229,7 +254,11 @@ def _search(texts: list[str | None], space: Space, least: float | np.ndarray) ->
                 cosine += more
             cosine[both] += cosine[both + 1]
             cosine = cosine[:n] / length[at : at + n, None]
-            for a, q in zip(*np.nonzero(cosine >= least[group.owners]), strict=True):
+            near = cosine >= least[group.owners]
+            for q in np.flatnonzero(np.isin(group.owners, list(runs))) if runs else ():
+                here = runs[int(group.owners[q])]
+                near[here[(here >= at) & (here < at + n)] - at, q] = True
+            for a, q in zip(*np.nonzero(near), strict=True):
                 step = at + a
                 yield owner[step], int(group.owners[q]), float(min(cosine[a, q], 1.0)), int(starts[step] - offsets[owner[step]]), words[owner[step]]
 

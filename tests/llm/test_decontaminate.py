@@ -79,3 +79,21 @@ def test_copies_whatever_the_size_of_the_benchmark(spark, n):
     recall = sum((d, k) in got for d, k in enumerate(some)) / len(some)
     print(f"recall of verbatim copies, {n} items: {recall:.3f}")
     assert recall >= 0.99
+
+
+def test_short_items_in_long_documents(spark):
+    """Items of one to seven words, common ones too: each document that has the run of words, and no other."""
+    rng = random.Random(7)
+    texts = long_docs()[:200]
+    items = [" ".join(words[at : at + n]) for n in range(1, 8) for words in (rng.choice(texts).split(),) for at in (rng.randrange(len(words) - n),)]
+    items = [t for t in items if D.words_of(t)]
+    words = [D.words_of(t) for t in texts]
+    want = {(d, k) for k, own in enumerate(map(D.words_of, items)) for d, w in enumerate(words) if any(w[i : i + len(own)] == own for i in range(len(w) - len(own) + 1))}
+    assert len(want) >= len(items) and found(spark, texts, items) == want
+
+
+def test_short_item_of_the_commonest_words(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=9))
+    texts = [" ".join("of the" if k % 20 == 7 else word() for k in range(200)) for _ in range(40)]
+    assert found(spark, texts, ["Of the", "the of"]) == {(d, 0) for d in range(40)}
