@@ -6,19 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
+from ..sources.shared import shared_dir
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder that all executors share (spark.checkpoint.dir; a local one if unset)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/lodestone")
+    """df, computed once and kept in the folder that all executors share."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, rows: int = DEFAULT.broadcast_rows) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows (it is counted up to that), else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Bytes that a side may be estimated to have for a broadcast hint.
+BROADCAST_BYTES = 64 << 20
+
+
+def bounded_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if Spark's own estimate of its size in bytes is small enough.
+
+    Else it is left to adaptive execution, which goes by the size that is measured at run time.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(str(size)) <= most else df
 
 
 def in_band(mass: Column, center: Column, width: float) -> Column:
@@ -26,8 +33,8 @@ def in_band(mass: Column, center: Column, width: float) -> Column:
     return (mass >= center - F.lit(width)) & (mass <= center + F.lit(width))
 
 
-def band_join(queries: DataFrame, pool: DataFrame, center: str, mass: str, width: float) -> DataFrame:
-    """Pairs with pool.mass in center +- width, as an equi-join on cells of that width.
+def band_join(queries: DataFrame, pool: DataFrame, center: str, mass: str, width: float, on: list[str] = ()) -> DataFrame:
+    """Pairs with pool.mass in center +- width (and equal columns ``on``), as an equi-join on cells of that width.
 
     Only the query side is copied, to the cells that its band touches (three at most); the pool is read once. A
     dense cell is a skewed key of a plain join, which adaptive execution splits.
@@ -36,7 +43,7 @@ def band_join(queries: DataFrame, pool: DataFrame, center: str, mass: str, width
     q = queries.withColumn("__cell", F.explode(F.sequence(cell(F.col(center) - width), cell(F.col(center) + width))))
     p = pool.withColumn("__cell", cell(F.col(mass)))
     # Rounding at a cell's border can put an end into the next one; both sides' cells are compared again.
-    return q.join(p, "__cell").where(in_band(F.col(mass), F.col(center), width)).drop("__cell")
+    return q.join(p, [*on, "__cell"]).where(in_band(F.col(mass), F.col(center), width)).drop("__cell")
 
 
 def widening_join(queries: DataFrame, pool: DataFrame, query_id: str, center: str, mass: str, widths: tuple[float, ...] = DEFAULT.widths, accept: Column | None = None) -> DataFrame:

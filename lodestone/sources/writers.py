@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from .shared import dropped_at_end, new_folder
+
 
 def csv(df: DataFrame, path: str, single: bool = True) -> str:
     """With a header; in one file if the reader needs one."""
@@ -36,8 +38,5 @@ def replaced(df: DataFrame, placeholder: DataFrame, path: str) -> str:
 
 
 def scratch(spark, name: str) -> str:
-    """A fresh path in the folder that all executors share (spark.checkpoint.dir; a local one if unset)."""
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints/lodestone"
-    return f"{base.rstrip('/')}/engine/{name}-{uuid.uuid4().hex}"
+    """A fresh folder in the one that all executors share, which goes when the application ends."""
+    return dropped_at_end(spark, new_folder(spark, name))

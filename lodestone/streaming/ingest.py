@@ -29,10 +29,29 @@ def windowed_counts(events: DataFrame, time: str, length: str, late: str, *by: s
     return events.withWatermark(time, late).groupBy(F.window(time, length), *by).agg(F.count("*").alias("n"))
 
 
+def through(spark: SparkSession, rows: DataFrame, predict: Callable[[DataFrame], DataFrame], files: int = 2) -> DataFrame:
+    """What predict makes of rows that arrive as a stream of files, batch by batch, once all have been read."""
+    folder, out, checkpoint = scratch(spark, "in"), scratch(spark, "out"), scratch(spark, "progress")
+    rows.repartition(2 * files).write.mode("overwrite").parquet(folder)
+    each_batch(spectra_stream(spark, folder, rows.schema, files), predict, out, checkpoint).awaitTermination()
+    return spark.read.parquet(out)
+
+
+def windowed(spark: SparkSession, events: DataFrame, time: str, length: str, late: str, *by: str) -> DataFrame:
+    """windowed_counts over a stream of files, as they stand after the last batch."""
+    folder, out, checkpoint = scratch(spark, "in"), scratch(spark, "counts"), scratch(spark, "progress")
+    events.repartition(4).write.mode("overwrite").parquet(folder)
+    counts = windowed_counts(spectra_stream(spark, folder, events.schema, 2), time, length, late, *by)
+    # A complete result replaces the one before: a batch that runs again changes nothing.
+    write = lambda batch, _: batch.coalesce(1).write.mode("overwrite").parquet(out)
+    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
 def drained(spark: SparkSession, table: str, where: str) -> DataFrame:
     """The count of a table's rows that hold, by a stream over a copy of it that stops where the files end."""
     folder, out, checkpoint = scratch(spark, "in"), scratch(spark, "out"), scratch(spark, "progress")
     static = spark.read.parquet(table)
-    static.repartition(4).write.parquet(folder)
+    static.repartition(4).write.mode("overwrite").parquet(folder)
     each_batch(spectra_stream(spark, folder, static.schema, 2), lambda b: b.where(where).agg(F.count("*").alias("n")), out, checkpoint).awaitTermination()
     return spark.read.parquet(out).agg(F.sum("n").alias("n"))
