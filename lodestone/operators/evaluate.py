@@ -17,11 +17,16 @@ def mrr(answers: DataFrame, predictions: DataFrame, k: int = 25) -> DataFrame:
     return reciprocal_ranks(answers, predictions, k).agg(F.avg("rr").alias("mrr"), F.count("*").alias("n"))
 
 
-def paired(scores: DataFrame, base: str, by: str = "config", on: str = "molecule_id", value: str = "rr") -> DataFrame:
-    """For each other config: mean difference to base, its 95 % interval, verdict, and better/worse/same counts."""
+def paired(scores: DataFrame, base: str, by: str = "config", on: str = "molecule_id", value: str = "rr", tie: float = 1e-9) -> DataFrame:
+    """For each other config: mean difference to base, its 95 % interval, verdict, and better/worse/same counts.
+
+    Differences of at most ``tie`` count as the same: the last bits of a mean depend on the order of its rows.
+    """
     ref = scores.where(F.col(by) == base).select(on, F.col(value).alias("__ref"))
     diff = scores.where(F.col(by) != base).join(ref, on).withColumn("d", F.col(value) - F.col("__ref"))
-    stats = diff.groupBy(by).agg(F.count("*").alias("n"), F.avg("d").alias("mean"), (1.96 * F.stddev_samp("d") / F.sqrt(F.count("*"))).alias("ci"), F.count_if(F.col("d") > 0).alias("better"), F.count_if(F.col("d") < 0).alias("worse"), F.count_if(F.col("d") == 0).alias("same"))
+    ci = 1.96 * F.stddev_samp("d") / F.sqrt(F.count("*"))
+    better, worse, same = F.count_if(F.col("d") > tie), F.count_if(F.col("d") < -tie), F.count_if(F.abs("d") <= tie)
+    stats = diff.groupBy(by).agg(F.count("*").alias("n"), F.avg("d").alias("mean"), ci.alias("ci"), better.alias("better"), worse.alias("worse"), same.alias("same"))
     return stats.withColumn("verdict", F.when(F.abs("mean") > F.col("ci"), F.when(F.col("mean") > 0, "better").otherwise("worse")).otherwise("not significant"))
 
 

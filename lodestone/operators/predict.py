@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions import bits as B
 from ..functions import peaks as P
 from ..functions import scores as S
-from .joins import widening_join
+from .joins import durable, widening_join
 from .library import frequent_by_mode, search
 from .ranking import first_per_key, max_pool, tier_fill, top_k
 
 
+def tied(score: Column) -> Column:
+    """Scores that agree to nine digits are ties, which the key breaks: last bits depend on the order of sums."""
+    return F.round(score, 9)
+
+
 def adduct_table(spark: SparkSession, cfg: EngineConfig = DEFAULT) -> DataFrame:
     return spark.createDataFrame(cfg.adducts(), "adduct string, n_mer int, charge int, shift double")
 
@@ -53,10 +58,10 @@ def propagated(window: DataFrame, anchors: DataFrame, cfg: EngineConfig = DEFAUL
 
 
 def canonical_top(pooled: DataFrame, canonical: DataFrame | None, cfg: EngineConfig = DEFAULT, k: int | None = None) -> DataFrame:
-    """(molecule_id, rank, ckey, smiles): the best keys, one for each canonical key (the raw one if it has none)."""
-    ranked = top_k(pooled, ["molecule_id"], [F.col("score").desc(), F.col("key")], cfg.fine_top)
+    """(molecule_id, rank, ckey, smiles): the best keys, one for each canonical key (the structure itself if it has none)."""
+    ranked = top_k(pooled, ["molecule_id"], [tied(F.col("score")).desc(), F.col("key")], cfg.fine_top)
     named = ranked.join(canonical, "smiles", "left") if canonical is not None else ranked.withColumn("ckey", F.lit(None).cast("string"))
-    return first_per_key(named.withColumn("ckey", F.coalesce("ckey", F.col("key").cast("string"))), ["molecule_id"], "ckey", "rank", k or cfg.guesses).select("molecule_id", "rank", "ckey", "smiles")
+    return first_per_key(named.withColumn("ckey", F.coalesce("ckey", F.col("smiles").cast("string"))), ["molecule_id"], "ckey", "rank", k or cfg.guesses).select("molecule_id", "rank", "ckey", "smiles")
 
 
 def with_fallback(found: DataFrame, molecules: DataFrame, library: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -89,7 +94,7 @@ def predict_v2(spectra: DataFrame, library: DataFrame, pool: DataFrame, canonica
     best = F.array_max(F.transform("anchors", lambda a: F.pow(a["sim"], cfg.exponent) * B.tanimoto(F.col("fp"), a["a_fp"], F.col("popcount"), a["a_pop"])))
     carried = queries.select("query_id", "molecule_id", "seq", "mass").join(each, "query_id")
     hits = widening_join(carried, pool.select("key", "smiles", "exact_mass", "fp", "popcount"), "query_id", "mass", "exact_mass", cfg.widths, best > 0).withColumn("score", best)
-    cut = top_k(hits, ["query_id"], [F.col("score").desc(), F.col("key")], cfg.fine_top)
+    cut = top_k(hits, ["query_id"], [tied(F.col("score")).desc(), F.col("key")], cfg.fine_top)
     return with_fallback(canonical_top(max_pool(cut, ["molecule_id", "key"], "score", "smiles", "seq"), canonical, cfg), molecules_of(spectra), library, cfg)
 
 
@@ -110,7 +115,7 @@ def scored_windows(spectra: DataFrame, library: DataFrame, anchor_pool: DataFram
     else:
         window = window.withColumn("lik", F.lit(0.0))
     score = S.fused(F.col("prop"), F.col("lik"), ["query_id"], alpha, cfg.model_floor)
-    return top_k(window.withColumn("score", score).where("score > 0"), ["query_id"], [F.col("score").desc(), F.col("key")], cfg.fine_top)
+    return top_k(window.withColumn("score", score).where("score > 0"), ["query_id"], [tied(F.col("score")).desc(), F.col("key")], cfg.fine_top)
 
 
 def mean_probs(spectra: DataFrame, probs: DataFrame) -> DataFrame:
@@ -140,15 +145,19 @@ def rank_large_pool(spectra: DataFrame, library: DataFrame, anchor_pool: DataFra
     slim = large.select("key", F.lit("").alias("smiles"), "exact_mass", "fp", "popcount")
     hits = scored_windows(spectra, library, anchor_pool, slim, probs, cfg.tier2_alpha, cfg)
     best = hits.groupBy("molecule_id", "key").agg(F.max("score").alias("score"))
-    ranked = top_k(best, ["molecule_id"], [F.col("score").desc(), F.col("key")], cfg.fine_top)
+    ranked = top_k(best, ["molecule_id"], [tied(F.col("score")).desc(), F.col("key")], cfg.fine_top)
     return ranked.join(large.select("key", "smiles"), "key").select("molecule_id", "rank", "key", "smiles")
 
 
 def predict_v4(spectra: DataFrame, library: DataFrame, pool: DataFrame, large: DataFrame, probs: DataFrame, canonical: DataFrame | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """The third generation's list, filled from the large pool where it has fewer than the guesses."""
+    """The third generation's list, filled from the large pool where it has fewer than the guesses.
+
+    Only molecules whose first tier leaves a place open are looked up in the large pool.
+    """
     hits = scored_windows(spectra, library, pool, pool, probs, cfg.alpha, cfg)
-    tier1 = canonical_top(max_pool(hits, ["molecule_id", "key"], "score", "smiles", "seq"), canonical, cfg)
-    tier2 = rank_large_pool(spectra, library, pool, large, probs, cfg)
+    tier1 = durable(canonical_top(max_pool(hits, ["molecule_id", "key"], "score", "smiles", "seq"), canonical, cfg))
+    full = tier1.where(F.col("rank") <= min(cfg.tier1_cap, cfg.guesses)).groupBy("molecule_id").count().where(F.col("count") >= cfg.guesses)
+    tier2 = rank_large_pool(spectra.join(full.select("molecule_id"), "molecule_id", "left_anti"), library, pool, large, probs, cfg)
     named = tier2.join(canonical, "smiles", "left") if canonical is not None else tier2.withColumn("ckey", F.lit(None).cast("string"))
     tier2 = named.select("molecule_id", "rank", F.coalesce("ckey", "smiles").alias("ckey"), "smiles")
     filled = tier_fill(tier1, tier2, "molecule_id", "ckey", "rank", cfg.guesses, cfg.tier1_cap)
@@ -165,4 +174,4 @@ def hard_decoys(window: DataFrame, truth: DataFrame, k: int, cfg: EngineConfig =
     marked = sized.join(truth.select("query_id", F.col("fp").alias("true_fp")), "query_id").withColumn("is_true", F.col("fp") == F.col("true_fp"))
     best = F.max(F.when(F.col("is_true"), F.col("score"))).over(w)
     ranked = marked.withColumn("true_rank", 1 + F.sum((F.col("score") > best).cast("long")).over(w))
-    return top_k(ranked.where("not is_true"), ["query_id"], [F.col("score").desc(), F.col("key")], k).select("query_id", "rank", "key", "score", "n", "true_rank")
+    return top_k(ranked.where("not is_true"), ["query_id"], [tied(F.col("score")).desc(), F.col("key")], k).select("query_id", "rank", "key", "score", "n", "true_rank")
