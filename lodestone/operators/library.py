@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions import peaks as P
+from ..functions.matching import modified_cosines
 from .ranking import keep_best, top_k
 
 REQUIRED = ("key", "smiles", "precursor_mz", "adduct", "mode", "mzs", "intensities")
@@ -59,14 +60,15 @@ def search(queries: DataFrame, library: DataFrame, cfg: EngineConfig = DEFAULT)
     screened = coarse(q, binned(library, "spec_id", cfg), cfg)
     # Weights are made once for each spectrum, not for each pair.
     own = q.select("query_id", F.col("precursor_mz").alias("q_mz"), P.reweighted(F.col("peaks")).alias("q_peaks"))
-    known = library.select("spec_id", "key", "smiles", "precursor_mz", P.reweighted(F.col("peaks")).alias("peaks"))
+    known = library.select("spec_id", "precursor_mz", P.reweighted(F.col("peaks")).alias("peaks"))
     met = screened.join(own, "query_id").join(known, "spec_id")
     near = F.abs(F.col("precursor_mz") - F.col("q_mz")) <= F.col("q_mz") * cfg.ppm / 1e6
-    exact = P.modified_cosine(F.col("q_peaks"), F.col("peaks"), F.col("q_mz") - F.col("precursor_mz"), cfg.match_tol, weighted=True)
-    sim = exact + F.when(near, cfg.ppm_bonus).otherwise(0.0)
-    # As rows of an array, so that the filter isn't pushed below and the similarity computed twice.
-    scored = met.select("query_id", "spec_id", "key", "smiles", F.explode(F.filter(F.array(sim), lambda s: s > 0)).alias("sim"))
-    return top_k(scored, ["query_id"], [F.col("sim").desc(), F.col("spec_id")], cfg.fine_top)
+    pairs = met.select("query_id", "spec_id", (F.col("q_mz") - F.col("precursor_mz")).alias("shift"), near.alias("near"), "q_peaks", "peaks")
+    exact = modified_cosines(pairs, ["query_id", "spec_id", "near"], "q_peaks", "peaks", "shift", cfg.match_tol)
+    scored = exact.withColumn("sim", F.col("sim") + F.when(F.col("near"), cfg.ppm_bonus).otherwise(0.0)).where("sim > 0")
+    # Similarities that agree to nine digits are ties; what is left joins its names.
+    best = top_k(scored.select("query_id", "spec_id", "sim"), ["query_id"], [F.round("sim", 9).desc(), F.col("spec_id")], cfg.fine_top)
+    return best.join(library.select("spec_id", "key", "smiles"), "spec_id").select("query_id", "spec_id", "key", "smiles", "sim", "rank")
 
 
 def frequent(library: DataFrame, mode: str | None, n: int) -> DataFrame:
