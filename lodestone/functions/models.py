@@ -13,9 +13,13 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT, EngineConfig
+from ..sources import checkpoints
+from .transformer import PeakTransformer
+
 
 class Canonicalizer(Protocol):
     def __call__(self, smiles: list[str]) -> list[str | None]: ...
@@ -58,7 +62,22 @@ class Ensemble:
 class Registry:
     """Makes a model from a checkpoint by what the checkpoint holds; a list of them makes an ensemble."""
 
-    makers: list[tuple[Callable[[dict], bool], Callable[[dict], Model]]] = field(default_factory=lambda: [(lambda c: "layers" in c, lambda c: Mlp(tuple((np.asarray(w), np.asarray(b)) for w, b in c["layers"])))])
+    makers: list[tuple[Callable[[dict], bool], Callable[[dict], Model]]] = field(
+        default_factory=lambda: [
+            (lambda c: "layers" in c, lambda c: Mlp(tuple((np.asarray(w), np.asarray(b)) for w, b in c["layers"]))),
+            (lambda c: "transformer" in c, lambda c: PeakTransformer(c["transformer"], c["heads"])),
+        ]
+    )
+
+    def load_file(self, spark: SparkSession, path: str | list[str]) -> Model:
+        """A model from a checkpoint table, or the ensemble of several, by the kind that it was saved under."""
+        if isinstance(path, list):
+            return Ensemble(tuple(self.load_file(spark, p) for p in path))
+        kind, arrays = checkpoints.load(spark, path)
+        if kind == "layers":
+            return self.load({"layers": [arrays[name] for name in sorted(arrays, key=int)]})
+        heads = arrays.pop("heads", None)
+        return self.load({kind: arrays, "heads": None if heads is None else int(heads[0])})
 
     def load(self, checkpoint: dict | list[dict]) -> Model:
         if isinstance(checkpoint, list):
@@ -70,18 +89,82 @@ class Registry:
 
 
 def predict(df: DataFrame, id_: str, features: str, model: Model, batch: int = 2048) -> DataFrame:
-    """(id, p): a model's output for each row of an array column, in Arrow batches."""
+    """(id, p): a model's output for each row of an array column, in Arrow batches; weights go to each executor once."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for at in range(0, rows.num_rows, batch):
                 part = rows.slice(at, batch)
                 x = np.array(part.column(1).to_pylist(), dtype=np.float64)
-                yield pa.record_batch([part.column(0), pa.array(list(model(x)), pa.list_(pa.float64()))], [id_, "p"])
+                yield pa.record_batch([part.column(0), pa.array(list(sent.value(x)), pa.list_(pa.float64()))], [id_, "p"])
 
     return df.select(id_, F.col(features).cast("array<double>").alias("x")).mapInArrow(run, f"`{id_}` {dict(df.dtypes)[id_]}, p array<double>")
 
 
+def predict_peaks(df: DataFrame, id_: str, tensor: str, precursor: str, mode: str, model: PeakTransformer, batch: int = 512, max_mz: float = 1500.0) -> DataFrame:
+    """(id, p) of a model over padded peaks: tensor is peaks.tensor's struct, mode peaks.mode_id's number."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for at in range(0, rows.num_rows, batch):
+                part = rows.slice(at, batch)
+                mz, own, mask = (np.array(part.column(k).to_pylist()) for k in (1, 2, 3))
+                ion, kind = part.column(4).to_numpy(zero_copy_only=False), part.column(5).to_numpy(zero_copy_only=False)
+                p = sent.value(mz, own, mask, ion, kind)
+                yield pa.record_batch([part.column(0), pa.array(list(p), pa.list_(pa.float64()))], [id_, "p"])
+
+    ion = F.least(F.col(precursor).cast("double"), F.lit(max_mz))
+    flat = df.select(id_, f"{tensor}.mz", f"{tensor}.intensity", f"{tensor}.mask", ion.alias("ion"), F.col(mode).cast("int").alias("kind"))
+    return flat.mapInArrow(run, f"`{id_}` {dict(df.dtypes)[id_]}, p array<double>")
+
+
+class StructureParser(Protocol):
+    """Canonical structure, key, mass, elements and fingerprint of each; None where it can't be parsed."""
+
+    def __call__(self, smiles: list[str]) -> list[tuple[str, str, float, list[str], bytes] | None]: ...
+
+
+def pool_rows(raw: DataFrame, parse: StructureParser, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """(id, key, smiles, exact_mass, fingerprint) of raw lines (id, smiles) that a pool takes.
+
+    Of several fragments the longest counts. Rows that don't parse, have an element that the configuration lacks
+    or a mass outside its range (both ends belong to it) are left out; none stops the others.
+    """
+    size = F.transform(F.split("smiles", r"\."), lambda s: F.struct(F.length(s).alias("n"), s.alias("s")))
+    longest = F.aggregate(size, F.struct(F.lit(-1).alias("n"), F.lit("").alias("s")), lambda a, x: F.when(x["n"] > a["n"], x).otherwise(a))["s"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            made = parse(rows.column(1).to_pylist())
+            keep = [i for i, m in enumerate(made) if m is not None]
+            columns = [pa.array([made[i][k] for i in keep], t) for k, t in ((1, pa.string()), (0, pa.string()), (2, pa.float64()), (3, pa.list_(pa.string())), (4, pa.binary()))]
+            yield pa.record_batch([rows.column(0).take(pa.array(keep, pa.int64())), *columns], ["id", "key", "smiles", "exact_mass", "elements", "fingerprint"])
+
+    parsed = raw.where("smiles is not null").select(F.col("id").cast("string").alias("id"), longest.alias("smiles")).mapInArrow(run, "id string, key string, smiles string, exact_mass double, elements array<string>, fingerprint binary")
+    known = F.size(F.array_except("elements", F.array(*map(F.lit, cfg.elements)))) == 0
+    return parsed.where(known & F.col("exact_mass").between(*cfg.pool_mass)).drop("elements")
+
+
+class Descriptors(Protocol):
+    """Named numbers and pattern matches of each structure; None where it can't be parsed."""
+
+    def __call__(self, smiles: list[str]) -> list[dict[str, float] | None]: ...
+
+
+def described(structures: DataFrame, describe: Descriptors, names: list[str]) -> DataFrame:
+    """(key, names ...) of the structures that parse; filters over them are plain column expressions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            made = describe(rows.column(1).to_pylist())
+            keep = [i for i, m in enumerate(made) if m is not None]
+            yield pa.record_batch([rows.column(0).take(pa.array(keep, pa.int64())), *(pa.array([float(made[i][n]) for i in keep], pa.float64()) for n in names)], ["key", *names])
+
+    return structures.select("key", "smiles").mapInArrow(run, ", ".join([f"key {dict(structures.dtypes)['key']}", *(f"`{n}` double" for n in names)]))
+
+
 def canonical_keys(smiles: DataFrame, canonicalize: Canonicalizer) -> DataFrame:
     """(smiles, ckey) of distinct strings: each is parsed once, then joined."""
 

@@ -52,14 +52,15 @@ def a6_max_pool(spark, d):
     return R.max_pool(e, ["user_id"], "score", "kind", "event_id")
 
 
-@query(f"WITH {C.POOL}, t AS (SELECT a.key AS key, pow((b.key % 10 + 1) / 10.0::DOUBLE, 2.5::DOUBLE) * (bit_count(a.w0 & b.w0) + bit_count(a.w1 & b.w1))::DOUBLE / (a.popcount + b.popcount - bit_count(a.w0 & b.w0) - bit_count(a.w1 & b.w1)) AS s FROM pooled a JOIN pooled b ON a.label = b.label WHERE b.key % 20 = 3) SELECT key, round(max(s), 6) AS prop FROM t GROUP BY key")
-def a7_max_over_anchors(spark, d, which="key % 20 = 3"):
+@query(f"WITH {C.POOL}, t AS (SELECT a.key AS key, pow((b.key % 10 + 1) / 10.0::DOUBLE, 2.5::DOUBLE) * (bit_count(a.w0 & b.w0) + bit_count(a.w1 & b.w1))::DOUBLE / (a.popcount + b.popcount - bit_count(a.w0 & b.w0) - bit_count(a.w1 & b.w1)) AS s FROM pooled a JOIN pooled b ON a.label = b.label) SELECT key, round(max(s), 6) AS prop FROM t GROUP BY key")
+def a7_max_over_anchors(spark, d):
+    """Pairs stream from the join into a partial maximum; no group is gathered."""
     from ..functions import bits as B
 
-    p = C.pool(spark, d)
-    anchors = p.where(which).groupBy("label").agg(F.collect_list(F.struct(((F.col("key") % 10 + 1) / 10.0).alias("sim"), "fp", "popcount")).alias("a"))
-    best = F.array_max(F.transform("a", lambda a: F.pow(a["sim"], 2.5) * B.tanimoto(F.col("fp"), a["fp"], F.col("popcount"), a["popcount"])))
-    return p.join(anchors, "label").select("key", F.round(best, 6).alias("prop"))
+    p = C.pool(spark, d).select("key", "label", "fp", "popcount")
+    anchors = p.select("label", ((F.col("key") % 10 + 1) / 10.0).alias("sim"), F.col("fp").alias("a_fp"), F.col("popcount").alias("a_pop"))
+    score = F.pow("sim", 2.5) * B.tanimoto(F.col("fp"), F.col("a_fp"), F.col("popcount"), F.col("a_pop"))
+    return p.join(anchors, "label").select("key", score.alias("s")).groupBy("key").agg(F.round(F.max("s"), 6).alias("prop"))
 
 
 @query("SELECT p_name AS key, count(*) AS n, arg_min(p_partkey, struct_pack(m := p_retailprice, k := p_partkey)) AS payload FROM part WHERE p_type = (SELECT min(p_type) FROM part) GROUP BY 1 ORDER BY n DESC, key LIMIT 25")
@@ -94,20 +95,20 @@ def a12_mean_vectors(spark, d):
     return e.groupBy("label", F.col("bit").cast("long").alias("bit")).agg(F.round(F.avg(S.sigmoid(F.col("x").cast("double"))), 6).alias("p"))
 
 
-_RANKS = "pred AS (SELECT user_id AS molecule_id, event_type AS ckey, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)) AS rank FROM events GROUP BY user_id, event_type), ans AS (SELECT c_custkey AS molecule_id, (['click', 'view', 'error', 'purchase', 'none'])[c_custkey % 5 + 1] AS ckey FROM customer WHERE c_custkey < 170)"
+_RANKS = "pred AS (SELECT user_id AS molecule_id, event_type AS ckey, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)) AS rank FROM events GROUP BY user_id, event_type), ans AS (SELECT c_custkey AS molecule_id, (['click', 'view', 'error', 'purchase', 'none'])[c_custkey % 5 + 1] AS ckey FROM customer)"
 
 
-def _ranked(spark, d, answers):
+def _ranked(spark, d):
     e = table(spark, d, "events").groupBy(F.col("user_id").alias("molecule_id"), F.col("event_type").alias("ckey")).agg(F.min("event_id").alias("m"))
     pred = R.top_k(e, ["molecule_id"], [F.col("m")], 25)
     names = F.array(*(F.lit(x) for x in ("click", "view", "error", "purchase", "none")))
-    ans = table(spark, d, "customer").where(answers).select(F.col("c_custkey").alias("molecule_id"), F.get(names, (F.col("c_custkey") % 5).cast("int")).alias("ckey"))
+    ans = table(spark, d, "customer").select(F.col("c_custkey").alias("molecule_id"), F.get(names, (F.col("c_custkey") % 5).cast("int")).alias("ckey"))
     return ans, pred
 
 
 @query(f"WITH {_RANKS}, rr AS (SELECT a.molecule_id, coalesce(1.0::DOUBLE / min(p.rank), 0) AS rr FROM ans a LEFT JOIN pred p ON a.molecule_id = p.molecule_id AND a.ckey = p.ckey AND p.rank <= 3 GROUP BY 1) SELECT round(avg(rr), 6) AS mrr, count(*) AS n FROM rr")
-def a13_mrr(spark, d, answers="c_custkey < 170"):
-    ans, pred = _ranked(spark, d, answers)
+def a13_mrr(spark, d):
+    ans, pred = _ranked(spark, d)
     return E.mrr(ans, pred, 3).select(F.round("mrr", 6).alias("mrr"), "n")
 
 
@@ -130,7 +131,7 @@ def a15_paired_interval(spark, d):
     return _paired(spark, d).select("config", "n", F.round("mean", 6).alias("mean"), F.round("ci", 6).alias("ci"), "verdict")
 
 
-@query(f"WITH {_PAIRED} SELECT config, count(*) FILTER (d > 0) AS better, count(*) FILTER (d < 0) AS worse, count(*) FILTER (d = 0) AS same FROM x GROUP BY config")
+@query(f"WITH {_PAIRED} SELECT config, count(*) FILTER (d > 1e-9) AS better, count(*) FILTER (d < -1e-9) AS worse, count(*) FILTER (abs(d) <= 1e-9) AS same FROM x GROUP BY config")
 def a16_better_worse(spark, d):
     return _paired(spark, d).select("config", "better", "worse", "same")
 

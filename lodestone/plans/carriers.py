@@ -40,14 +40,10 @@ _WORD = "list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i +
 POOL = f"pool AS (SELECT vec_id AS key, p_name AS name, p_retailprice AS mass, {_WORD.format(at=1)} AS w0, {_WORD.format(at=33)} AS w1, embedding, label FROM embeddings JOIN part ON vec_id = p_partkey), pooled AS (SELECT *, bit_count(w0)::INT + bit_count(w1)::INT AS popcount FROM pool)"
 
 
-def queries(spark: SparkSession, sf_dir: str, offset: float = 0.0004, which: str = "p_brand = 'Brand#7'") -> DataFrame:
-    """Masses to look for: parts of one brand, or others, each off by a little more; beyond the pool's for some."""
-    p = table(spark, sf_dir, "part").where(which)
+def queries(spark: SparkSession, sf_dir: str, offset: float = 0.0004) -> DataFrame:
+    """Masses to look for: of all parts, each off by a little more; beyond the pool's for some."""
+    p = table(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").alias("query_id"), (F.col("p_retailprice") + F.col("p_size") * offset + F.when(F.col("p_partkey") % 5 == 0, 101.0).otherwise(0.0)).alias("center"))
 
 
-QUERIES = "queries AS (SELECT p_partkey AS query_id, p_retailprice + p_size * 0.0004::DOUBLE + CASE WHEN p_partkey % 5 = 0 THEN 101.0::DOUBLE ELSE 0.0::DOUBLE END AS center FROM part WHERE p_brand = 'Brand#7')"
-
-
-def all_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries(spark, sf_dir, which="true")
+QUERIES = "queries AS (SELECT p_partkey AS query_id, p_retailprice + p_size * 0.0004::DOUBLE + CASE WHEN p_partkey % 5 = 0 THEN 101.0::DOUBLE ELSE 0.0::DOUBLE END AS center FROM part)"

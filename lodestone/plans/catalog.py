@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, relational, spectral, whole, workflows  # noqa: F401
+from . import aggregates, extended, relational, spectral, workflows  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

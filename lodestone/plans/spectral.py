@@ -89,10 +89,8 @@ def f7_popcount(spark, d):
     return C.pool(spark, d).select("key", B.popcount(F.col("fp")).alias("popcount"))
 
 
-#: The rows whose mean predicts bits.
-QUARTER = "vec_id % 4 = 0"
 _LOGIT = "ln(least(greatest(p, 1e-4::DOUBLE), 1 - 1e-4::DOUBLE)) - ln(1 - least(greatest(p, 1e-4::DOUBLE), 1 - 1e-4::DOUBLE))"
-_LIK = f"{C.POOL}, pr AS (SELECT label, i, avg(1 / (1 + exp(-8 * embedding[i + 1]::DOUBLE))) AS p FROM embeddings, range(0, 64) t(i) WHERE vec_id % 4 = 0 GROUP BY ALL), bits AS (SELECT key, label, i FROM pooled, range(0, 64) t(i) WHERE (CASE WHEN i < 32 THEN (w0 >> i::INT) & 1 ELSE (w1 >> (i - 32)::INT) & 1 END) = 1)"
+_LIK = f"{C.POOL}, pr AS (SELECT label, i, avg(1 / (1 + exp(-8 * embedding[i + 1]::DOUBLE))) AS p FROM embeddings, range(0, 64) t(i) GROUP BY ALL), bits AS (SELECT key, label, i FROM pooled, range(0, 64) t(i) WHERE (CASE WHEN i < 32 THEN (w0 >> i::INT) & 1 ELSE (w1 >> (i - 32)::INT) & 1 END) = 1)"
 
 
 def _bit_rows(spark, d, p):
@@ -102,29 +100,29 @@ def _bit_rows(spark, d, p):
     return pool.select("key", "label", F.explode(on).alias("i")).join(p, ["label", "i"])
 
 
-def _probs(spark, d, rows):
-    e = table(spark, d, "embeddings").where(rows).select("label", F.posexplode("embedding").alias("i", "x"))
+def _probs(spark, d):
+    e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
     return e.groupBy("label", "i").agg(F.avg(S.sigmoid(8 * F.col("x").cast("double"))).alias("p"))
 
 
 @query(f"WITH {_LIK} SELECT key, round(sum({_LOGIT}), 5) AS score FROM bits JOIN pr USING (label, i) GROUP BY key")
-def f8_loglik(spark, d, rows=QUARTER):
-    return _bit_rows(spark, d, _probs(spark, d, rows)).groupBy("key").agg(F.round(F.sum(S.logit(F.col("p"))), 5).alias("score"))
+def f8_loglik(spark, d):
+    return _bit_rows(spark, d, _probs(spark, d)).groupBy("key").agg(F.round(F.sum(S.logit(F.col("p"))), 5).alias("score"))
 
 
 @query(f"WITH {_LIK} SELECT key, round(sum(({_LOGIT}) * (1 + i / 100.0::DOUBLE) + 0.1::DOUBLE), 5) AS score FROM bits JOIN pr USING (label, i) GROUP BY key")
-def f9_logit_weights(spark, d, rows=QUARTER):
+def f9_logit_weights(spark, d):
     """Weight and bias by bit come as columns; nothing global is changed."""
     lik = S.logit(F.col("p"), 1e-4, 1 + F.col("i") / 100.0, 0.1)
-    return _bit_rows(spark, d, _probs(spark, d, rows)).groupBy("key").agg(F.round(F.sum(lik), 5).alias("score"))
+    return _bit_rows(spark, d, _probs(spark, d)).groupBy("key").agg(F.round(F.sum(lik), 5).alias("score"))
 
 
 _BLOCKS = f"WITH {_LIK}, f AS (SELECT p.key, p.label, coalesce(sum({_LOGIT}) FILTER (i < 32), 0) AS a, coalesce(sum({_LOGIT}) FILTER (i >= 32 AND i < 48), 0) AS b, coalesce(sum({_LOGIT}) FILTER (i >= 48), 0) AS c FROM pooled p LEFT JOIN bits USING (key, label) LEFT JOIN pr USING (label, i) GROUP BY ALL)"
 _Z = lambda c: f"CASE WHEN stddev_pop({c}) OVER w > 0 THEN ({c} - avg({c}) OVER w) / stddev_pop({c}) OVER w ELSE 0 END"
 
 
-def _families(spark, d, rows):
-    bits = _bit_rows(spark, d, _probs(spark, d, rows)).withColumn("l", S.logit(F.col("p")))
+def _families(spark, d):
+    bits = _bit_rows(spark, d, _probs(spark, d)).withColumn("l", S.logit(F.col("p")))
     part = lambda lo, hi: F.coalesce(F.sum(F.when((F.col("i") >= lo) & (F.col("i") < hi), F.col("l"))), F.lit(0.0))
     sums = bits.groupBy("key").agg(part(0, 32).alias("a"), part(32, 48).alias("b"), part(48, 64).alias("c"))
     zero = {"a": 0.0, "b": 0.0, "c": 0.0}
@@ -132,13 +130,13 @@ def _families(spark, d, rows):
 
 
 @query(f"{_BLOCKS} SELECT key, round({_Z('a')} + 0.3::DOUBLE * ({_Z('(b + c)')}), 5) AS score FROM f WINDOW w AS (PARTITION BY label)")
-def f10_pooled_blocks(spark, d, rows=QUARTER):
-    return _families(spark, d, rows).select("key", F.round(S.pooled_blocks(F.col("a"), F.col("b") + F.col("c"), ["label"], 0.3), 5).alias("score"))
+def f10_pooled_blocks(spark, d):
+    return _families(spark, d).select("key", F.round(S.pooled_blocks(F.col("a"), F.col("b") + F.col("c"), ["label"], 0.3), 5).alias("score"))
 
 
 @query(f"{_BLOCKS} SELECT key, round({_Z('a')} + 0.1::DOUBLE * ({_Z('b')}) + 0.1::DOUBLE * ({_Z('c')}), 5) AS score FROM f WINDOW w AS (PARTITION BY label)")
-def f11_family_blocks(spark, d, rows=QUARTER):
-    return _families(spark, d, rows).select("key", F.round(S.family_blocks(F.col("a"), [F.col("b"), F.col("c")], ["label"], 0.2), 5).alias("score"))
+def f11_family_blocks(spark, d):
+    return _families(spark, d).select("key", F.round(S.family_blocks(F.col("a"), [F.col("b"), F.col("c")], ["label"], 0.2), 5).alias("score"))
 
 
 _MM = lambda c, k: f"CASE WHEN max({c}) OVER w > min({c}) OVER w THEN ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) ELSE {k} END"
@@ -231,11 +229,11 @@ def b2_strings(spark, d):
     return table(spark, d, "pages").select("page_id", F.coalesce(F.get(F.split(u, "/"), F.lit(2)), F.lit("")).alias("host"), F.lower(F.trim(u)).alias("clean"), F.contains(u, F.lit("http")).alias("has"), F.array_join(F.split(u, "/"), ";").alias("joined"), F.regexp_replace(u, "^([^0-9]*)[0-9]+", "$1#").alias("masked"), F.regexp_extract(u, "([0-9]+)", 1).alias("digits"))
 
 
-@query(f"WITH {C.SPECTRA} SELECT molecule_id, len(list_concat(peaks, peaks))::BIGINT AS twice, len(list_distinct(list_transform(peaks, lambda p: p.intensity)))::BIGINT AS different, round(list_max(list_transform(peaks, lambda p: p.mz)), 4) AS top, list_contains(list_transform(peaks, lambda p: p.intensity), 0.5::DOUBLE) AS has FROM spectra WHERE adduct = 'click'")
+@query(f"WITH {C.SPECTRA} SELECT molecule_id, adduct, len(list_concat(peaks, peaks))::BIGINT AS twice, len(list_distinct(list_transform(peaks, lambda p: p.intensity)))::BIGINT AS different, round(list_max(list_transform(peaks, lambda p: p.mz)), 4) AS top, list_contains(list_transform(peaks, lambda p: p.intensity), 0.5::DOUBLE) AS has FROM spectra")
 def b3_arrays(spark, d):
-    s = C.spectra(spark, d).where("adduct = 'click'")
+    s = C.spectra(spark, d)
     own = P.field(F.col("peaks"), "intensity")
-    return s.select("molecule_id", F.size(F.concat("peaks", "peaks")).cast("long").alias("twice"), F.size(F.array_distinct(own)).cast("long").alias("different"), F.round(F.array_max(P.field(F.col("peaks"), "mz")), 4).alias("top"), F.array_contains(own, F.lit(0.5)).alias("has"))
+    return s.select("molecule_id", "adduct", F.size(F.concat("peaks", "peaks")).cast("long").alias("twice"), F.size(F.array_distinct(own)).cast("long").alias("different"), F.round(F.array_max(P.field(F.col("peaks"), "mz")), 4).alias("top"), F.array_contains(own, F.lit(0.5)).alias("has"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::INT::BIGINT AS k FROM events WHERE json_extract_string(props, '$.k')::INT < 10")

@@ -24,11 +24,11 @@ from .spectral import KINDS
     f"WITH {C.QUERIES}, {C.POOL}, anchor AS (SELECT w0 AS a0, w1 AS a1, popcount AS ap FROM pooled WHERE key = 0), c AS (SELECT query_id, key, bit_count(w0 & a0) + bit_count(w1 & a1) AS i, popcount + ap AS s FROM queries JOIN pooled ON mass >= center - 3.0::DOUBLE AND mass <= center + 3.0::DOUBLE, anchor), r AS (SELECT query_id, key, CASE WHEN s > i THEN i::DOUBLE / (s - i) ELSE 0 END AS t FROM c) "
     "SELECT query_id, key, round(t, 6) AS tanimoto, row_number() OVER (PARTITION BY query_id ORDER BY t DESC, key) AS rank FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY t DESC, key) <= 25"
 )
-def q_band_top25(spark, d, queries=C.queries):
+def q_band_top25(spark, d):
     """The flagship: candidates in a mass band, by similarity to an anchor, 25 for each query."""
     pool = C.pool(spark, d)
     anchor = F.broadcast(pool.where("key = 0").select(F.col("fp").alias("a_fp"), F.col("popcount").alias("a_pop")))  # one row
-    met = J.band_join(queries(spark, d), pool.select("key", "mass", "fp", "popcount"), "center", "mass", 3.0).crossJoin(anchor)
+    met = J.band_join(C.queries(spark, d), pool.select("key", "mass", "fp", "popcount"), "center", "mass", 3.0).crossJoin(anchor)
     scored = met.select("query_id", "key", B.tanimoto(F.col("fp"), F.col("a_fp"), F.col("popcount"), F.col("a_pop")).alias("t"))
     return R.top_k(scored, ["query_id"], [F.col("t").desc(), F.col("key")], 25).select("query_id", "key", F.round("t", 6).alias("tanimoto"), F.col("rank").cast("long").alias("rank"))
 
@@ -95,16 +95,94 @@ def q1_build_library(spark, d):
     return _library(spark, d).select("key", "adduct", "spec_id", F.size("peaks").cast("long").alias("n"))
 
 
-@query()
+#: Spectra as the searches see them: rows(spec_id, molecule_id, key, adduct, mode, mz, base, peaks), base being the neutral mass.
+_ADDUCTS = ", ".join(f"('{a}', {n}, {z}, {s!r}::DOUBLE)" for a, n, z, s in WIDE.adducts())
+_ROWS = f"""{C.SPECTRA}, adducts(adduct, n_mer, charge, shift) AS (VALUES {_ADDUCTS}),
+rows AS (
+    SELECT seq AS spec_id, molecule_id, 'K' || (molecule_id % 60)::VARCHAR AS key, a.adduct AS adduct,
+           CASE WHEN a.adduct LIKE '%-' THEN 'negative' ELSE 'positive' END AS mode,
+           ((900 + (molecule_id % 100) * 0.1::DOUBLE) * n_mer + shift) / charge AS mz, peaks
+    FROM spectra s JOIN adducts a ON a.adduct = (['{"', '".join(KINDS)}'])[length(s.adduct) % 5 + 1]
+)"""
+#: The library and what is asked of it: each spectrum's strongest peaks, weighted by entropy.
+_SEARCH = """
+lib AS (
+    SELECT * FROM rows WHERE molecule_id % 3 <> 0
+    QUALIFY row_number() OVER (PARTITION BY key, adduct ORDER BY len(peaks) DESC, spec_id) = 1
+),
+asked AS ({asked}),
+every AS (SELECT 'l' AS side, spec_id, mode, mz, peaks FROM lib UNION ALL SELECT 'q', spec_id, mode, mz, peaks FROM asked),
+cut AS (
+    SELECT side, spec_id, p.mz AS m, p.intensity AS x FROM every, unnest(peaks) t(p)
+    QUALIFY row_number() OVER (PARTITION BY side, spec_id ORDER BY p.intensity DESC, p.mz) <= 40
+),
+tots AS (SELECT side, spec_id, sum(x) AS t FROM cut GROUP BY ALL),
+ents AS (SELECT side, spec_id, -sum(x / t * ln(x / t)) AS s FROM cut JOIN tots USING (side, spec_id) GROUP BY ALL),
+w AS (
+    SELECT side, spec_id, m, row_number() OVER (PARTITION BY side, spec_id ORDER BY m, x) AS i,
+           CASE WHEN s >= 3 THEN x ELSE pow(x, 0.25::DOUBLE + 0.25::DOUBLE * s) END AS w
+    FROM cut JOIN ents USING (side, spec_id)
+),
+norms AS (SELECT side, spec_id, sqrt(sum(w * w)) AS n FROM w GROUP BY ALL),
+bins AS (SELECT side, spec_id, least(greatest(trunc(m / 4.0::DOUBLE)::INT, 0), 125) AS bin, sum(w) AS w FROM w GROUP BY ALL),
+coarse AS (
+    SELECT q.spec_id AS query_id, l.spec_id AS spec_id
+    FROM bins q JOIN bins l ON q.bin = l.bin AND q.side = 'q' AND l.side = 'l'
+    JOIN every a ON a.side = 'q' AND a.spec_id = q.spec_id JOIN every b ON b.side = 'l' AND b.spec_id = l.spec_id AND a.mode = b.mode
+    GROUP BY ALL HAVING sum(q.w * l.w) > 0
+),
+shifts AS (
+    SELECT query_id, c.spec_id AS spec_id, a.mz - b.mz AS shift, abs(b.mz - a.mz) <= a.mz * 30.0::DOUBLE / 1e6 AS near
+    FROM coarse c JOIN every a ON a.side = 'q' AND a.spec_id = c.query_id JOIN every b ON b.side = 'l' AND b.spec_id = c.spec_id
+),
+pr AS (
+    SELECT query_id, s.spec_id AS spec_id, a.i AS i, b.i AS j, a.w * b.w AS p
+    FROM shifts s JOIN w a ON a.side = 'q' AND a.spec_id = query_id JOIN w b ON b.side = 'l' AND b.spec_id = s.spec_id
+    WHERE (b.m >= a.m - 2.0::DOUBLE AND b.m <= a.m + 2.0::DOUBLE)
+       OR (abs(shift) > 2.0::DOUBLE AND b.m + shift >= a.m - 2.0::DOUBLE AND b.m + shift <= a.m + 2.0::DOUBLE)
+),
+ls AS (SELECT query_id, spec_id, list(struct_pack(ua := [i], ub := [j], s := p) ORDER BY p DESC, i, j) AS ps FROM pr GROUP BY ALL),
+sims AS (
+    SELECT s.query_id AS query_id, s.spec_id AS spec_id, key, CASE WHEN near THEN 0.05::DOUBLE ELSE 0 END + coalesce(
+        list_reduce(ps, lambda x, p: CASE WHEN list_has_any(x.ua, p.ua) OR list_has_any(x.ub, p.ub) THEN x
+                    ELSE struct_pack(ua := list_concat(x.ua, p.ua), ub := list_concat(x.ub, p.ub), s := x.s + p.s) END).s, 0) / (a.n * b.n) AS sim
+    FROM shifts s JOIN norms a ON a.side = 'q' AND a.spec_id = s.query_id JOIN norms b ON b.side = 'l' AND b.spec_id = s.spec_id
+    JOIN lib ON lib.spec_id = s.spec_id LEFT JOIN ls ON ls.query_id = s.query_id AND ls.spec_id = s.spec_id
+),
+anchors AS (
+    SELECT query_id, spec_id, key, sim, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, spec_id) AS rank
+    FROM sims WHERE sim > 0 QUALIFY rank <= 50
+)"""
+_TESTS = "SELECT spec_id, molecule_id, mode, mz, peaks FROM rows WHERE molecule_id % 3 = 0"
+#: The frequent keys of each mode, and of all under a null one; and the mode of a molecule's first spectrum.
+_COMMON = """
+counted AS (
+    SELECT mode, key, count(*) AS n FROM lib GROUP BY ALL UNION ALL SELECT NULL, key, count(*) FROM lib GROUP BY key
+),
+common AS (SELECT mode, key, row_number() OVER (PARTITION BY mode ORDER BY n DESC, key) AS rank FROM counted QUALIFY rank <= 25),
+molecules AS (SELECT molecule_id, arg_min(mode, spec_id) AS mode FROM rows WHERE molecule_id % 3 = 0 GROUP BY 1)"""
+
+
+@query(f"WITH {_ROWS}, {_SEARCH.format(asked=_TESTS)} SELECT query_id, spec_id, key, round(sim, 6) AS sim, rank FROM anchors")
 def q2_search(spark, d):
-    """Coarse screen, exact rescoring, ppm bonus; held against numpy in the tests."""
+    """Coarse screen, exact rescoring, ppm bonus; also held against numpy in the tests."""
     t = _test_spectra(spark, d).select(F.col("seq").alias("query_id"), F.lower(F.trim("mode")).alias("mode"), "precursor_mz", P.make_peaks(F.col("mzs"), F.col("intensities")).alias("peaks"))
-    return L.search(t, _library(spark, d), WIDE).select("query_id", "spec_id", "key", F.round("sim", 6).alias("sim"), "rank")
+    return L.search(t, _library(spark, d), WIDE).select("query_id", "spec_id", "key", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(
+    f"""WITH {_ROWS}, {_SEARCH.format(asked=_TESTS)}, {_COMMON},
+pooled AS (SELECT molecule_id, key, max(sim) AS score FROM anchors JOIN asked ON asked.spec_id = query_id GROUP BY ALL),
+found AS (
+    SELECT molecule_id, key, row_number() OVER (PARTITION BY molecule_id ORDER BY round(score, 9) DESC, key) AS rank FROM pooled QUALIFY rank <= 25
+)
+SELECT molecule_id, rank, 'S' || key AS smiles FROM found
+UNION ALL
+SELECT m.molecule_id, c.rank, 'S' || c.key FROM molecules m JOIN common c ON c.mode = m.mode
+WHERE m.molecule_id NOT IN (SELECT molecule_id FROM found)"""
+)
 def q3_predict_v1(spark, d):
-    return V.predict_v1(_test_spectra(spark, d), _library(spark, d), None, WIDE)
+    return V.predict_v1(_test_spectra(spark, d), _library(spark, d), None, WIDE).select("molecule_id", F.col("rank").cast("long").alias("rank"), "smiles")
 
 
 @query(f"WITH {C.POOL}, u AS (SELECT 'K' || key::VARCHAR AS key, 1 AS pr, mass FROM pooled WHERE key % 2 = 0 UNION ALL SELECT 'K' || key::VARCHAR, 2, mass + 1000 FROM pooled WHERE key % 3 = 0) SELECT key, mass FROM u QUALIFY row_number() OVER (PARTITION BY key ORDER BY pr) = 1")
@@ -115,25 +193,138 @@ def q4_build_pool(spark, d):
     return R.keep_best(both, ["key"], [F.col("pr")]).select("key", "mass")
 
 
-@query(f"WITH {C.QUERIES}, {C.POOL}, w AS (SELECT query_id, key, w0, w1, popcount FROM queries JOIN pooled ON mass >= center - 3.0::DOUBLE AND mass <= center + 3.0::DOUBLE), s AS (SELECT query_id, w.key AS key, pow((a.key % 10 + 1) / 10.0::DOUBLE, 2.5::DOUBLE) * (bit_count(w.w0 & a.w0) + bit_count(w.w1 & a.w1))::DOUBLE / (w.popcount + a.popcount - bit_count(w.w0 & a.w0) - bit_count(w.w1 & a.w1)) AS s FROM w JOIN pooled a ON a.key % 50 = query_id % 50), b AS (SELECT query_id, key, max(s) AS prop FROM s GROUP BY ALL) SELECT query_id, key, round(prop, 6) AS prop FROM b WHERE prop > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY prop DESC, key) <= 50")
-def q5_propagate(spark, d, queries=C.queries):
+@query(f"WITH {C.QUERIES}, {C.POOL}, w AS (SELECT query_id, key, w0, w1, popcount FROM queries JOIN pooled ON mass >= center - 3.0::DOUBLE AND mass <= center + 3.0::DOUBLE), s AS (SELECT query_id, w.key AS key, pow((a.key % 10 + 1) / 10.0::DOUBLE, 2.5::DOUBLE) * (bit_count(w.w0 & a.w0) + bit_count(w.w1 & a.w1))::DOUBLE / (w.popcount + a.popcount - bit_count(w.w0 & a.w0) - bit_count(w.w1 & a.w1)) AS s FROM w JOIN pooled a ON a.key % 50 = query_id % 50), b AS (SELECT query_id, key, max(s) AS prop FROM s GROUP BY ALL) SELECT query_id, key, round(prop, 6) AS prop FROM b WHERE prop > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(prop, 9) DESC, key) <= 50")
+def q5_propagate(spark, d):
     pool = C.pool(spark, d).select("key", "mass", "fp", "popcount")
-    q = queries(spark, d)
+    q = C.queries(spark, d)
     window = J.band_join(q, pool, "center", "mass", 3.0)
     near = pool.select((F.col("key") % 50).alias("g"), ((F.col("key") % 10 + 1) / 10.0).alias("sim"), F.col("fp").alias("a_fp"), F.col("popcount").alias("a_pop"))
     anchors = q.select("query_id", (F.col("query_id") % 50).alias("g")).join(near, "g").select("query_id", "sim", "a_fp", "a_pop")
     scored = V.propagated(window, anchors).where("prop > 0")
-    return R.top_k(scored, ["query_id"], [F.col("prop").desc(), F.col("key")], 50).select("query_id", "key", F.round("prop", 6).alias("prop"))
+    return R.top_k(scored, ["query_id"], [F.round("prop", 9).desc(), F.col("key")], 50).select("query_id", "key", F.round("prop", 6).alias("prop"))
+
+
+#: Spectra of a molecule and adduct as one, clusters being anchored at their first peak.
+_CONSENSUS = """
+grp AS (
+    SELECT molecule_id, adduct, min(spec_id) AS spec_id, count(*) AS n, arg_min(mode, spec_id) AS mode, arg_min(mz, spec_id) AS mz,
+           flatten(list(peaks)) AS every_peak
+    FROM rows WHERE molecule_id % 3 = 0 GROUP BY ALL
+),
+ord AS (
+    SELECT spec_id AS q, p.mz AS m, p.intensity AS x, row_number() OVER (PARTITION BY spec_id ORDER BY p.mz, p.intensity) AS i
+    FROM grp, unnest(every_peak) t(p) WHERE n > 1
+),
+clu AS (
+    SELECT q, i, m, x, m AS anchor, 1 AS c FROM ord WHERE i = 1
+    UNION ALL
+    SELECT o.q, o.i, o.m, o.x, CASE WHEN o.m - u.anchor <= 2.0::DOUBLE THEN u.anchor ELSE o.m END,
+           CASE WHEN o.m - u.anchor <= 2.0::DOUBLE THEN u.c ELSE u.c + 1 END
+    FROM clu u JOIN ord o ON o.q = u.q AND o.i = u.i + 1
+),
+cons AS (SELECT q, c, CASE WHEN sum(x) > 0 THEN sum(m * x) / sum(x) ELSE avg(m) END AS m, sum(x) AS x FROM clu GROUP BY q, c),
+merged AS (
+    SELECT q, list(struct_pack(mz := m, intensity := x / top) ORDER BY m, x) AS peaks
+    FROM (SELECT *, max(x) OVER (PARTITION BY q) AS top FROM cons) GROUP BY q
+)"""
+_GROUPS = "SELECT spec_id, molecule_id, adduct, mode, mz, CASE WHEN n > 1 THEN merged.peaks ELSE list_sort(every_peak) END AS peaks FROM grp LEFT JOIN merged ON q = spec_id"
+_FOUND = f"WITH RECURSIVE {_ROWS}, {_CONSENSUS}, {_SEARCH.format(asked=_GROUPS)}, {_COMMON}, {C.POOL}"
+#: Candidates of each query in {pool} within 1, with the least of the widths that holds them, and what anchors lend them.
+_WINDOW = """
+named AS (SELECT 'K' || key::VARCHAR AS key, 'SK' || key::VARCHAR AS smiles, mass, w0, w1, popcount FROM pooled),
+large AS (
+    SELECT 'L' || key AS key, 'L' || smiles AS smiles, mass, w0, w1, popcount FROM named
+    UNION ALL SELECT key, smiles, mass, w0, w1, popcount FROM named WHERE popcount > 34
+),
+masses AS (SELECT spec_id AS query_id, molecule_id, asked.adduct AS adduct, (mz * charge - shift) / n_mer AS mass FROM asked JOIN adducts USING (adduct)),
+bits AS (
+    SELECT query_id, avg(1 / (1 + exp(-(8 * embedding[i + 1]::DOUBLE)))) AS p, i
+    FROM masses m JOIN rows r ON r.molecule_id = m.molecule_id AND r.adduct = m.adduct
+    JOIN embeddings e ON e.vec_id = r.spec_id % 200, range(0, 64) t(i) GROUP BY ALL
+),
+logits AS (
+    SELECT query_id, i, ln(p) - ln(1 - p) AS l
+    FROM (SELECT query_id, i, least(greatest(p, 1e-4::DOUBLE), 1 - 1e-4::DOUBLE) AS p FROM bits)
+),
+anch AS (SELECT query_id, sim, w0 AS a0, w1 AS a1, popcount AS ap FROM anchors JOIN named USING (key))"""
+
+
+def _cand(name: str, pool: str) -> str:
+    within = lambda w: f"p.mass >= m.mass - {w}::DOUBLE AND p.mass <= m.mass + {w}::DOUBLE"
+    both = "bit_count(w0 & a0) + bit_count(w1 & a1)"
+    return f"""
+{name}_c AS (
+    SELECT query_id, molecule_id, p.key AS key, p.smiles AS smiles, w0, w1, popcount,
+           CASE WHEN {within(0.001)} THEN 1 WHEN {within(0.01)} THEN 2 WHEN {within(0.1)} THEN 3 ELSE 4 END AS level
+    FROM masses m JOIN {pool} p ON {within(1.0)}
+),
+{name}_p AS (
+    SELECT query_id, key, max(pow(sim, 2.5::DOUBLE) * CASE WHEN popcount + ap - ({both}) > 0
+           THEN ({both})::DOUBLE / (popcount + ap - ({both})) ELSE 0 END) AS prop
+    FROM {name}_c JOIN anch USING (query_id) GROUP BY ALL
+)"""
+
+
+def _fused(name: str, alpha: float) -> str:
+    """Scores of the narrowest window that holds anything, fused: {name}_top, the best 50 of each query."""
+    scaled = lambda c, constant: f"CASE WHEN max({c}) OVER q > min({c}) OVER q THEN ({c} - min({c}) OVER q) / (max({c}) OVER q - min({c}) OVER q) ELSE {constant} END"
+    prop = f"{alpha}::DOUBLE * coalesce({scaled('prop', 'CASE WHEN max(prop) OVER q > 0 THEN 1.0::DOUBLE ELSE 0 END')}, 0) + " if alpha else ""
+    return f"""
+{name}_w AS (SELECT * FROM {name}_c QUALIFY level = min(level) OVER (PARTITION BY query_id)),
+{name}_l AS (
+    SELECT query_id, key, sum(l * CASE WHEN i < 32 THEN (w0 >> i::INT) & 1 ELSE (w1 >> (i - 32)::INT) & 1 END) AS lik
+    FROM {name}_w JOIN logits USING (query_id) GROUP BY ALL
+),
+{name}_s AS (
+    SELECT c.query_id AS query_id, molecule_id, c.key AS key, smiles, prop, coalesce(lik, 0) AS lik
+    FROM {name}_w c LEFT JOIN {name}_p p ON p.query_id = c.query_id AND p.key = c.key LEFT JOIN {name}_l l ON l.query_id = c.query_id AND l.key = c.key
+),
+{name}_f AS (
+    SELECT query_id, molecule_id, key, smiles, {prop}{1 - alpha}::DOUBLE * (0.05::DOUBLE + 0.95::DOUBLE * ({scaled('lik', '1.0::DOUBLE')})) AS score
+    FROM {name}_s WINDOW q AS (PARTITION BY query_id)
+),
+{name}_top AS (SELECT * FROM {name}_f WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, key) <= 50)"""
+
+
+def _listed(name: str) -> str:
+    """{name}_list: the best of each canonical key, for structures K2n and K2n + 1 are one."""
+    return f"""
+{name}_b AS (SELECT molecule_id, key, any_value(smiles) AS smiles, max(score) AS score FROM {name}_top GROUP BY ALL),
+{name}_r AS (SELECT *, row_number() OVER (PARTITION BY molecule_id ORDER BY round(score, 9) DESC, key) AS r FROM {name}_b QUALIFY r <= 50),
+{name}_k AS (
+    SELECT molecule_id, 'C' || (substr(key, 2)::INT // 2)::VARCHAR AS ckey, smiles, r FROM {name}_r
+    QUALIFY row_number() OVER (PARTITION BY molecule_id, ckey ORDER BY r) = 1
+),
+{name}_list AS (SELECT molecule_id, ckey, smiles, row_number() OVER (PARTITION BY molecule_id ORDER BY r) AS rank FROM {name}_k QUALIFY rank <= 25)"""
+
+
+def _or_common(name: str) -> str:
+    return f"""
+SELECT molecule_id, rank, ckey, smiles FROM {name}
+UNION ALL
+SELECT m.molecule_id, c.rank, c.key, 'S' || c.key FROM molecules m JOIN common c ON c.mode = m.mode WHERE m.molecule_id NOT IN (SELECT molecule_id FROM {name})"""
+
+
+def _ranked_out(df, *columns):
+    return df.select("molecule_id", F.col("rank").cast("long").alias("rank"), *columns)
 
 
-@query()
+@query(
+    f"""{_FOUND}, {_WINDOW}, {_cand('t', 'named')},
+t_a AS (
+    SELECT query_id, molecule_id, c.key AS key, smiles, level, prop AS score FROM t_c c JOIN t_p p USING (query_id, key) WHERE prop > 0
+    QUALIFY level = min(level) OVER (PARTITION BY query_id)
+),
+t_top AS (SELECT * FROM t_a QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, key) <= 50), {_listed('t')}
+{_or_common('t_list')}"""
+)
 def q6_predict_v2(spark, d):
-    return V.predict_v2(_test_spectra(spark, d), _library(spark, d), _pool(spark, d), _canonical(spark, d), WIDE)
+    return _ranked_out(V.predict_v2(_test_spectra(spark, d), _library(spark, d), _pool(spark, d), _canonical(spark, d), WIDE), "ckey", "smiles")
 
 
-@query()
+@query(f"{_FOUND}, {_WINDOW}, {_cand('t', 'named')}, {_fused('t', 0.3)}, {_listed('t')} {_or_common('t_list')}")
 def q7_predict_v3(spark, d):
-    return V.predict_v3(_test_spectra(spark, d), _library(spark, d), _pool(spark, d), _probs(spark, d), _canonical(spark, d), WIDE)
+    return _ranked_out(V.predict_v3(_test_spectra(spark, d), _library(spark, d), _pool(spark, d), _probs(spark, d), _canonical(spark, d), WIDE), "ckey", "smiles")
 
 
 def _large(spark, d):
@@ -141,14 +332,29 @@ def _large(spark, d):
     return p.select(F.concat(F.lit("L"), "key").alias("key"), F.concat(F.lit("L"), "smiles").alias("smiles"), "exact_mass", "fp", "popcount").unionByName(p.select("key", "smiles", "exact_mass", "fp", "popcount").where("popcount > 34"))
 
 
-@query()
+_LARGE = f"""{_cand('u', 'large')}, {_fused('u', 0.0)},
+u_b AS (SELECT molecule_id, key, any_value(smiles) AS smiles, max(score) AS score FROM u_top GROUP BY ALL),
+u_list AS (SELECT molecule_id, key, smiles, row_number() OVER (PARTITION BY molecule_id ORDER BY round(score, 9) DESC, key) AS rank FROM u_b QUALIFY rank <= 50)"""
+
+
+@query(f"{_FOUND}, {_WINDOW}, {_LARGE} SELECT molecule_id, rank, key, smiles FROM u_list")
 def q8_rank_large_pool(spark, d):
-    return V.rank_large_pool(_test_spectra(spark, d), _library(spark, d), _pool(spark, d), _large(spark, d), _probs(spark, d), WIDE)
+    return _ranked_out(V.rank_large_pool(_test_spectra(spark, d), _library(spark, d), _pool(spark, d), _large(spark, d), _probs(spark, d), WIDE), "key", "smiles")
 
 
-@query()
+@query(
+    f"""{_FOUND}, {_WINDOW}, {_cand('t', 'named')}, {_fused('t', 0.3)}, {_listed('t')}, {_LARGE},
+joined AS (
+    SELECT molecule_id, ckey, smiles, 1 AS tier, rank FROM t_list UNION ALL
+    SELECT molecule_id, CASE WHEN smiles LIKE 'SK%' THEN 'C' || (substr(key, 2)::INT // 2)::VARCHAR ELSE smiles END, smiles, 2, rank FROM u_list
+),
+kept AS (SELECT * FROM joined QUALIFY row_number() OVER (PARTITION BY molecule_id, ckey ORDER BY tier, rank) = 1),
+filled AS (SELECT molecule_id, ckey, smiles, row_number() OVER (PARTITION BY molecule_id ORDER BY tier, rank) AS r FROM kept QUALIFY r <= 25),
+f_list AS (SELECT molecule_id, ckey, smiles, r AS rank FROM filled)
+{_or_common('f_list')}"""
+)
 def q9_predict_v4(spark, d):
-    return V.predict_v4(_test_spectra(spark, d), _library(spark, d), _pool(spark, d), _large(spark, d), _probs(spark, d), _canonical(spark, d), WIDE)
+    return _ranked_out(V.predict_v4(_test_spectra(spark, d), _library(spark, d), _pool(spark, d), _large(spark, d), _probs(spark, d), _canonical(spark, d), WIDE), "ckey", "smiles")
 
 
 @query("WITH t AS (SELECT split_part(p_name, ' ', 1) AS key, p_retailprice AS mass, p_partkey AS id FROM part WHERE p_size % 7 NOT IN (0, 1) AND p_retailprice BETWEEN 910 AND 990) SELECT key, mass, id FROM t QUALIFY row_number() OVER (PARTITION BY key ORDER BY mass, id) = 1")
@@ -157,7 +363,7 @@ def q10_ingest_pool(spark, d):
     p = table(spark, d, "part")
     line = F.when(F.col("p_size") % 7 == 0, F.col("p_name")).when(F.col("p_size") % 7 == 1, F.concat_ws("\t", F.col("p_partkey").cast("string"), "p_name", "p_brand")).otherwise(F.concat_ws("\t", F.col("p_partkey").cast("string"), F.concat_ws("|", "p_name", F.col("p_retailprice").cast("string"))))
     path = writers.scratch(spark, "raw")
-    p.select(line.alias("value")).coalesce(2).write.option("compression", "gzip").text(path)
+    p.select(line.alias("value")).coalesce(2).write.mode("overwrite").option("compression", "gzip").text(path)
     rows = readers.tsv_lines(spark, path, tasks=8).select(F.col("id").cast("long").alias("id"), F.split("smiles", " ")[0].alias("key"), F.split("smiles", r"\|")[1].cast("double").alias("mass"))
     best = R.keep_best(rows.where(F.col("mass").between(910, 990)), ["key"], [F.col("mass"), F.col("id")])
     return spark.read.parquet(writers.by_mass(best, writers.scratch(spark, "pool"), "mass", 4)).select("key", "mass", "id")
@@ -195,9 +401,9 @@ def q13_sweep(spark, d):
 def q14_diagnostics(spark, d):
     """How far a fingerprint's nearest neighbour explains another score."""
     p = C.pool(spark, d).select("key", "label", "mass", "fp", "popcount")
-    others = p.groupBy("label").agg(F.collect_list(F.struct("key", "fp", "popcount")).alias("o"))
-    best = F.array_max(F.transform(F.filter("o", lambda x: x["key"] != F.col("key")), lambda x: B.tanimoto(F.col("fp"), x["fp"], F.col("popcount"), x["popcount"])))
-    n = p.join(others, "label").select("mass", best.alias("t")).where("t is not null")
+    o = p.select("label", F.col("key").alias("other"), F.col("fp").alias("o_fp"), F.col("popcount").alias("o_pop"))
+    pairs = p.join(o, "label").where("key <> other").select("key", "mass", B.tanimoto(F.col("fp"), F.col("o_fp"), F.col("popcount"), F.col("o_pop")).alias("t"))
+    n = pairs.groupBy("key").agg(F.first("mass").alias("mass"), F.max("t").alias("t"))
     return n.agg(F.round(F.corr("t", "mass"), 6).alias("r"), F.round(F.regr_slope("mass", "t"), 4).alias("slope"), F.round(F.avg("t"), 6).alias("headroom"))
 
 
@@ -217,9 +423,9 @@ def q16_fault_isolation(spark, d):
 
 
 @query(f"WITH {C.QUERIES}, {C.POOL}, w AS (SELECT query_id, key, w0, w1, bit_count(w0) + 0.001::DOUBLE * key AS score FROM queries JOIN pooled ON mass >= center - 3.0::DOUBLE AND mass <= center + 3.0::DOUBLE), n AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM w), t AS (SELECT query_id, arg_min(w0, key) AS t0, arg_min(w1, key) AS t1 FROM w GROUP BY query_id), m AS (SELECT n.*, w0 = t0 AND w1 = t1 AS is_true FROM n JOIN t USING (query_id) WHERE n.n >= 2), r AS (SELECT *, 1 + count(*) FILTER (score > ts) OVER (PARTITION BY query_id) AS true_rank FROM (SELECT *, max(score) FILTER (is_true) OVER (PARTITION BY query_id) AS ts FROM m)) SELECT query_id, key, true_rank::BIGINT AS true_rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM r WHERE NOT is_true QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) <= 8")
-def c14_hard_decoys(spark, d, queries=C.queries):
+def c14_hard_decoys(spark, d):
     pool = C.pool(spark, d).select("key", "mass", "fp", "popcount")
-    w = J.band_join(queries(spark, d), pool, "center", "mass", 3.0).withColumn("score", F.bit_count(F.get("fp", F.lit(0))) + 0.001 * F.col("key"))
+    w = J.band_join(C.queries(spark, d), pool, "center", "mass", 3.0).withColumn("score", F.bit_count(F.get("fp", F.lit(0))) + 0.001 * F.col("key"))
     truth = w.groupBy("query_id").agg(F.min_by("fp", "key").alias("fp"))
     return V.hard_decoys(w, truth, 8).select("query_id", "key", F.col("true_rank").cast("long").alias("true_rank"), F.col("rank").cast("long").alias("rank"))
 
