@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import pytest
+
 from lodestone.llm import fingerprint as fp
 
 
@@ -54,3 +56,44 @@ def test_edits_are_nearer_than_strangers(spark):
     rows = [(i, " ".join(rng.choices(vocabulary, k=200)), "s") for i in range(60)]
     got = check(spark, rows)
     assert min(r[5] for r in got) > 0.5 > 0.4 > max(r[6] for r in got)
+
+
+def exact_likeness(a, b):
+    """The cosine of the multisets of pairs of neighbouring words, paragraph by paragraph."""
+    from collections import Counter
+
+    def pairs(text):
+        found = Counter()
+        for paragraph in text.split("\n"):
+            words = paragraph.split()
+            found.update(zip([None, *words], words, strict=False))
+        return found
+
+    p, q = pairs(a), pairs(b)
+    dot = sum(n * q[k] for k, n in p.items())
+    return dot / (sum(n * n for n in p.values()) * sum(n * n for n in q.values())) ** 0.5
+
+
+@pytest.mark.parametrize("times", [16_000, 20_000, 80_000, 400_000])
+def test_long_repetitive_texts(times):
+    text, following = "a b " * times, "c d " * times
+    changed = fp.edited(text, following)
+    got = fp.of_text(text).likeness(fp.of_text(changed))
+    assert abs(got - exact_likeness(text, changed)) < 0.15
+    assert fp.of_text(text).likeness(fp.of_text(following)) < 0.4
+
+
+def test_likeness_against_multisets():
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(60)]
+    for _ in range(40):
+        a = " ".join(rng.choices(vocabulary, k=rng.randint(20, 400)))
+        b = fp.edited(a, " ".join(rng.choices(vocabulary, k=400)))
+        assert abs(fp.of_text(a).likeness(fp.of_text(b)) - exact_likeness(a, b)) < 0.3
+
+
+def test_rows_of_one_id_and_clashing_columns(spark):
+    rows = [(4, f"text {i % 7} of many", "s") for i in range(300)] + [(None, f"other {i}", "s") for i in range(100)]
+    check(spark, rows)
+    docs = spark.createDataFrame([(1, "a", 1, 2, 3)], "doc_id long, text string, k int, range int, before int")
+    assert fp.fingerprints(docs).count() == 1
