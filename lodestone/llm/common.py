@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only by local sessions that name no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/lodestone"
 #: Ids that are broadcast at most (8 bytes each, counted first); more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
@@ -46,28 +51,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_ROWS = 512
 
 
+def plain(docs: DataFrame) -> list[Column]:
+    """The columns of docs, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as it takes to clash with no column of docs."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def is_local(spark: SparkSession) -> bool:
+    """Whether the workers run on the driver's machine, as in tests."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+_sent: set[str] = set()
+
+
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver found it, and keeps batches of texts small.
+    """Lets Python workers import this package, and keeps batches of texts small.
 
-    The size of batches is the session's; it is only changed where it is Spark's default.
+    Locally, workers look where the driver found the package; a cluster gets it as a zip file from Spark. The
+    size of batches is the session's; it is only changed where it is Spark's default.
     """
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
+    sc = spark.sparkContext
+    package = Path(__file__).resolve().parent.parent
+    root = str(package.parent)
+    if not is_local(spark):
+        if sc.applicationId not in _sent:
+            sc.addPyFile(_zipped(package))
+            _sent.add(sc.applicationId)
+        return
+    env = sc.environment
     have = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if root not in have:
         env["PYTHONPATH"] = os.pathsep.join([root, *have])
 
 
+def _zipped(package: Path) -> str:
+    """A zip file of the package's modules, on the driver, which serves it to the executors."""
+    files = sorted(package.rglob("*.py"))
+    digest = hashlib.sha256(b"".join(f.read_bytes() for f in files)).hexdigest()[:16]
+    path = os.path.join(tempfile.mkdtemp(prefix="lodestone-"), f"lodestone-{digest}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for f in files:
+            out.write(f, str(f.relative_to(package.parent)))
+    return path
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir, or a local one where that is unset."""
+    """The cluster's shared folder, spark.checkpoint.dir. A local session may go without one."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
+    if not is_local(spark):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(LOCAL_CHECKPOINTS)
     return LOCAL_CHECKPOINTS
 
@@ -84,5 +132,12 @@ def sized(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder for a table that outlives the query."""
+    """A fresh path in the shared folder."""
     return f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+
+
+def dropped_at_end(spark: SparkSession, path: str) -> str:
+    """path, which Hadoop removes when this application ends; for what only one of its queries reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path

@@ -1,17 +1,19 @@
 """Language identification in two steps: the family first, then the language within it.
 
-Features are letters in runs of two and three UTF-8 bytes, lower-cased, everything that is not a letter
-being one space; their shares among a text's runs are hashed into a fixed number of bins. The classifier
+Features are runs of two and three UTF-8 bytes, lower-cased, every ASCII byte that is not a letter
+being a space; their shares among a text's runs are hashed into a fixed number of bins. The classifier
 is linear support vector machines (squared hinge loss): one against the rest for families, one against one
 for the languages of a family. A text's score is the share that the calibrated margins give its family,
 times that of its language within the family.
 
 Families come from the fixed table below; a language that is not in it is a family of its own. The model
-learns from a bounded sample of labelled rows (``per_lang`` rows for each language, taken by a hash of the
-id); prediction reads every text whole, in blocks of bounded size.
+learns from a bounded sample of labelled rows: ``per_lang`` rows at most for each of the ``most_langs`` most
+frequent languages, those of least hash of id and text. Prediction reads every text whole, in blocks of bounded size.
 
 Null texts and texts without a letter get ``und`` with score 0, as do all texts where nothing could be
-learned. With one learned language, all others get it with score 1. Rows are kept as they are.
+learned. With one learned language, all others get it with score 1. Rows are kept as they are, repeated ones
+too; of other columns, those that are asked for come along, and the names of the two new ones can be given
+where they would clash. A row without an id counts as held out. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import ship, working
 
@@ -39,8 +42,8 @@ FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in lang
 UNKNOWN = "und"
 #: Bins for runs; bytes of text worked on at once.
 BINS, BLOCK = 1 << 14, 1 << 21
-#: Labelled rows that a language is learned from, at most.
-PER_LANG = 600
+#: Labelled rows that a language is learned from, at most; languages that are learned, at most.
+PER_LANG, MOST_LANGS = 600, 100
 
 
 def _letters() -> np.ndarray:
@@ -217,13 +220,19 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model | None:
     return Model(names, families, weights, np.array([b for _, b, _ in got]), np.array([s for _, _, s in got]), machines)
 
 
-def learn(labelled: DataFrame, per_lang: int = PER_LANG) -> Model | None:
-    """A model from labelled (doc_id, text, lang): per_lang rows of each language, by a hash of the id."""
+def learn(labelled: DataFrame, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS) -> Model | None:
+    """A model from labelled (doc_id, text, lang): per_lang rows at most of each of most_langs languages."""
     ship(labelled.sparkSession)
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(min(1.0, per_lang / n))) for lang, n in counts.items()), F.lit(0.0)) if counts else F.lit(0.0)
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 24)) < share * (1 << 24)).select("lang", "text")
+    often = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    if not often:
+        return None
+    # A share of the rows by hash, somewhat more than wanted, and of those the first ones: no repeated row can exceed the bound.
+    share = F.coalesce(*(F.when(F.col("lang") == r.lang, F.lit(min(1.0, 1.5 * per_lang / r.n))) for r in often), F.lit(0.0))
+    hashed = known.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(5)).alias("h"))
+    some = hashed.where(F.pmod("h", F.lit(1 << 24)) < share * (1 << 24))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    sample = some.withColumn("place", place).where(F.col("place") <= per_lang).select("lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,15 +246,17 @@ def learn(labelled: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     return fit([(r.lang, np.frombuffer(r.bins, "<i4").astype(np.int64), np.frombuffer(r.shares, "<f4").astype(np.float64)) for r in rows])
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str | Column] = ()) -> DataFrame:
-    """For each text of docs: the columns in keep, lang_pred and score."""
+def predict(docs: DataFrame, model: Model | None, keep: list[str | Column] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """For each text of docs: the columns in keep, and the language and its score under the given names."""
     ship(docs.sparkSession)
     # A text that is kept anyway goes to the workers once.
-    own = [] if any(isinstance(c, str) and c == "text" for c in keep) else [F.col("text").alias("__text")]
-    spoken = F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False)).alias("__spoken")
-    chosen = docs.select(*keep, *own, spoken)
-    kept = chosen.columns[: -1 - len(own)]
-    at_text = len(kept) if own else kept.index("text")
+    own = [] if any(isinstance(c, str) and c == "text" for c in keep) else [F.col("text")]
+    spoken = F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False))
+    kept = [F.col("`" + c.replace("`", "``") + "`") if isinstance(c, str) else c for c in keep]
+    kept = docs.select(*kept).schema
+    chosen = docs.select(*(F.col("`" + c.replace("`", "``") + "`") if isinstance(c, str) else c for c in keep), *own, spoken)
+    chosen = chosen.toDF(*(f"c{i}" for i in range(len(chosen.columns))))
+    at_text = len(kept) if own else list(keep).index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working()
@@ -255,16 +266,18 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str | Column] = ())
                 part = batch.slice(k, 256)
                 spoken = part.column(part.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
                 if model is None:
-                    names, scores = np.full(part.num_rows, UNKNOWN, dtype=object), np.zeros(part.num_rows)
+                    langs, scores = np.full(part.num_rows, UNKNOWN, dtype=object), np.zeros(part.num_rows)
                 else:
                     sums, counts = _sums(*_texts(part.column(at_text)), model.weights)
-                    names, scores = model.predict(sums / counts.clip(1)[:, None] + model.biases)
-                names[~spoken], scores[~spoken] = UNKNOWN, 0.0
-                yield pa.record_batch([*part.columns[: len(kept)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
+                    langs, scores = model.predict(sums / counts.clip(1)[:, None] + model.biases)
+                langs[~spoken], scores[~spoken] = UNKNOWN, 0.0
+                yield pa.record_batch([*part.columns[: len(kept)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], out)
 
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in chosen.dtypes[: len(kept)]), "lang_pred string", "score double"])
+    schema = StructType([*kept.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    out = schema.names
     return chosen.mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id") -> Column:
-    return F.crc32(F.col(key).cast("string")) % 5 == 0
+    """Whether a row must not be learned from; one without an id must not."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(True))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks, decontaminate, fingerprint, jaccard, langid, packing, pii, suffixes, token_store, unigram
-from .common import new_folder, table
+from .common import dropped_at_end, new_folder, table
 from .oracles import ORACLES
 
 
@@ -25,7 +25,7 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document through the store's files. See token_store."""
     path = token_store.write_store(table(spark, sf_dir, "documents"), new_folder(spark, "tokens"), end_id=0)
-    return token_store.read_digests(spark, path)
+    return token_store.read_digests(spark, dropped_at_end(spark, path))
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ Documents ascend by id through shards, blocks and frames. A short document is re
 (first_id and last_id prune row groups) and one frame in it.
 
 Null texts are empty documents (just the end id); null ids come first; rows with equal ids are all kept, in
-order of their text; an empty table gives an empty store. Columns other than id and text are ignored.
+order of their text, and need not fit into one task; an empty table gives an empty store. Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ def serialized(ids: bytes, width: int) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, width: int) -> bytes:
-    """A dictionary from a bounded sample of documents, taken by a hash of the id.
+    """A dictionary from a bounded sample of documents, taken by a hash of id and text.
 
     Compression is all it bears on: every document is stored whole with any dictionary.
     """
@@ -49,7 +49,7 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, width: int)
 
     total = docs.count()
     share = min(1.0, DICT_DOCS / max(total, 1))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(vocabulary)
@@ -117,7 +117,8 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
         if ids:
             yield flush()
 
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The start of the text splits rows of one id; the order is that of id and text.
+    ordered = docs.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(write, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     return path
 
