@@ -15,10 +15,12 @@ the last deal takes parts however small. Documents near the border of a band tak
 
 Documents with equal sets become one node before anything is joined. Nodes that share a part's sketch meet
 in a bucket, where whole parity sketches are compared, whose Hamming distance is at most the symmetric
-difference. First, in a share of the buckets, each node is linked to the nearest one of another component;
-after that, all pairs between components that sizes and sketches allow are verified, in all buckets that
-still hold several. A bucket of many nodes is split into cells that hold two of its blocks each, so that no
-task holds all of it and no pair is left out.
+difference. First, in a share of the buckets, each node is linked to the nearest one of another component
+in its block of the bucket; after that, all pairs between components that sizes and sketches allow are verified, in all buckets that
+still hold several. There, blocks of nodes of a bucket's largest component meet blocks of all
+others, and those meet each other: no task holds a whole bucket, nodes of the largest component are not paired,
+and no pair of different components is left out. Keys of very many nodes are found beforehand by a sample, and
+their nodes go to their buckets without passing through one task.
 
 A null or wordless text has the empty set, links with nothing and is its own component. component_id is the
 least doc_id reachable. Rows with null ids take part; their component is the least id of the others, or
@@ -45,7 +47,9 @@ BAND, SPARE = 1.5, 0.35
 DEALS = 4
 SKETCH_BITS = 1024
 #: Nodes in a block of a bucket; those of the buckets (one in so many) that the first turns look at.
-BLOCK, FIRST_TURNS = 4096, (8, 4)
+BLOCK, FIRST_TURNS = 1024, (8, 4)
+#: A key that this many nodes share is hot, as one node in HOT_SHARE tells; so many hot keys are listed at most.
+HOT_NODES, HOT_SHARE, HOT_KEYS = 2048, 32, 10_000
 #: Sets that a task remembers so as to offer each once.
 SEEN = 2_000_000
 _DEAL = np.uint64(0xD1B54A32D192ED03)
@@ -137,7 +141,10 @@ def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
 
 
 def _offers(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n, node, sketch and keys of each document; keys are empty where the task offered that set before."""
+    """n, node, sketch and keys of each document, behind its columns but the text; keys are empty where the task
+    offered that set before.
+    """
+    kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("words")
@@ -147,7 +154,7 @@ def _offers(docs: DataFrame, rule: Rule) -> DataFrame:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 sizes, nodes, sketches, keys = [], [], [], []
-                for text in part.column(1).to_pylist():
+                for text in part.column(len(kept)).to_pylist():
                     own = shingles(text, rule.words)
                     sizes.append(len(own))
                     node = node_of(own) if len(own) else None
@@ -157,9 +164,11 @@ def _offers(docs: DataFrame, rule: Rule) -> DataFrame:
                     nodes.append(node)
                     sketches.append(sketch_of(own) if new else None)
                     keys.append(offered(own, rule, cache) if new else None)
-                yield pa.record_batch([part.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), _lists(sketches), _lists(keys)], ["doc_id", "n", "node", "sketch", "keys"])
+                made = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), _lists(sketches), _lists(keys)]
+                yield pa.record_batch([*part.columns[: len(kept)], *made], [*kept, "n", "node", "sketch", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, sketch array<long>, keys array<long>")
+    schema = "".join(f"{c} {t}, " for c, t in docs.dtypes if c != "text")
+    return docs.select(*kept, "text").mapInArrow(run, f"{schema}n long, node long, sketch array<long>, keys array<long>")
 
 
 def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -168,11 +177,11 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                owns = [own for own in (shingles(t, rule.words) for t in batch.column(1).slice(at, 200).to_pylist()) if len(own)]
+                owns = [own for own in (shingles(t, rule.words) for t in batch.column(0).slice(at, 200).to_pylist()) if len(own)]
                 if owns:
                     yield pa.record_batch([pa.array([node_of(o) for o in owns], pa.int64()), _lists([o.view(np.int64) for o in owns])], ["node", "own"])
 
-    return docs.mapInArrow(run, "node long, own array<long>")
+    return docs.select("text").mapInArrow(run, "node long, own array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -184,47 +193,93 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(F.col("both") * 100 >= percent * (F.col("total") - F.col("both"))).select("u", "v")
 
 
-def components_by_jaccard(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of docs (doc_id, text)."""
-    ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    offers = cut(_offers(docs, rule))
-    nodes = offers.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.max(F.when(F.size("sketch") > 0, F.col("sketch"))).alias("sketch"), F.max("n").alias("n"))
+def _hot(offers: DataFrame) -> list[int]:
+    """Keys that very many nodes share, as far as one node in HOT_SHARE tells: they need no look for a second node.
 
-    # Buckets of nodes that share a part's sketch: rows stream by in order, none is held.
-    by_key = Window.partitionBy("key").orderBy("node")
+    They only decide how buckets are found; a key that is missed takes the common way to the same bucket.
+    """
+    some = offers.where((F.size("keys") > 0) & (F.pmod(F.xxhash64("node", F.lit(3)), F.lit(HOT_SHARE)) == 0))
+    often = some.select("node", F.explode("keys").alias("key")).distinct().groupBy("key").count().where(F.col("count") >= HOT_NODES // HOT_SHARE)
+    return [r.key for r in often.orderBy(F.desc("count"), "key").limit(HOT_KEYS).collect()]
+
+
+def _buckets(offers: DataFrame) -> DataFrame:
+    """(key, node) of the keys that several nodes offer. Neighbours in a key's order tell; hot keys are known to."""
     keys = offers.select("node", F.explode("keys").alias("key"))
-    met = keys.select("key", "node", F.lag("node").over(by_key).alias("last"), F.lead("node").over(by_key).alias("next"))
-    buckets = cut(met.where("last <> node or next <> node").select("key", "node").distinct())
+    hot = _hot(offers)
+    by_key = Window.partitionBy("key").orderBy("node")
+    own = keys
+    if hot:
+        listed = F.broadcast(offers.sparkSession.createDataFrame([(k,) for k in hot], "key long"))  # HOT_KEYS at most
+        own = keys.join(listed, "key", "left_anti")
+    met = own.select("key", "node", F.lag("node").over(by_key).alias("last"), F.lead("node").over(by_key).alias("next"))
+    found = met.where("last <> node or next <> node").select("key", "node")
+    if hot:
+        found = found.union(keys.join(listed, "key", "left_semi").select("key", "node"))
+    return found.distinct()
+
+
+def _placed(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """(offers, (node, component) of every node): component is the least node of those that links reach.
 
+    docs: doc_id long, text, and further columns, which offers keep.
+    """
+    ship(docs.sparkSession)
+    offers = cut(_offers(docs, rule))
+    nodes = offers.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.max(F.when(F.size("sketch") > 0, F.col("sketch"))).alias("sketch"), F.max("n").alias("n"))
+    buckets = cut(_buckets(offers))
     rows = buckets.count()
+    all_nodes = offers.where("node is not null").select("node").distinct()
+    if not rows:
+        return offers, all_nodes.select("node", F.col("node").alias("component"))
     buckets = sized(buckets, rows)
     touched = cut(sized(buckets.select("node").distinct().join(nodes, "node"), rows))
     n = touched.count()
-    links = None
-    if n:
-        wanted = touched.select(F.col("least").alias("id")).distinct()
-        some = docs.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-        sets = cut(_sets(some, rule).groupBy("node").agg(F.first("own").alias("own")).join(touched.select("node"), "node", "left_semi").coalesce(max(8, -(-n // 20_000))))
-        links = _all_links(buckets, touched, sets, rule, rows)
+    wanted = touched.select(F.col("least").alias("id")).distinct()
+    some = docs.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    sets = cut(_sets(some, rule).groupBy("node").agg(F.first("own").alias("own")).join(touched.select("node"), "node", "left_semi").coalesce(max(8, -(-n // 20_000))))
+    links = _all_links(buckets, touched, sets, rule, rows)
+    return offers, all_nodes.join(links, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
+
+def components_by_jaccard(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of docs (doc_id, text)."""
+    offers, placed = _placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rule)
     known = offers.select("doc_id", F.col("n").alias("n_shingles"), "node")
-    if links is None:
-        placed = nodes.select("node", F.col("least").alias("component_id"))
-    else:
-        placed = nodes.select("node", "least").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-        placed = placed.join(least, "component").select("node", "component_id")
-    return known.join(placed, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    of_node = known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    placed = of_node.join(placed, "node")
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    placed = placed.join(least, "component").select("node", "component_id")
+    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return known.join(placed, "node", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def later_copies(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """(doc_id, text_hash) of the rows of docs that a row before them in their component stands for.
+
+    Rows are told apart by id and text: first is the least id (null last), then the least text_hash, which
+    is xxhash64 of the text. Rows that are equal in both are one row here. Texts without words are in nobody's component.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    offers, placed = _placed(own, rule)
+    rows = offers.where("node is not null").select("doc_id", "text_hash", "node").distinct().join(placed, "node")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = rows.groupBy("component").agg(F.min(order).alias("first"))
+    return rows.join(first, "component").where(order != F.col("first")).select("doc_id", "text_hash")
 
 
 def _all_links(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, rule: Rule, rows: int) -> DataFrame:
     """(node, component) over all links between nodes that share a bucket."""
     links, label, left = None, None, buckets
     for share in (*FIRST_TURNS, 1):
-        now = left.select("key", "node", F.col("node").alias("c")) if label is None else left.select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        several = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
-        left = cut(sized(now.join(several, "key"), rows))
+        if label is None:
+            now = left.select("key", "node", F.col("node").alias("c"))
+        else:
+            now = left.select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+        # Of each bucket: its nodes, and the component that most of them are in.
+        per = now.groupBy("key", "c").agg(F.count("*").alias("m"))
+        several = per.groupBy("key").agg(F.sum("m").alias("size"), F.max("m").alias("most"), F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
+        left = cut(sized(now.join(several.drop("kinds"), "key"), rows))
         near = _near(left.where(F.pmod(F.xxhash64("key", F.lit(share)), F.lit(share)) == 0), nodes, rule, share > 1)
         got = _linked(near, sets, rule.percent)
         links = cut(sized(got if links is None else links.union(got), rows))
@@ -235,22 +290,33 @@ def _all_links(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, rule: Rule
 
 
 def _near(rows: DataFrame, nodes: DataFrame, rule: Rule, nearest: bool) -> DataFrame:
-    """Pairs (u, v) of nodes of rows (key, node, c, size) in one bucket but not one component, which may link.
+    """Pairs (u, v) of nodes of rows (key, node, c, size, main, most) in one bucket but not one component, which may link.
 
-    nearest: only the nearest such node for each, among those that a task sees.
+    nearest: only the nearest such node for each, among those of its own block. Otherwise every pair: blocks of
+    the ``most`` nodes of the bucket's main component meet blocks of its other nodes, and those meet each other.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    cells = rows.withColumn("blocks", blocks).select("key", "node", "c", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node", "c").join(nodes.select("node", "n", "sketch"), "node")
-    dealt = cells.repartition("cell").sortWithinPartitions("cell").select("cell", "node", "c", "n", "sketch")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("long")
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    place = F.xxhash64("node", "key")
+    cell = lambda kind, i, j, home: F.struct(F.xxhash64("key", F.lit(kind), i, j).alias("cell"), F.lit(home).alias("home"))
+    if nearest:
+        cells = rows.withColumn("at", F.array(cell(0, F.pmod(place, blocks(F.col("size"))), F.lit(0), True)))
+    else:
+        main, other = blocks(F.col("most")), blocks(F.col("size") - F.col("most"))
+        of_main = F.transform(every(other), lambda j: cell(1, F.pmod(place, main), j, True))
+        own = F.pmod(place, other)
+        visits = F.transform(every(main), lambda i: cell(1, i, own, False))
+        met = F.transform(every(other), lambda j: cell(2, F.least(own, j), F.greatest(own, j), True))
+        cells = rows.withColumn("at", F.when(F.col("c") == F.col("main"), of_main).otherwise(F.concat(visits, met)))
+    cells = cells.select("node", "c", F.explode("at").alias("at")).select("at.cell", "at.home", "node", "c").join(nodes.select("node", "n", "sketch"), "node")
+    dealt = cells.repartition("cell").sortWithinPartitions("cell").select("cell", "node", "c", "n", "home", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working()
         best: dict[int, tuple[int, int]] = {}
         seen: set[tuple[int, int]] = set()
-        for cell, node, c, n, sketch in _whole_cells(batches):
-            for u, v, apart in _allowed(cell, c, n, sketch, rule):
+        for cell, node, c, n, home, sketch in _whole_cells(batches):
+            for u, v, apart in _allowed(cell, c, n, home, sketch, rule):
                 a, b = node[u], node[v]
                 if nearest:
                     for x, y in ((a, b), (b, a)):
@@ -289,8 +355,8 @@ def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        flat = batch.column(4).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1)
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        flat = batch.column(5).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1)
         cut_at = np.flatnonzero(columns[0] != columns[0][-1])
         at = int(cut_at[-1]) + 1 if len(cut_at) else 0
         if held and (at or held[-1][0][-1] != columns[0][0]):
@@ -311,13 +377,13 @@ def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
 FEW = 24
 
 
-def _allowed(cell: np.ndarray, c: np.ndarray, n: np.ndarray, sketch: np.ndarray, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, other row, distance of their sketches) of the pairs of each cell that may link."""
+def _allowed(cell: np.ndarray, c: np.ndarray, n: np.ndarray, home: np.ndarray, sketch: np.ndarray, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, other row, distance of their sketches) of the pairs of each cell that may link, one of them at home."""
     starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     sizes = np.diff(np.append(starts, len(cell)))
     few = np.repeat(sizes <= FEW, sizes)
     for shift in range(1, min(FEW, int(sizes.max()))):
-        u = np.flatnonzero((cell[:-shift] == cell[shift:]) & (c[:-shift] != c[shift:]) & few[:-shift])
+        u = np.flatnonzero((cell[:-shift] == cell[shift:]) & (c[:-shift] != c[shift:]) & (home[:-shift] | home[shift:]) & few[:-shift])
         if len(u):
             yield from _kept(u, u + shift, np.bitwise_count(sketch[u] ^ sketch[u + shift]).sum(axis=1, dtype=np.int64), n, rule)
     for lo, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
@@ -327,6 +393,7 @@ def _allowed(cell: np.ndarray, c: np.ndarray, n: np.ndarray, sketch: np.ndarray,
             own, other = n[lo + at : lo + min(at + 1024, size)], n[lo + at : lo + size]
             fits = apart * (100 + rule.percent) <= (own[:, None] + other[None, :]) * (100 - rule.percent)
             fits &= c[lo + at : lo + at + len(own), None] != c[None, lo + at : lo + size]
+            fits &= home[lo + at : lo + at + len(own), None] | home[None, lo + at : lo + size]
             u, v = np.nonzero(np.triu(fits, 1))
             if len(u):
                 yield from _kept(lo + at + u, lo + at + v, apart[u, v].astype(np.int64), n, rule)
