@@ -185,11 +185,14 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets link."""
-    one = sets.select(F.col("node").alias("u"), F.col("own").alias("mine"))
-    other = sets.select(F.col("node").alias("v"), F.col("own").alias("theirs"))
+    """The pairs (u, v) whose sets link. Only sets of nodes in a pair are moved."""
+    pairs = cut(pairs)
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    some = sets.join(F.broadcast(wanted) if 2 * pairs.count() <= BROADCAST_IDS else wanted, "node", "left_semi")
+    one = some.select(F.col("node").alias("u"), F.col("own").alias("mine"))
+    other = some.select(F.col("node").alias("v"), F.col("own").alias("theirs"))
     both = F.size(F.array_intersect("mine", "theirs"))
-    met = pairs.select("u", "v").distinct().join(one, "u").join(other, "v").select("u", "v", (F.size("mine") + F.size("theirs")).alias("total"), both.alias("both"))
+    met = pairs.join(one, "u").join(other, "v").select("u", "v", (F.size("mine") + F.size("theirs")).alias("total"), both.alias("both"))
     return met.where(F.col("both") * 100 >= percent * (F.col("total") - F.col("both"))).select("u", "v")
 
 
