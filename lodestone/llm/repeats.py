@@ -1,14 +1,21 @@
-"""Exact repeats of a fixed length across a corpus, by rounds of fingerprints that meet in buckets.
-
-Documents are dealt by a hash into batches of bounded size. A round makes fingerprints of a batch, sorts
-them and sends each distinct one, as a few bytes of difference to the one before, to the bucket that its
-leading bits name; there, fingerprints of all batches meet, and each batch is told which of its own occur
-elsewhere too, by their place in its sorted list. The batch makes that list again to read the answer, so
-places in texts are never sent. However often a batch holds a fingerprint, it sends it once: a passage that
-a third of all documents share is as many entries in its bucket as there are batches.
-
-Two rounds run: the first with sparse or short fingerprints that rule most of the text out, the second with
-exact ones (64 bits) of the windows that are left. Texts are shuffled once, and that shuffle serves all.
+"""Exact repeats across a corpus, in a few steps that byte strings and word windows share.
+
+Documents are dealt by a hash into batches of bounded size. A batch is worked on as a whole (its State, which is
+made again in each step, for it depends on the texts alone), and sends what has to meet other batches to buckets:
+
+probes    Only where a rule knows references: grams that no reference has, or nothing else, are out.
+grams     Each batch sends the distinct grams of its runs, in order and as a few bytes of difference to the one
+          before, to the bucket that their leading bits name. A run is a few neighbouring windows that all hold its
+          gram, and its segment is all that these windows can see. Where no other run has the gram, nothing of the
+          run repeats. Runs with equal segments stand for each other: they are repeated whole, and one of them takes
+          part in what follows.
+suffixes  Segments that share a gram and differ are swept into suffix arrays with LCPs by suffix_family, level
+          by level; the longest match of each start is exact.
+texts     What repeats is marked in the documents.
+
+However often a batch holds a gram with a segment, it sends it once. A gram with more than ``hot_kinds`` different
+segments, such as one inside a passage that very many documents share, would be one task's work: its windows are
+fingerprinted instead (64 bits) and met by fingerprint, which spreads them over all tasks; results are the same.
 """
 
 from __future__ import annotations
@@ -20,14 +27,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, working
+from .common import ship
+from .suffix_family import Family, Segments, pack_arrays, spread, unpack_arrays
+
+#: Code points in a batch, about, and those whose fingerprints a bucket gets.
+BATCH_CHARS, BUCKET_CHARS = 4_000_000, 16_000_000
+#: Different segments of a gram beyond which windows are met by fingerprint.
+HOT_KINDS = 20_000
+#: What rows hold. Told to batches: a run is repeated whole, or has to be sent, or its windows have; which starts match.
+WHOLE, SENT, HOT, MATCHED = 1, 2, 3, 4
+#: Told before that, where only some grams count: those that met a reference, and then the places that hold one.
+MET, PLACES = 10, 11
+#: Sent to buckets: grams, grams that only probe, segments, fingerprints of windows (and told: those that occur
+#: elsewhere). Kept by an index: levels.
+GRAMS, PROBES, SEGMENTS, LONG, BRIEF, LEVEL = 0, 9, 5, 6, 7, 8
+ROW = "bucket long, batch long, start long, kind int, payload binary, more binary"
+ARROW_ROW = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("start", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary()), ("more", pa.binary())])
+
 
-#: Code points in a batch, about.
-BATCH_CHARS = 4_000_000
-SENT = "bucket long, batch long, start long, kind int, payload binary, more binary"
-TOLD = "batch long, kind int, payload binary"
-ARROW_SENT = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("start", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary()), ("more", pa.binary())])
-ARROW_TOLD = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
+def row(bucket: int, batch: int, kind: int, payload: bytes, start: int = 0, more: bytes | None = None) -> dict:
+    return {"bucket": bucket, "batch": batch, "start": start, "kind": kind, "payload": payload, "more": more}
+
+
+def table_of(rows: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(rows, schema=ARROW_ROW)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -76,11 +99,11 @@ class Sorted:
         group[order] = np.cumsum(first) - 1
         return cls(ordered[starts], np.diff(np.append(starts, len(ordered))), group, None if second is None else other[starts])
 
-    def any_of(self, marks: np.ndarray) -> np.ndarray:
-        """Which distinct fingerprints have a mark on one of their places."""
-        found = np.zeros(len(self.distinct), dtype=bool)
-        found[self.group[marks]] = True
-        return found
+    def all_of(self, entries: np.ndarray) -> np.ndarray:
+        """All places of some distinct fingerprints."""
+        some = np.zeros(len(self.distinct), dtype=bool)
+        some[entries] = True
+        return np.flatnonzero(some[self.group])
 
     def place(self) -> np.ndarray:
         """One place of each distinct fingerprint."""
@@ -88,15 +111,19 @@ class Sorted:
         found[self.group[::-1]] = np.arange(len(self.group))[::-1]
         return found
 
-    def rows(self, batch: int, buckets: int, bits: int, marks: np.ndarray | None = None) -> list[dict]:
-        lead = self.distinct >> np.uint64(bits - 32) if bits >= 32 else self.distinct << np.uint64(32 - bits)
-        cuts = np.searchsorted((lead * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
-        more = lambda lo, hi: self.second[lo:hi].tobytes() if self.second is not None else None if marks is None else np.packbits(marks[lo:hi]).tobytes()
-        return [
-            {"bucket": b, "batch": batch, "start": int(lo), "kind": 0, "payload": packed(self.distinct[lo:hi]), "more": more(lo, hi)}
-            for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))
-            if hi > lo
-        ]
+def bucket_of(prints: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """The bucket that the leading bits of fingerprints name."""
+    lead = prints >> np.uint64(bits - 32) if bits >= 32 else prints << np.uint64(32 - bits)
+    return ((lead * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def rows_of(prints: np.ndarray, buckets: int, bits: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of ascending fingerprints, for each bucket that has any."""
+    own = bucket_of(prints, buckets, bits)
+    if not len(own):
+        return []
+    starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return list(zip(own[starts].tolist(), starts.tolist(), np.append(starts[1:], len(own)).tolist(), strict=True))
 
 
 class Levels:
@@ -125,12 +152,11 @@ class Levels:
         self.levels.append((entries, refs))
         while len(self.levels) > 1 and len(self.levels[-2][0]).bit_length() <= len(self.levels[-1][0]).bit_length():
             (a, ra), (b, rb) = self.levels.pop(), self.levels.pop()
-            both, refs = np.concatenate([b, a]), np.concatenate([rb, ra])
-            order = np.argsort(both, kind="stable")
-            both, refs = both[order], refs[order]
             # Entries in both have met; one of each stands for all that are equal.
-            first = np.concatenate([[True], both[1:] != both[:-1]]) if len(both) else np.zeros(0, bool)
-            self.levels.append((both[first], refs[first]))
+            at = np.searchsorted(b, a)
+            new = np.ones(len(a), dtype=bool)
+            new[at < len(b)] = b[at[at < len(b)]] != a[at < len(b)]
+            self.levels.append((np.insert(b, at[new], a[new]), np.insert(rb, at[new], ra[new])))
 
     def _mark(self, refs: np.ndarray) -> None:
         sources = refs >> 40
@@ -138,43 +164,6 @@ class Levels:
             self.met[s][(refs[sources == s]) & ((1 << 40) - 1)] = True
 
 
-@dataclass
-class Plan:
-    """What a kind of repeat needs. A state is what a batch's texts are turned into; all is deterministic.
-
-    state(texts) -> state
-    first(state) -> (fingerprints, marks or None, second keys or None): the entries of the first round
-    judge(arrays, more) -> masks by kind, a list for each array: what a bucket tells batches in that round
-    hits(entries, marks, told) -> what a batch makes of what its own entries and told (places by kind) say
-    second(state, hits) -> (fingerprints, their places): the windows that are left
-    finish(state, texts, places, hits, repeated) -> a list for each result column, with a value for each text
-    """
-
-    state: object
-    first: object
-    judge: object
-    hits: object
-    second: object
-    finish: object
-    schema: str
-    arrow: list
-    #: Bits of the first round's fingerprints, or (below 64) those beyond the logarithm of the corpus' size.
-    first_bits: int = 64
-
-
-def meet_sorted(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All arrays' entries in order: (order, first of each group of equals, sizes of the groups)."""
-    flat = np.concatenate(arrays)
-    order = np.argsort(flat, kind="stable")
-    ordered = flat[order]
-    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    return order, starts, np.diff(np.append(starts, len(ordered)))
-
-
-def split_like(mask: np.ndarray, arrays: list[np.ndarray]) -> list[np.ndarray]:
-    return np.split(mask, np.cumsum([len(a) for a in arrays])[:-1])
-
-
 def meet_levels(arrays: list[np.ndarray]) -> list[np.ndarray]:
     """Which entries of each ascending array are in another one, by a logarithmic family."""
     family = Levels()
@@ -183,80 +172,260 @@ def meet_levels(arrays: list[np.ndarray]) -> list[np.ndarray]:
     return family.met
 
 
-def _texts(table: pa.Table) -> tuple[pa.Table, list[bytes]]:
-    table = table.sort_by([("k", "ascending")])
-    return table, [(t or "").encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()]
+def shared(arrays: list[np.ndarray]) -> np.ndarray:
+    """The values that stand in more than one place, ascending."""
+    flat = np.sort(np.concatenate(arrays))
+    twice = flat[1:][flat[1:] == flat[:-1]]
+    return twice[np.concatenate([[True], twice[1:] != twice[:-1]])] if len(twice) else twice
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are known; both are ascending."""
+    if not len(known):
+        return np.zeros(len(values), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _answers(table: pa.Table) -> dict[int, np.ndarray]:
+@dataclass
+class GramLevel:
+    """Grams in order, their segments' hashes, and whose they are."""
+
+    gram: np.ndarray
+    whole: np.ndarray
+    batch: np.ndarray
+    place: np.ndarray
+
+    def columns(self) -> list[np.ndarray]:
+        return [self.gram, self.whole, self.batch, self.place]
+
+    @classmethod
+    def of(cls, rows: list[dict], all_: bool) -> "GramLevel":
+        """The entries of rows of grams; if not all, only of those that stand in more than one place."""
+        grams = [unpacked(r["payload"]) for r in rows]
+        several = None if all_ else shared(grams)
+        parts = []
+        for r, own in zip(rows, grams, strict=True):
+            at = np.arange(len(own)) if all_ else np.flatnonzero(among(own, several))
+            parts.append((own[at], np.frombuffer(r["more"], "<u8")[at], np.full(len(at), r["batch"], np.int64), at + r["start"]))
+        new = cls(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+        return new.take(np.argsort(new.gram, kind="stable"))
+
+    def take(self, chosen: np.ndarray) -> "GramLevel":
+        return GramLevel(*(c[chosen] for c in self.columns()))
+
+    def merged(self, other: "GramLevel") -> "GramLevel":
+        """Both as one: each entry of the other has its place behind those of its gram here."""
+        place = np.searchsorted(self.gram, other.gram, "right") + np.arange(len(other.gram))
+        mine = np.ones(len(self.gram) + len(other.gram), dtype=bool)
+        mine[place] = False
+        out = []
+        for a, b in zip(self.columns(), other.columns(), strict=True):
+            both = np.empty(len(mine), dtype=a.dtype)
+            both[mine], both[place] = a, b
+            out.append(both)
+        return GramLevel(*out)
+
+
+def _judged(new: GramLevel, levels: list[GramLevel], hot_kinds: int | None) -> list[dict]:
+    """What entries of new, and those of levels with a gram of new, are told."""
+    own = np.unique(new.gram)
+    both = new
+    for level in levels:
+        both = both.merged(level.take(np.flatnonzero(among(level.gram, own))))
+    if not len(both.gram):
+        return []
+    order = np.lexsort((both.place, both.batch, both.whole, both.gram))
+    gram, whole = both.gram[order], both.whole[order]
+    new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
+    new_run = new_gram | np.concatenate([[True], whole[1:] != whole[:-1]])
+    runs = np.flatnonzero(new_run)
+    copies = np.diff(np.append(runs, len(order)))
+    several = np.diff(np.append(np.flatnonzero(new_gram[runs]), len(runs)))
+    kinds = np.repeat(several, several)
+    hot = kinds > (hot_kinds or len(order) + 1)
+    told = {WHOLE: order[np.repeat(copies > 1, copies)], SENT: order[runs[(kinds > 1) & ~hot]], HOT: order[np.repeat(hot, copies)]}
+    out = []
+    for kind, chosen in told.items():
+        batch = both.batch[chosen]
+        by = np.argsort(batch, kind="stable")
+        for part in np.split(by, np.flatnonzero(np.diff(batch[by])) + 1):
+            if len(part):
+                out.append(row(-1, int(batch[part[0]]), kind, packed(np.sort(both.place[chosen[part]]))))
+    return out
+
+
+def _alive(rows: list[dict]) -> list[dict]:
+    """Rows of levels that none made of them stands for: each covers adds from start to batch."""
+    rows = sorted(rows, key=lambda r: (-r["batch"], r["start"]))
+    out, least = [], None
+    for r in rows:
+        if least is None or r["batch"] < least:
+            out.append(r)
+            least = r["start"]
+    return out[::-1]
+
+
+def _joining(sizes: list[int]) -> int:
+    """How many of the last levels become one; sizes are those of all, the new one's last."""
+    n = 1
+    while n < len(sizes) and sizes[-n - 1].bit_length() <= sum(sizes[-n:]).bit_length():
+        n += 1
+    return n
+
+
+def alone(meet):
+    """A function of (key, rows, levels) where there are no levels."""
+    return lambda key, table: meet(key, table, None)
+
+
+def meet_grams(hot_kinds: int | None, add: int | None = None):
+    def meet(key: tuple, table: pa.Table, levels: pa.Table | None) -> pa.Table:
+        if table.num_rows and key[0].as_py() < 0:  # what a batch keeps for later
+            return table
+        rows = sorted(table.to_pylist(), key=lambda r: (r["batch"], r["start"]))
+        if not rows:
+            return table_of([])
+        new = GramLevel.of(rows, add is not None)
+        kept = _alive(levels.to_pylist()) if levels is not None else []
+        old = [GramLevel(*unpack_arrays(r["payload"])) for r in kept]
+        out = _judged(new, old, hot_kinds)
+        if add is not None:
+            joined = _joining([len(x.gram) for x in [*old, new]])
+            level, since = new, add
+            for r, x in list(zip(kept, old, strict=True))[::-1][: joined - 1]:
+                level, since = x.merged(level), r["start"]
+            out.append(row(key[0].as_py(), add, LEVEL, pack_arrays(level.columns()), since))
+        return table_of(out)
+
+    return meet
+
+
+def told_of(table: pa.Table) -> dict[int, np.ndarray]:
     """Places told to a batch, by kind."""
     found: dict[int, list] = {}
     for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True):
-        found.setdefault(kind, []).append(unpacked(payload).astype(np.int64))
-    return {kind: np.sort(np.concatenate(parts)) for kind, parts in found.items()}
+        if kind != MATCHED:
+            found.setdefault(kind, []).append(unpacked(payload).astype(np.int64))
+    return {kind: np.unique(np.concatenate(parts)) for kind, parts in found.items()}
 
 
-#: The kind of answers of the second round; those of the first round are below it.
-REPEATED = 9
+def _sent(entries: Sorted, buckets: int, bits: int, batch: int, kind: int, start: int = 0) -> list[dict]:
+    """Rows of entries, bucket by bucket, with what tells equal ones apart."""
+    more = (lambda lo, hi: None) if entries.second is None else (lambda lo, hi: entries.second[lo:hi].tobytes())
+    return [row(b, batch, kind, packed(entries.distinct[lo:hi]), start + lo, more(lo, hi)) for b, lo, hi in rows_of(entries.distinct, buckets, bits)]
 
 
-def repeats(docs: DataFrame, plan: Plan) -> DataFrame:
-    """The plan's results for each row of docs (doc_id, text); nothing is dropped or capped."""
-    spark = docs.sparkSession
-    ship(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    batches = max(buckets, -(-total // BATCH_CHARS))
-    bits = plan.first_bits if plan.first_bits == 64 else min(64, plan.first_bits + int(total).bit_length())
-    # Rows of the same id and text are one and the same to all that follows, and keep a row each.
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("k"))
-    keyed = keyed.withColumn("batch", F.pmod(F.xxhash64("k", F.lit(11)), F.lit(batches)))
-
-    def first(key: tuple, table: pa.Table) -> pa.Table:
-        working("words")
-        _, texts = _texts(table)
-        prints, marks, second_keys = plan.first(plan.state(texts))
-        entries = Sorted.of(prints, bits, second_keys)
-        return pa.Table.from_pylist(entries.rows(key[0].as_py(), buckets, bits, None if marks is None else entries.any_of(marks)), schema=ARROW_SENT)
-
-    def meet(key: tuple, table: pa.Table, in_second: bool) -> pa.Table:
-        if key[0].as_py() < 0:  # what a batch keeps for its last turn
-            return table.select(["batch", "kind", "payload"])
-        rows = sorted(table.to_pylist(), key=lambda r: (r["batch"], r["start"]))
-        arrays = [unpacked(r["payload"]) for r in rows]
-        judged = {REPEATED: meet_levels(arrays)} if in_second else plan.judge(arrays, [r["more"] for r in rows])
-        told = [{"batch": r["batch"], "kind": kind, "payload": packed(np.flatnonzero(m) + r["start"])} for kind, masks in judged.items() for r, m in zip(rows, masks, strict=True) if m.any()]
-        return pa.Table.from_pylist(told, schema=ARROW_TOLD)
+def probe_step(rule, buckets: int):
+    def probe(key: tuple, table: pa.Table) -> pa.Table:
+        batch, (references, rolling) = key[0].as_py(), rule.state(table, None).probes()
+        rows = _sent(references, buckets, rule.bits, batch, GRAMS)
+        return table_of(rows + _sent(rolling, buckets, rule.bits, batch, PROBES, len(references.distinct)))
 
-    def windows(state, told: dict[int, np.ndarray]):
-        prints, marks, second_keys = plan.first(state)
-        hits = plan.hits(Sorted.of(prints, bits, second_keys), marks, told)
-        return hits, *plan.second(state, hits)
+    return probe
 
-    def second(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+
+def meet_probes(key: tuple, table: pa.Table) -> pa.Table:
+    """Tells each batch which of its grams a reference has and something else too."""
+    rows = table.to_pylist()
+    grams = [unpacked(r["payload"]) for r in rows]
+    references = [g for g, r in zip(grams, rows, strict=True) if r["kind"] == GRAMS]
+    several = shared(grams)
+    if references:
+        several = several[among(several, np.sort(np.concatenate(references)))]
+    out = []
+    for r, own in zip(rows, grams, strict=True):
+        at = np.flatnonzero(among(own, several)) if references else ()
+        if len(at):
+            out.append(row(-1, r["batch"], MET, packed(at + r["start"])))
+    return table_of(out)
+
+
+def first_step(rule, buckets: int):
+    def first(key: tuple, table: pa.Table, answers: pa.Table | None) -> pa.Table:
         batch = key[0].as_py()
-        _, texts = _texts(table)
-        told = _answers(answers)
-        _, prints, _ = windows(plan.state(texts), told)
-        rows = Sorted.of(prints, 64).rows(batch, buckets, 64)
-        rows += [{"bucket": -1 - batch, "batch": batch, "start": 0, "kind": kind, "payload": packed(places), "more": None} for kind, places in told.items()]
-        return pa.Table.from_pylist(rows, schema=ARROW_SENT)
+        state = rule.state(table, None if answers is None else told_of(answers))
+        kept = [] if state.kept is None else [row(-1 - batch, batch, PLACES, packed(state.kept))]
+        return table_of(kept + _sent(state.entries, buckets, 64, batch, GRAMS))
 
-    def last(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        table, texts = _texts(table)
-        state, told = plan.state(texts), _answers(answers)
-        hits, prints, places = windows(state, told)
-        entries = Sorted.of(prints, 64)
-        twice = entries.counts > 1
-        twice[told.get(REPEATED, np.zeros(0, np.int64))] = True
-        columns = plan.finish(state, texts, places, hits, twice[entries.group])
-        return pa.Table.from_arrays([table.column("doc_id").combine_chunks(), *(pa.array(c, t) for c, t in zip(columns, plan.arrow, strict=True))], ["doc_id", *(c.split()[0] for c in plan.schema.split(", "))])
+    return first
 
-    grouped = keyed.groupBy("batch")
-    met = grouped.applyInArrow(first, SENT).groupBy("bucket").applyInArrow(lambda k, t: meet(k, t, False), TOLD)
-    left = grouped.cogroup(met.groupBy("batch")).applyInArrow(second, SENT)
-    again = left.groupBy("bucket").applyInArrow(lambda k, t: meet(k, t, True), TOLD)
-    return grouped.cogroup(again.groupBy("batch")).applyInArrow(last, f"doc_id long, {plan.schema}")
+
+def second_step(rule, buckets: int):
+    def second(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        batch, told = key[0].as_py(), told_of(answers)
+        # What a batch keeps for its last turn passes by.
+        rows = [row(-1 - batch, batch, kind, packed(told[kind])) for kind in (WHOLE, HOT, PLACES) if kind in told]
+        if told.keys() & {SENT, HOT} and table.num_rows:
+            state = rule.state(table, told)
+            if SENT in told:
+                own = state.segments(state.entries.place()[told[SENT]], batch)
+                rows += [row(b, batch, SEGMENTS, own.take(np.arange(lo, hi)).packed()) for b, lo, hi in rows_of(own.group, buckets, 64)]
+            if HOT in told:
+                for kind, (_, entries) in _windows(state, told[HOT], rule).items():
+                    rows += _sent(entries, buckets, 64, batch, kind)
+        return table_of(rows)
+
+    return second
+
+
+def _windows(state, places: np.ndarray, rule) -> dict[int, tuple[np.ndarray, Sorted]]:
+    """Starts of long and of brief windows of all runs of some entries, and their fingerprints."""
+    low, counts, ends = state.spans(state.entries.all_of(places))
+    starts, ends = spread(low, counts), np.repeat(ends, counts)
+    found = {}
+    for kind, size in ((LONG, rule.length), (BRIEF, rule.short)):
+        own = np.unique(starts[starts + size <= ends])
+        found[kind] = own, Sorted.of(state.prints(own, size), 64)
+    return found
+
+
+def _matched(found: list[tuple[Segments, np.ndarray]], rule) -> list[dict]:
+    """Of each batch: its runs with a match, and which of their starts match long and in brief."""
+    parts: dict[int, list] = {}
+    for segments, best in found:
+        if not len(segments):
+            continue
+        starts = segments.starts.astype(np.int64)
+        begins = np.cumsum(starts) - starts
+        some = np.flatnonzero(np.maximum.reduceat(best, begins) >= rule.short)
+        for b in np.unique(segments.batch[some]) if len(some) else ():
+            mine = some[segments.batch[some] == b]
+            flat = best[spread(begins[mine], starts[mine])]
+            parts.setdefault(int(b), []).append((segments.place[mine], np.packbits(flat >= rule.length), np.packbits(flat >= rule.short)))
+    return [row(-1, b, MATCHED, pack_arrays(list(arrays))) for b, own in parts.items() for arrays in own]
+
+
+def meet_suffixes(rule, add: int | None = None):
+    def meet(key: tuple, table: pa.Table, levels: pa.Table | None) -> pa.Table:
+        if table.num_rows and key[0].as_py() < 0:  # what a batch keeps for later
+            return table
+        rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["batch"], r["start"]))
+        out = []
+        for kind in (LONG, BRIEF):
+            own = [r for r in rows if r["kind"] == kind]
+            if own:
+                masks = meet_levels([unpacked(r["payload"]) for r in own])
+                out += [row(-1, r["batch"], kind, packed(np.flatnonzero(m) + r["start"])) for r, m in zip(own, masks, strict=True) if m.any()]
+        kept = _alive(levels.to_pylist()) if levels is not None else []
+        old = [Segments.unpacked(r["payload"]) for r in kept]
+        own = [Segments.unpacked(r["payload"]) for r in rows if r["kind"] == SEGMENTS]
+        new = Segments.joined(own) if own else Segments.none()
+        if add is not None and old and len(new):  # a batch that was asked again sends what a level has already
+            have = set(zip(*(np.concatenate([getattr(x, c) for x in old]).tolist() for c in ("batch", "place", "group")), strict=True))
+            new = new.take(np.array([i for i, own in enumerate(zip(new.batch.tolist(), new.place.tolist(), new.group.tolist(), strict=True)) if own not in have], dtype=np.int64))
+        if not len(new):
+            return table_of(out)
+        family = Family(old)
+        if add is None:
+            family.add_all(new)
+        else:
+            family.add(new)
+            count = 1 + len(old) - (len(family.levels) - 1)
+            since = add if count == 1 else kept[len(kept) - (count - 1)]["start"]
+            out.append(row(key[0].as_py(), add, LEVEL, family.levels[-1].packed(), since))
+        return table_of(out + _matched(family.found, rule))
+
+    return meet
 
 
 def covered(starts: np.ndarray, length: int, size: int) -> np.ndarray:
@@ -265,3 +434,72 @@ def covered(starts: np.ndarray, length: int, size: int) -> np.ndarray:
     change[starts] = 1
     change[starts + length] -= 1
     return np.cumsum(change)[:size] > 0
+
+
+def dealt(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """(docs as doc_id, text, k, batch; the logarithm of their size; buckets).
+
+    Batches and buckets are of bounded size, so that there are more of them the larger the corpus is.
+    """
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    batches, buckets = max(least, -(-total // BATCH_CHARS)), max(least, -(-total // BUCKET_CHARS))
+    # Rows of the same id and text are one and the same to all that follows, and keep a row each.
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("k"))
+    return keyed.withColumn("batch", F.pmod(F.xxhash64("k", F.lit(11)), F.lit(batches).cast("long"))), int(total).bit_length(), buckets
+
+
+def last_step(rule):
+    def last(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        told = told_of(answers)
+        state = rule.state(table, told)
+        marks = {size: np.zeros(state.size + 1, dtype=bool) for size in (rule.length, rule.short)}
+
+        def mark(starts: np.ndarray, ends: np.ndarray) -> None:
+            for size, marked in marks.items():
+                marked[starts[starts + size <= ends]] = True
+
+        # Runs that repeat whole: elsewhere, or twice in this batch.
+        twice = np.union1d(told.get(WHOLE, np.zeros(0, np.int64)), np.flatnonzero(state.entries.counts > 1))
+        low, counts, ends = state.spans(state.entries.all_of(twice))
+        mark(spread(low, counts), np.repeat(ends, counts))
+        for kind, payload in zip(answers.column("kind").to_pylist(), answers.column("payload").to_pylist(), strict=True):
+            if kind == MATCHED:
+                runs, long, brief = unpack_arrays(payload)
+                starts = spread(*state.spans(runs)[:2])
+                for size, bits in ((rule.length, long), (rule.short, brief)):
+                    marks[size][starts[np.unpackbits(bits, count=len(starts)).astype(bool)]] = True
+        if HOT in told:
+            for kind, (starts, own) in _windows(state, told[HOT], rule).items():
+                twice = own.counts > 1
+                twice[told.get(kind, np.zeros(0, np.int64))] = True
+                marks[rule.length if kind == LONG else rule.short][starts[twice[own.group]]] = True
+        return state.finished({size: covered(np.flatnonzero(marked), size, state.size) for size, marked in marks.items()})
+
+    return last
+
+
+def repeats(docs: DataFrame, rule, hot_kinds: int = HOT_KINDS) -> DataFrame:
+    """The rule's results for each row of docs (doc_id, text); nothing is dropped or capped.
+
+    rule: length and short (windows that are removed, and shorter ones that are counted), schema, and state(table, told), a
+    batch's texts, with size (symbols), entries (grams of runs), spans(runs) -> (first start, starts, end of the segment),
+    segments(runs, batch), prints(starts, size) and finished(what windows of each size cover). A rule with references
+    has bits (of grams that meet there, fit for a corpus of 2**size_bits by for_corpus), and its states have
+    probes() -> (entries of references, of all others), and know their runs from what they were told: the entries
+    that MET, or the PLACES that they kept then.
+    """
+    ship(docs.sparkSession)
+    keyed, size_bits, buckets = dealt(docs)
+    rule = rule.for_corpus(size_bits)
+    grouped = keyed.groupBy("batch")
+    if rule.references:
+        met = grouped.applyInArrow(probe_step(rule, buckets), ROW).groupBy("bucket").applyInArrow(meet_probes, ROW)
+        grams = grouped.cogroup(met.groupBy("batch")).applyInArrow(first_step(rule, buckets), ROW)
+    else:
+        grams = grouped.applyInArrow(alone(first_step(rule, buckets)), ROW)
+    met = grams.groupBy("bucket").applyInArrow(alone(meet_grams(hot_kinds)), ROW)
+    sent = grouped.cogroup(met.groupBy("batch")).applyInArrow(second_step(rule, buckets), ROW)
+    told = sent.groupBy("bucket").applyInArrow(alone(meet_suffixes(rule)), ROW)
+    return grouped.cogroup(told.groupBy("batch")).applyInArrow(last_step(rule), rule.schema)

@@ -1,35 +1,41 @@
 """Removal of repeated byte strings, by a logarithmic family of suffix arrays.
 
-A batch's suffix array holds the suffixes that may start a long repeat, ordered by a 64-bit fingerprint of
-their first ``length`` bytes; for matches of at least a fixed length, equal prefixes need to stand together
-and no more, and this order takes one sort. In each range of fingerprints, arrays of new batches are
-scanned against the levels that are there for equal entries, and levels of equal size are merged.
+Matches of at least ``short`` bytes are looked for; bytes of those of at least ``length`` are removed, and what
+the shorter ones cover is counted. Of the grams in a window of ``short`` bytes, one has the least hash, and equal
+windows have it at the same place: the anchor. Windows in a row that share it are a run, and the run's segment is all
+that its windows can see, ``length`` bytes from each start. ``repeats`` tells how grams of a batch meet, how segments
+that share one are swept into suffix arrays with LCPs, and how large groups are spread.
 
-Which suffixes may: of the grams in a window of ``length`` bytes, one has the least hash, and equal windows
-have it at the same place. Windows in a row that share it are a run. A run whose gram occurs in no other
-run has no repeat. A run that is equal byte for byte, with all its windows, to another run is repeated
-whole. Where runs share a gram and are not equal, windows go into suffix arrays, those of equal runs once.
+``remove_repeats`` does this for a table as one batch. ``SuffixIndex`` keeps texts, grams and suffix levels in a
+folder: a new batch of documents gets its own arrays, which are merge-scanned against the levels that are there, tells
+of repeats between all batches so far, and becomes a level; levels of equal size class merge.
 
 Texts are UTF-8; matches stay within documents, and every byte that a repeated window covers is removed. A
 null text is empty. Rows with equal id and text are repeats of each other and give a row each; rows with
-null ids take part. An empty table gives no rows; columns other than id and text are ignored.
+null ids take part. An empty table gives no rows; columns other than id and text are ignored. Segments are
+compared byte by byte; that two runs have equal grams and equal segments is told by 128 bits of hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .repeats import Plan, covered, repeats, split_like
+from .common import ship, working
+from .repeats import HOT_KINDS, LEVEL, MATCHED, ROW, SENT, WHOLE, Sorted, alone, covered, dealt, first_step, last_step, meet_grams, meet_suffixes, repeats, second_step
+from .suffix_family import Segments, spread
 from .wordhash import mixed, run_hashes
 
-#: Bytes of a gram; starts of windows worked on at once (the place of a gram has PLACE bits).
-GRAM, CHUNK, PLACE = 64, 1 << 20, 21
-#: What a bucket tells a batch of a run: it occurs elsewhere, or its windows have to be compared.
-WHOLE, SENT = 1, 2
+#: Bytes of the shorter matches, half of which are a gram; starts of windows worked on at once (a gram's place has PLACE bits).
+SHORT, CHUNK, PLACE = 256, 1 << 20, 21
+#: Buckets of a growing index, which stay as they are.
+INDEX_BUCKETS = 64
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
@@ -55,9 +61,20 @@ def _least(keys: np.ndarray, width: int, count: int) -> np.ndarray:
     return np.minimum(behind[:count], ahead[width - 1 : width - 1 + count])
 
 
-def _runs(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """first and last start of each run of windows, and the hashes of its gram and of all its bytes."""
-    lows, highs, grams, wholes = [], [], [], []
+@dataclass
+class Runs:
+    """Runs of windows: first and last start, the gram's place, where what they see ends; hashes of gram and segment."""
+
+    low: np.ndarray
+    high: np.ndarray
+    anchor: np.ndarray
+    end: np.ndarray
+    gram: np.ndarray
+    whole: np.ndarray
+
+
+def _runs(raw: np.ndarray, offsets: np.ndarray, length: int, short: int, gram: int) -> Runs:
+    found: list[tuple[np.ndarray, ...]] = []
     if not _kept_powers:
         _kept_powers.extend(_powers(CHUNK + 4 * length))
     up, down = _kept_powers
@@ -65,35 +82,31 @@ def _runs(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple
         up, down = _powers(CHUNK + length)
     place = np.uint64((1 << PLACE) - 1)
     ends = offsets[1:]
-    for at in range(0, max(len(raw) - length + 1, 0), CHUNK):
-        n = min(CHUNK, len(raw) - length + 1 - at)
+    for at in range(0, max(len(raw) - short + 1, 0), CHUNK):
+        n = min(CHUNK, len(raw) - short + 1 - at)
         part = raw[at : at + n + length - 1]
         sums = np.zeros(len(part) + 1, dtype=np.uint64)
         np.cumsum(_VALUES[part] * up[: len(part)], out=sums[1:])
-        hashes = mixed((sums[gram:] - sums[:-gram]) * down[: len(part) - gram + 1])
-        least = _least((hashes & ~place) | np.arange(len(hashes), dtype=np.uint64), length - gram + 1, n)
+        hashes = mixed((sums[gram : n + short] - sums[: n + short - gram]) * down[: n + short - gram])
+        least = _least((hashes & ~place) | np.arange(len(hashes), dtype=np.uint64), short - gram + 1, n)
         places = (least & place).astype(np.int64)
         # A window stays in its document if the document's end is not before its own.
         end = ends[np.searchsorted(ends, np.arange(at, at + n), "right")] - at
-        inside = np.arange(n) + length <= end
-        starts = np.flatnonzero(inside)
+        starts = np.flatnonzero(np.arange(n) + short <= end)
         if not len(starts):
             continue
-        new = np.concatenate([[True], (places[starts[1:]] != places[starts[:-1]]) | (starts[1:] != starts[:-1] + 1)])
+        new = np.concatenate([[True], (places[starts[1:]] != places[starts[:-1]]) | (starts[1:] != starts[:-1] + 1) | (end[starts[1:]] != end[starts[:-1]])])
         low = starts[new]
         high = starts[np.append(np.flatnonzero(new)[1:], len(starts)) - 1]
-        lows.append(low + at)
-        highs.append(high + at)
-        grams.append(hashes[places[low]])
-        wholes.append(mixed((sums[high + length] - sums[low]) * down[low] + mixed((high - low).astype(np.uint64) + _BASE)))
-    join = lambda x, t: np.concatenate(x) if x else np.zeros(0, dtype=t)
-    return join(lows, np.int64), join(highs, np.int64), join(grams, np.uint64), join(wholes, np.uint64)
-
-
-def _spread(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """All numbers from each low to its high."""
-    sizes = high - low + 1
-    return np.repeat(low - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(low) else np.zeros(0, np.int64)
+        seen = np.minimum(high + length, end[low])
+        # The hash of a segment is of its bytes, its windows and the place of the gram.
+        sizes = mixed(((seen - low) * (1 << 40) + (high - low) * (1 << 20) + places[low] - low).astype(np.uint64) + _BASE)
+        whole = mixed((sums[seen] - sums[low]) * down[low] + sizes)
+        # The least of many hashes is small; mixed anew, grams fall into all buckets alike.
+        found.append((low + at, high + at, places[low] + at, seen + at, mixed(hashes[places[low]] + _BASE), whole))
+    if not found:
+        return Runs(*(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64)))
+    return Runs(*(np.concatenate(c) for c in zip(*found, strict=True)))
 
 
 def _prints(raw: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -111,64 +124,127 @@ def _prints(raw: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return found
 
 
-def plan(length: int, gram: int | None = None) -> Plan:
-    gram = gram or min(GRAM, max(1, length // 4))
-
-    def state(texts):
-        raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        offsets = np.cumsum([0] + [len(t) for t in texts])
-        return raw, offsets, _runs(raw, offsets, length, gram)
-
-    def first(own):
-        _, _, (_, _, grams, wholes) = own
-        return grams, None, wholes
-
-    def judge(arrays, more):
-        grams, wholes = np.concatenate(arrays), np.concatenate([np.frombuffer(m, "<u8") for m in more])
-        order = np.lexsort((wholes, grams))
-        g, w = grams[order], wholes[order]
-        new_gram = np.concatenate([[True], g[1:] != g[:-1]])
-        new_run = new_gram | np.concatenate([[True], w[1:] != w[:-1]])
-        runs = np.flatnonzero(new_run)
-        copies = np.diff(np.append(runs, len(order)))
-        kinds = np.diff(np.append(np.flatnonzero(new_gram[runs]), len(runs)))
-        whole, sent = np.empty(len(order), dtype=bool), np.zeros(len(order), dtype=bool)
-        whole[order] = np.repeat(copies > 1, copies)
-        # Of runs that are equal, one stands for all among those that only share the gram.
-        sent[order[runs]] = np.repeat(kinds > 1, kinds)
-        return {WHOLE: split_like(whole, arrays), SENT: split_like(sent, arrays)}
-
-    def hits(entries, _, told):
-        whole, sent = entries.counts > 1, np.zeros(len(entries.counts), dtype=bool)
-        whole[told.get(WHOLE, np.zeros(0, np.int64))] = True
-        chosen = np.zeros(len(entries.group), dtype=bool)
-        chosen[entries.place()[told.get(SENT, np.zeros(0, np.int64))]] = True
-        return whole[entries.group], chosen
-
-    def second(own, hits):
-        raw, _, (low, high, _, _) = own
-        starts = _spread(low[hits[1]], high[hits[1]])
-        return _prints(raw, starts, length), starts
-
-    def finish(own, texts, starts, hits, repeated):
-        raw, offsets, (low, high, _, _) = own
-        whole = hits[0]
-        gone = covered(np.union1d(_spread(low[whole], high[whole]), starts[repeated]), length, len(raw))
+@dataclass(frozen=True)
+class Rule:
+    length: int = 400
+    short: int = SHORT
+    references = False
+    schema = RESULT
+
+    @classmethod
+    def of(cls, length: int, short: int | None = None) -> "Rule":
+        return cls(length, min(SHORT, length) if short is None else short)
+
+    def for_corpus(self, size_bits: int) -> "Rule":
+        return self
+
+    def state(self, table: pa.Table, told: dict | None) -> "State":
+        return State(table, self)
+
+    @property
+    def gram(self) -> int:
+        return max(1, self.short // 2)
+
+
+class State:
+    """A batch's texts, their runs, and the runs' grams and segments as sorted entries."""
+
+    def __init__(self, table: pa.Table, rule: Rule):
+        working("words")
+        self.table = table.sort_by([("k", "ascending")])
+        self.texts = [(t or "").encode("utf-8", "surrogatepass") for t in self.table.column("text").to_pylist()]
+        self.raw = np.frombuffer(b"".join(self.texts), dtype=np.uint8)
+        self.size, self.rule = len(self.raw), rule
+        self.offsets = np.cumsum([0] + [len(t) for t in self.texts])
+        self.runs = _runs(self.raw, self.offsets, rule.length, rule.short, rule.gram)
+        self.entries, self.kept = Sorted.of(self.runs.gram, 64, self.runs.whole), None
+
+    def spans(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        low = self.runs.low[runs]
+        return low, self.runs.high[runs] - low + 1, self.runs.end[runs]
+
+    def segments(self, runs: np.ndarray, batch: int) -> Segments:
+        low, starts, end = self.spans(runs)
+        sizes = end - low
+        flat = self.raw[spread(low, sizes)] + np.uint8(1)  # no byte of UTF-8 is 255
+        whose, left = np.full(len(runs), batch, dtype=np.int64), self.runs.anchor[runs] - low
+        return Segments(self.runs.gram[runs], whose, runs, left.astype(np.int32), sizes.astype(np.int32), starts.astype(np.int32), np.cumsum(sizes) - sizes, flat)
+
+    def prints(self, starts: np.ndarray, size: int) -> np.ndarray:
+        return _prints(self.raw, starts, size)
+
+    def finished(self, over: dict[int, np.ndarray]) -> pa.Table:
+        gone, repeated = over[self.rule.length], over[self.rule.short]
+        raw, offsets, begins = self.raw, self.offsets, self.offsets[:-1][np.diff(self.offsets) > 0]
         edges = np.diff(gone.astype(np.int8), prepend=0)
-        edges[offsets[:-1][np.diff(offsets) > 0]] = gone[offsets[:-1][np.diff(offsets) > 0]]
-        total, removed, spans, kept = [], [], [], []
-        for k, text in enumerate(texts):
+        edges[begins] = gone[begins]
+        total, removed, spans, kept, brief = [], [], [], [], []
+        for k, text in enumerate(self.texts):
             lo, hi = offsets[k], offsets[k + 1]
             mask = gone[lo:hi]
             total.append(len(text))
             removed.append(int(mask.sum()))
             spans.append(int((edges[lo:hi] > 0).sum()))
             kept.append(hashlib.sha256(raw[lo:hi][~mask].tobytes() if removed[-1] else text).hexdigest())
-        return total, removed, spans, kept
-
-    return Plan(state, first, judge, hits, second, finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", [pa.int64(), pa.int64(), pa.int64(), pa.string()])
-
-
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs (doc_id, text)."""
-    return repeats(docs, plan(length))
+            brief.append(int(repeated[lo:hi].sum()))
+        columns = (total, removed, spans, kept, brief)
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+        names = [c.split()[0] for c in RESULT.split(", ")]
+        return pa.Table.from_arrays([self.table.column("doc_id").combine_chunks(), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, short: int | None = None, hot_kinds: int = HOT_KINDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs (doc_id, text); n_repeated: the bytes
+    that repeats of at least ``short`` bytes cover.
+    """
+    return repeats(docs, Rule.of(length, short), hot_kinds)
+
+
+class SuffixIndex:
+    """An index of repeats in a folder that all executors see, which grows by batches of documents.
+
+    ``texts/add=N`` holds the documents of each batch, ``grams/add=N`` and ``suffixes/add=N`` what they added: levels,
+    and what batches were told. Nothing that is written is changed; levels that were merged into a later one
+    are passed over. A batch whose writing failed is written again under its number.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, length: int = 400, short: int | None = None):
+        self.spark, self.path, self.rule = spark, path.rstrip("/"), Rule.of(length, short)
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/suffixes")
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        done = [s.getPath() for s in files.listStatus(at)] if files.exists(at) else []
+        self.adds = sum(files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")) for p in done)
+        ship(spark)
+
+    def _read(self, name: str, schema: str, upto: int) -> DataFrame:
+        paths = [f"{self.path}/{name}/add={k}" for k in range(upto)]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def add(self, docs: DataFrame) -> None:
+        """Adds docs (doc_id, text) as one batch of the index."""
+        k, rule = self.adds, self.rule
+        keyed, _, _ = dealt(docs)
+        texts = "doc_id long, text string, k long, batch long"
+        keyed.withColumn("batch", F.col("batch") + (k << 40)).write.mode("overwrite").parquet(f"{self.path}/texts/add={k}")
+        new, every = self._read_one("texts", texts, k), self._read("texts", texts, k + 1)
+        entries = new.groupBy("batch").applyInArrow(alone(first_step(rule, INDEX_BUCKETS)), ROW)
+        grams = self._read("grams", ROW, k).where(F.col("kind") == LEVEL)
+        met = entries.groupBy("bucket").cogroup(grams.groupBy("bucket")).applyInArrow(meet_grams(None, k), ROW)
+        met.write.mode("overwrite").parquet(f"{self.path}/grams/add={k}")
+        told = self._read_one("grams", ROW, k).where(F.col("kind").isin(WHOLE, SENT))
+        asked = told.select("batch").distinct()
+        some = every.join(asked, "batch", "left_semi")
+        sent = some.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(second_step(rule, INDEX_BUCKETS), ROW)
+        levels = self._read("suffixes", ROW, k).where(F.col("kind") == LEVEL)
+        matched = sent.groupBy("bucket").cogroup(levels.groupBy("bucket")).applyInArrow(meet_suffixes(rule, k), ROW)
+        matched.write.mode("overwrite").parquet(f"{self.path}/suffixes/add={k}")
+        self.adds = k + 1
+
+    def _read_one(self, name: str, schema: str, k: int) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/add={k}")
+
+    def results(self) -> DataFrame:
+        """remove_repeats of all documents that were added."""
+        told = self._read("suffixes", ROW, self.adds).where(F.col("kind").isin(WHOLE, MATCHED))
+        texts = self._read("texts", "doc_id long, text string, k long, batch long", self.adds)
+        return texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(last_step(self.rule), RESULT)

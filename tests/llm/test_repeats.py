@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lodestone.llm import blocks, repeats, suffixes
+from lodestone.llm import blocks, repeats, suffix_family, suffixes
 
 
 def brute_words(rows, window):
@@ -23,17 +23,24 @@ def brute_words(rows, window):
     return out
 
 
-def brute_bytes(rows, length):
-    texts = [(d, (t or "").encode()) for d, t in rows]
+def gone_of(texts, length):
     seen = Counter(t[i : i + length] for _, t in texts for i in range(len(t) - length + 1))
-    out = []
-    for d, t in texts:
+    for _, t in texts:
         gone = np.zeros(len(t) + 1, dtype=bool)
         for i in range(len(t) - length + 1):
             if seen[t[i : i + length]] > 1:
                 gone[i : i + length] = True
+        yield gone
+
+
+def brute_bytes(rows, length, short=None):
+    """The last column is the bytes in repeats of at least short bytes."""
+    texts = [(d, (t or "").encode()) for d, t in rows]
+    out = []
+    for (d, t), gone, brief in zip(texts, gone_of(texts, length), gone_of(texts, short or min(256, length)), strict=True):
         spans = int((np.diff(gone[:-1].astype(int), prepend=0) > 0).sum())
-        out.append((d, len(t), int(gone.sum()), spans, hashlib.sha256(bytes(b for i, b in enumerate(t) if not gone[i])).hexdigest()))
+        kept = hashlib.sha256(bytes(b for i, b in enumerate(t) if not gone[i])).hexdigest()
+        out.append((d, len(t), int(gone.sum()), spans, kept, int(brief.sum())))
     return out
 
 
@@ -59,18 +66,69 @@ def order(rows):
     return sorted((tuple(r) for r in rows), key=lambda r: tuple((x is not None, x) for x in r))
 
 
-@pytest.mark.parametrize(("seed", "window"), [(1, 35), (2, 8), (3, 5), (4, 1)])
-def test_words_against_all_windows(spark, seed, window):
+@pytest.mark.parametrize(("seed", "window", "hot"), [(1, 35, 20_000), (2, 8, 20_000), (3, 5, 20_000), (4, 1, 20_000), (5, 35, 1), (6, 8, 2)])
+def test_words_against_all_windows(spark, seed, window, hot):
+    """hot: the number of surroundings of a block beyond which windows are met by fingerprint."""
     rows = corpus(seed, 150, [f"w{i}é" for i in range(40)])
-    got = blocks.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window).collect()
+    got = blocks.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window, hot).collect()
     assert order(got) == order(brute_words(rows, window))
 
 
-@pytest.mark.parametrize(("seed", "length"), [(1, 400), (2, 60), (3, 17)])
-def test_bytes_against_all_windows(spark, seed, length):
+@pytest.mark.parametrize(("seed", "length", "short", "hot"), [(1, 400, None, 20_000), (2, 60, None, 20_000), (3, 17, None, 20_000), (4, 90, 40, 20_000), (5, 90, 40, 2), (6, 400, 100, 1)])
+def test_bytes_against_all_windows(spark, seed, length, short, hot):
+    """hot: the number of contexts of a gram beyond which windows are met by fingerprint."""
     rows = corpus(seed, 120, [f"w{i}é" for i in range(30)])
-    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length).collect()
-    assert order(got) == order(brute_bytes(rows, length))
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length, short, hot).collect()
+    assert order(got) == order(brute_bytes(rows, length, short))
+
+
+@pytest.mark.parametrize(("seed", "batches"), [(7, 2), (8, 5)])
+def test_growing_index_against_all_windows(spark, tmp_path, seed, batches):
+    """Batches that are added one by one, the index being opened anew for each, give what one batch of all gives."""
+    rows = corpus(seed, 100, [f"w{i}é" for i in range(30)])
+    rng = random.Random(seed)
+    rng.shuffle(rows)
+    cuts = [0, *sorted(rng.sample(range(1, len(rows)), batches - 1)), len(rows)]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        index = suffixes.SuffixIndex(spark, str(tmp_path / "index"), 90, 40)
+        index.add(spark.createDataFrame(rows[lo:hi], "doc_id long, text string"))
+        assert order(index.results().collect()) == order(brute_bytes(rows[:hi], 90, 40))
+    index.add(spark.createDataFrame([], "doc_id long, text string"))
+    assert order(index.results().collect()) == order(brute_bytes(rows, 90, 40))
+
+
+def common_prefix(a, i, b, j):
+    k = 0
+    while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+        k += 1
+    return k
+
+
+@pytest.mark.parametrize("each", [1, 3, 50])
+def test_family_against_all_pairs(each):
+    """Longest matches of starts at equal places from the anchor, whatever the batches."""
+    rng = random.Random(each)
+    for _ in range(60):
+        rows = []
+        for i in range(rng.randint(1, 25)):
+            n = rng.randint(1, 14)
+            rows.append((rng.randint(0, 3), rng.randrange(n), [rng.randint(1, 3) for _ in range(n)], i, rng.randint(1, n)))
+        want, got = {}, {}
+        for group, left, text, i, starts in rows:
+            got[i] = np.zeros(starts, dtype=int)
+            want[i] = [max([common_prefix(text, s, t, s - left + m) for g, m, t, j, _ in rows if g == group and j != i and 0 <= s - left + m < len(t)], default=0) for s in range(starts)]
+        family = suffix_family.Family()
+        for at in range(0, len(rows), each):
+            part = sorted(rows[at : at + each])
+            sizes = np.array([len(r[2]) for r in part], np.int64)
+            column = lambda k, kind: np.array([r[k] for r in part], kind)  # noqa: B023, E731
+            family.add(suffix_family.Segments(column(0, np.uint64), column(3, np.int64), column(3, np.int64), column(1, np.int32), sizes.astype(np.int32), column(4, np.int32), np.cumsum(sizes) - sizes, np.concatenate([np.array(r[2], "u1") for r in part])))
+        for segments, best in family.found:
+            ends = np.cumsum(segments.starts)
+            for i, end, n in zip(segments.place.tolist(), ends.tolist(), segments.starts.tolist(), strict=True):
+                got[i] = np.maximum(got[i], best[end - n : end])
+        assert {i: b.tolist() for i, b in got.items()} == want
+        assert sum(map(len, family.levels)) == len(rows) and len(family.levels) <= len(rows).bit_length()
 
 
 def test_empty_tables_and_clashing_columns(spark):
