@@ -8,13 +8,16 @@ confirm them, and words nearby move the score. Kinds, in their order where start
 ``iban``                 country, two digits, up to 30 more letters or digits; mod 97 must be 1
 ``ssn``                  three, two and four digits with hyphens; kept only near a word that names it
 ``local_phone``          ten digits without a plus sign; kept only near a word that names it
+``secret``               keys of the forms that large providers publish, signed web tokens, and what is assigned to a
+                         name such as token, secret, password or api key, of 16 characters and more
 
 Added spans that overlap a base span go. Offsets are code points, ends exclusive.
 
 Nothing here loops over a text more than a fixed number of times: each pattern can only start where a run
 of its characters starts, and dots or separators that join a run are first replaced, length for length, by
 a control character, so that runs are plain character classes without nested repetition. A null or empty
-text has no spans. Rows are kept as they are, repeated ones included; other columns pass through.
+text has no spans. Rows are kept as they are, repeated ones included; other columns pass through, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import plain
+
 #: Stands for a joining dot or separator while matching; texts that hold it get FREE in its place first.
 JOIN, FREE = "\x01", "\x02"
 #: Code points on either side of a span in which context words count.
@@ -43,6 +48,11 @@ class Kind:
 
 
 BOOST = 0.3
+#: Names that a secret is assigned to, as a bounded look behind; and forms of keys by their published prefixes.
+_NAMED = r"""(?<=(?i:token|secret|password|passwd|pwd|api_key|api-key|apikey|access_key|access-key|auth_key|client_secret)["']? {0,2}[:=] {0,2}["']?)"""
+_ISSUED = r"AKIA[0-9A-Z]{16}(?![0-9A-Z])|gh[pousr]_[A-Za-z0-9]{36,255}|sk-[A-Za-z0-9_-]{20,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"
+#: Texts without a match of this have no secret.
+_MAYBE_SECRET = r"""[:=] {0,2}["']?[A-Za-z0-9+/_.-]{16}|AKIA|gh[pousr]_|sk-|xox[abprs]-|AIza|eyJ"""
 KINDS = (
     Kind("email", rf"(?:(?<![A-Za-z0-9._%+{JOIN}-])|\G)[A-Za-z0-9._%+{JOIN}-]++@[A-Za-z0-9-]++{JOIN}[A-Za-z0-9{JOIN}-]*+", 0.7, r"e-?mail|mail|contact|courriel|correo|kontakt"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, r"\bip\b|address|host|server|adresse|direcci"),
@@ -51,6 +61,7 @@ KINDS = (
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", 0.7, r"iban|account|konto|compte|cuenta", base=False),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", 0.3, r"\bssn\b|social security|tax id", base=False),
     Kind("local_phone", r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])", 0.3, r"phone|tel|call|mobile|fax|anruf|appel|llam", base=False),
+    Kind("secret", rf"(?<![A-Za-z0-9+/_.-])(?:{_NAMED}[A-Za-z0-9+/_.-]{{16,}}+={{0,2}}|{_ISSUED})", 0.7, r"key|token|secret|passw|credential", base=False),
 )
 ORDER = {k.name: i for i, k in enumerate(KINDS)}
 
@@ -152,7 +163,7 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     joined = F.regexp_replace(free, r"(?<=[0-9])[ -](?=[0-9])", JOIN)
     views = {"email": dotted, "card": joined}
     # Cheap tests that rule most texts out before any pattern runs.
-    wants = {"email": F.contains(original, F.lit("@")), "phone": F.contains(original, F.lit("+"))}
+    wants = {"email": F.contains(original, F.lit("@")), "phone": F.contains(original, F.lit("+")), "secret": F.regexp_like(original, F.lit(_MAYBE_SECRET))}
     none = F.array().cast(f"array<{SPAN}>")
     digits = F.regexp_like(original, F.lit("[0-9]"))
 
@@ -162,9 +173,10 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
     base = F.concat(*(of(k) for k in KINDS if k.base))
     added = F.concat(*(of(k) for k in KINDS if not k.base))
-    with_base = docs.withColumn("__pii_base", F.array_sort(base))
-    free_of = F.filter(added, lambda s: ~F.exists("__pii_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return with_base.withColumn("__pii_all", F.when(digits, F.array_sort(F.concat(F.col("__pii_base"), free_of))).otherwise(F.col("__pii_base")))
+    with_base = docs.withColumn("__pii_base", F.array_sort(base)).withColumn("__pii_added", added)
+    free_of = F.filter("__pii_added", lambda s: ~F.exists("__pii_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    every = F.when(F.size("__pii_added") > 0, F.array_sort(F.concat(F.col("__pii_base"), free_of))).otherwise(F.col("__pii_base"))
+    return with_base.withColumn("__pii_all", every).drop("__pii_added")
 
 
 def find(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -172,7 +184,8 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     found = with_spans(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "text")
     count = lambda name: F.size(F.filter("__pii_base", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
     counts = [count(k.name) for k in KINDS if k.base]
-    return found.select("doc_id", *counts, F.sha2(_written(F.col("__pii_base")), 256).alias("base_sha256"), _written(F.col("__pii_all")).alias("spans"), F.array_join(F.transform("__pii_all", lambda s: s["score"].cast("string")), ",").alias("scores"))
+    secrets = F.size(F.filter("__pii_all", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret")
+    return found.select("doc_id", *counts, F.sha2(_written(F.col("__pii_base")), 256).alias("base_sha256"), _written(F.col("__pii_all")).alias("spans"), F.array_join(F.transform("__pii_all", lambda s: s["score"].cast("string")), ",").alias("scores"), secrets)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -180,8 +193,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Overlapping spans count as one, named after the first.
     """
-    columns = docs.columns
-    found = with_spans(docs, text)
+    # All columns as one, beside which the names in use here clash with nothing.
+    found = with_spans(docs.select(F.struct(*plain(docs)).alias("doc"), F.col(text).alias("text")), "text")
     merged = F.aggregate(
         "__pii_all", F.array().cast("array<struct<start:int,end:int,kind:string>>"),
         lambda a, s: F.when(
@@ -190,14 +203,16 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         ).otherwise(F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))),
     )
     found = found.withColumn("__pii_merged", F.when(F.size("__pii_all") > 0, merged))
-    source = F.col(text)
+    source = F.col("text")
     pieces = F.transform(F.sequence(F.lit(0), F.size("__pii_merged") - 1), lambda i: F.concat(_between(source, i), F.lit("<"), F.upper(F.get("__pii_merged", i)["kind"]), F.lit(">")))
     tail = source.substr(F.element_at("__pii_merged", -1)["end"] + 1, F.length(source))
     clean = F.when(F.size("__pii_merged") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(source)
-    found = found.withColumn(text, clean)
-    if "n_chars" in columns and text == "text":
-        found = found.withColumn("n_chars", F.coalesce(F.length(text).cast("long"), F.col("n_chars")))
-    return found.select(*columns)
+    found = found.withColumn("text", clean)
+    made = {text: F.col("text")}
+    if "n_chars" in docs.columns and text == "text":
+        known = F.col("doc").getField("n_chars")
+        made["n_chars"] = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), known)
+    return found.select(*(made.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns))
 
 
 def _between(source: Column, i: Column) -> Column:
