@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from lodestone.llm import decontaminate, jaccard, langid, packing, pii
 from lodestone.llm.common import BROADCAST_IDS, cut, fresh, plain, table
 
-#: A prediction of at least this score replaces another language that a document is said to be in.
-SURE = 0.9
+#: A prediction of at least this score, on a text of so many code points, replaces another language that is given.
+SURE, ENOUGH = 0.9, 100
 NEAR = jaccard.Rule(5, 80)
 
 
@@ -35,7 +35,7 @@ def _without(rows: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language (no text, or no letter in it).
 
-    lang becomes the predicted one where none is given, and where the prediction scores SURE at least.
+    lang becomes the predicted one where none is given, and where the prediction is sure.
     """
     model = langid.learn(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
     if model is None:  # not a single known language to learn from: what has letters stays
@@ -43,7 +43,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     said, score = fresh(docs, "lang_pred"), fresh(docs, "score")
     told = langid.predict(docs, model, plain(docs), names=(said, score))
     spoken = told.where(F.col(said) != langid.UNKNOWN)
-    best = F.when(F.col("lang").isNull() | (F.col(score) >= SURE), F.col(said)).otherwise(F.col("lang"))
+    sure = (F.col(score) >= SURE) & (F.length("text") >= ENOUGH)
+    best = F.when(F.col("lang").isNull() | sure, F.col(said)).otherwise(F.col("lang"))
     return spoken.withColumn("lang", best).select(*plain(docs))
 
 
