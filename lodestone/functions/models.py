@@ -175,14 +175,17 @@ def canonical_keys(smiles: DataFrame, canonicalize: Canonicalizer) -> DataFrame:
     return smiles.select("smiles").where("smiles is not null").distinct().mapInArrow(run, "smiles string, ckey string")
 
 
-def fingerprints(structures: DataFrame, fingerprint: Fingerprinter) -> DataFrame:
-    """(key, smiles, fingerprint, exact_mass) of structures that parse."""
+def fingerprints(structures: DataFrame, fingerprint: Fingerprinter, chunk: int = 500) -> DataFrame:
+    """(key, smiles, fingerprint, exact_mass) of structures that parse; the callable sees chunk of them at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            made = fingerprint(rows.column(1).to_pylist())
-            keep = pa.array([m is not None for m in made])
-            yield pa.record_batch([rows.column(0).filter(keep), rows.column(1).filter(keep), pa.array([m[0] for m in made if m], pa.binary()), pa.array([m[1] for m in made if m], pa.float64())], ["key", "smiles", "fingerprint", "exact_mass"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, chunk):
+                rows = batch.slice(at, chunk)
+                made = fingerprint(rows.column(1).to_pylist())
+                keep = pa.array([m is not None for m in made])
+                packed, masses = pa.array([m[0] for m in made if m], pa.binary()), pa.array([m[1] for m in made if m], pa.float64())
+                yield pa.record_batch([rows.column(0).filter(keep), rows.column(1).filter(keep), packed, masses], ["key", "smiles", "fingerprint", "exact_mass"])
 
     return structures.select("key", "smiles").mapInArrow(run, "key string, smiles string, fingerprint binary, exact_mass double")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import durable
+
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group with their rank; Spark cuts groups before it shuffles them."""
@@ -38,6 +40,19 @@ def tier_fill(first: DataFrame, second: DataFrame, by: str, key: str, rank: str,
 
 
 def dense_code(df: DataFrame, column: str, code: str) -> DataFrame:
-    """Distinct values of column with codes from 0 in their order. The one task it takes holds distinct values only."""
+    """Distinct values of column with codes from 0 in their order.
+
+    Values are sorted into ranges and numbered within; each range's first code is the number of values in those
+    before it, of which the driver sees a row for each range.
+    """
     distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
-    return distinct.withColumn(code, (F.dense_rank().over(Window.orderBy(column)) - 1).cast("long"))
+    placed = durable(distinct.orderBy(column).withColumn("__at", F.monotonically_increasing_id()))
+    # A range's number is in the bits above 33, the place in it below.
+    sizes = sorted((r.part, r.n) for r in placed.groupBy(F.shiftright("__at", 33).alias("part")).agg(F.count("*").alias("n")).collect())
+    firsts, total = [], 0
+    for part, n in sizes:
+        firsts.append((part, total))
+        total += n
+    before = F.broadcast(df.sparkSession.createDataFrame(firsts, "__part long, __first long"))  # a row for each range
+    own = placed.withColumn("__part", F.shiftright("__at", 33)).join(before, "__part")
+    return own.select(column, (F.col("__first") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).alias(code))

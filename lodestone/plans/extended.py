@@ -124,6 +124,23 @@ def c6_pool_rows(spark, d):
     return M.pool_rows(raw, lambda rows: _parse([r.replace(",", ".") for r in rows])).drop("fingerprint")
 
 
+@query("SELECT p_partkey::VARCHAR AS key, upper(to_hex(p_partkey % 251)) AS fp, p_retailprice AS exact_mass FROM part WHERE p_partkey % 10 <> 3")
+def c3_fingerprint_many(spark, d):
+    """Fingerprints in chunks of 500; what doesn't parse is left out."""
+
+    def make(rows: list[str]):
+        if len(rows) > 500:
+            raise ValueError("a chunk has 500 structures at most")
+        parts = [r.split("|") for r in rows]
+        return [None if int(k) % 10 == 3 else (bytes([int(k) % 251]), float(m)) for k, m in parts]
+
+    key = F.col("p_partkey").cast("string")
+    raw = table(spark, d, "part").select(key.alias("key"), F.concat_ws("|", key, F.col("p_retailprice").cast("string")).alias("smiles"))
+    made = M.fingerprints(raw, make)
+    # As SQL writes a number: no leading zero.
+    return made.select("key", F.regexp_replace(F.hex("fingerprint"), "^0(?=.)", "").alias("fp"), "exact_mass")
+
+
 @query("SELECT p_partkey AS key, length(p_name)::DOUBLE AS size, (length(p_name) - length(replace(p_name, 'e', '')))::DOUBLE AS es, (p_name LIKE '%an%')::INT::DOUBLE AS an FROM part")
 def c7_descriptors(spark, d):
     """Numbers and pattern matches of structures by a callable on batches."""

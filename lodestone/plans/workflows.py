@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..engine import Engine
 from ..functions import bits as B
 from ..functions import peaks as P
 from ..functions import scores as S
+from ..functions.families import block_scorer
 from ..operators import evaluate as E
 from ..operators import joins as J
 from ..operators import library as L
@@ -265,19 +267,26 @@ def _cand(name: str, pool: str) -> str:
 )"""
 
 
-def _fused(name: str, alpha: float) -> str:
-    """Scores of the narrowest window that holds anything, fused: {name}_top, the best 50 of each query."""
+def _fused(name: str, alpha: float, blocks: bool = False) -> str:
+    """Scores of the narrowest window that holds anything, fused: {name}_top, the best 50 of each query.
+
+    blocks: the model's score is the z of the first 32 bits and 0.2 of that of all others.
+    """
+    z = lambda c: f"CASE WHEN stddev_pop({c}) OVER v > 0 THEN ({c} - avg({c}) OVER v) / stddev_pop({c}) OVER v ELSE 0 END"
+    lik = f"{z('coalesce(la, 0)')} + 0.2::DOUBLE * ({z('coalesce(lb, 0)')})" if blocks else "coalesce(lik, 0)"
+    window = " WINDOW v AS (PARTITION BY c.query_id)" if blocks else ""
     scaled = lambda c, constant: f"CASE WHEN max({c}) OVER q > min({c}) OVER q THEN ({c} - min({c}) OVER q) / (max({c}) OVER q - min({c}) OVER q) ELSE {constant} END"
     prop = f"{alpha}::DOUBLE * coalesce({scaled('prop', 'CASE WHEN max(prop) OVER q > 0 THEN 1.0::DOUBLE ELSE 0 END')}, 0) + " if alpha else ""
     return f"""
 {name}_w AS (SELECT * FROM {name}_c QUALIFY level = min(level) OVER (PARTITION BY query_id)),
 {name}_l AS (
-    SELECT query_id, key, sum(l * CASE WHEN i < 32 THEN (w0 >> i::INT) & 1 ELSE (w1 >> (i - 32)::INT) & 1 END) AS lik
+    SELECT query_id, key, sum(l * CASE WHEN i < 32 THEN (w0 >> i::INT) & 1 ELSE (w1 >> (i - 32)::INT) & 1 END) AS lik,
+           sum(CASE WHEN i < 32 THEN l * ((w0 >> i::INT) & 1) ELSE 0 END) AS la, sum(CASE WHEN i < 32 THEN 0 ELSE l * ((w1 >> (i - 32)::INT) & 1) END) AS lb
     FROM {name}_w JOIN logits USING (query_id) GROUP BY ALL
 ),
 {name}_s AS (
-    SELECT c.query_id AS query_id, molecule_id, c.key AS key, smiles, prop, coalesce(lik, 0) AS lik
-    FROM {name}_w c LEFT JOIN {name}_p p ON p.query_id = c.query_id AND p.key = c.key LEFT JOIN {name}_l l ON l.query_id = c.query_id AND l.key = c.key
+    SELECT c.query_id AS query_id, molecule_id, c.key AS key, smiles, prop, {lik} AS lik
+    FROM {name}_w c LEFT JOIN {name}_p p ON p.query_id = c.query_id AND p.key = c.key LEFT JOIN {name}_l l ON l.query_id = c.query_id AND l.key = c.key{window}
 ),
 {name}_f AS (
     SELECT query_id, molecule_id, key, smiles, {prop}{1 - alpha}::DOUBLE * (0.05::DOUBLE + 0.95::DOUBLE * ({scaled('lik', '1.0::DOUBLE')})) AS score
@@ -327,6 +336,14 @@ def q7_predict_v3(spark, d):
     return _ranked_out(V.predict_v3(_test_spectra(spark, d), _library(spark, d), _pool(spark, d), _probs(spark, d), _canonical(spark, d), WIDE), "ckey", "smiles")
 
 
+@query(f"{_FOUND}, {_WINDOW}, {_cand('t', 'named')}, {_fused('t', 0.3, True)}, {_listed('t')} {_or_common('t_list')}")
+def q7_predict_v3_blocks(spark, d):
+    """The third generation with a scorer of its own: the families of a fingerprint, block by block."""
+    scorer = block_scorer({"first": (0, 32), "second": (32, 48), "third": (48, 64)}, 0.2, True)
+    found = Engine(spark, WIDE).predict(3, _test_spectra(spark, d), _library(spark, d), _pool(spark, d), probs=_probs(spark, d), canonical=_canonical(spark, d), scorer=scorer)
+    return _ranked_out(found, "ckey", "smiles")
+
+
 def _large(spark, d):
     p = _pool(spark, d)
     return p.select(F.concat(F.lit("L"), "key").alias("key"), F.concat(F.lit("L"), "smiles").alias("smiles"), "exact_mass", "fp", "popcount").unionByName(p.select("key", "smiles", "exact_mass", "fp", "popcount").where("popcount > 34"))
