@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .common import working
 from .repeats import HOT_KINDS, MET, PLACES, Sorted, repeats
 from .suffix_family import Segments, spread
-from .wordhash import mixed, run_hashes, word_hashes
+from .wordhash import hashes_in, mixed, run_hashes, words_in
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -63,12 +63,14 @@ class State:
     """A batch's words, and, once it is told, the blocks that hit a reference or are one that was hit."""
 
     def __init__(self, table: pa.Table, rule: Rule, told: dict | None):
-        working("words")
+        working()
         self.table = table.sort_by([("k", "ascending")])
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in self.table.column("text").to_pylist()]
-        self.words = [t.split() for t in texts]
-        self.offsets = np.cumsum([0] + [len(w) for w in self.words])
-        self.hashes = word_hashes([w for ws in self.words for w in ws])
+        self.texts = [(t or "").encode("utf-8", "surrogatepass") for t in self.table.column("text").to_pylist()]
+        raw = np.frombuffer(b" ".join(self.texts), dtype=np.uint8)
+        starts, ends = words_in(raw)
+        bounds = np.cumsum([0] + [len(t) + 1 for t in self.texts])
+        self.offsets = np.searchsorted(starts, bounds)
+        self.hashes = hashes_in(raw, starts, ends)
         self.size, self.rule = len(self.hashes), rule
         self.blocks = run_hashes(self.hashes, rule.block)
         if told is None or PLACES not in told:
@@ -131,7 +133,7 @@ class State:
     def finished(self, over: dict[int, np.ndarray]) -> pa.Table:
         gone = over[self.rule.window]
         total, removed, kept = [], [], []
-        for k, own in enumerate(self.words):
+        for k, own in enumerate(t.split() for t in self.texts):
             mask = gone[self.offsets[k] : self.offsets[k + 1]]
             total.append(len(own))
             removed.append(int(mask.sum()))

@@ -29,23 +29,14 @@ from pyspark.sql import functions as F
 from .common import ship, working
 from .repeats import HOT_KINDS, LEVEL, MATCHED, ROW, SENT, WHOLE, Sorted, alone, covered, dealt, first_step, last_step, meet_grams, meet_suffixes, repeats, second_step
 from .suffix_family import Segments, spread
-from .wordhash import mixed, run_hashes
+from .wordhash import BYTES, CHUNK, mixed, powers, run_hashes
 
-#: Bytes of the shorter matches, half of which are a gram; starts of windows worked on at once (a gram's place has PLACE bits).
-SHORT, CHUNK, PLACE = 256, 1 << 20, 21
+#: Bytes of the shorter matches, half of which are a gram; bits of a gram's place among the CHUNK starts worked on at once.
+SHORT, PLACE = 256, 21
 #: Buckets of a growing index, which stay as they are.
 INDEX_BUCKETS = 64
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(n, _BASE, dtype=np.uint64)
-    up[0] = 1
-    down = np.full(n, pow(int(_BASE), -1, 1 << 64), dtype=np.uint64)
-    down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
 _kept_powers: list = []
@@ -76,17 +67,17 @@ class Runs:
 def _runs(raw: np.ndarray, offsets: np.ndarray, length: int, short: int, gram: int) -> Runs:
     found: list[tuple[np.ndarray, ...]] = []
     if not _kept_powers:
-        _kept_powers.extend(_powers(CHUNK + 4 * length))
+        _kept_powers.extend(powers(CHUNK + 4 * length))
     up, down = _kept_powers
     if len(up) < CHUNK + length:
-        up, down = _powers(CHUNK + length)
+        up, down = powers(CHUNK + length)
     place = np.uint64((1 << PLACE) - 1)
     ends = offsets[1:]
     for at in range(0, max(len(raw) - short + 1, 0), CHUNK):
         n = min(CHUNK, len(raw) - short + 1 - at)
         part = raw[at : at + n + length - 1]
         sums = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(_VALUES[part] * up[: len(part)], out=sums[1:])
+        np.cumsum(BYTES[part] * up[: len(part)], out=sums[1:])
         hashes = mixed((sums[gram : n + short] - sums[: n + short - gram]) * down[: n + short - gram])
         least = _least((hashes & ~place) | np.arange(len(hashes), dtype=np.uint64), short - gram + 1, n)
         places = (least & place).astype(np.int64)
@@ -119,7 +110,7 @@ def _prints(raw: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
         own = starts[lo:hi] - first
         wanted = covered(own, length, int(own[-1]) + length)
         moved = np.cumsum(wanted) - 1
-        found[lo:hi] = run_hashes(_VALUES[raw[first : first + len(wanted)][wanted]], length)[moved[own]]
+        found[lo:hi] = run_hashes(BYTES[raw[first : first + len(wanted)][wanted]], length)[moved[own]]
         lo = hi
     return found
 
@@ -150,7 +141,7 @@ class State:
     """A batch's texts, their runs, and the runs' grams and segments as sorted entries."""
 
     def __init__(self, table: pa.Table, rule: Rule):
-        working("words")
+        working()
         self.table = table.sort_by([("k", "ascending")])
         self.texts = [(t or "").encode("utf-8", "surrogatepass") for t in self.table.column("text").to_pylist()]
         self.raw = np.frombuffer(b"".join(self.texts), dtype=np.uint8)
