@@ -7,16 +7,19 @@ import ctypes
 import hashlib
 import os
 import tempfile
-import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only by local sessions that name no shared folder, as in tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/lodestone"
+from ..sources.shared import dropped_at_end, is_local, new_folder, shared_dir
+
+__all__ = ["BROADCAST_IDS", "cut", "dropped_at_end", "fresh", "keeps", "new_folder", "plain", "shared_dir", "ship", "sized", "table", "tidied", "trim", "working"]
+
+
 #: Ids that are broadcast at most (8 bytes each, counted first); more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
@@ -39,10 +42,28 @@ def working(name: str = "") -> None:
         if other != name:
             drop()
     _last[0] = name
-    with contextlib.suppress(OSError, AttributeError):  # not every C library can give memory back
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, as far as the C library and Arrow can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def tidied(run):
+    """run, a function for mapInArrow, whose worker gives memory back when its task ends: workers stay on idle."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidy
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,12 +85,6 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
-def is_local(spark: SparkSession) -> bool:
-    """Whether the workers run on the driver's machine, as in tests."""
-    master = spark.sparkContext.master
-    return master == "local" or master.startswith("local[")
-
-
 _sent: set[str] = set()
 
 
@@ -106,20 +121,6 @@ def _zipped(package: Path) -> str:
     return path
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir. A local session may go without one."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
-        return named.rstrip("/")
-    if not is_local(spark):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    sc.setCheckpointDir(LOCAL_CHECKPOINTS)
-    return LOCAL_CHECKPOINTS
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder; Spark drops the files with the last reference."""
     shared_dir(df.sparkSession)
@@ -129,15 +130,3 @@ def cut(df: DataFrame) -> DataFrame:
 def sized(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
     """df in as many partitions as its rows need, if it has more: a small table in hundreds makes thousands of files."""
     return df.coalesce(max(2, -(-rows // each)))
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-
-
-def dropped_at_end(spark: SparkSession, path: str) -> str:
-    """path, which Hadoop removes when this application ends; for what only one of its queries reads."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path

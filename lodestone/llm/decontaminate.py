@@ -2,8 +2,7 @@
 
 Passages are windows of WINDOW words, one beginning every STEP words. Their TF-IDF vectors have a place for
 each word of the benchmark and hashed places for all other words; document frequencies are counted over
-every passage of the corpus. In a search, words outside the benchmark only lengthen a passage, each by the
-mean of theirs. Items' passages are taken in groups of ``rank`` at most, and an SVD of a group's gives its
+every passage of the corpus, once for all items. Items' passages are taken in groups of ``rank`` at most, and an SVD of a group's gives its
 latent space, in which each of them keeps its whole length: what is found does not depend on how many other
 items there are. (Directions of the corpus could add nothing, for items have no part in them.) A passage is a
 candidate for an item where the cosine in that space is at least ``least_cosine``, or what an item of n words
@@ -16,8 +15,8 @@ sentence, or of its last third if it has one sentence) that is there. An item is
 subsequence is at least ``whole``, or at least ``part`` with ``answer`` of the answer's words. Items of
 fewer than SHORT words are only found whole and in one piece, wherever their run of words is in a text, at any cosine.
 
-The benchmark is a query set of checked size: beyond BLOCK_ITEMS items it is searched in blocks, each with
-document frequencies of its own. Null or wordless texts are never contaminated, null or wordless items find nothing;
+The benchmark is a query set of checked size (MOST_ITEMS), which every worker holds as latent spaces; beyond
+BLOCK_ITEMS items it is searched in blocks, so that a worker's share is bounded. Null or wordless texts are never contaminated, null or wordless items find nothing;
 items with equal texts are all reported; rows with equal ids are reported as one, rows with a null id under
 the null id. Empty tables on either side give no rows. Other columns are ignored.
 """
@@ -27,31 +26,56 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, working
+from .common import ship, tidied, working
+from .wordhash import hashes_in, words_in
 
 WINDOW, STEP = 48, 24
-#: Places that words outside the benchmark share; words kept per worker; words worked on at once.
-HASHED, KEPT_WORDS, SLICE = 1 << 13, 250_000, 1 << 18
+#: Places that words outside the benchmark share; bytes of text worked on at once.
+HASHED, SLICE = 1 << 13, 1 << 21
 #: Rank of a latent space at most, and so the number of items' passages it is for.
 RANK = 256
 #: Steps that are projected at once.
 STEPS = 512
-BLOCK_ITEMS, SHORT = 2000, 8
+#: Items of a block, items in all, and words below which an item is short.
+BLOCK_ITEMS, MOST_ITEMS, SHORT = 2000, 200_000, 8
 _FLAT = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 RESULT = "doc_id long, item_id long, cosine double, lcs double, answer double, start_word long"
 
 
+def flattened(text: str | None) -> bytes:
+    """Lower-cased UTF-8, ASCII punctuation being space."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_FLAT)
+
+
 def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased words, ASCII punctuation being space."""
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_FLAT).split()
+    return flattened(text).split()
+
+
+def _hashed(words: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b" ".join(words), dtype=np.uint8)
+    return hashes_in(raw, *words_in(raw))
+
+
+class Places:
+    """The place of each word: its own if the benchmark has it, else one that it shares by hash."""
+
+    def __init__(self, vocabulary: list[bytes]):
+        self.known = len(vocabulary)
+        self.size = self.known + HASHED
+        hashes = _hashed(vocabulary)
+        self.order = np.argsort(hashes)
+        self.sorted = hashes[self.order]
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.sorted, hashes), self.known - 1)
+        own = self.sorted[at] == hashes
+        return np.where(own, self.order[at], self.known + (hashes % np.uint64(HASHED)).astype(np.int64)).astype(np.int32)
 
 
 @dataclass
@@ -69,10 +93,9 @@ class Group:
 
 @dataclass
 class Space:
-    vocabulary: dict[bytes, int]
+    places: Places
+    #: The weight of each place.
     idf: np.ndarray
-    #: The squared weight of each of the benchmark's words, and then the mean of all other words'.
-    weight: np.ndarray
     groups: list[Group]
     #: Of each item: its id, its words, its answer's words.
     items: list[tuple[int | None, list[bytes], frozenset[bytes]]]
@@ -80,29 +103,17 @@ class Space:
     short: dict[int, list[tuple[int, np.ndarray, int]]]
 
 
-class _Places(dict):
-    def __missing__(self, word: bytes) -> int:
-        place = self.base + xxhash.xxh3_64_intdigest(word) % HASHED
-        if len(self) < KEPT_WORDS:
-            self[word] = place
-        return place
-
-
-def _places(vocabulary: dict[bytes, int]) -> _Places:
-    found = _Places(vocabulary)
-    found.base = len(vocabulary)
-    return found
-
-
-def _slices(texts: list[str | None], places: _Places) -> Iterator[tuple[np.ndarray, np.ndarray, list[list[bytes]], int]]:
-    """(places of words, offsets of texts, the texts' words, the first text) for a bounded number of words."""
+def _slices(texts: list[str | None], places: Places) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes], int]]:
+    """(places of words, offsets of texts, the texts as they are split, the first text) for a bounded number of bytes."""
     held, first, count = [], 0, 0
     for k, text in enumerate(texts):
-        held.append(words_of(text))
+        held.append(flattened(text))
         count += len(held[-1])
         if count >= SLICE or k == len(texts) - 1:
-            flat = np.fromiter(map(places.__getitem__, chain.from_iterable(held)), dtype=np.int32, count=count)
-            yield flat, np.cumsum([0] + [len(w) for w in held]), held, first
+            raw = np.frombuffer(b" ".join(held), dtype=np.uint8)
+            starts, ends = words_in(raw)
+            bounds = np.cumsum([0] + [len(t) + 1 for t in held])
+            yield places.of(hashes_in(raw, starts, ends)), np.searchsorted(starts, bounds), held, first
             held, first, count = [], k + 1, 0
 
 
@@ -114,13 +125,13 @@ def _steps(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return offsets[:-1][owner] + within * STEP, owner
 
 
-def _frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, int]:
+def _frequencies(docs: DataFrame, places: Places) -> tuple[np.ndarray, int]:
     """Of every place, the number of the corpus' passages (here side by side) that have it; and all passages."""
-    size = len(vocabulary) + HASHED
+    size = places.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working()
-        places, counts, total = _places(vocabulary), np.zeros(size, dtype=np.int64), 0
+        counts, total = np.zeros(size, dtype=np.int64), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 for flat, offsets, _, _ in _slices(batch.column(0).slice(at, 512).to_pylist(), places):
@@ -140,7 +151,7 @@ def _frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndar
         used = np.flatnonzero(counts)
         yield pa.record_batch([pa.array(np.append(used, -1)), pa.array(np.append(counts[used], total))], ["place", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(tidied(run), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
     counts, total = np.zeros(size), 0
     for r in rows:
         if r.place < 0:
@@ -153,7 +164,7 @@ def _frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndar
 def _group(passages: list[tuple[int, np.ndarray]], idf: np.ndarray) -> Group:
     """The space of (item, places of words)."""
     known = np.unique(np.concatenate([words for _, words in passages]))
-    row = np.full(len(idf) + 2, len(known), dtype=np.int32)
+    row = np.full(len(idf) + HASHED + 1, len(known), dtype=np.int32)
     row[known] = np.arange(len(known))
     rows = np.stack([np.bincount(row[words], minlength=len(known)) for _, words in passages]) * idf[known]
     rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
@@ -182,25 +193,27 @@ def common_subsequence(item: list[bytes], words: list[bytes]) -> int:
     return len(item) - row.bit_count()
 
 
-def _space(docs: DataFrame, items: list[tuple[int | None, str]], rank: int) -> Space | None:
+def _spaces(docs: DataFrame, items: list[tuple[int | None, str]], rank: int) -> Iterator[Space]:
+    """A space for each block of items; words, frequencies and weights are common to all."""
     items = [(i, t) for i, t in items if words_of(t)]
     if not items:
-        return None
-    vocabulary = {w: k for k, w in enumerate(sorted({w for _, t in items for w in words_of(t)}))}
-    counts, total = _frequencies(docs, vocabulary)
+        return
+    vocabulary = sorted({w for _, t in items for w in words_of(t)})
+    place = {w: k for k, w in enumerate(vocabulary)}
+    places = Places(vocabulary)
+    counts, total = _frequencies(docs, places)
     idf = np.log((total + 1) / (counts + 1)) + 0.05
-    others = counts[len(vocabulary) :]
-    mean = (others * idf[len(vocabulary) :] ** 2).sum() / others.sum() if others.sum() else idf[0] ** 2
-    weight = np.append(idf[: len(vocabulary)] ** 2, mean)
-    told = [np.fromiter(map(vocabulary.__getitem__, words_of(t)), np.int64) for _, t in items]
-    passages = [(k, own[at : at + WINDOW]) for k, own in enumerate(told) for at in range(0, len(own), WINDOW)]
-    groups = [_group(passages[at : at + rank], idf[: len(vocabulary)]) for at in range(0, len(passages), rank)]
-    short: dict[int, list[tuple[int, np.ndarray, int]]] = {}
-    for k, own in enumerate(told):
-        if len(own) < SHORT:
-            at = int(np.argmax(idf[own]))
-            short.setdefault(int(own[at]), []).append((k, own, at))
-    return Space(vocabulary, idf, weight, groups, [(i, words_of(t), _answer(t)) for i, t in items], short)
+    for block in range(0, len(items), BLOCK_ITEMS):
+        own = items[block : block + BLOCK_ITEMS]
+        told = [np.fromiter(map(place.__getitem__, words_of(t)), np.int64) for _, t in own]
+        passages = [(k, words[at : at + WINDOW]) for k, words in enumerate(told) for at in range(0, len(words), WINDOW)]
+        groups = [_group(passages[at : at + rank], idf[: places.known]) for at in range(0, len(passages), rank)]
+        short: dict[int, list[tuple[int, np.ndarray, int]]] = {}
+        for k, words in enumerate(told):
+            if len(words) < SHORT:
+                at = int(np.argmax(idf[words]))
+                short.setdefault(int(words[at]), []).append((k, words, at))
+        yield Space(places, idf, groups, [(i, words_of(t), _answer(t)) for i, t in own], short)
 
 
 def _runs(flat: np.ndarray, offsets: np.ndarray, starts: np.ndarray, space: Space) -> dict[int, np.ndarray]:
@@ -223,20 +236,24 @@ def _runs(flat: np.ndarray, offsets: np.ndarray, starts: np.ndarray, space: Spac
 def _search(texts: list[str | None], space: Space, least: float | np.ndarray) -> Iterator[tuple[int, int, float, int, list[bytes]]]:
     """(text, item, cosine, start of the passage, the text's words) of candidates; least is for all items or for each."""
     least = np.broadcast_to(np.asarray(least, dtype=np.float32), len(space.items))
-    known, get = len(space.vocabulary), space.vocabulary.get
-    words = [words_of(t) for t in texts]
-    offsets = np.cumsum([0] + [len(w) for w in words])
-    if not offsets[-1]:
-        return
-    flat = np.fromiter(map(get, chain.from_iterable(words), repeat(known)), dtype=np.int32, count=offsets[-1])
+    for flat, offsets, held, first in _slices(texts, space.places):
+        if len(flat):
+            split: dict[int, list[bytes]] = {}
+            for text, item, cosine, start in _candidates(flat, offsets, space, least):
+                if text not in split:
+                    split = {text: held[text].split()}
+                yield first + text, item, cosine, start, split[text]
+
+
+def _candidates(flat: np.ndarray, offsets: np.ndarray, space: Space, least: np.ndarray) -> Iterator[tuple[int, int, float, int]]:
     starts, owner = _steps(offsets)
     follows = np.append(owner[1:] == owner[:-1], False)
-    # A row of places for each step; known + 1 fills up the last one of a text.
+    # A row of places for each step; one that no word has fills up the last step of a text.
     lens = np.diff(np.append(starts, len(flat)))
-    places = np.full(len(starts) * STEP, known + 1, dtype=np.int32)
+    places = np.full(len(starts) * STEP, space.places.size, dtype=np.int32)
     places[np.repeat(np.arange(len(starts)) * STEP - starts, lens) + np.arange(len(flat))] = flat
     places = places.reshape(-1, STEP)
-    energy = np.append(space.weight, 0.0)[places].sum(axis=1)
+    energy = np.append(space.idf**2, 0.0)[places].sum(axis=1)
     energy[:-1] += np.where(follows[:-1], energy[1:], 0)
     # A word that occurs twice adds no more to the length than two words do: cosines are never too small.
     length = np.sqrt(np.maximum(energy, 1e-9)).astype(np.float32)
@@ -260,7 +277,7 @@ def _search(texts: list[str | None], space: Space, least: float | np.ndarray) ->
                 near[here[(here >= at) & (here < at + n)] - at, q] = True
             for a, q in zip(*np.nonzero(near), strict=True):
                 step = at + a
-                yield owner[step], int(group.owners[q]), float(min(cosine[a, q], 1.0)), int(starts[step] - offsets[owner[step]]), words[owner[step]]
+                yield int(owner[step]), int(group.owners[q]), float(min(cosine[a, q], 1.0)), int(starts[step] - offsets[owner[step]])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, least_cosine: float = 0.28, whole: float = 0.75, part: float = 0.5, answer: float = 0.6) -> DataFrame:
@@ -273,15 +290,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, least_
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = benchmark.count()
-    blocks = max(1, -(-n // BLOCK_ITEMS))
+    if n > MOST_ITEMS:
+        raise ValueError(f"a benchmark of {n} items; {MOST_ITEMS} at most, for every worker holds them")
+    rows = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").collect() if r.text]
+    items = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     found = None
-    for k in range(blocks):
-        block = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else benchmark
-        items = sorted(((r.item_id, r.text) for r in block.select("item_id", "text").collect() if r.text), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-        space = _space(docs, items, rank)
-        if space is not None:
-            own = docs.mapInArrow(_finder(space, least_cosine, whole, part, answer), RESULT)
-            found = own if found is None else found.union(own)
+    for space in _spaces(docs, items, rank):
+        own = docs.mapInArrow(tidied(_finder(space, least_cosine, whole, part, answer)), RESULT)
+        found = own if found is None else found.union(own)
     if found is None:
         return spark.createDataFrame([], RESULT)
     best = F.max_by(F.struct("cosine", "lcs", "answer", "start_word"), F.struct("lcs", "cosine", -F.col("start_word")))
@@ -316,6 +332,9 @@ def _finder(space: Space, least: float, whole: float, part: float, answer: float
                         if (text, item) not in best or got > best[text, item]:
                             best[text, item] = got
                 if best:
-                    yield pa.record_batch([pa.array([ids[t] for t, _ in best], pa.int64()), pa.array([space.items[i][0] for _, i in best], pa.int64()), *(pa.array([f(v) for v in best.values()], t) for f, t in ((lambda v: v[1], pa.float64()), (lambda v: v[0], pa.float64()), (lambda v: v[3], pa.float64()), (lambda v: -v[2], pa.int64())))], ["doc_id", "item_id", "cosine", "lcs", "answer", "start_word"])
+                    lcs, cosine, start, closed = zip(*best.values(), strict=True)
+                    known = (([ids[t] for t, _ in best], pa.int64()), ([space.items[i][0] for _, i in best], pa.int64()))
+                    told = ((cosine, pa.float64()), (lcs, pa.float64()), (closed, pa.float64()), ([-x for x in start], pa.int64()))
+                    yield pa.record_batch([pa.array(c, t) for c, t in (*known, *told)], [c.split()[0] for c in RESULT.split(", ")])
 
     return run

@@ -64,7 +64,7 @@ def test_paraphrases_in_long_documents(spark):
     assert len(want) >= 100 and len(want & got) >= 0.9 * len(want)
 
 
-@pytest.mark.parametrize("n", [200, 1000, 2000])
+@pytest.mark.parametrize("n", [200, 1000, 2000, 4000])
 def test_copies_whatever_the_size_of_the_benchmark(spark, n):
     """The given items, filled up with passages of 15 to 59 words cut from documents."""
     rng = random.Random(6)
@@ -81,6 +81,28 @@ def test_copies_whatever_the_size_of_the_benchmark(spark, n):
     assert recall >= 0.99
 
 
+@pytest.mark.parametrize(("n", "change"), [(500, "replaced"), (2000, "replaced"), (4000, "replaced"), (2000, "dropped")])
+def test_changed_copies_whatever_the_size_of_the_benchmark(spark, n, change):
+    """A sixth of the words replaced, or a fifth dropped; recall of what the rule accepts."""
+    rng = random.Random(9)
+    items, texts = column("benchmark"), [t.split() for t in column("documents")]
+    while len(items) < n:
+        words = rng.choice(texts)
+        at, size = rng.randrange(len(words)), rng.randint(15, 59)
+        if len(words) - at >= size:
+            items.append(" ".join(words[at : at + size]))
+    some = rng.sample(range(n), 200)
+    altered = {
+        "replaced": lambda item: " ".join(w if rng.random() > 1 / 6 else "".join(rng.choices("aeiourstlnm", k=6)) for w in item.split()),
+        "dropped": lambda item: " ".join(w for w in item.split() if rng.random() > 1 / 5),
+    }[change]
+    planted_texts = planted([items[k] for k in some], long_docs(), rng, altered)
+    want = {(d, k) for d, k in enumerate(some) if accepted(items[k], D.words_of(planted_texts[d]))}
+    got = found(spark, planted_texts, items)
+    print(f"recall of {len(want)} copies with words {change}, {n} items: {len(want & got) / len(want):.3f}")
+    assert len(want) >= 150 and len(want & got) >= 0.9 * len(want)
+
+
 def test_short_items_in_long_documents(spark):
     """Items of one to seven words, common ones too: each document that has the run of words, and no other."""
     rng = random.Random(7)
