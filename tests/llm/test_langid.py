@@ -54,3 +54,60 @@ def test_blocks_make_no_difference(model, monkeypatch):
     monkeypatch.setattr(langid, "BLOCK", 7)
     cut = langid._sums(*langid._texts(column), model.weights)
     assert np.allclose(whole[0], cut[0], atol=1e-3) and np.allclose(whole[1], cut[1])
+
+
+def plainly(model, text):
+    """The language of a text by counting runs in Python and adding up one machine after the other."""
+    import re
+
+    if not re.search(r"[^\W\d_]", text or ""):
+        return "und"
+    raw = text.lower().encode()
+    letters = bytes(c if chr(c).isalpha() and c < 128 or c >= 128 else 32 for c in raw)
+    half, sums, n = langid.BINS // 2, [0.0] * len(model.machines), 0
+    for size, factor, shift, first in ((2, 2654435761, 19, 0), (3, 2246822519, 18, half)):
+        for i in range(len(letters) - size + 1):
+            run = letters[i : i + size]
+            if run.strip():
+                code = 0
+                for c in run:
+                    code = (code * 251 + c) & 0xFFFFFFFF
+                at = (((code * factor) & 0xFFFFFFFF) >> shift) % half + first
+                n += 1
+                for k in range(len(sums)):
+                    sums[k] += float(model.weights[at, k])
+    margins = [s / max(n, 1) + float(b) for s, b in zip(sums, model.biases, strict=True)]
+    sure = [1 / (1 + 2.718281828459045 ** -(m * float(c))) for m, c in zip(margins, model.scales, strict=True)]
+    of = {m[1]: s for m, s in zip(model.machines, sure, strict=True) if m[0] == "family"}
+    family = max(model.families, key=lambda f: of.get(f, 1.0))
+    votes = dict.fromkeys(model.langs[family], 0.0)
+    for m, s in zip(model.machines, sure, strict=True):
+        if m[0] == family and len(m) == 3:
+            votes[m[1]] += s
+            votes[m[2]] += 1 - s
+    return max(votes, key=votes.get)
+
+
+def test_against_a_plain_predictor(spark, model):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(150)
+    rows = docs.collect()
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model, ["doc_id"]).collect()}
+    assert [got[r.doc_id] for r in rows] == [plainly(model, r.text) for r in rows]
+
+
+def test_names_that_clash_and_dirty_labels(spark):
+    rows = [(i, f"the words of text {i}", f"l{i % 7}", "x", 1.0) for i in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    model = langid.learn(docs, most_langs=3)
+    assert sum(map(len, model.langs.values())) == 3
+    out = langid.predict(docs, model, docs.columns, names=("__l", "__s"))
+    assert out.columns == [*docs.columns, "__l", "__s"] and out.count() == 70
+
+
+def test_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    """One row, repeated very often, and rows without an id: never more than the bound is learned from."""
+    held = []
+    monkeypatch.setattr(langid, "fit", lambda rows: held.append(len(rows)))
+    same = spark.range(3000).selectExpr("cast(null as long) as doc_id", "'same text again' as text", "'en' as lang")
+    langid.learn(same.union(spark.range(50).selectExpr("id", "concat('text ', id)", "'de'")), per_lang=40)
+    assert held[0] <= 80
