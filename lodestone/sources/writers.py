@@ -31,9 +31,16 @@ def reshard(df: DataFrame, path: str, by: str, rows: int) -> str:
 
 
 def replaced(df: DataFrame, placeholder: DataFrame, path: str) -> str:
-    """A placeholder first, then the real rows: a reader finds an output even if the second write fails."""
+    """A placeholder first, then the real rows in its place: a reader finds an output even if the second write fails."""
     placeholder.write.mode("overwrite").parquet(path)
-    df.write.mode("overwrite").parquet(path)
+    made = f"{path.rstrip('/')}.made"
+    df.write.mode("overwrite").parquet(made)
+    spark = df.sparkSession
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, made))
+    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(old, True)
+    if not files.rename(new, old):
+        raise OSError(f"{made} could not take the place of {path}")
     return path
 
 

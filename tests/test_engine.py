@@ -15,7 +15,7 @@ from lodestone.functions import models as M
 from lodestone.functions import transformer as T
 from lodestone.operators import ranking as R
 from lodestone.plans import workflows as W
-from lodestone.sources import checkpoints, readers
+from lodestone.sources import checkpoints, readers, writers
 
 from .conftest import SF_SMALL
 
@@ -142,6 +142,30 @@ def test_families_in_a_row_of_words(spark):
         B.stacked(structures, makers | {"maccs": lambda s: [[167] for _ in s]}, layout).collect()
 
 
+def test_readers_and_writers(spark, tmp_path):
+    """The engine's own schemas, and an output that is there before the real one is."""
+    at = lambda name: str(tmp_path / name)
+    rows = [(1, "K-1", "CC", 100.5, "[M+H]+", " Positive", [1.0, 2.0], [0.5, 1.0], "lib", 7)]
+    schema = "seq long, inchikey14 string, normalized_smiles string, precursor_mz double, adduct string, ionization_mode string, ms2_mzs array<double>, ms2_normalized_intensities array<double>, ingest_lib string, other int"
+    spark.createDataFrame(rows, schema).write.parquet(at("spectra"))
+    got = readers.spectra(spark, at("spectra"))
+    assert got.columns == ["seq", "key", "smiles", "precursor_mz", "adduct", "mode", "mzs", "intensities", "ingest_lib"]
+    assert Engine(spark).build_library(got).first().mode == "positive"
+    spark.createDataFrame([("m1", *rows[0])], f"molecule_id string, {schema}").drop("inchikey14", "normalized_smiles").write.parquet(at("test"))
+    assert readers.spectra(spark, at("test"), test=True).first().molecule_id == "m1"
+    spark.createDataFrame([("AAA-BBB-N", "CC", 30.1, "C2H6")], "inchikey string, canonical_smiles string, exact_mass double, formula string").write.parquet(at("np"))
+    first = readers.structures(spark, at("np")).first()
+    assert first.key == "AAA" and first.smiles == "CC"
+    broken = spark.range(3).select(F.raise_error(F.lit("no")).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        writers.replaced(broken, spark.createDataFrame([("fallback",)], "id string"), at("out"))
+    assert spark.read.parquet(at("out")).first().id == "fallback"
+    writers.replaced(spark.range(3), spark.range(1), at("out2"))
+    assert spark.read.parquet(at("out2")).count() == 3
+    pool = [spark.createDataFrame(r, "key string, smiles string") for r in ([("A", "1"), ("B", "2")], [("B", "3"), ("C", "4")])]
+    assert {tuple(r) for r in Engine(spark).build_pool(*pool).collect()} == {("A", "1"), ("B", "2"), ("C", "4")}
+
+
 def test_dense_codes_over_ranges(spark):
     rows = spark.range(1000).selectExpr("cast(id * 7 % 311 as string) as v").union(spark.sql("SELECT cast(null as string)"))
     got = sorted((r.v, r.code) for r in R.dense_code(rows, "v", "code").collect())
