@@ -36,7 +36,11 @@ def a3_merge_anchored(spark, d):
     return s.select("molecule_id", "adduct", F.size("m").cast("long").alias("clusters"), F.round(P.total(P.field(F.col("m"), "mz")), 5).alias("mz"), F.round(P.total(P.field(F.col("m"), "intensity")), 5).alias("intensity"))
 
 
-@query("SELECT o_custkey, o_orderstatus, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) = 1")
+@query(
+    """SELECT o_custkey, o_orderstatus, o_orderkey
+    FROM orders
+    QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) = 1"""
+)
 def a4_dedup_best(spark, d):
     return R.keep_best(table(spark, d, "orders").select("o_custkey", "o_orderstatus", "o_orderkey", "o_totalprice"), ["o_custkey", "o_orderstatus"], [F.col("o_totalprice").desc(), F.col("o_orderkey")]).drop("o_totalprice")
 
@@ -46,13 +50,23 @@ def a5_dedup_first(spark, d):
     return R.keep_best(table(spark, d, "part").select("p_name", "p_partkey"), ["p_name"], [F.col("p_partkey")]).withColumnRenamed("p_partkey", "first")
 
 
-@query("SELECT user_id, max(value) AS score, arg_max(event_type, struct_pack(v := value, s := -event_id)) AS kind FROM events WHERE value > 0 GROUP BY user_id")
+@query(
+    """SELECT user_id, max(value) AS score, arg_max(event_type, struct_pack(v := value, s := -event_id)) AS kind
+    FROM events
+    WHERE value > 0
+    GROUP BY user_id"""
+)
 def a6_max_pool(spark, d):
     e = table(spark, d, "events").select("user_id", F.col("value").alias("score"), F.col("event_type").alias("kind"), "event_id")
     return R.max_pool(e, ["user_id"], "score", "kind", "event_id")
 
 
-@query(f"WITH {C.POOL}, t AS (SELECT a.key AS key, pow((b.key % 10 + 1) / 10.0::DOUBLE, 2.5::DOUBLE) * (bit_count(a.w0 & b.w0) + bit_count(a.w1 & b.w1))::DOUBLE / (a.popcount + b.popcount - bit_count(a.w0 & b.w0) - bit_count(a.w1 & b.w1)) AS s FROM pooled a JOIN pooled b ON a.label = b.label) SELECT key, round(max(s), 6) AS prop FROM t GROUP BY key")
+@query(
+    f"""WITH {C.POOL}, t AS (SELECT a.key AS key, pow((b.key % 10 + 1) / 10.0::DOUBLE, 2.5::DOUBLE) * (bit_count(a.w0 & b.w0) + bit_count(a.w1 & b.w1))::DOUBLE / (a.popcount + b.popcount - bit_count(a.w0 & b.w0) - bit_count(a.w1 & b.w1)) AS s
+    FROM pooled a
+    JOIN pooled b ON a.label = b.label)
+SELECT key, round(max(s), 6) AS prop FROM t GROUP BY key"""
+)
 def a7_max_over_anchors(spark, d):
     """Pairs stream from the join into a partial maximum; no group is gathered."""
     from ..functions import bits as B
@@ -63,7 +77,13 @@ def a7_max_over_anchors(spark, d):
     return p.join(anchors, "label").select("key", score.alias("s")).groupBy("key").agg(F.round(F.max("s"), 6).alias("prop"))
 
 
-@query("SELECT p_name AS key, count(*) AS n, arg_min(p_partkey, struct_pack(m := p_retailprice, k := p_partkey)) AS payload FROM part WHERE p_type = (SELECT min(p_type) FROM part) GROUP BY 1 ORDER BY n DESC, key LIMIT 25")
+@query(
+    """SELECT p_name AS key, count(*) AS n, arg_min(p_partkey, struct_pack(m := p_retailprice, k := p_partkey)) AS payload
+    FROM part
+    WHERE p_type = (SELECT min(p_type)
+    FROM part) GROUP BY 1
+    ORDER BY n DESC, key LIMIT 25"""
+)
 def a8_frequent(spark, d):
     from ..operators.library import frequent
 
@@ -72,24 +92,42 @@ def a8_frequent(spark, d):
     return frequent(p, first.m, 25).select("key", "n", F.col("smiles").alias("payload"))
 
 
-@query(f"WITH {C.PEAKS}, t AS (SELECT molecule_id, adduct, intensity / sum(intensity) OVER (PARTITION BY molecule_id, adduct) AS p FROM peaks) SELECT molecule_id, adduct, round(-sum(p * ln(p)), 6) AS entropy FROM t GROUP BY ALL")
+@query(
+    f"""WITH {C.PEAKS}, t AS (SELECT molecule_id, adduct, intensity / sum(intensity) OVER (PARTITION BY molecule_id, adduct) AS p
+    FROM peaks)
+SELECT molecule_id, adduct, round(-sum(p * ln(p)), 6) AS entropy FROM t GROUP BY ALL"""
+)
 def a9_segment_entropy(spark, d):
     return C.spectra(spark, d).select("molecule_id", "adduct", F.round(P.entropy(P.field(F.col("peaks"), "intensity")), 6).alias("entropy"))
 
 
-@query(f"WITH {C.PEAKS} SELECT molecule_id, adduct, least(greatest(trunc(mz / 0.5)::INT, 0), 900)::BIGINT AS bin, round(sum(intensity), 6) AS w FROM peaks GROUP BY ALL")
+@query(
+    f"""WITH {C.PEAKS} SELECT molecule_id, adduct, least(greatest(trunc(mz / 0.5)::INT, 0), 900)::BIGINT AS bin,
+        round(sum(intensity), 6) AS w
+    FROM peaks
+    GROUP BY ALL"""
+)
 def a10_scatter_add(spark, d):
     return C.peaks(spark, d).groupBy("molecule_id", "adduct", P.bin_of(F.col("mz"), 0.5, 901).cast("long").alias("bin")).agg(F.round(F.sum("intensity"), 6).alias("w"))
 
 
-@query("SELECT vec_id, round(CASE WHEN n > 0 THEN v / n ELSE 0 END, 6) AS first FROM (SELECT vec_id, embedding[1]::DOUBLE AS v, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)")
+@query(
+    """SELECT vec_id, round(CASE WHEN n > 0 THEN v / n ELSE 0 END, 6) AS first
+    FROM (SELECT vec_id, embedding[1]::DOUBLE AS v,
+        sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n
+    FROM embeddings)"""
+)
 def a11_unit_length(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     n = F.coalesce(F.nullif(P.norm(F.col("v")), F.lit(0.0)), F.lit(1.0))
     return e.select("vec_id", F.round(F.get("v", F.lit(0)) / n, 6).alias("first"))
 
 
-@query("SELECT label::BIGINT AS label, i::BIGINT AS bit, round(avg(1 / (1 + exp(-embedding[i + 1]::DOUBLE))), 6) AS p FROM embeddings, range(0, 64) t(i) GROUP BY ALL")
+@query(
+    """SELECT label::BIGINT AS label, i::BIGINT AS bit, round(avg(1 / (1 + exp(-embedding[i + 1]::DOUBLE))), 6) AS p
+    FROM embeddings, range(0, 64) t(i)
+    GROUP BY ALL"""
+)
 def a12_mean_vectors(spark, d):
     e = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("label"), F.posexplode("embedding").alias("bit", "x"))
     return e.groupBy("label", F.col("bit").cast("long").alias("bit")).agg(F.round(F.avg(S.sigmoid(F.col("x").cast("double"))), 6).alias("p"))
@@ -106,13 +144,23 @@ def _ranked(spark, d):
     return ans, pred
 
 
-@query(f"WITH {_RANKS}, rr AS (SELECT a.molecule_id, coalesce(1.0::DOUBLE / min(p.rank), 0) AS rr FROM ans a LEFT JOIN pred p ON a.molecule_id = p.molecule_id AND a.ckey = p.ckey AND p.rank <= 3 GROUP BY 1) SELECT round(avg(rr), 6) AS mrr, count(*) AS n FROM rr")
+@query(
+    f"""WITH {_RANKS}, rr AS (SELECT a.molecule_id, coalesce(1.0::DOUBLE / min(p.rank), 0) AS rr
+    FROM ans a
+    LEFT
+    JOIN pred p ON a.molecule_id = p.molecule_id AND a.ckey = p.ckey AND p.rank <= 3
+    GROUP BY 1)
+SELECT round(avg(rr), 6) AS mrr, count(*) AS n FROM rr"""
+)
 def a13_mrr(spark, d):
     ans, pred = _ranked(spark, d)
     return E.mrr(ans, pred, 3).select(F.round("mrr", 6).alias("mrr"), "n")
 
 
-@query("WITH p AS (SELECT source, avg(quality) AS s, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY source) SELECT round(sum(s * n) / sum(n), 6) AS weighted FROM p")
+@query(
+    """WITH p AS (SELECT source, avg(quality) AS s, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY source)
+SELECT round(sum(s * n) / sum(n), 6) AS weighted FROM p"""
+)
 def a14_weighted_mean(spark, d):
     p = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.avg("quality").alias("s"), F.count("*").alias("n"))
     return E.weighted(p, "s", "n").select(F.round("weighted", 6).alias("weighted"))
@@ -126,12 +174,22 @@ def _paired(spark, d):
     return E.paired(s, "F")
 
 
-@query(f"WITH {_PAIRED} SELECT config, count(*) AS n, round(avg(d), 6) AS mean, round(1.96::DOUBLE * stddev_samp(d) / sqrt(count(*)), 6) AS ci, CASE WHEN abs(avg(d)) > 1.96::DOUBLE * stddev_samp(d) / sqrt(count(*)) THEN CASE WHEN avg(d) > 0 THEN 'better' ELSE 'worse' END ELSE 'not significant' END AS verdict FROM x GROUP BY config")
+@query(
+    f"""WITH {_PAIRED} SELECT config, count(*) AS n, round(avg(d), 6) AS mean, round(1.96::DOUBLE * stddev_samp(d) / sqrt(count(*)),
+        6) AS ci, CASE WHEN abs(avg(d)) > 1.96::DOUBLE * stddev_samp(d) / sqrt(count(*)) THEN CASE WHEN avg(d) > 0 THEN 'better' ELSE 'worse' END ELSE 'not significant' END AS verdict
+    FROM x
+    GROUP BY config"""
+)
 def a15_paired_interval(spark, d):
     return _paired(spark, d).select("config", "n", F.round("mean", 6).alias("mean"), F.round("ci", 6).alias("ci"), "verdict")
 
 
-@query(f"WITH {_PAIRED} SELECT config, count(*) FILTER (d > 1e-9) AS better, count(*) FILTER (d < -1e-9) AS worse, count(*) FILTER (abs(d) <= 1e-9) AS same FROM x GROUP BY config")
+@query(
+    f"""WITH {_PAIRED} SELECT config, count(*) FILTER (d > 1e-9) AS better, count(*) FILTER (d < -1e-9) AS worse,
+        count(*) FILTER (abs(d) <= 1e-9) AS same
+    FROM x
+    GROUP BY config"""
+)
 def a16_better_worse(spark, d):
     return _paired(spark, d).select("config", "better", "worse", "same")
 
@@ -141,7 +199,12 @@ def a17_corr_slope(spark, d):
     return table(spark, d, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"), F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"))
 
 
-@query("SELECT o_orderstatus, round(median(o_totalprice), 4) AS med, round(avg(o_totalprice), 4) AS mean, min(o_totalprice) AS lo, max(o_totalprice) AS hi, round(max(o_totalprice) - min(o_totalprice), 4) AS span FROM orders GROUP BY 1")
+@query(
+    """SELECT o_orderstatus, round(median(o_totalprice), 4) AS med, round(avg(o_totalprice), 4) AS mean, min(o_totalprice) AS lo,
+        max(o_totalprice) AS hi, round(max(o_totalprice) - min(o_totalprice), 4) AS span
+    FROM orders
+    GROUP BY 1"""
+)
 def a18_median_span(spark, d):
     c = F.col("o_totalprice")
     return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.round(F.median(c), 4).alias("med"), F.round(F.avg(c), 4).alias("mean"), F.min(c).alias("lo"), F.max(c).alias("hi"), F.round(F.max(c) - F.min(c), 4).alias("span"))
@@ -168,7 +231,13 @@ def a22_keep_rate(spark, d):
     return l.groupBy("lang").agg(F.round(F.avg((F.col("quality") == 1).cast("double")), 6).alias("kept"))
 
 
-@query("WITH t AS (SELECT n_chars > 1500 AS guess, quality = 1 AS truth FROM labels JOIN documents USING (doc_id)) SELECT round(avg((guess = truth)::INT), 6) AS accuracy, round(greatest(avg(truth::INT), 1 - avg(truth::INT)), 6) AS base, count(*) FILTER (guess AND truth) AS tp, count(*) FILTER (guess AND NOT truth) AS fp, count(*) FILTER (NOT guess AND truth) AS fn, count(*) FILTER (NOT guess AND NOT truth) AS tn FROM t")
+@query(
+    """WITH t AS (SELECT n_chars > 1500 AS guess, quality = 1 AS truth FROM labels JOIN documents USING (doc_id))
+SELECT round(avg((guess = truth)::INT), 6) AS accuracy, round(greatest(avg(truth::INT), 1 - avg(truth::INT)), 6) AS base,
+        count(*) FILTER (guess AND truth) AS tp, count(*) FILTER (guess AND NOT truth) AS fp,
+        count(*) FILTER (NOT guess AND truth) AS fn, count(*) FILTER (NOT guess AND NOT truth) AS tn
+    FROM t"""
+)
 def a23_gate(spark, d):
     t = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").select((F.col("n_chars") > 1500).alias("g"), (F.col("quality") == 1).alias("t"))
     g, y = F.col("g"), F.col("t")
@@ -176,7 +245,15 @@ def a23_gate(spark, d):
     return t.agg(F.round(F.avg((g == y).cast("double")), 6).alias("accuracy"), F.round(F.greatest(share, 1 - share), 6).alias("base"), F.count_if(g & y).alias("tp"), F.count_if(g & ~y).alias("fp"), F.count_if(~g & y).alias("fn"), F.count_if(~g & ~y).alias("tn"))
 
 
-@query(f"WITH {C.POOL}, t AS (SELECT a.label AS label, (bit_count(a.w0 & b.w0) + bit_count(a.w1 & b.w1))::BIGINT AS i, a.popcount + b.popcount AS s FROM pooled a JOIN pooled b ON b.key = a.key + 1) SELECT label::BIGINT AS label, round(sum(i)::DOUBLE / sum(s - i), 6) AS micro, round(avg(i::DOUBLE / (s - i)), 6) AS macro FROM t GROUP BY label")
+@query(
+    f"""WITH {C.POOL}, t AS (SELECT a.label AS label, (bit_count(a.w0 & b.w0) + bit_count(a.w1 & b.w1))::BIGINT AS i,
+        a.popcount + b.popcount AS s
+    FROM pooled a
+    JOIN pooled b ON b.key = a.key + 1)
+SELECT label::BIGINT AS label, round(sum(i)::DOUBLE / sum(s - i), 6) AS micro, round(avg(i::DOUBLE / (s - i)), 6) AS macro
+    FROM t
+    GROUP BY label"""
+)
 def a24_micro_macro(spark, d):
     from ..functions import bits as B
 
@@ -186,7 +263,16 @@ def a24_micro_macro(spark, d):
     return t.groupBy(F.col("label").cast("long").alias("label")).agg(F.round(F.sum("i") / F.sum("u"), 6).alias("micro"), F.round(F.avg(F.col("i") / F.col("u")), 6).alias("macro"))
 
 
-@query("WITH t AS (SELECT o_custkey AS g, o_totalprice AS s, o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) AS truth, o_orderstatus <> 'P' AS valid FROM orders), r AS (SELECT g, 1 + count(*) FILTER (valid AND NOT truth AND s > ts) AS rank FROM (SELECT *, max(s) FILTER (truth) OVER (PARTITION BY g) AS ts FROM t) GROUP BY g) SELECT round(avg((rank = 1)::INT), 6) AS top1, round(avg(1.0::DOUBLE / rank), 6) AS mrr FROM r")
+@query(
+    """WITH t AS (SELECT o_custkey AS g, o_totalprice AS s, o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) AS truth,
+        o_orderstatus <> 'P' AS valid
+    FROM orders),
+r AS (SELECT g, 1 + count(*) FILTER (valid AND NOT truth AND s > ts) AS rank
+    FROM (SELECT *, max(s) FILTER (truth) OVER (PARTITION BY g) AS ts
+    FROM t)
+    GROUP BY g)
+SELECT round(avg((rank = 1)::INT), 6) AS top1, round(avg(1.0::DOUBLE / rank), 6) AS mrr FROM r"""
+)
 def a25_listwise(spark, d):
     """Rank of the truth among the valid decoys of its list."""
     w = Window.partitionBy("o_custkey")
@@ -195,7 +281,11 @@ def a25_listwise(spark, d):
     return r.agg(F.round(F.avg((F.col("rank") == 1).cast("double")), 6).alias("top1"), F.round(F.avg(1 / F.col("rank")), 6).alias("mrr"))
 
 
-@query("SELECT label::BIGINT AS owner, i::BIGINT AS bit, round(avg(embedding[i + 1]::DOUBLE), 6) AS logit FROM embeddings, range(0, 64) t(i) GROUP BY ALL")
+@query(
+    """SELECT label::BIGINT AS owner, i::BIGINT AS bit, round(avg(embedding[i + 1]::DOUBLE), 6) AS logit
+    FROM embeddings, range(0, 64) t(i)
+    GROUP BY ALL"""
+)
 def a26_mean_logits(spark, d):
     e = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("owner"), F.posexplode("embedding").alias("bit", "x"))
     return e.groupBy("owner", F.col("bit").cast("long").alias("bit")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("logit"))
@@ -209,17 +299,31 @@ def a27_cube(spark, d):
 # --- functions over partitions -----------------------------------------------------------------------------------
 
 
-@query("SELECT o_orderkey, round(CASE WHEN hi > lo THEN (o_totalprice - lo) / (hi - lo) ELSE 1 END, 6) AS x FROM (SELECT *, min(o_totalprice) OVER w AS lo, max(o_totalprice) OVER w AS hi FROM orders WINDOW w AS (PARTITION BY o_custkey))")
+@query(
+    """SELECT o_orderkey, round(CASE WHEN hi > lo THEN (o_totalprice - lo) / (hi - lo) ELSE 1 END, 6) AS x
+    FROM (SELECT *, min(o_totalprice) OVER w AS lo, max(o_totalprice) OVER w AS hi
+    FROM orders
+    WINDOW w AS (PARTITION BY o_custkey))"""
+)
 def w1_min_max(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.round(S.min_max(F.col("o_totalprice"), ["o_custkey"], 1.0), 6).alias("x"))
 
 
-@query("SELECT o_orderkey, round(CASE WHEN sd > 0 THEN (o_totalprice - m) / sd ELSE 0 END, 5) AS z FROM (SELECT *, avg(o_totalprice) OVER w AS m, stddev_pop(o_totalprice) OVER w AS sd FROM orders WINDOW w AS (PARTITION BY o_custkey))")
+@query(
+    """SELECT o_orderkey, round(CASE WHEN sd > 0 THEN (o_totalprice - m) / sd ELSE 0 END, 5) AS z
+    FROM (SELECT *, avg(o_totalprice) OVER w AS m, stddev_pop(o_totalprice) OVER w AS sd
+    FROM orders
+    WINDOW w AS (PARTITION BY o_custkey))"""
+)
 def w2_z_score(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.round(S.z_score(F.col("o_totalprice"), ["o_custkey"]), 5).alias("z"))
 
 
-@query("SELECT label::BIGINT AS label, vec_id, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS rank FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) <= 10")
+@query(
+    """SELECT label::BIGINT AS label, vec_id, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS rank
+    FROM embeddings
+    QUALIFY row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) <= 10"""
+)
 def w3_rank_cut(spark, d):
     e = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("label"), "vec_id", F.get("embedding", F.lit(0)).alias("x"))
     return R.top_k(e, ["label"], [F.col("x").desc(), F.col("vec_id")], 10).select("label", "vec_id", F.col("rank").cast("long").alias("rank"))
@@ -230,19 +334,34 @@ def w4_competition_rank(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.rank().over(Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc())).cast("long").alias("rank"))
 
 
-@query("WITH t AS (SELECT o_custkey, o_orderpriority AS ckey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders), f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY o_custkey, ckey ORDER BY r) = 1) SELECT o_custkey, ckey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY r) AS rank FROM f")
+@query(
+    """WITH t AS (SELECT o_custkey, o_orderpriority AS ckey, o_orderkey,
+        row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r
+    FROM orders),
+f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY o_custkey, ckey ORDER BY r) = 1)
+SELECT o_custkey, ckey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY r) AS rank FROM f"""
+)
 def w5_first_per_key(spark, d):
     t = table(spark, d, "orders").select("o_custkey", F.col("o_orderpriority").alias("ckey"), "o_orderkey").withColumn("rank", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
     return R.first_per_key(t, ["o_custkey"], "ckey", "rank", 25).select("o_custkey", "ckey", "o_orderkey", F.col("rank").cast("long").alias("rank"))
 
 
-@query("WITH t AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus <> 'F', o_orderkey) AS r FROM orders) SELECT o_custkey, count(*) FILTER (r <= 5) AS filled FROM t GROUP BY 1")
+@query(
+    """WITH t AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus <> 'F', o_orderkey) AS r
+    FROM orders)
+SELECT o_custkey, count(*) FILTER (r <= 5) AS filled FROM t GROUP BY 1"""
+)
 def w6_capped_fill(spark, d):
     w = Window.partitionBy("o_custkey").orderBy(F.col("o_orderstatus") != "F", "o_orderkey")
     return table(spark, d, "orders").withColumn("r", F.row_number().over(w)).groupBy("o_custkey").agg(F.count_if(F.col("r") <= 5).alias("filled"))
 
 
-@query("WITH g AS (SELECT o_custkey, max(o_totalprice) AS top, avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS sd, count(*) AS n FROM orders GROUP BY 1) SELECT o_custkey, round(CASE WHEN n < 3 OR sd = 0 THEN 0 ELSE (top - m) / sd - sqrt(2 * ln(n)) END, 5) AS score FROM g")
+@query(
+    """WITH g AS (SELECT o_custkey, max(o_totalprice) AS top, avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS sd, count(*) AS n
+    FROM orders
+    GROUP BY 1)
+SELECT o_custkey, round(CASE WHEN n < 3 OR sd = 0 THEN 0 ELSE (top - m) / sd - sqrt(2 * ln(n)) END, 5) AS score FROM g"""
+)
 def w7_extreme_adjusted(spark, d):
     g = table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("top"), F.avg("o_totalprice").alias("m"), F.stddev_pop("o_totalprice").alias("sd"), F.count("*").alias("n"))
     return g.select("o_custkey", F.round(S.extreme_adjusted(F.col("top"), F.col("m"), F.col("sd"), F.col("n")), 5).alias("score"))
@@ -258,7 +377,10 @@ def w9_richest_group(spark, d):
     return C.spectra(spark, d).groupBy("molecule_id").agg(F.max_by("adduct", F.struct(F.size("peaks"), -F.col("seq"))).alias("adduct"))
 
 
-@query("SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders")
+@query(
+    """SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running
+    FROM orders"""
+)
 def w10_running_total(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
     return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.round(F.sum("o_totalprice").over(w), 2).alias("running"))

@@ -115,7 +115,11 @@ def _parse(smiles: list[str]):
     return out
 
 
-@query("SELECT p_partkey::VARCHAR AS id, split_part(p_name, ' ', 1) AS key, p_name AS smiles, p_retailprice AS exact_mass FROM part WHERE round(p_retailprice * 10)::BIGINT % 2 = 1 AND p_name NOT LIKE 's%' AND p_retailprice BETWEEN 120 AND 1300")
+@query(
+    """SELECT p_partkey::VARCHAR AS id, split_part(p_name, ' ', 1) AS key, p_name AS smiles, p_retailprice AS exact_mass
+    FROM part
+    WHERE round(p_retailprice * 10)::BIGINT % 2 = 1 AND p_name NOT LIKE 's%' AND p_retailprice BETWEEN 120 AND 1300"""
+)
 def c6_pool_rows(spark, d):
     """Raw lines through a parser: rows that don't parse, or have a foreign element or mass, are left out."""
     raw = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("|", "p_name", F.col("p_retailprice").cast("string")).alias("smiles"))
@@ -141,7 +145,11 @@ def c3_fingerprint_many(spark, d):
     return made.select("key", F.regexp_replace(F.hex("fingerprint"), "^0(?=.)", "").alias("fp"), "exact_mass")
 
 
-@query("SELECT p_partkey AS key, length(p_name)::DOUBLE AS size, (length(p_name) - length(replace(p_name, 'e', '')))::DOUBLE AS es, (p_name LIKE '%an%')::INT::DOUBLE AS an FROM part")
+@query(
+    """SELECT p_partkey AS key, length(p_name)::DOUBLE AS size, (length(p_name) - length(replace(p_name, 'e', '')))::DOUBLE AS es,
+        (p_name LIKE '%an%')::INT::DOUBLE AS an
+    FROM part"""
+)
 def c7_descriptors(spark, d):
     """Numbers and pattern matches of structures by a callable on batches."""
     describe = lambda rows: [{"size": len(s), "es": s.count("e"), "an": "an" in s} for s in rows]
@@ -168,7 +176,10 @@ def c10_peak_transformer(spark, d):
     return p.select("seq", F.posexplode("p").alias("bit", "p")).select("seq", "bit", F.round("p", 6).alias("p"))
 
 
-@query("SELECT vec_id, round(1 / (1 + exp(-(greatest(embedding[1]::DOUBLE * 2 - embedding[2]::DOUBLE, 0) * 0.5::DOUBLE + greatest(embedding[3]::DOUBLE + 0.25::DOUBLE, 0) - 0.1::DOUBLE))), 6) AS p FROM embeddings")
+@query(
+    """SELECT vec_id, round(1 / (1 + exp(-(greatest(embedding[1]::DOUBLE * 2 - embedding[2]::DOUBLE, 0) * 0.5::DOUBLE + greatest(embedding[3]::DOUBLE + 0.25::DOUBLE, 0) - 0.1::DOUBLE))), 6) AS p
+    FROM embeddings"""
+)
 def s14_checkpoint(spark, d):
     """A perceptron written as a checkpoint table, read back by what it holds, and run."""
     layers = {"0": (np.array([[2.0, 0.0], [-1.0, 0.0], [0.0, 1.0]]), np.array([0.0, 0.25])), "1": (np.array([[0.5], [1.0]]), np.array([-0.1]))}
@@ -198,14 +209,28 @@ def _sweep(spark, d):
     return W.truth_ranks(under, ["config", "molecule_id"], [score.desc(), F.col("k")])
 
 
-@query(f"WITH {_RANKED}, x AS (SELECT rr.config AS config, rr.rr - base.rr AS d FROM rr JOIN rr base ON base.g = rr.g AND base.config = 'a30' WHERE rr.config <> 'a30') SELECT config, count(*) AS n, round(avg(d), 6) AS mean, round(1.96::DOUBLE * stddev_samp(d) / sqrt(count(*)), 6) AS ci, count(*) FILTER (d > 1e-9) AS better, count(*) FILTER (d < -1e-9) AS worse, count(*) FILTER (abs(d) <= 1e-9) AS same FROM x GROUP BY config")
+@query(
+    f"""WITH {_RANKED}, x AS (SELECT rr.config AS config, rr.rr - base.rr AS d
+    FROM rr
+    JOIN rr base ON base.g = rr.g AND base.config = 'a30'
+    WHERE rr.config <> 'a30')
+SELECT config, count(*) AS n, round(avg(d), 6) AS mean, round(1.96::DOUBLE * stddev_samp(d) / sqrt(count(*)), 6) AS ci,
+        count(*) FILTER (d > 1e-9) AS better, count(*) FILTER (d < -1e-9) AS worse, count(*) FILTER (abs(d) <= 1e-9) AS same
+    FROM x
+    GROUP BY config"""
+)
 def q13_paired_sweep(spark, d):
     """Each configuration against the published one, molecule by molecule."""
     stats = W.paired_sweep(_sweep(spark, d), "a30")
     return stats.select("config", "n", F.round("mean", 6).alias("mean"), F.round("ci", 6).alias("ci"), "better", "worse", "same")
 
 
-@query(f"WITH {_RANKED}, m AS (SELECT g % 4 AS regime, config, avg(rr) AS mrr FROM rr GROUP BY ALL) SELECT regime, config, round(mrr, 6) AS mrr FROM m QUALIFY row_number() OVER (PARTITION BY regime ORDER BY round(mrr, 9) DESC, config) = 1")
+@query(
+    f"""WITH {_RANKED}, m AS (SELECT g % 4 AS regime, config, avg(rr) AS mrr FROM rr GROUP BY ALL)
+SELECT regime, config, round(mrr, 6) AS mrr
+    FROM m
+    QUALIFY row_number() OVER (PARTITION BY regime ORDER BY round(mrr, 9) DESC, config) = 1"""
+)
 def q13_selected(spark, d):
     """The best configuration of each regime."""
     scores = W.with_rr(_sweep(spark, d)).groupBy((F.col("molecule_id") % 4).alias("regime"), "config").agg(F.avg("rr").alias("mrr"))
@@ -289,7 +314,12 @@ def q14_headroom(spark, d):
 # --- streams -----------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {C.QUERIES}, {C.POOL} SELECT query_id, count(*) AS n, min(key) AS first FROM queries JOIN pooled ON mass >= center - 0.5::DOUBLE AND mass <= center + 0.5::DOUBLE GROUP BY query_id")
+@query(
+    f"""WITH {C.QUERIES}, {C.POOL} SELECT query_id, count(*) AS n, min(key) AS first
+    FROM queries
+    JOIN pooled ON mass >= center - 0.5::DOUBLE AND mass <= center + 0.5::DOUBLE
+    GROUP BY query_id"""
+)
 def q18_streamed_band(spark, d):
     """Queries that arrive as files meet a static pool in a band join, batch by batch."""
     pool = C.pool(spark, d).select("key", "mass")

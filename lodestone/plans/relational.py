@@ -55,7 +55,11 @@ def s6_scan_gzip_tsv(spark, d):
     return readers.tsv_lines(spark, path, tasks=8)
 
 
-@query("SELECT count(*) AS n, min(p_retailprice) AS lo, max(p_retailprice) AS hi, sum(p_partkey)::BIGINT AS keys FROM part WHERE p_retailprice >= 910.05 AND p_retailprice <= 920.05")
+@query(
+    """SELECT count(*) AS n, min(p_retailprice) AS lo, max(p_retailprice) AS hi, sum(p_partkey)::BIGINT AS keys
+    FROM part
+    WHERE p_retailprice >= 910.05 AND p_retailprice <= 920.05"""
+)
 def s7_scan_mass_slice(spark, d):
     """A slice of a mass-sorted store; row groups outside it are skipped."""
     path = writers.by_mass(table(spark, d, "part"), writers.scratch(spark, "mass"), "p_retailprice", 8)
@@ -70,14 +74,26 @@ def s8_scan_shards(spark, d):
     return spark.read.parquet(path).groupBy("p_type").agg(F.count("*").alias("n"), F.round(F.avg("p_retailprice"), 6).alias("mass"))
 
 
-@query("WITH top AS (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20) SELECT o_orderkey, o_totalprice, c_name FROM top JOIN orders USING (o_orderkey, o_totalprice) JOIN customer ON c_custkey = o_custkey")
+@query(
+    """WITH top AS (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20)
+SELECT o_orderkey, o_totalprice, c_name
+    FROM top
+    JOIN orders USING (o_orderkey, o_totalprice)
+    JOIN customer ON c_custkey = o_custkey"""
+)
 def s9_point_lookup(spark, d):
     """Ranks on narrow columns first; names join the rows that are left."""
     top = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(20)
     return readers.late(top.withColumnRenamed("o_custkey", "c_custkey"), table(spark, d, "customer"), "c_custkey").select("o_orderkey", "o_totalprice", "c_name")
 
 
-@query("SELECT count(*) AS n, count(DISTINCT o_custkey) AS keys FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+@query(
+    """SELECT count(*) AS n, count(DISTINCT o_custkey) AS keys
+    FROM orders
+    WHERE o_custkey IN (SELECT c_custkey
+    FROM customer
+    WHERE c_mktsegment = 'BUILDING')"""
+)
 def s10_scan_keys(spark, d):
     keys = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
     return readers.by_keys(table(spark, d, "orders"), keys, "o_custkey").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("keys"))
@@ -171,7 +187,12 @@ def k10_key_presence(spark, d):
 # --- projections and filters ---------------------------------------------------------------------------------
 
 
-@query("WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS a, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderstatus END AS b FROM orders) SELECT count(*) AS n, round(sum(a), 2) AS total FROM t WHERE a IS NOT NULL AND b IS NOT NULL")
+@query(
+    """WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS a,
+        CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderstatus END AS b
+    FROM orders)
+SELECT count(*) AS n, round(sum(a), 2) AS total FROM t WHERE a IS NOT NULL AND b IS NOT NULL"""
+)
 def p1_drop_missing(spark, d):
     """NaN counts as missing."""
     o = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 3 == 0, float("nan")).otherwise(F.col("o_totalprice")).alias("a"), F.when(F.col("o_orderkey") % 4 == 0, None).otherwise(F.col("o_orderstatus")).alias("b"))
@@ -183,7 +204,10 @@ def p2_normalise_text(spark, d):
     return table(spark, d, "customer").groupBy(F.lower(F.trim(F.concat("c_mktsegment", F.lit(" ")))).alias("mode")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {C.SPECTRA}, f AS (SELECT molecule_id, len(list_filter(peaks, lambda p: p.mz > 200)) AS n FROM spectra) SELECT count(*) AS spectra, sum(n)::BIGINT AS peaks FROM f WHERE n > 0")
+@query(
+    f"""WITH {C.SPECTRA}, f AS (SELECT molecule_id, len(list_filter(peaks, lambda p: p.mz > 200)) AS n FROM spectra)
+SELECT count(*) AS spectra, sum(n)::BIGINT AS peaks FROM f WHERE n > 0"""
+)
 def p3_non_empty(spark, d):
     kept = C.spectra(spark, d).select(F.filter("peaks", lambda p: p["mz"] > 200).alias("p")).where(F.size("p") > 0)
     return kept.agg(F.count("*").alias("spectra"), F.sum(F.size("p")).alias("peaks"))
@@ -194,7 +218,11 @@ def p4_sources(spark, d):
     return table(spark, d, "documents").where(F.col("source").isin("src1", "src2", "src3")).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("WITH a AS (SELECT event_id, event_type, user_id FROM events), b AS (SELECT event_id AS other, event_type, user_id FROM events) SELECT event_type, count(*) AS n FROM a JOIN b USING (event_type, user_id) GROUP BY event_type")
+@query(
+    """WITH a AS (SELECT event_id, event_type, user_id FROM events),
+b AS (SELECT event_id AS other, event_type, user_id FROM events)
+SELECT event_type, count(*) AS n FROM a JOIN b USING (event_type, user_id) GROUP BY event_type"""
+)
 def p5_same_mode(spark, d):
     e = table(spark, d, "events").select("event_id", "event_type", "user_id")
     return e.join(e.withColumnRenamed("event_id", "other"), ["event_type", "user_id"]).groupBy("event_type").agg(F.count("*").alias("n"))
@@ -205,7 +233,13 @@ def p6_positive(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("score")).where(F.get("embedding", F.lit(0)) > 0)
 
 
-@query(f"WITH {C.QUERIES} SELECT query_id, p_partkey, round(CASE WHEN abs(p_retailprice - center) <= center * 3000.0::DOUBLE / 1e6 THEN 0.05 ELSE 0 END, 6)::DOUBLE AS sim FROM queries JOIN part ON p_size = query_id % 50 WHERE abs(p_retailprice - center) <= center * 3000.0::DOUBLE / 1e6")
+@query(
+    f"""WITH {C.QUERIES} SELECT query_id, p_partkey,
+        round(CASE WHEN abs(p_retailprice - center) <= center * 3000.0::DOUBLE / 1e6 THEN 0.05 ELSE 0 END, 6)::DOUBLE AS sim
+    FROM queries
+    JOIN part ON p_size = query_id % 50
+    WHERE abs(p_retailprice - center) <= center * 3000.0::DOUBLE / 1e6"""
+)
 def p7_ppm_bonus(spark, d):
     """A row without similarity survives by the bonus alone."""
     met = C.queries(spark, d).join(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), F.col("p_size") == F.col("query_id") % 50)
@@ -213,7 +247,16 @@ def p7_ppm_bonus(spark, d):
     return met.select("query_id", "p_partkey", F.round(sim, 6).alias("sim")).where("sim > 0")
 
 
-@query("SELECT 'kept' AS side, count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT 'dropped', count(*) FROM part WHERE p_partkey IN (SELECT vec_id FROM embeddings)")
+@query(
+    """SELECT 'kept' AS side, count(*) AS n
+    FROM part
+    WHERE p_partkey NOT IN (SELECT vec_id
+    FROM embeddings)
+    UNION ALL SELECT 'dropped', count(*)
+    FROM part
+    WHERE p_partkey IN (SELECT vec_id
+    FROM embeddings)"""
+)
 def p8_subset_by_keys(spark, d):
     p, keys = table(spark, d, "part"), table(spark, d, "embeddings").select(F.col("vec_id").alias("p_partkey"))
     sides = [(p.join(keys, "p_partkey", how), side) for how, side in (("left_anti", "kept"), ("left_semi", "dropped"))]
@@ -221,14 +264,22 @@ def p8_subset_by_keys(spark, d):
     return out[0].union(out[1])
 
 
-@query("SELECT p_partkey FROM part WHERE p_retailprice BETWEEN 905 AND 960 AND len(list_filter(string_split(p_name, ' '), lambda w: NOT list_contains(['red', 'small', 'ring', 'widget', 'blue', 'large'], w))) = 0")
+@query(
+    """SELECT p_partkey
+    FROM part
+    WHERE p_retailprice BETWEEN 905 AND 960 AND len(list_filter(string_split(p_name, ' '),
+        lambda w: NOT list_contains(['red', 'small', 'ring', 'widget', 'blue', 'large'], w))) = 0"""
+)
 def p9_allowed_elements(spark, d):
     """A mass range with both ends, and no part outside a whitelist."""
     allowed = F.array(*(F.lit(x) for x in ("red", "small", "ring", "widget", "blue", "large")))
     return table(spark, d, "part").where(F.col("p_retailprice").between(905, 960) & (F.size(F.array_except(F.split("p_name", " "), allowed)) == 0)).select("p_partkey")
 
 
-@query("WITH t AS (SELECT page_id, string_split(url, '/') AS w FROM pages) SELECT page_id, list_filter(w, lambda x: len(x) = list_max(list_transform(w, lambda y: len(y))))[1] AS fragment FROM t")
+@query(
+    """WITH t AS (SELECT page_id, string_split(url, '/') AS w FROM pages)
+SELECT page_id, list_filter(w, lambda x: len(x) = list_max(list_transform(w, lambda y: len(y))))[1] AS fragment FROM t"""
+)
 def p10_largest_fragment(spark, d):
     """The longest piece, the first of equals."""
     w = F.split("url", "/")
@@ -236,7 +287,12 @@ def p10_largest_fragment(spark, d):
     return table(spark, d, "pages").select("page_id", F.get(F.filter(w, lambda x: F.length(x) == longest), F.lit(0)).alias("fragment"))
 
 
-@query("SELECT round(avg((p_size > 10)::INT), 6) AS f1, round(avg((p_size <= 40)::INT), 6) AS f2, round(avg((p_retailprice >= 920)::INT), 6) AS f3, round(avg((p_size > 10 AND p_size <= 40)::INT), 6) AS loose, round(avg((p_size > 10 AND p_size <= 40 AND p_retailprice >= 920)::INT), 6) AS tight FROM part")
+@query(
+    """SELECT round(avg((p_size > 10)::INT), 6) AS f1, round(avg((p_size <= 40)::INT), 6) AS f2,
+        round(avg((p_retailprice >= 920)::INT), 6) AS f3, round(avg((p_size > 10 AND p_size <= 40)::INT), 6) AS loose,
+        round(avg((p_size > 10 AND p_size <= 40 AND p_retailprice >= 920)::INT), 6) AS tight
+    FROM part"""
+)
 def p11_filter_tiers(spark, d):
     a, b, c = F.col("p_size") > 10, F.col("p_size") <= 40, F.col("p_retailprice") >= 920
     keep = lambda p, n: F.round(F.avg(p.cast("double")), 6).alias(n)
@@ -261,7 +317,11 @@ def p14_derive(spark, d):
 # --- joins ---------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {C.QUERIES} SELECT query_id, p_partkey FROM queries JOIN part ON p_retailprice >= center - 0.35::DOUBLE AND p_retailprice <= center + 0.35::DOUBLE")
+@query(
+    f"""WITH {C.QUERIES} SELECT query_id, p_partkey
+    FROM queries
+    JOIN part ON p_retailprice >= center - 0.35::DOUBLE AND p_retailprice <= center + 0.35::DOUBLE"""
+)
 def j1_band(spark, d):
     return J.band_join(C.queries(spark, d), table(spark, d, "part").select("p_partkey", "p_retailprice"), "center", "p_retailprice", 0.35).select("query_id", "p_partkey")
 
@@ -306,7 +366,12 @@ def j5_candidates_by_anchors(spark, d):
 _BINS = f"{C.PEAKS}, b AS (SELECT molecule_id, adduct, floor(mz / 0.5)::INT AS bin, sum(intensity) AS w FROM peaks GROUP BY ALL)"
 
 
-@query(f"WITH {_BINS} SELECT q.molecule_id AS query, l.molecule_id AS hit, round(sum(q.w * l.w), 6) AS dot FROM b q JOIN b l ON q.bin = l.bin AND q.adduct = l.adduct GROUP BY ALL")
+@query(
+    f"""WITH {_BINS} SELECT q.molecule_id AS query, l.molecule_id AS hit, round(sum(q.w * l.w), 6) AS dot
+    FROM b q
+    JOIN b l ON q.bin = l.bin AND q.adduct = l.adduct
+    GROUP BY ALL"""
+)
 def j6_sparse_dot(spark, d):
     b = C.peaks(spark, d).groupBy("molecule_id", "adduct", F.floor(F.col("mz") / 0.5).cast("int").alias("bin")).agg(F.sum("intensity").alias("w"))
     q = b.select(F.col("molecule_id").alias("query"), "adduct", "bin", F.col("w").alias("qw"))
@@ -317,7 +382,12 @@ def j6_sparse_dot(spark, d):
 _PAIRS = f"WITH {C.PEAKS}, a AS (SELECT * FROM peaks WHERE molecule_id % 2 = 0), b AS (SELECT * FROM peaks WHERE molecule_id % 2 = 1)"
 
 
-@query(f"{_PAIRS} SELECT a.molecule_id AS left_id, count(*) AS n, min(b.seq) AS first FROM a JOIN b ON b.molecule_id = a.molecule_id + 1 AND a.adduct = b.adduct AND b.mz >= a.mz - 2.0::DOUBLE AND b.mz <= a.mz + 2.0::DOUBLE GROUP BY ALL")
+@query(
+    f"""{_PAIRS} SELECT a.molecule_id AS left_id, count(*) AS n, min(b.seq) AS first
+    FROM a
+    JOIN b ON b.molecule_id = a.molecule_id + 1 AND a.adduct = b.adduct AND b.mz >= a.mz - 2.0::DOUBLE AND b.mz <= a.mz + 2.0::DOUBLE
+    GROUP BY ALL"""
+)
 def j7_peak_intervals(spark, d):
     """Pairs of peaks within a tolerance, both ends counting: inside rows, array by array."""
     p = C.peaks(spark, d).groupBy("molecule_id", "adduct").agg(F.collect_list(F.struct("mz", "seq")).alias("p"))
@@ -328,7 +398,14 @@ def j7_peak_intervals(spark, d):
     return met.where(F.size("m") > 0).groupBy("left_id").agg(F.sum(F.size("m")).alias("n"), F.min(F.array_min("m")).alias("first"))
 
 
-@query(f"{_PAIRS}, m AS (SELECT a.seq AS i, b.seq AS j FROM a JOIN b ON b.molecule_id = a.molecule_id + 1 AND a.adduct = b.adduct AND b.mz >= a.mz - 2.0::DOUBLE AND b.mz <= a.mz + 2.0::DOUBLE UNION SELECT a.seq, b.seq FROM a JOIN b ON b.molecule_id = a.molecule_id + 1 AND a.adduct = b.adduct AND b.mz + 17.5::DOUBLE >= a.mz - 2.0::DOUBLE AND b.mz + 17.5::DOUBLE <= a.mz + 2.0::DOUBLE) SELECT i, j FROM m")
+@query(
+    f"""{_PAIRS}, m AS (SELECT a.seq AS i, b.seq AS j
+    FROM a
+    JOIN b ON b.molecule_id = a.molecule_id + 1 AND a.adduct = b.adduct AND b.mz >= a.mz - 2.0::DOUBLE AND b.mz <= a.mz + 2.0::DOUBLE UNION SELECT a.seq, b.seq
+    FROM a
+    JOIN b ON b.molecule_id = a.molecule_id + 1 AND a.adduct = b.adduct AND b.mz + 17.5::DOUBLE >= a.mz - 2.0::DOUBLE AND b.mz + 17.5::DOUBLE <= a.mz + 2.0::DOUBLE)
+SELECT i, j FROM m"""
+)
 def j8_shifted_intervals(spark, d):
     """Direct pairs and those shifted, each once: band joins within (molecule, adduct), then a union."""
     p = C.peaks(spark, d)
@@ -339,27 +416,54 @@ def j8_shifted_intervals(spark, d):
     return direct.select("i", "j").union(moved.select("i", "j")).distinct()
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+@query(
+    """SELECT c_custkey
+    FROM customer
+    WHERE c_custkey IN (SELECT o_custkey
+    FROM orders
+    WHERE o_orderstatus = 'P') AND c_custkey NOT IN (SELECT o_custkey
+    FROM orders
+    WHERE o_orderpriority = '1-URGENT')"""
+)
 def j9_semi_anti(spark, d):
     o, c = table(spark, d, "orders"), table(spark, d, "customer").select("c_custkey")
     key = lambda df: df.select(F.col("o_custkey").alias("c_custkey"))
     return c.join(key(o.where("o_orderstatus = 'P'")), "c_custkey", "left_semi").join(key(o.where("o_orderpriority = '1-URGENT'")), "c_custkey", "left_anti")
 
 
-@query("WITH last AS (SELECT o_custkey, arg_max(o_orderkey, o_orderkey) AS k FROM orders GROUP BY o_custkey) SELECT c_custkey, k FROM customer JOIN last ON c_custkey = o_custkey")
+@query(
+    """WITH last AS (SELECT o_custkey, arg_max(o_orderkey, o_orderkey) AS k FROM orders GROUP BY o_custkey)
+SELECT c_custkey, k FROM customer JOIN last ON c_custkey = o_custkey"""
+)
 def j10_map_join(spark, d):
     """A map from key to value in which the last duplicate wins."""
     last = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by("o_orderkey", "o_orderkey").alias("k"))
     return table(spark, d, "customer").select("c_custkey").join(J.bounded_broadcast(last), "c_custkey")
 
 
-@query("SELECT c_custkey, coalesce(n, 0) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+@query(
+    """SELECT c_custkey, coalesce(n, 0) AS n
+    FROM customer
+    LEFT
+    JOIN (SELECT o_custkey, count(*) AS n
+    FROM orders GROUP BY 1) ON c_custkey = o_custkey"""
+)
 def j11_outer_default(spark, d):
     n = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
     return table(spark, d, "customer").select("c_custkey").join(n, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("SELECT 'missing' AS side, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'extra', count(DISTINCT o_custkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12)")
+@query(
+    """SELECT 'missing' AS side, count(*) AS n
+    FROM customer
+    WHERE c_custkey NOT IN (SELECT o_custkey
+    FROM orders)
+    UNION ALL SELECT 'extra', count(DISTINCT o_custkey)
+    FROM orders
+    WHERE o_custkey NOT IN (SELECT c_custkey
+    FROM customer
+    WHERE c_nationkey < 12)"""
+)
 def j12_coverage(spark, d):
     c, o = table(spark, d, "customer"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
     missing = c.join(o, "c_custkey", "left_anti").agg(F.lit("missing").alias("side"), F.count("*").alias("n"))
@@ -375,7 +479,11 @@ def j13_equal_fingerprints(spark, d):
     return low.join(counts, "cut").select("key", "same")
 
 
-@query("WITH s AS (SELECT lang, length(text) AS n, source FROM documents), k AS (SELECT lang, n, min(source) AS q FROM s GROUP BY lang, n HAVING count(DISTINCT source) >= 2) SELECT k.lang, k.n, q, count(*) AS refs FROM k JOIN s USING (lang, n) WHERE source <> q GROUP BY ALL")
+@query(
+    """WITH s AS (SELECT lang, length(text) AS n, source FROM documents),
+k AS (SELECT lang, n, min(source) AS q FROM s GROUP BY lang, n HAVING count(DISTINCT source) >= 2)
+SELECT k.lang, k.n, q, count(*) AS refs FROM k JOIN s USING (lang, n) WHERE source <> q GROUP BY ALL"""
+)
 def j14_several_sources(spark, d):
     """Keys that several sources have: the least source asks, the others answer."""
     s = table(spark, d, "documents").select("lang", F.length("text").cast("long").alias("n"), "source")
@@ -388,7 +496,12 @@ def j15_by_key_not_place(spark, d):
     return table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").select("doc_id", F.col("quality").cast("long").alias("quality"), "lang")
 
 
-@query("WITH t AS (SELECT p_name AS key, p_retailprice AS mass, p_size AS shard, p_partkey AS pos FROM part) SELECT key, mass, shard::BIGINT AS shard, pos FROM t QUALIFY row_number() OVER (PARTITION BY key ORDER BY mass, shard, pos) = 1")
+@query(
+    """WITH t AS (SELECT p_name AS key, p_retailprice AS mass, p_size AS shard, p_partkey AS pos FROM part)
+SELECT key, mass, shard::BIGINT AS shard, pos
+    FROM t
+    QUALIFY row_number() OVER (PARTITION BY key ORDER BY mass, shard, pos) = 1"""
+)
 def j16_merge_dedup(spark, d):
     """A merge of sorted shards in which the first row of a key stays."""
     t = table(spark, d, "part").select(F.col("p_name").alias("key"), F.col("p_retailprice").alias("mass"), F.col("p_size").cast("long").alias("shard"), F.col("p_partkey").alias("pos"))
@@ -398,14 +511,27 @@ def j16_merge_dedup(spark, d):
 # --- sets, sorts, samples --------------------------------------------------------------------------------------
 
 
-@query("WITH u AS (SELECT p_partkey AS key, p_name AS v, 1 AS pr FROM part WHERE p_size > 30 UNION ALL SELECT vec_id, 'vector', 2 FROM embeddings) SELECT key, v FROM u QUALIFY row_number() OVER (PARTITION BY key ORDER BY pr) = 1")
+@query(
+    """WITH u AS (SELECT p_partkey AS key, p_name AS v, 1 AS pr
+    FROM part
+    WHERE p_size > 30
+    UNION ALL SELECT vec_id, 'vector', 2
+    FROM embeddings)
+SELECT key, v FROM u QUALIFY row_number() OVER (PARTITION BY key ORDER BY pr) = 1"""
+)
 def u1_union_priority(spark, d):
     a = table(spark, d, "part").where("p_size > 30").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("v"), F.lit(1).alias("pr"))
     b = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.lit("vector").alias("v"), F.lit(2).alias("pr"))
     return R.keep_best(a.unionByName(b), ["key"], [F.col("pr")]).select("key", "v")
 
 
-@query("SELECT o_custkey, list_sort(list_distinct(list_concat(list(l) FILTER (s), list(l) FILTER (NOT s))))::VARCHAR AS pairs FROM (SELECT o_custkey, o_orderstatus = 'F' AS s, right(o_orderpriority, 1) AS l FROM orders) GROUP BY o_custkey HAVING count(*) FILTER (s) > 0 AND count(*) FILTER (NOT s) > 0")
+@query(
+    """SELECT o_custkey, list_sort(list_distinct(list_concat(list(l) FILTER (s), list(l) FILTER (NOT s))))::VARCHAR AS pairs
+    FROM (SELECT o_custkey, o_orderstatus = 'F' AS s, right(o_orderpriority, 1) AS l
+    FROM orders)
+    GROUP BY o_custkey
+    HAVING count(*) FILTER (s) > 0 AND count(*) FILTER (NOT s) > 0"""
+)
 def u2_array_union(spark, d):
     o = table(spark, d, "orders").select("o_custkey", (F.col("o_orderstatus") == "F").alias("s"), F.right("o_orderpriority", F.lit(1)).alias("l"))
     sides = o.groupBy("o_custkey").agg(F.collect_list(F.when(F.col("s"), F.col("l"))).alias("a"), F.collect_list(F.when(~F.col("s"), F.col("l"))).alias("b")).where((F.size("a") > 0) & (F.size("b") > 0))
@@ -418,14 +544,40 @@ def u3_except(spark, d):
     return table(spark, d, "orders").select("o_custkey").subtract(gone)
 
 
-@query("SELECT o_custkey AS id, 'own' AS v FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT c_custkey, 'fallback' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
+@query(
+    """SELECT o_custkey AS id, 'own' AS v
+    FROM orders
+    WHERE o_totalprice > 400000
+    UNION ALL SELECT c_custkey, 'fallback'
+    FROM customer
+    WHERE c_custkey NOT IN (SELECT o_custkey
+    FROM orders
+    WHERE o_totalprice > 400000)"""
+)
 def u4_append_fallback(spark, d):
     own = table(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("id"), F.lit("own").alias("v"))
     rest = table(spark, d, "customer").select(F.col("c_custkey").alias("id")).join(own, "id", "left_anti")
     return own.unionByName(rest.withColumn("v", F.lit("fallback")))
 
 
-@query("WITH a AS (SELECT o_custkey AS g, o_orderpriority AS key, min(o_orderkey) AS m FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL), b AS (SELECT o_custkey AS g, o_orderpriority AS key, min(o_orderkey) AS m FROM orders WHERE o_orderstatus <> 'F' GROUP BY ALL), t AS (SELECT g, key, 1 AS tier, row_number() OVER (PARTITION BY g ORDER BY m) AS r FROM a UNION ALL SELECT g, key, 2, row_number() OVER (PARTITION BY g ORDER BY m) FROM b), c AS (SELECT * FROM t WHERE tier = 2 OR r <= 2), f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY g, key ORDER BY tier, r) = 1) SELECT g, key, tier::BIGINT AS tier, row_number() OVER (PARTITION BY g ORDER BY tier, r) AS rank FROM f QUALIFY row_number() OVER (PARTITION BY g ORDER BY tier, r) <= 4")
+@query(
+    """WITH a AS (SELECT o_custkey AS g, o_orderpriority AS key, min(o_orderkey) AS m
+    FROM orders
+    WHERE o_orderstatus = 'F' GROUP BY ALL),
+b AS (SELECT o_custkey AS g, o_orderpriority AS key, min(o_orderkey) AS m
+    FROM orders
+    WHERE o_orderstatus <> 'F' GROUP BY ALL),
+t AS (SELECT g, key, 1 AS tier, row_number() OVER (PARTITION BY g ORDER BY m) AS r
+    FROM a
+    UNION ALL SELECT g, key, 2, row_number() OVER (PARTITION BY g
+    ORDER BY m)
+    FROM b),
+c AS (SELECT * FROM t WHERE tier = 2 OR r <= 2),
+f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY g, key ORDER BY tier, r) = 1)
+SELECT g, key, tier::BIGINT AS tier, row_number() OVER (PARTITION BY g ORDER BY tier, r) AS rank
+    FROM f
+    QUALIFY row_number() OVER (PARTITION BY g ORDER BY tier, r) <= 4"""
+)
 def u5_tier_fill(spark, d):
     """Tier 1 up to its cap, then tier 2 keys that are not there yet."""
     o = table(spark, d, "orders")
@@ -443,7 +595,12 @@ def u6_key_algebra(spark, d):
     return a.join(table(spark, d, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("key")), "key", "left_anti")
 
 
-@query(f"WITH {C.SPECTRA} SELECT molecule_id, adduct, round(list_sum(list_transform(list_sort(list_transform(peaks, lambda p: struct_pack(a := -p.intensity, b := p.mz)))[1:5], lambda x: x.b)), 6) AS mz, len(peaks)::BIGINT AS n FROM spectra WHERE len(peaks) > 5")
+@query(
+    f"""WITH {C.SPECTRA} SELECT molecule_id, adduct, round(list_sum(list_transform(list_sort(list_transform(peaks,
+        lambda p: struct_pack(a := -p.intensity, b := p.mz)))[1:5], lambda x: x.b)), 6) AS mz, len(peaks)::BIGINT AS n
+    FROM spectra
+    WHERE len(peaks) > 5"""
+)
 def t1_top_peaks(spark, d):
     from ..functions import peaks as P
 
@@ -451,12 +608,27 @@ def t1_top_peaks(spark, d):
     return kept.select("molecule_id", "adduct", F.round(P.total(P.field(F.col("top"), "mz")), 6).alias("mz"), F.size("peaks").cast("long").alias("n"))
 
 
-@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3")
+@query(
+    """SELECT o_custkey, o_orderkey, o_totalprice
+    FROM orders
+    QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3"""
+)
 def t3_top_per_group(spark, d):
     return R.top_k(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 3).drop("rank")
 
 
-@query("WITH a AS (SELECT o_custkey AS g, o_orderpriority AS k, o_totalprice AS s, o_orderkey AS i FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) <= 5), b AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY s DESC, i) AS r FROM a QUALIFY row_number() OVER (PARTITION BY g ORDER BY s DESC, i) <= 8), c AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY g, k ORDER BY r) = 1) SELECT g, k, row_number() OVER (PARTITION BY g ORDER BY r) AS rank FROM c QUALIFY row_number() OVER (PARTITION BY g ORDER BY r) <= 4")
+@query(
+    """WITH a AS (SELECT o_custkey AS g, o_orderpriority AS k, o_totalprice AS s, o_orderkey AS i
+    FROM orders
+    QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) <= 5),
+b AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY s DESC, i) AS r
+    FROM a
+    QUALIFY row_number() OVER (PARTITION BY g ORDER BY s DESC, i) <= 8),
+c AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY g, k ORDER BY r) = 1)
+SELECT g, k, row_number() OVER (PARTITION BY g ORDER BY r) AS rank
+    FROM c
+    QUALIFY row_number() OVER (PARTITION BY g ORDER BY r) <= 4"""
+)
 def t5_three_cuts(spark, d):
     """Per group, per molecule, per canonical key."""
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("g"), "o_orderstatus", F.col("o_orderpriority").alias("k"), F.col("o_totalprice").alias("s"), F.col("o_orderkey").alias("i"))

@@ -57,7 +57,13 @@ def f3_modified_cosine(spark, d):
     return _cosines(spark, d, 17.5)
 
 
-@query(f"WITH {WEIGHTED}, b AS (SELECT molecule_id, adduct, least(greatest(trunc(mz / 0.5::DOUBLE)::INT, 0), 4200) AS bin, sum(w) AS w FROM wp GROUP BY ALL) SELECT molecule_id, adduct, bin::BIGINT AS bin, round(w / sqrt(sum(w * w) OVER (PARTITION BY molecule_id, adduct)), 6) AS w FROM b")
+@query(
+    f"""WITH {WEIGHTED}, b AS (SELECT molecule_id, adduct, least(greatest(trunc(mz / 0.5::DOUBLE)::INT, 0), 4200) AS bin, sum(w) AS w
+    FROM wp
+    GROUP BY ALL)
+SELECT molecule_id, adduct, bin::BIGINT AS bin, round(w / sqrt(sum(w * w) OVER (PARTITION BY molecule_id, adduct)), 6) AS w
+    FROM b"""
+)
 def f4_binned_vector(spark, d):
     from ..operators.library import binned
 
@@ -71,13 +77,24 @@ _ADDUCT_VALUES = ", ".join(f"('{a}', {n}, {z}, {s!r}::DOUBLE)" for a, n, z, s in
 _KIND_CASE = "(['" + "', '".join(KINDS) + "', 'unknown'])[event_id % 6 + 1]"
 
 
-@query(f"WITH a(adduct, n_mer, charge, shift) AS (VALUES {_ADDUCT_VALUES}), e AS (SELECT event_id, value, {_KIND_CASE} AS adduct FROM events) SELECT event_id, round(CASE WHEN (value * charge - shift) / n_mer > 0 THEN (value * charge - shift) / n_mer END, 6) AS mass FROM e LEFT JOIN a USING (adduct)")
+@query(
+    f"""WITH a(adduct, n_mer, charge, shift) AS (VALUES {_ADDUCT_VALUES}),
+e AS (SELECT event_id, value, {_KIND_CASE} AS adduct FROM events)
+SELECT event_id, round(CASE WHEN (value * charge - shift) / n_mer > 0 THEN (value * charge - shift) / n_mer END, 6) AS mass
+    FROM e
+    LEFT
+    JOIN a USING (adduct)"""
+)
 def f5_neutral_mass(spark, d):
     e = table(spark, d, "events").select("event_id", F.col("value").alias("precursor_mz"), F.get(F.array(*map(F.lit, (*KINDS, "unknown"))), (F.col("event_id") % 6).cast("int")).alias("adduct"))
     return predict.neutral_mass(e).select("event_id", F.round("mass", 6).alias("mass"))
 
 
-@query(f"WITH {C.POOL} SELECT a.key AS key, round((bit_count(a.w0 & b.w0) + bit_count(a.w1 & b.w1))::DOUBLE / (a.popcount + b.popcount - bit_count(a.w0 & b.w0) - bit_count(a.w1 & b.w1)), 6) AS t FROM pooled a JOIN pooled b ON b.key = 0")
+@query(
+    f"""WITH {C.POOL} SELECT a.key AS key, round((bit_count(a.w0 & b.w0) + bit_count(a.w1 & b.w1))::DOUBLE / (a.popcount + b.popcount - bit_count(a.w0 & b.w0) - bit_count(a.w1 & b.w1)), 6) AS t
+    FROM pooled a
+    JOIN pooled b ON b.key = 0"""
+)
 def f6_tanimoto(spark, d):
     p = C.pool(spark, d)
     anchor = F.broadcast(p.where("key = 0").select(F.col("fp").alias("a_fp"), F.col("popcount").alias("a_pop")))  # one row
@@ -110,7 +127,12 @@ def f8_loglik(spark, d):
     return _bit_rows(spark, d, _probs(spark, d)).groupBy("key").agg(F.round(F.sum(S.logit(F.col("p"))), 5).alias("score"))
 
 
-@query(f"WITH {_LIK} SELECT key, round(sum(({_LOGIT}) * (1 + i / 100.0::DOUBLE) + 0.1::DOUBLE), 5) AS score FROM bits JOIN pr USING (label, i) GROUP BY key")
+@query(
+    f"""WITH {_LIK} SELECT key, round(sum(({_LOGIT}) * (1 + i / 100.0::DOUBLE) + 0.1::DOUBLE), 5) AS score
+    FROM bits
+    JOIN pr USING (label, i)
+    GROUP BY key"""
+)
 def f9_logit_weights(spark, d):
     """Weight and bias by bit come as columns; nothing global is changed."""
     lik = S.logit(F.col("p"), 1e-4, 1 + F.col("i") / 100.0, 0.1)
@@ -161,7 +183,11 @@ _FEATURES = (
 )
 
 
-@query(f"{_FEATURES} SELECT molecule_id, adduct, count(*) AS n, round(sum(val), 5) AS total, round(sum(val * (col % 97)), 4) AS mixed FROM x GROUP BY ALL")
+@query(
+    f"""{_FEATURES} SELECT molecule_id, adduct, count(*) AS n, round(sum(val), 5) AS total, round(sum(val * (col % 97)), 4) AS mixed
+    FROM x
+    GROUP BY ALL"""
+)
 def f14_featurize(spark, d):
     s = C.spectra(spark, d).select("molecule_id", "adduct", P.featurize(F.col("peaks"), F.lit(300.0), F.lit(" Positive ")).alias("f"))
     return s.select("molecule_id", "adduct", F.size("f").cast("long").alias("n"), F.round(F.aggregate("f", F.lit(0.0), lambda a, e: a + e["val"]), 5).alias("total"), F.round(F.aggregate("f", F.lit(0.0), lambda a, e: a + e["val"] * (e["col"] % 97)), 4).alias("mixed"))
@@ -174,19 +200,34 @@ def f15_feature_matrix(spark, d):
     return s.groupBy("adduct", F.col("e.col").cast("long").alias("col")).agg(F.round(F.sum("e.val"), 5).alias("val"))
 
 
-@query(f"WITH {WEIGHTED}, t AS (SELECT * FROM wp QUALIFY row_number() OVER (PARTITION BY molecule_id, adduct ORDER BY w DESC, mz) <= 8) SELECT molecule_id, adduct, count(*) AS n, round(sum(w) / sqrt(sum(w * w)), 6) AS intensity, round(sum(mz), 6) AS mz FROM t GROUP BY ALL")
+@query(
+    f"""WITH {WEIGHTED}, t AS (SELECT *
+    FROM wp
+    QUALIFY row_number() OVER (PARTITION BY molecule_id, adduct ORDER BY w DESC, mz) <= 8)
+SELECT molecule_id, adduct, count(*) AS n, round(sum(w) / sqrt(sum(w * w)), 6) AS intensity, round(sum(mz), 6) AS mz
+    FROM t
+    GROUP BY ALL"""
+)
 def f16_tensor(spark, d):
     s = C.spectra(spark, d).withColumn("t", P.tensor(F.col("peaks"), 8))
     return s.select("molecule_id", "adduct", F.size(F.filter("t.mask", lambda m: m)).cast("long").alias("n"), F.round(P.total(F.col("t.intensity")), 6).alias("intensity"), F.round(P.total(F.col("t.mz")), 6).alias("mz"))
 
 
-@query("SELECT role, (CASE lower(trim(role)) WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 0 END)::BIGINT AS mode, count(*) AS n FROM conversations GROUP BY ALL")
+@query(
+    """SELECT role, (CASE lower(trim(role)) WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 0 END)::BIGINT AS mode, count(*) AS n
+    FROM conversations
+    GROUP BY ALL"""
+)
 def f17_mode_id(spark, d):
     swapped = F.when(F.col("role") == "user", " Positive ").when(F.col("role") == "assistant", "NEGATIVE").otherwise(F.col("role"))
     return table(spark, d, "conversations").groupBy("role", P.mode_id(swapped).cast("long").alias("mode")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey, round(sin(p_retailprice * 2 * pi() / 1000.0::DOUBLE), 5) AS slow_sin, round(cos(p_retailprice * 2 * pi() / 1000.0::DOUBLE), 5) AS slow_cos FROM part")
+@query(
+    """SELECT p_partkey, round(sin(p_retailprice * 2 * pi() / 1000.0::DOUBLE), 5) AS slow_sin,
+        round(cos(p_retailprice * 2 * pi() / 1000.0::DOUBLE), 5) AS slow_cos
+    FROM part"""
+)
 def f18_mass_embedding(spark, d):
     e = P.mass_embedding(F.col("p_retailprice"), 8)
     return table(spark, d, "part").select("p_partkey", F.round(F.get(e, F.lit(3)), 5).alias("slow_sin"), F.round(F.get(e, F.lit(7)), 5).alias("slow_cos"))
@@ -197,7 +238,16 @@ def f19_sigmoid(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(S.sigmoid(F.get("embedding", F.lit(2)).cast("double")), 6).alias("p"))
 
 
-@query("WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: 0.5::DOUBLE * (1 / (1 + exp(-8 * x::DOUBLE))) + 0.5::DOUBLE * (CASE WHEN x > 0 THEN 1 ELSE 0 END)) AS p, list_transform(embedding, lambda x: CASE WHEN x > 0.05 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS c FROM embeddings), u AS (SELECT vec_id, i, p[i] AS p, c[i] AS c FROM t, range(1, 65) r(i)) SELECT vec_id, round(sum(CASE WHEN p >= 0.5 AND c = 1 THEN 1.0::DOUBLE ELSE 0 END) / sum(CASE WHEN p >= 0.5 OR c = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS tanimoto, round(sum(p * c) / (sqrt(sum(p * p)) * sqrt(sum(c * c))), 6) AS cosine FROM u GROUP BY vec_id")
+@query(
+    """WITH t AS (SELECT vec_id, list_transform(embedding,
+        lambda x: 0.5::DOUBLE * (1 / (1 + exp(-8 * x::DOUBLE))) + 0.5::DOUBLE * (CASE WHEN x > 0 THEN 1 ELSE 0 END)) AS p,
+        list_transform(embedding, lambda x: CASE WHEN x > 0.05 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS c
+    FROM embeddings),
+u AS (SELECT vec_id, i, p[i] AS p, c[i] AS c FROM t, range(1, 65) r(i))
+SELECT vec_id, round(sum(CASE WHEN p >= 0.5 AND c = 1 THEN 1.0::DOUBLE ELSE 0 END) / sum(CASE WHEN p >= 0.5 OR c = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS tanimoto, round(sum(p * c) / (sqrt(sum(p * p)) * sqrt(sum(c * c))), 6) AS cosine
+    FROM u
+    GROUP BY vec_id"""
+)
 def f20_interpolated(spark, d):
     """Half the prediction and half the truth, against another truth: Tanimoto at 0.5 and cosine."""
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
@@ -209,13 +259,25 @@ def f20_interpolated(spark, d):
     return e.withColumn("b", both).select("vec_id", F.round(t, 6).alias("tanimoto"), F.round(cos, 6).alias("cosine"))
 
 
-@query("SELECT p_partkey, round(greatest(least(p_retailprice, 950.0::DOUBLE), 910.0::DOUBLE), 4) AS clipped, round(ln(p_retailprice), 6) AS ln, round(ln(1 + p_size), 6) AS ln1, round(exp(p_size / 50.0::DOUBLE), 6) AS e, round(sqrt(p_size), 6) AS root, abs(p_size - 25)::BIGINT AS off FROM part")
+@query(
+    """SELECT p_partkey, round(greatest(least(p_retailprice, 950.0::DOUBLE), 910.0::DOUBLE), 4) AS clipped,
+        round(ln(p_retailprice), 6) AS ln, round(ln(1 + p_size), 6) AS ln1, round(exp(p_size / 50.0::DOUBLE), 6) AS e,
+        round(sqrt(p_size), 6) AS root, abs(p_size - 25)::BIGINT AS off
+    FROM part"""
+)
 def f21_math(spark, d):
     m, s = F.col("p_retailprice"), F.col("p_size")
     return table(spark, d, "part").select("p_partkey", F.round(F.greatest(F.least(m, F.lit(950.0)), F.lit(910.0)), 4).alias("clipped"), F.round(F.ln(m), 6).alias("ln"), F.round(F.log1p(s), 6).alias("ln1"), F.round(F.exp(s / 50.0), 6).alias("e"), F.round(F.sqrt(s), 6).alias("root"), F.abs(s - 25).cast("long").alias("off"))
 
 
-@query(f"WITH {C.POOL}, b AS (SELECT key, i FROM pooled, range(0, 64) t(i) WHERE (CASE WHEN i < 32 THEN (w0 >> i::INT) & 1 ELSE (w1 >> (i - 32)::INT) & 1 END) = 1) SELECT key, count(*) FILTER (i < 16) AS first, count(*) FILTER (i >= 16 AND i < 40) AS middle, sum(i)::BIGINT AS places FROM b GROUP BY key")
+@query(
+    f"""WITH {C.POOL}, b AS (SELECT key, i
+    FROM pooled, range(0, 64) t(i)
+    WHERE (CASE WHEN i < 32 THEN (w0 >> i::INT) & 1 ELSE (w1 >> (i - 32)::INT) & 1 END) = 1)
+SELECT key, count(*) FILTER (i < 16) AS first, count(*) FILTER (i >= 16 AND i < 40) AS middle, sum(i)::BIGINT AS places
+    FROM b
+    GROUP BY key"""
+)
 def b1_bit_blocks(spark, d):
     """Places of set bits, by blocks; packing and unpacking give them back."""
     p = C.pool(spark, d).withColumn("fp", B.unpack(B.pack(F.col("fp"))))
@@ -223,13 +285,24 @@ def b1_bit_blocks(spark, d):
     return p.where("popcount > 0").select("key", n(0, 16).alias("first"), n(16, 40).alias("middle"), F.aggregate(B.on_bits(F.col("fp"), 0, 64), F.lit(0).cast("long"), lambda a, x: a + x).alias("places"))
 
 
-@query("SELECT page_id, split_part(url, '/', 3) AS host, lower(trim(url)) AS clean, contains(url, 'http') AS has, array_to_string(string_split(url, '/'), ';') AS joined, regexp_replace(url, '[0-9]+', '#') AS masked, regexp_extract(url, '([0-9]+)', 1) AS digits FROM pages")
+@query(
+    """SELECT page_id, split_part(url, '/', 3) AS host, lower(trim(url)) AS clean, contains(url, 'http') AS has,
+        array_to_string(string_split(url, '/'), ';') AS joined, regexp_replace(url, '[0-9]+', '#') AS masked,
+        regexp_extract(url, '([0-9]+)', 1) AS digits
+    FROM pages"""
+)
 def b2_strings(spark, d):
     u = F.col("url")
     return table(spark, d, "pages").select("page_id", F.coalesce(F.get(F.split(u, "/"), F.lit(2)), F.lit("")).alias("host"), F.lower(F.trim(u)).alias("clean"), F.contains(u, F.lit("http")).alias("has"), F.array_join(F.split(u, "/"), ";").alias("joined"), F.regexp_replace(u, "^([^0-9]*)[0-9]+", "$1#").alias("masked"), F.regexp_extract(u, "([0-9]+)", 1).alias("digits"))
 
 
-@query(f"WITH {C.SPECTRA} SELECT molecule_id, adduct, len(list_concat(peaks, peaks))::BIGINT AS twice, len(list_distinct(list_transform(peaks, lambda p: p.intensity)))::BIGINT AS different, round(list_max(list_transform(peaks, lambda p: p.mz)), 4) AS top, list_contains(list_transform(peaks, lambda p: p.intensity), 0.5::DOUBLE) AS has FROM spectra")
+@query(
+    f"""WITH {C.SPECTRA} SELECT molecule_id, adduct, len(list_concat(peaks, peaks))::BIGINT AS twice,
+        len(list_distinct(list_transform(peaks, lambda p: p.intensity)))::BIGINT AS different,
+        round(list_max(list_transform(peaks, lambda p: p.mz)), 4) AS top, list_contains(list_transform(peaks,
+        lambda p: p.intensity), 0.5::DOUBLE) AS has
+    FROM spectra"""
+)
 def b3_arrays(spark, d):
     s = C.spectra(spark, d)
     own = P.field(F.col("peaks"), "intensity")

@@ -35,7 +35,15 @@ def q_band_top25(spark, d):
     return R.top_k(scored, ["query_id"], [F.col("t").desc(), F.col("key")], 25).select("query_id", "key", F.round("t", 6).alias("tanimoto"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("WITH p AS (SELECT o_custkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank, CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderpriority END AS s FROM orders WHERE o_custkey % 3 <> 0), g AS (SELECT id, array_to_string(list(s ORDER BY rank)[1:4], ';') AS smiles FROM p WHERE s <> '' GROUP BY id), ids AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 7 = 0 UNION SELECT id FROM p) SELECT id, coalesce(smiles, 'A;B') AS smiles FROM ids LEFT JOIN g USING (id)")
+@query(
+    """WITH p AS (SELECT o_custkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank,
+        CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderpriority END AS s
+    FROM orders
+    WHERE o_custkey % 3 <> 0),
+g AS (SELECT id, array_to_string(list(s ORDER BY rank)[1:4], ';') AS smiles FROM p WHERE s <> '' GROUP BY id),
+ids AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 7 = 0 UNION SELECT id FROM p)
+SELECT id, coalesce(smiles, 'A;B') AS smiles FROM ids LEFT JOIN g USING (id)"""
+)
 def k1_submission(spark, d):
     """Guesses joined; empty ones dropped; ids without any, and expected ones that are missing, get the fallback."""
     from pyspark.sql import Window
@@ -187,7 +195,15 @@ def q3_predict_v1(spark, d):
     return V.predict_v1(_test_spectra(spark, d), _library(spark, d), None, WIDE).select("molecule_id", F.col("rank").cast("long").alias("rank"), "smiles")
 
 
-@query(f"WITH {C.POOL}, u AS (SELECT 'K' || key::VARCHAR AS key, 1 AS pr, mass FROM pooled WHERE key % 2 = 0 UNION ALL SELECT 'K' || key::VARCHAR, 2, mass + 1000 FROM pooled WHERE key % 3 = 0) SELECT key, mass FROM u QUALIFY row_number() OVER (PARTITION BY key ORDER BY pr) = 1")
+@query(
+    f"""WITH {C.POOL}, u AS (SELECT 'K' || key::VARCHAR AS key, 1 AS pr, mass
+    FROM pooled
+    WHERE key % 2 = 0
+    UNION ALL SELECT 'K' || key::VARCHAR, 2, mass + 1000
+    FROM pooled
+    WHERE key % 3 = 0)
+SELECT key, mass FROM u QUALIFY row_number() OVER (PARTITION BY key ORDER BY pr) = 1"""
+)
 def q4_build_pool(spark, d):
     """Structures of two sources, the first one's kept where both have a key."""
     p = _pool(spark, d).withColumn("k", F.substring("key", 2, 9).cast("int"))
@@ -195,7 +211,19 @@ def q4_build_pool(spark, d):
     return R.keep_best(both, ["key"], [F.col("pr")]).select("key", "mass")
 
 
-@query(f"WITH {C.QUERIES}, {C.POOL}, w AS (SELECT query_id, key, w0, w1, popcount FROM queries JOIN pooled ON mass >= center - 3.0::DOUBLE AND mass <= center + 3.0::DOUBLE), s AS (SELECT query_id, w.key AS key, pow((a.key % 10 + 1) / 10.0::DOUBLE, 2.5::DOUBLE) * (bit_count(w.w0 & a.w0) + bit_count(w.w1 & a.w1))::DOUBLE / (w.popcount + a.popcount - bit_count(w.w0 & a.w0) - bit_count(w.w1 & a.w1)) AS s FROM w JOIN pooled a ON a.key % 50 = query_id % 50), b AS (SELECT query_id, key, max(s) AS prop FROM s GROUP BY ALL) SELECT query_id, key, round(prop, 6) AS prop FROM b WHERE prop > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(prop, 9) DESC, key) <= 50")
+@query(
+    f"""WITH {C.QUERIES}, {C.POOL}, w AS (SELECT query_id, key, w0, w1, popcount
+    FROM queries
+    JOIN pooled ON mass >= center - 3.0::DOUBLE AND mass <= center + 3.0::DOUBLE),
+s AS (SELECT query_id, w.key AS key, pow((a.key % 10 + 1) / 10.0::DOUBLE, 2.5::DOUBLE) * (bit_count(w.w0 & a.w0) + bit_count(w.w1 & a.w1))::DOUBLE / (w.popcount + a.popcount - bit_count(w.w0 & a.w0) - bit_count(w.w1 & a.w1)) AS s
+    FROM w
+    JOIN pooled a ON a.key % 50 = query_id % 50),
+b AS (SELECT query_id, key, max(s) AS prop FROM s GROUP BY ALL)
+SELECT query_id, key, round(prop, 6) AS prop
+    FROM b
+    WHERE prop > 0
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(prop, 9) DESC, key) <= 50"""
+)
 def q5_propagate(spark, d):
     pool = C.pool(spark, d).select("key", "mass", "fp", "popcount")
     q = C.queries(spark, d)
@@ -374,7 +402,12 @@ def q9_predict_v4(spark, d):
     return _ranked_out(V.predict_v4(_test_spectra(spark, d), _library(spark, d), _pool(spark, d), _large(spark, d), _probs(spark, d), _canonical(spark, d), WIDE), "ckey", "smiles")
 
 
-@query("WITH t AS (SELECT split_part(p_name, ' ', 1) AS key, p_retailprice AS mass, p_partkey AS id FROM part WHERE p_size % 7 NOT IN (0, 1) AND p_retailprice BETWEEN 910 AND 990) SELECT key, mass, id FROM t QUALIFY row_number() OVER (PARTITION BY key ORDER BY mass, id) = 1")
+@query(
+    """WITH t AS (SELECT split_part(p_name, ' ', 1) AS key, p_retailprice AS mass, p_partkey AS id
+    FROM part
+    WHERE p_size % 7 NOT IN (0, 1) AND p_retailprice BETWEEN 910 AND 990)
+SELECT key, mass, id FROM t QUALIFY row_number() OVER (PARTITION BY key ORDER BY mass, id) = 1"""
+)
 def q10_ingest_pool(spark, d):
     """Gzip lines, malformed ones skipped; filtered; the lightest row of a key; sorted by mass."""
     p = table(spark, d, "part")
@@ -386,14 +419,28 @@ def q10_ingest_pool(spark, d):
     return spark.read.parquet(writers.by_mass(best, writers.scratch(spark, "pool"), "mass", 4)).select("key", "mass", "id")
 
 
-@query("SELECT 'without' AS pool, count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'only', count(*) FROM part WHERE p_brand = 'Brand#3'")
+@query(
+    """SELECT 'without' AS pool, count(*) AS n
+    FROM part
+    WHERE p_partkey NOT IN (SELECT doc_id
+    FROM labels)
+    UNION ALL SELECT 'only', count(*)
+    FROM part
+    WHERE p_brand = 'Brand#3'"""
+)
 def q11_pool_subsets(spark, d):
     p = table(spark, d, "part")
     without = p.join(table(spark, d, "labels").select(F.col("doc_id").alias("p_partkey")), "p_partkey", "left_anti")
     return without.agg(F.lit("without").alias("pool"), F.count("*").alias("n")).union(p.where("p_brand = 'Brand#3'").agg(F.lit("only").alias("pool"), F.count("*").alias("n")))
 
 
-@query("SELECT DISTINCT lang, source FROM documents d WHERE source IN ('src4', 'src5', 'src6') AND NOT EXISTS (SELECT 1 FROM documents c WHERE c.source IN ('src7') AND c.lang = d.lang AND c.n_chars = d.n_chars)")
+@query(
+    """SELECT DISTINCT lang, source
+    FROM documents d
+    WHERE source IN ('src4', 'src5', 'src6') AND NOT EXISTS (SELECT 1
+    FROM documents c
+    WHERE c.source IN ('src7') AND c.lang = d.lang AND c.n_chars = d.n_chars)"""
+)
 def q12_hold_out(spark, d):
     """Rows of some sources whose key no core source has."""
     docs = table(spark, d, "documents").select("lang", "source", "n_chars")
@@ -401,7 +448,18 @@ def q12_hold_out(spark, d):
     return docs.where(F.col("source").isin("src4", "src5", "src6")).join(core, ["lang", "n_chars"], "left_anti").select("lang", "source").distinct()
 
 
-@query("WITH grid(alpha) AS (VALUES (0.0::DOUBLE), (0.3::DOUBLE), (0.7::DOUBLE), (1.0::DOUBLE)), t AS (SELECT o_custkey AS g, o_orderkey AS k, o_totalprice / 500000.0::DOUBLE AS a, (o_orderkey % 101) / 101.0::DOUBLE AS b, o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) AS truth FROM orders), r AS (SELECT alpha, g, truth, row_number() OVER (PARTITION BY alpha, g ORDER BY alpha * a + (1 - alpha) * b DESC, k) AS rank FROM t, grid) SELECT alpha, round(avg(CASE WHEN rank <= 25 THEN 1.0::DOUBLE / rank ELSE 0 END), 6) AS mrr, count(*) AS n FROM r WHERE truth GROUP BY alpha")
+@query(
+    """WITH grid(alpha) AS (VALUES (0.0::DOUBLE), (0.3::DOUBLE), (0.7::DOUBLE), (1.0::DOUBLE)),
+t AS (SELECT o_custkey AS g, o_orderkey AS k, o_totalprice / 500000.0::DOUBLE AS a, (o_orderkey % 101) / 101.0::DOUBLE AS b,
+        o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) AS truth
+    FROM orders),
+r AS (SELECT alpha, g, truth, row_number() OVER (PARTITION BY alpha, g ORDER BY alpha * a + (1 - alpha) * b DESC, k) AS rank
+    FROM t, grid)
+SELECT alpha, round(avg(CASE WHEN rank <= 25 THEN 1.0::DOUBLE / rank ELSE 0 END), 6) AS mrr, count(*) AS n
+    FROM r
+    WHERE truth
+    GROUP BY alpha"""
+)
 def q13_sweep(spark, d):
     """A grid of configurations as rows; each ranks all molecules."""
     from pyspark.sql import Window
@@ -414,7 +472,16 @@ def q13_sweep(spark, d):
     return r.groupBy("alpha").agg(F.round(F.avg(F.when(F.col("rank") <= 25, 1 / F.col("rank")).otherwise(0.0)), 6).alias("mrr"), F.count("*").alias("n"))
 
 
-@query(f"WITH {C.POOL}, n AS (SELECT a.label AS label, a.key AS key, max((bit_count(a.w0 & b.w0) + bit_count(a.w1 & b.w1))::DOUBLE / (a.popcount + b.popcount - bit_count(a.w0 & b.w0) - bit_count(a.w1 & b.w1))) AS t FROM pooled a JOIN pooled b ON a.label = b.label AND a.key <> b.key GROUP BY ALL) SELECT round(corr(t, mass), 6) AS r, round(regr_slope(mass, t), 4) AS slope, round(avg(t), 6) AS headroom FROM n JOIN pooled USING (key)")
+@query(
+    f"""WITH {C.POOL}, n AS (SELECT a.label AS label, a.key AS key,
+        max((bit_count(a.w0 & b.w0) + bit_count(a.w1 & b.w1))::DOUBLE / (a.popcount + b.popcount - bit_count(a.w0 & b.w0) - bit_count(a.w1 & b.w1))) AS t
+    FROM pooled a
+    JOIN pooled b ON a.label = b.label AND a.key <> b.key
+    GROUP BY ALL)
+SELECT round(corr(t, mass), 6) AS r, round(regr_slope(mass, t), 4) AS slope, round(avg(t), 6) AS headroom
+    FROM n
+    JOIN pooled USING (key)"""
+)
 def q14_diagnostics(spark, d):
     """How far a fingerprint's nearest neighbour explains another score."""
     p = C.pool(spark, d).select("key", "label", "mass", "fp", "popcount")
@@ -439,7 +506,21 @@ def q16_fault_isolation(spark, d):
     return table(spark, d, "events").select("event_id", F.coalesce(F.get_json_object(raw, "$.k").try_cast("bigint"), F.lit(-1).cast("bigint")).alias("k"))
 
 
-@query(f"WITH {C.QUERIES}, {C.POOL}, w AS (SELECT query_id, key, w0, w1, bit_count(w0) + 0.001::DOUBLE * key AS score FROM queries JOIN pooled ON mass >= center - 3.0::DOUBLE AND mass <= center + 3.0::DOUBLE), n AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM w), t AS (SELECT query_id, arg_min(w0, key) AS t0, arg_min(w1, key) AS t1 FROM w GROUP BY query_id), m AS (SELECT n.*, w0 = t0 AND w1 = t1 AS is_true FROM n JOIN t USING (query_id) WHERE n.n >= 2), r AS (SELECT *, 1 + count(*) FILTER (score > ts) OVER (PARTITION BY query_id) AS true_rank FROM (SELECT *, max(score) FILTER (is_true) OVER (PARTITION BY query_id) AS ts FROM m)) SELECT query_id, key, true_rank::BIGINT AS true_rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM r WHERE NOT is_true QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) <= 8")
+@query(
+    f"""WITH {C.QUERIES}, {C.POOL}, w AS (SELECT query_id, key, w0, w1, bit_count(w0) + 0.001::DOUBLE * key AS score
+    FROM queries
+    JOIN pooled ON mass >= center - 3.0::DOUBLE AND mass <= center + 3.0::DOUBLE),
+n AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM w),
+t AS (SELECT query_id, arg_min(w0, key) AS t0, arg_min(w1, key) AS t1 FROM w GROUP BY query_id),
+m AS (SELECT n.*, w0 = t0 AND w1 = t1 AS is_true FROM n JOIN t USING (query_id) WHERE n.n >= 2),
+r AS (SELECT *, 1 + count(*) FILTER (score > ts) OVER (PARTITION BY query_id) AS true_rank
+    FROM (SELECT *, max(score) FILTER (is_true) OVER (PARTITION BY query_id) AS ts
+    FROM m))
+SELECT query_id, key, true_rank::BIGINT AS true_rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank
+    FROM r
+    WHERE NOT is_true
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) <= 8"""
+)
 def c14_hard_decoys(spark, d):
     pool = C.pool(spark, d).select("key", "mass", "fp", "popcount")
     w = J.band_join(C.queries(spark, d), pool, "center", "mass", 3.0).withColumn("score", F.bit_count(F.get("fp", F.lit(0))) + 0.001 * F.col("key"))
