@@ -37,9 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, cut, ship, sized, working
+from .common import BROADCAST_IDS, cut, ship, sized, tidied, working
 from .components import components
-from .wordhash import mixed, run_hashes, word_hashes
+from .wordhash import hashes_in, mixed, run_hashes, words_in
 
 #: How many times the least size the sizes of a band go up to; spare parts as a share of those needed.
 BAND, SPARE = 1.5, 0.35
@@ -91,12 +91,15 @@ class Rule:
         return 2 if self.most_apart(largest) >= 3 else 1
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """The sorted hashes of a text's set."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.zeros(0, dtype=np.uint64)
-    return np.unique(run_hashes(word_hashes(found), min(words, len(found))))
+def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
+    """The sorted hashes of each text's set. Words of all texts are hashed at once."""
+    raws = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    raw = np.frombuffer(b" ".join(raws), dtype=np.uint8)
+    starts, ends = words_in(raw)
+    hashes = hashes_in(raw, starts, ends)
+    bounds = np.searchsorted(starts, np.cumsum([0] + [len(r) + 1 for r in raws])).tolist()
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        yield np.unique(run_hashes(hashes[lo:hi], min(words, hi - lo))) if hi > lo else np.zeros(0, dtype=np.uint64)
 
 
 def node_of(own: np.ndarray) -> int:
@@ -147,15 +150,14 @@ def _offers(docs: DataFrame, rule: Rule) -> DataFrame:
     kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        working("words")
+        working()
         seen: set[int] = set()
         cache: dict = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 sizes, nodes, sketches, keys = [], [], [], []
-                for text in part.column(len(kept)).to_pylist():
-                    own = shingles(text, rule.words)
+                for own in shingle_sets(part.column(len(kept)).to_pylist(), rule.words):
                     sizes.append(len(own))
                     node = node_of(own) if len(own) else None
                     new = node is not None and node not in seen
@@ -168,7 +170,7 @@ def _offers(docs: DataFrame, rule: Rule) -> DataFrame:
                 yield pa.record_batch([*part.columns[: len(kept)], *made], [*kept, "n", "node", "sketch", "keys"])
 
     schema = "".join(f"{c} {t}, " for c, t in docs.dtypes if c != "text")
-    return docs.select(*kept, "text").mapInArrow(run, f"{schema}n long, node long, sketch array<long>, keys array<long>")
+    return docs.select(*kept, "text").mapInArrow(tidied(run), f"{schema}n long, node long, sketch array<long>, keys array<long>")
 
 
 def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -177,11 +179,11 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                owns = [own for own in (shingles(t, rule.words) for t in batch.column(0).slice(at, 200).to_pylist()) if len(own)]
+                owns = [own for own in shingle_sets(batch.column(0).slice(at, 200).to_pylist(), rule.words) if len(own)]
                 if owns:
                     yield pa.record_batch([pa.array([node_of(o) for o in owns], pa.int64()), _lists([o.view(np.int64) for o in owns])], ["node", "own"])
 
-    return docs.select("text").mapInArrow(run, "node long, own array<long>")
+    return docs.select("text").mapInArrow(tidied(run), "node long, own array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -339,7 +341,7 @@ def _near(rows: DataFrame, nodes: DataFrame, rule: Rule, nearest: bool) -> DataF
         if best:
             yield _pairs({(i, j) for i, (_, j) in best.items()})
 
-    pairs = dealt.mapInArrow(run, "u long, v long")
+    pairs = dealt.mapInArrow(tidied(run), "u long, v long")
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 

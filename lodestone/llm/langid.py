@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import ship, working
+from .common import ship, tidied, working
 
 #: Families of languages by ISO 639-1 code (fixed values).
 FAMILIES = {
@@ -41,7 +41,7 @@ FAMILIES = {
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 UNKNOWN = "und"
 #: Bins for runs; bytes of text worked on at once.
-BINS, BLOCK = 1 << 14, 1 << 21
+BINS, BLOCK = 1 << 14, 1 << 19
 #: Labelled rows that a language is learned from, at most; languages that are learned, at most.
 PER_LANG, MOST_LANGS = 600, 100
 
@@ -241,7 +241,7 @@ def learn(labelled: DataFrame, per_lang: int = PER_LANG, most_langs: int = MOST_
                 got = list(features(part.column(1)))
                 yield pa.record_batch([part.column(0), pa.array([b.astype("<i4").tobytes() for b, _ in got], pa.binary()), pa.array([(s * 100).astype("<f4").tobytes() for _, s in got], pa.binary())], ["lang", "bins", "shares"])
 
-    rows = sample.mapInArrow(counted, "lang string, bins binary, shares binary").collect()
+    rows = sample.mapInArrow(tidied(counted), "lang string, bins binary, shares binary").collect()
     rows.sort(key=lambda r: (r.lang, bytes(r.bins), bytes(r.shares)))
     return fit([(r.lang, np.frombuffer(r.bins, "<i4").astype(np.int64), np.frombuffer(r.shares, "<f4").astype(np.float64)) for r in rows])
 
@@ -275,7 +275,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str | Column] = (),
 
     schema = StructType([*kept.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
     out = schema.names
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(tidied(run), schema)
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, tidied
 from .tokens import KEPT_PIECES, PieceEncoder, default_vocabulary
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Ids held at once by a task; a unit ends with the document that reaches it.
-UNIT_TOKENS = 16 << 20
+UNIT_TOKENS = 8 << 20
 
 
 class CapacityTree:
@@ -151,7 +151,9 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int =
                 part = found[k : k + 50_000]
                 doc, start, length, sequence, offset = (np.array(x, dtype=np.int64) for x in zip(*part, strict=True))
                 sums = [zlib.crc32(memoryview(held[d])[4 * s : 4 * (s + n)]) for d, s, n, _, _ in part]
-                yield pa.record_batch([pa.array([ids[d] for d in doc], pa.int64()), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array([len(held[d]) // 4 for d in doc], pa.int64()), pa.array(sequence + base), pa.array(offset)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+                whose, sizes = [ids[d] for d in doc], [len(held[d]) // 4 for d in doc]
+                columns = (whose, start, length, sums, sizes, sequence + base, offset)
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], [c.split()[0] for c in PIECES.split(", ")])
             base += max((p[3] for p in found), default=-1) + 1
 
         for batch in batches:
@@ -165,4 +167,4 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int =
         if held:
             yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), PIECES)

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard
 
@@ -95,3 +96,70 @@ def test_parts_never_lose_a_link():
         both = len(np.intersect1d(base, other))
         if 100 * both >= 85 * (len(base) + len(other) - both):
             assert set(jaccard.offered(base, rule, {})) & set(jaccard.offered(other, rule, {}))
+
+
+@pytest.mark.parametrize("task_links", [1_000_000, 3])
+def test_components_of_paths_stars_and_loops(spark, task_links):
+    """In one task, and by turns of stars where there are more links than one task takes."""
+    from lodestone.llm.components import components, least_labels
+
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(200, i) for i in range(201, 240)] + [(300, 300), (None, 4), (5, None), (-7, 12), (401, 400), (400, 401)]
+    edges += [(rng.randrange(500, 600), rng.randrange(500, 600)) for _ in range(70)]
+    rng.shuffle(edges)
+    least = {}
+
+    def root(i):
+        while least.setdefault(i, i) != i:
+            i = least[i]
+        return i
+
+    for u, v in edges:
+        if u is not None and v is not None and u != v:
+            a, b = root(u), root(v)
+            least[max(a, b)] = min(a, b)
+    got = components(spark.createDataFrame(edges, "u long, v long").repartition(5), task_links=task_links)
+    assert {r.node: r.component for r in got.collect()} == {i: root(i) for i in least}
+    empty = spark.createDataFrame([], "u long, v long")
+    assert components(empty, task_links=task_links).count() == 0
+    import numpy as np
+
+    assert [x.tolist() for x in least_labels(np.array([3, 9]), np.array([9, 1]))] == [[1, 3, 9], [1, 1, 1]]
+
+
+def near_copies(n, seed=11):
+    """One text with a word changed here and there, many times over, and some strangers."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        words[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    return rows + [(n + i, " ".join(f"s{i}_{k}" for k in range(30))) for i in range(20)]
+
+
+def test_large_groups_are_split(spark, monkeypatch):
+    """Hot keys, and buckets of several blocks: the same components as in one piece."""
+    monkeypatch.setattr(jaccard, "HOT_NODES", 64)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rows = near_copies(300)
+    got = jaccard.components_by_jaccard(spark.createDataFrame(rows, "doc_id long, text string"), jaccard.Rule(4, 85)).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, 4, 85)
+
+
+def test_later_copies_against_components(spark):
+    rows = [*corpus(5, 120), (1, "same id other text entirely here"), (None, "no id " * 9), (None, "no id " * 9 + "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    told = docs.selectExpr("doc_id as d", "text", "xxhash64(text) as h")
+    later = {(r.doc_id, r.text) for r in jaccard.later_copies(docs, jaccard.Rule(5, 80)).join(told, F.expr("text_hash <=> h and doc_id <=> d")).collect()}
+    ids = [(i, t) for i, (_, t) in enumerate(rows)]
+    least = {i: c for i, _, c in brute(ids, 5, 80)}
+    first = {}
+    for i, (doc, text) in enumerate(rows):
+        if least[i] != i or any(c == i and j != i for j, c in least.items()):
+            first.setdefault(least[i], []).append((doc is None, doc or 0, doc, text))
+    for members in first.values():
+        kept = {(d, t) for _, _, d, t in members} - later
+        assert len(kept) == 1 and min(m[:2] for m in members) == (next(iter(kept))[0] is None, next(iter(kept))[0] or 0)
+    assert len(later) == sum(len({m[2:] for m in g}) - 1 for g in first.values())

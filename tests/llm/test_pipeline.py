@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline as cp
 from lodestone.llm import decontaminate
+from pyspark.sql import functions as F
 
 
 def rows():
@@ -73,11 +74,10 @@ def test_retrieval_recall_against_all_pairs(spark):
     rng = random.Random(4)
     texts = [t for _, t, *_ in docs if t] + [" ".join(rng.sample(t.split(), 30)) for _, t in items]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    space = decontaminate._space(table, items, 256)
-    places = decontaminate._places(space.vocabulary)
+    (space,) = decontaminate._spaces(table, items, 256)
     found = {(t, i) for t, i, *_ in decontaminate._search(texts, space, 0.33)}
     size = len(space.idf)
-    vector = lambda words: np.bincount([places[w] for w in words], minlength=size) * space.idf
+    vector = lambda words: np.bincount(space.places.of(decontaminate._hashed(words)), minlength=size) * space.idf
     want = set()
     for t, text in enumerate(texts):
         w = decontaminate.words_of(text)
@@ -99,3 +99,49 @@ def test_common_subsequence():
             for j, y in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
         assert decontaminate.common_subsequence(a, b) == t[-1][-1]
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_rows_are_judged_one_by_one(spark, tmp_path):
+    """Rows of one id with unlike texts, a copy among them, and contaminated rows without an id."""
+    docs, items = rows()
+    a, b, c = docs[1][1], docs[3][1], docs[5][1]
+    table = spark.createDataFrame([(3, a, "en", "s", 0), (7, a, "en", "s", 0), (7, b, "en", "s", 0), (None, c, None, None, None), (None, c + " more", None, None, None)], DOCS)
+    kept = sorted((r.doc_id or 0, r.text) for r in cp.near_duplicates(spark, table, str(tmp_path)).collect())
+    assert len(kept) == 3 and (3, a) in kept and (7, b) in kept
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    bad = a + " " + items[0][1]
+    table = spark.createDataFrame([(None, bad, None, None, None), (None, b, None, None, None), (5, bad, "en", "s", 0), (5, c, "en", "s", 0), (6, None, None, None, None)], DOCS)
+    kept = [(r.doc_id, r.text) for r in cp.decontaminated(spark, table, str(tmp_path)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, b), (5, c), (6, None)], key=str)
+
+
+def test_clashing_columns_of_any_type(spark, tmp_path):
+    docs, items = rows()
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    more = "score string, lang_pred string, none int, row string, doc string, text_hash long, count int, m map<string,int>, `a.b` int"
+    table = spark.createDataFrame([(*d, "x", "y", 1, "r", "d", 5, 6, {"k": 1}, 2) for d in [*docs, docs[0], docs[7], docs[7]]], f"{DOCS}, {more}")
+    at, sizes = table, []
+    for name, stage in cp.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == table.columns and at.schema == table.schema, name
+        at.write.parquet(str(tmp_path / name))
+        at = spark.read.parquet(str(tmp_path / name))
+        sizes.append(at.count())
+    assert sizes == [len(docs), len(docs) - 5, len(docs) - 6, len(docs) - 6]
+    assert all(r.m == {"k": 1} and r["a.b"] == 2 for r in at.collect())
+
+
+def test_labels_follow_sure_predictions(spark, tmp_path):
+    """A few wrong labels among the given documents are set right, and hardly any right one is touched."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    right = {r.doc_id: r.lang for r in docs.where("lang is not null and length(text) > 300").limit(300).collect()}
+    wrong = sorted(right)[:20]
+    other = F.when(F.col("lang") == "en", "de").otherwise("en")
+    table = docs.withColumn("lang", F.when(F.col("doc_id").isin(wrong), other).otherwise(F.col("lang")))
+    got = {r.doc_id: r.lang for r in cp.languages(spark, table, str(tmp_path)).collect()}
+    mended = sum(got[i] == right[i] for i in wrong)
+    kept = sum(got[i] == lang for i, lang in right.items() if i not in wrong)
+    assert mended >= 16 and kept >= 0.99 * (len(right) - len(wrong)), (mended, kept)
