@@ -84,7 +84,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 ids. See packing. Workers that ran other stages have less to spare."""
-    return packing.pack_documents(docs, end_id=1, window=2048, keep=600_000)
+    return packing.pack_documents(docs, end_id=1, window=2048, keep=150_000)
 
 
 STAGES = [
