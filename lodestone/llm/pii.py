@@ -76,7 +76,15 @@ def _running(lens: Column) -> Column:
 
     def with_lens(v: Column) -> Column:
         n = F.size(v)
-        return _let(F.greatest(F.ceil(F.sqrt(n.cast("double"))).cast("int"), F.lit(1)), lambda b: _let(blocks(v, n, b), lambda before: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(before, F.floor(i / b).cast("int")) + total(F.slice(v, F.floor(i / b).cast("int") * b + 1, i % b)))).otherwise(F.array().cast("array<int>"))))
+        size = F.greatest(F.ceil(F.sqrt(n.cast("double"))).cast("int"), F.lit(1))
+        return _let(size, lambda b: _let(blocks(v, n, b), lambda before: sums(v, n, b, before)))
+
+    def sums(v: Column, n: Column, b: Column, before: Column) -> Column:
+        def up_to(i: Column) -> Column:
+            block = F.floor(i / b).cast("int")
+            return F.get(before, block) + total(F.slice(v, block * b + 1, i % b))
+
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), up_to)).otherwise(F.array().cast("array<int>"))
 
     def total(part: Column) -> Column:
         return F.aggregate(part, F.lit(0), lambda a, x: a + x)
@@ -135,7 +143,17 @@ def _spans(kind: Kind, text: Column, original: Column) -> Column:
     pattern = F.lit(kind.pattern)
 
     def located(found: Column) -> Column:
-        return _let(F.split(text, kind.pattern, -1), lambda gaps: _let(_running(F.zip_with(F.transform(gaps, lambda g: F.length(g)), F.transform(found, lambda m: F.length(m)), lambda g, m: F.coalesce(g, F.lit(0)) + F.coalesce(m, F.lit(0)))), lambda before: F.transform(F.sequence(F.lit(0), F.size(found) - 1), lambda i: F.struct((F.get(before, i) + F.length(F.get(gaps, i))).alias("start"), F.get(found, i).alias("m")))))
+        """Each match with its start: what lies before it is all gaps and matches up to there, and its own gap."""
+
+        def steps(gaps: Column) -> Column:
+            lengths = lambda parts: F.transform(parts, lambda x: F.length(x))
+            return F.zip_with(lengths(gaps), lengths(found), lambda g, m: F.coalesce(g, F.lit(0)) + F.coalesce(m, F.lit(0)))
+
+        def placed(gaps: Column, before: Column) -> Column:
+            one = lambda i: F.struct((F.get(before, i) + F.length(F.get(gaps, i))).alias("start"), F.get(found, i).alias("m"))
+            return F.transform(F.sequence(F.lit(0), F.size(found) - 1), one)
+
+        return _let(F.split(text, kind.pattern, -1), lambda gaps: _let(_running(steps(gaps)), lambda before: placed(gaps, before)))
 
     def span(s: Column) -> Column:
         end = s["start"] + F.length(s["m"])
@@ -185,7 +203,9 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     count = lambda name: F.size(F.filter("__pii_base", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
     counts = [count(k.name) for k in KINDS if k.base]
     secrets = F.size(F.filter("__pii_all", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret")
-    return found.select("doc_id", *counts, F.sha2(_written(F.col("__pii_base")), 256).alias("base_sha256"), _written(F.col("__pii_all")).alias("spans"), F.array_join(F.transform("__pii_all", lambda s: s["score"].cast("string")), ",").alias("scores"), secrets)
+    digest = F.sha2(_written(F.col("__pii_base")), 256).alias("base_sha256")
+    scores = F.array_join(F.transform("__pii_all", lambda s: s["score"].cast("string")), ",").alias("scores")
+    return found.select("doc_id", *counts, digest, _written(F.col("__pii_all")).alias("spans"), scores, secrets)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -195,16 +215,19 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     # All columns as one, beside which the names in use here clash with nothing.
     found = with_spans(docs.select(F.struct(*plain(docs)).alias("doc"), F.col(text).alias("text")), "text")
-    merged = F.aggregate(
-        "__pii_all", F.array().cast("array<struct<start:int,end:int,kind:string>>"),
-        lambda a, s: F.when(
-            (F.size(a) > 0) & (F.element_at(a, -1)["end"] > s["start"]),
-            F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], s["end"]).alias("end"), F.element_at(a, -1)["kind"].alias("kind")))),
-        ).otherwise(F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))),
-    )
+
+    def joined(a: Column, s: Column) -> Column:
+        """The spans so far and one more, which widens the last one where they overlap."""
+        last = F.element_at(a, -1)
+        span = lambda start, end, kind: F.array(F.struct(start.alias("start"), end.alias("end"), kind.alias("kind")))
+        wider = F.concat(F.slice(a, F.lit(1), F.size(a) - 1), span(last["start"], F.greatest(last["end"], s["end"]), last["kind"]))
+        return F.when((F.size(a) > 0) & (last["end"] > s["start"]), wider).otherwise(F.concat(a, span(s["start"], s["end"], s["kind"])))
+
+    merged = F.aggregate("__pii_all", F.array().cast("array<struct<start:int,end:int,kind:string>>"), joined)
     found = found.withColumn("__pii_merged", F.when(F.size("__pii_all") > 0, merged))
     source = F.col("text")
-    pieces = F.transform(F.sequence(F.lit(0), F.size("__pii_merged") - 1), lambda i: F.concat(_between(source, i), F.lit("<"), F.upper(F.get("__pii_merged", i)["kind"]), F.lit(">")))
+    named = lambda i: F.concat(F.lit("<"), F.upper(F.get("__pii_merged", i)["kind"]), F.lit(">"))
+    pieces = F.transform(F.sequence(F.lit(0), F.size("__pii_merged") - 1), lambda i: F.concat(_between(source, i), named(i)))
     tail = source.substr(F.element_at("__pii_merged", -1)["end"] + 1, F.length(source))
     clean = F.when(F.size("__pii_merged") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(source)
     found = found.withColumn("text", clean)

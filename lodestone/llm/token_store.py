@@ -53,8 +53,10 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, width: int)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(vocabulary)
+        end = end_id.to_bytes(4, "little")
         for batch in batches:
-            yield pa.record_batch([pa.array([serialized(encoder.encode(t) + end_id.to_bytes(4, "little"), width)[:DICT_DOC_BYTES] for t in batch.column(0).to_pylist()], pa.binary())], ["ids"])
+            own = [serialized(encoder.encode(t) + end, width)[:DICT_DOC_BYTES] for t in batch.column(0).to_pylist()]
+            yield pa.record_batch([pa.array(own, pa.binary())], ["ids"])
 
     samples = [bytes(r.ids) for r in sample.select("text").mapInArrow(encode, "ids binary").limit(2 * DICT_DOCS).collect()]
     try:
@@ -98,7 +100,10 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
 
         def flush() -> pa.RecordBatch:
             known = [i for i in ids if i is not None]
-            row = {"shard": shard, "block": block, "first_start": start, "first_id": min(known, default=None), "last_id": max(known, default=None), "dict_hash": digest, "doc_ids": ids, "offsets": offsets, "n_tokens": tokens, "payload": b"".join(frames)}
+            row = {
+                "shard": shard, "block": block, "first_start": start, "first_id": min(known, default=None), "last_id": max(known, default=None),
+                "dict_hash": digest, "doc_ids": ids, "offsets": offsets, "n_tokens": tokens, "payload": b"".join(frames),
+            }
             return pa.RecordBatch.from_pylist([row], schema=ARROW_BLOCKS)
 
         for batch in batches:
@@ -123,7 +128,10 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
     return path
 
 
-ARROW_BLOCKS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_start", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("dict_hash", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int32())), ("n_tokens", pa.list_(pa.int32())), ("payload", pa.binary())])
+ARROW_BLOCKS = pa.schema([
+    ("shard", pa.int32()), ("block", pa.int32()), ("first_start", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("dict_hash", pa.string()),
+    ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int32())), ("n_tokens", pa.list_(pa.int32())), ("payload", pa.binary()),
+])
 
 
 def _opened(spark: SparkSession, path: str) -> tuple[bytes, str, int]:
@@ -174,7 +182,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
                     counts.append(len(raw) // 4)
                     sums.append(zlib.crc32(raw))
                     start += len(raw) // 4
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in (ids, starts, counts, sums)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return blocks.select("shard", "first_start", "dict_hash", "doc_ids", "offsets", "payload").mapInArrow(digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
@@ -182,6 +190,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
     """The ids of the documents with this id, by the offset index: one block is read, one frame decompressed."""
     content, digest, width = _opened(spark, path)
-    rows = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).orderBy("shard", "block").collect()
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    rows = blocks.where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).orderBy("shard", "block").collect()
     read = _frames(content, digest, width)
     return [np.frombuffer(raw, dtype="<u4").tolist() for r in rows for _, raw in read(r.asDict(), doc_id)]

@@ -12,7 +12,8 @@ programme keeps the best score and the number of pieces up to each place. No pie
 character into U+2581 or across a line feed, so words are searched on their own and each distinct word
 once; a vocabulary for which that does not hold is searched text by text.
 
-Null and empty texts have no tokens. Rows are kept as they are; an empty table gives no rows.
+Null and empty texts have no tokens. Rows are kept as they are, repeated ones and null ids too; an empty table gives
+no rows. Columns other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -113,7 +114,8 @@ class Counter:
         # "w" stands for a space and w, "\0w" for w behind a line feed.
         words = text.replace("\n", " \x00\n \x00").split(" ")
         if "" in words:  # neighbouring spaces may be one piece
-            words = [w[1:] if len(w) > 1 and w[1] != SPACE and w[0] == SPACE else "\x00" + w for w in re.findall(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+", SPACE + text.replace(" ", SPACE))]
+            found = re.findall(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+", SPACE + text.replace(" ", SPACE))
+            words = [w[1:] if len(w) > 1 and w[1] != SPACE and w[0] == SPACE else "\x00" + w for w in found]
         counts = list(map(self.words.get, words))
         if None in counts:
             for k, known in enumerate(counts):
@@ -136,6 +138,7 @@ def token_counts(docs: DataFrame, model: str | None = None) -> DataFrame:
         counter = Counter.of(model)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            yield pa.record_batch([batch.column(0), pa.array([len(t or "") for t in texts], pa.int64()), pa.array([counter.count(t) for t in texts], pa.int64())], ["doc_id", "n_chars", "n_tokens"])
+            sizes, counts = ([f(t) for t in texts] for f in (lambda t: len(t or ""), counter.count))
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "n_chars", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_chars long, n_tokens long")

@@ -134,3 +134,12 @@ def test_token_counts(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "the word", "c"), (3, "the word", "c"), (None, "x", "d")], "doc_id long, text string, n_tokens string")
     rows = unigram.token_counts(docs).collect()
     assert sorted((r.doc_id or 0, r.n_chars, r.n_tokens > 0) for r in rows) == [(0, 1, True), (1, 0, False), (2, 0, False), (3, 8, True), (3, 8, True)]
+
+
+def test_counts_and_pieces_among_clashing_columns(spark):
+    """Columns of the results' names, repeated rows and null ids."""
+    rows = [(1, "some words here", 1, 2, "x"), (1, "some words here", 1, 2, "x"), (None, None, 3, 4, None), (2, "", 5, 6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, start int, sequence_id string")
+    counts = unigram.token_counts(docs).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in counts) == [(0, 0), (1, 15), (1, 15), (2, 0)]
+    assert sorted(r.doc_id or 0 for r in packing.pack_documents(docs).collect()) == [0, 1, 1, 2]
