@@ -15,8 +15,8 @@ sentence, or of its last third if it has one sentence) that is there. An item is
 subsequence is at least ``whole``, or at least ``part`` with ``answer`` of the answer's words. Items of
 fewer than SHORT words are only found whole and in one piece, wherever their run of words is in a text, at any cosine.
 
-The benchmark is a query set of checked size (MOST_ITEMS), which every worker holds as latent spaces; beyond
-BLOCK_ITEMS items it is searched in blocks, so that a worker's share is bounded. Null or wordless texts are never contaminated, null or wordless items find nothing;
+The benchmark is a query set that the driver sees MOST_ITEMS at a time and every worker holds as latent spaces, a
+block of BLOCK_ITEMS items at a time; a larger one takes more passes and is searched whole. Null or wordless texts are never contaminated, null or wordless items find nothing;
 items with equal texts are all reported; rows with equal ids are reported as one, rows with a null id under
 the null id. Empty tables on either side give no rows. Other columns are ignored.
 """
@@ -42,8 +42,8 @@ HASHED, SLICE = 1 << 13, 1 << 21
 RANK = 256
 #: Steps that are projected at once.
 STEPS = 512
-#: Items of a block, items in all, and words below which an item is short.
-BLOCK_ITEMS, MOST_ITEMS, SHORT = 2000, 200_000, 8
+#: Items of a block, items that the driver takes at once, and words below which an item is short.
+BLOCK_ITEMS, MOST_ITEMS, SHORT = 2000, 50_000, 8
 _FLAT = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 RESULT = "doc_id long, item_id long, cosine double, lcs double, answer double, start_word long"
 
@@ -289,15 +289,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, least_
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = benchmark.count()
-    if n > MOST_ITEMS:
-        raise ValueError(f"a benchmark of {n} items; {MOST_ITEMS} at most, for every worker holds them")
-    rows = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").collect() if r.text]
-    items = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    found = None
-    for space in _spaces(docs, items, rank):
-        own = docs.mapInArrow(tidied(_finder(space, least_cosine, whole, part, answer)), RESULT)
-        found = own if found is None else found.union(own)
+    parts, found = max(1, -(-benchmark.count() // MOST_ITEMS)), None
+    for k in range(parts):
+        chosen = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else benchmark
+        rows = [(r.item_id, r.text) for r in chosen.select("item_id", "text").collect() if r.text]
+        items = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        for space in _spaces(docs, items, rank):
+            own = docs.mapInArrow(tidied(_finder(space, least_cosine, whole, part, answer)), RESULT)
+            found = own if found is None else found.union(own)
     if found is None:
         return spark.createDataFrame([], RESULT)
     best = F.max_by(F.struct("cosine", "lcs", "answer", "start_word"), F.struct("lcs", "cosine", -F.col("start_word")))

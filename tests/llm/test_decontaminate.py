@@ -119,3 +119,15 @@ def test_short_item_of_the_commonest_words(spark):
     word = lambda: "".join(rng.choices("abcdefghij", k=9))
     texts = [" ".join("of the" if k % 20 == 7 else word() for k in range(200)) for _ in range(40)]
     assert found(spark, texts, ["Of the", "the of"]) == {(d, 0) for d in range(40)}
+
+
+def test_blocks_and_parts_make_no_difference(spark, monkeypatch):
+    """A benchmark that is taken in parts and searched in blocks, against one piece."""
+    rng = random.Random(12)
+    items = column("benchmark", 30)
+    texts = planted(items, long_docs(), rng, lambda item: paraphrase(item, rng, 0.7))
+    whole = found(spark, texts, items)
+    monkeypatch.setattr(D, "BLOCK_ITEMS", 4)
+    assert found(spark, texts, items) == whole and len(whole) > 10
+    monkeypatch.setattr(D, "MOST_ITEMS", 9)
+    assert len(found(spark, texts, items) ^ whole) <= 1  # weights of words outside a part are shared ones
