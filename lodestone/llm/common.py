@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import hashlib
 import os
 import tempfile
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import dropped_at_end, is_local, new_folder, shared_dir
 
-__all__ = ["BROADCAST_IDS", "cut", "dropped_at_end", "fresh", "keeps", "new_folder", "plain", "shared_dir", "ship", "sized", "table", "tidied", "trim", "working"]
+__all__ = ["BROADCAST_IDS", "cut", "dropped_at_end", "fresh", "keeps", "new_folder", "plain", "release", "shared_dir", "ship", "sized", "table", "tidied", "trim", "working"]
 
 
 #: Ids that are broadcast at most (8 bytes each, counted first); more are joined by shuffling.
@@ -127,6 +128,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver look now for tables and shuffles that nothing refers to, whose files Spark then drops."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def sized(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
     """df in as many partitions as its rows need, if it has more: a small table in hundreds makes thousands of files."""
     return df.coalesce(max(2, -(-rows // each)))

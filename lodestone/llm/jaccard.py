@@ -34,10 +34,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, cut, ship, sized, tidied, working
+from .common import BROADCAST_IDS, cut, release, ship, sized, tidied, working
 from .components import components
 from .wordhash import hashes_in, mixed, run_hashes, words_in
 
@@ -47,7 +47,7 @@ BAND, SPARE = 1.5, 0.35
 DEALS = 4
 SKETCH_BITS = 1024
 #: Nodes in a block of a bucket; those of the buckets (one in so many) that the first turns look at.
-BLOCK, FIRST_TURNS = 1024, (8, 4)
+BLOCK, FIRST_TURNS = 512, (8, 4)
 #: A key that this many nodes share is hot, as one node in HOT_SHARE tells; so many hot keys are listed at most.
 HOT_NODES, HOT_SHARE, HOT_KEYS = 2048, 32, 10_000
 #: Sets that a task remembers so as to offer each once.
@@ -225,26 +225,40 @@ def _buckets(offers: DataFrame) -> DataFrame:
 
 
 def _placed(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """(offers, (node, component) of every node): component is the least node of those that links reach.
+    """(rows, (node, component) of every node): component is the least node of those that links reach.
 
-    docs: doc_id long, text, and further columns, which offers keep.
+    docs: doc_id long, text, and further columns. rows: all but the text, n (of shingles) and node.
     """
     ship(docs.sparkSession)
     offers = cut(_offers(docs, rule))
     nodes = offers.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.max(F.when(F.size("sketch") > 0, F.col("sketch"))).alias("sketch"), F.max("n").alias("n"))
     buckets = cut(_buckets(offers))
     rows = buckets.count()
-    all_nodes = offers.where("node is not null").select("node").distinct()
+    known = cut(offers.drop("sketch", "keys"))
+    all_nodes = known.where("node is not null").select("node").distinct()
     if not rows:
-        return offers, all_nodes.select("node", F.col("node").alias("component"))
+        return known, all_nodes.select("node", F.col("node").alias("component"))
     buckets = sized(buckets, rows)
     touched = cut(sized(buckets.select("node").distinct().join(nodes, "node"), rows))
     n = touched.count()
+    offers = nodes = None  # the largest tables have had their use
+    release(docs.sparkSession)
     wanted = touched.select(F.col("least").alias("id")).distinct()
     some = docs.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     sets = cut(_sets(some, rule).groupBy("node").agg(F.first("own").alias("own")).join(touched.select("node"), "node", "left_semi").coalesce(max(8, -(-n // 20_000))))
     links = _all_links(buckets, touched, sets, rule, rows)
-    return offers, all_nodes.join(links, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return known, all_nodes.join(links, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _with_first(rows: DataFrame, order: Column) -> DataFrame:
+    """rows with the least order of their component as first.
+
+    Components of several rows are looked up, in a broadcast if they are few, so that no large one has to pass
+    through one task; a row alone in its component is the first.
+    """
+    several = cut(rows.groupBy("component").agg(F.min(order).alias("least_of_all"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    known = F.broadcast(several) if several.count() <= BROADCAST_IDS else several
+    return rows.join(known, "component", "left").withColumn("first", F.coalesce("least_of_all", order)).drop("least_of_all")
 
 
 def components_by_jaccard(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -253,8 +267,7 @@ def components_by_jaccard(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     known = offers.select("doc_id", F.col("n").alias("n_shingles"), "node")
     of_node = known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     placed = of_node.join(placed, "node")
-    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    placed = placed.join(least, "component").select("node", "component_id")
+    placed = _with_first(placed, F.col("least")).select("node", F.col("first").alias("component_id"))
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return known.join(placed, "node", "left").select("doc_id", "n_shingles", own.alias("component_id"))
 
@@ -269,8 +282,7 @@ def later_copies(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     offers, placed = _placed(own, rule)
     rows = offers.where("node is not null").select("doc_id", "text_hash", "node").distinct().join(placed, "node")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    first = rows.groupBy("component").agg(F.min(order).alias("first"))
-    return rows.join(first, "component").where(order != F.col("first")).select("doc_id", "text_hash")
+    return _with_first(rows, order).where(order != F.col("first")).select("doc_id", "text_hash")
 
 
 def _all_links(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, rule: Rule, rows: int) -> DataFrame:
