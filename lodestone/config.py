@@ -87,8 +87,6 @@ class EngineConfig:
     block_weight: float = 0.2
     #: True: the table of adducts as published; False: with the shifts that its definition gives.
     compat_adducts: bool = False
-    #: Rows of a dimension that may be broadcast (counted before).
-    broadcast_rows: int = 1_000_000
     # Bit ranges of the fingerprint families.
     blocks_v1: dict = field(default_factory=lambda: {"morgan2": (0, 2048), "morgan3": (2048, 3072), "maccs": (3072, 3239)})
     blocks_v2: dict = field(default_factory=lambda: {"morgan2": (0, 2048), "morgan3": (2048, 3072), "maccs": (3072, 3239), "atompair": (3239, 5287), "torsion": (5287, 7335), "fcfp": (7335, 9383)})

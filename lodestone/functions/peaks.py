@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT
+
 PEAK = "struct<mz:double,intensity:double>"
 
 
@@ -120,7 +122,7 @@ def mode_id(mode: Column) -> Column:
     return F.when(clean == "positive", 1).when(clean == "negative", 2).otherwise(0)
 
 
-def featurize(peaks: Column, precursor: Column, mode: Column, width: float = 0.2, max_mz: float = 1200.0) -> Column:
+def featurize(peaks: Column, precursor: Column, mode: Column, width: float = DEFAULT.feature_bin, max_mz: float = DEFAULT.feature_max_mz) -> Column:
     """(col, val) entries: fragment bins, then neutral-loss bins, then three of the precursor and mode."""
     bins = int(max_mz / width) + 1
     entry = lambda col, val: F.struct(col.cast("int").alias("col"), val.cast("double").alias("val"))
@@ -138,7 +140,7 @@ def featurize(peaks: Column, precursor: Column, mode: Column, width: float = 0.2
     return let(reweighted(peaks), body)
 
 
-def tensor(peaks: Column, k: int = 64) -> Column:
+def tensor(peaks: Column, k: int = DEFAULT.tensor_peaks) -> Column:
     """struct(mz, intensity, mask), each of k places: weighted on all peaks, then cut to the k strongest."""
     by_weight = lambda p: F.array_sort(F.transform(p, lambda x: F.struct((-x["intensity"]).alias("a"), x["mz"].alias("mz"))))
     pad = lambda a, zero: F.slice(F.concat(a, F.array_repeat(zero, k)), 1, k)

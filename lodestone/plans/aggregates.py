@@ -176,7 +176,8 @@ def _paired(spark, d):
 
 @query(
     f"""WITH {_PAIRED} SELECT config, count(*) AS n, round(avg(d), 6) AS mean, round(1.96::DOUBLE * stddev_samp(d) / sqrt(count(*)),
-        6) AS ci, CASE WHEN abs(avg(d)) > 1.96::DOUBLE * stddev_samp(d) / sqrt(count(*)) THEN CASE WHEN avg(d) > 0 THEN 'better' ELSE 'worse' END ELSE 'not significant' END AS verdict
+        6) AS ci, CASE WHEN abs(avg(d)) > 1.96::DOUBLE * stddev_samp(d) / sqrt(count(*)) THEN CASE
+            WHEN avg(d) > 0 THEN 'better' ELSE 'worse' END ELSE 'not significant' END AS verdict
     FROM x
     GROUP BY config"""
 )

@@ -244,7 +244,8 @@ def f19_sigmoid(spark, d):
         list_transform(embedding, lambda x: CASE WHEN x > 0.05 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS c
     FROM embeddings),
 u AS (SELECT vec_id, i, p[i] AS p, c[i] AS c FROM t, range(1, 65) r(i))
-SELECT vec_id, round(sum(CASE WHEN p >= 0.5 AND c = 1 THEN 1.0::DOUBLE ELSE 0 END) / sum(CASE WHEN p >= 0.5 OR c = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS tanimoto, round(sum(p * c) / (sqrt(sum(p * p)) * sqrt(sum(c * c))), 6) AS cosine
+SELECT vec_id, round(sum(CASE WHEN p >= 0.5 AND c = 1 THEN 1.0::DOUBLE ELSE 0 END) / sum(CASE
+    WHEN p >= 0.5 OR c = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS tanimoto, round(sum(p * c) / (sqrt(sum(p * p)) * sqrt(sum(c * c))), 6) AS cosine
     FROM u
     GROUP BY vec_id"""
 )

@@ -266,7 +266,8 @@ large AS (
     SELECT 'L' || key AS key, 'L' || smiles AS smiles, mass, w0, w1, popcount FROM named
     UNION ALL SELECT key, smiles, mass, w0, w1, popcount FROM named WHERE popcount > 34
 ),
-masses AS (SELECT spec_id AS query_id, molecule_id, asked.adduct AS adduct, (mz * charge - shift) / n_mer AS mass FROM asked JOIN adducts USING (adduct)),
+masses AS (SELECT spec_id AS query_id, molecule_id, asked.adduct AS adduct, (mz * charge - shift) / n_mer AS mass
+    FROM asked JOIN adducts USING (adduct)),
 bits AS (
     SELECT query_id, avg(1 / (1 + exp(-(8 * embedding[i + 1]::DOUBLE)))) AS p, i
     FROM masses m JOIN rows r ON r.molecule_id = m.molecule_id AND r.adduct = m.adduct
@@ -309,12 +310,14 @@ def _fused(name: str, alpha: float, blocks: bool = False) -> str:
 {name}_w AS (SELECT * FROM {name}_c QUALIFY level = min(level) OVER (PARTITION BY query_id)),
 {name}_l AS (
     SELECT query_id, key, sum(l * CASE WHEN i < 32 THEN (w0 >> i::INT) & 1 ELSE (w1 >> (i - 32)::INT) & 1 END) AS lik,
-           sum(CASE WHEN i < 32 THEN l * ((w0 >> i::INT) & 1) ELSE 0 END) AS la, sum(CASE WHEN i < 32 THEN 0 ELSE l * ((w1 >> (i - 32)::INT) & 1) END) AS lb
+           sum(CASE WHEN i < 32 THEN l * ((w0 >> i::INT) & 1) ELSE 0 END) AS la, sum(CASE
+               WHEN i < 32 THEN 0 ELSE l * ((w1 >> (i - 32)::INT) & 1) END) AS lb
     FROM {name}_w JOIN logits USING (query_id) GROUP BY ALL
 ),
 {name}_s AS (
     SELECT c.query_id AS query_id, molecule_id, c.key AS key, smiles, prop, {lik} AS lik
-    FROM {name}_w c LEFT JOIN {name}_p p ON p.query_id = c.query_id AND p.key = c.key LEFT JOIN {name}_l l ON l.query_id = c.query_id AND l.key = c.key{window}
+    FROM {name}_w c LEFT JOIN {name}_p p ON p.query_id = c.query_id AND p.key = c.key LEFT
+        JOIN {name}_l l ON l.query_id = c.query_id AND l.key = c.key{window}
 ),
 {name}_f AS (
     SELECT query_id, molecule_id, key, smiles, {prop}{1 - alpha}::DOUBLE * (0.05::DOUBLE + 0.95::DOUBLE * ({scaled('lik', '1.0::DOUBLE')})) AS score
@@ -339,7 +342,8 @@ def _or_common(name: str) -> str:
     return f"""
 SELECT molecule_id, rank, ckey, smiles FROM {name}
 UNION ALL
-SELECT m.molecule_id, c.rank, c.key, 'S' || c.key FROM molecules m JOIN common c ON c.mode = m.mode WHERE m.molecule_id NOT IN (SELECT molecule_id FROM {name})"""
+SELECT m.molecule_id, c.rank, c.key, 'S' || c.key FROM molecules m JOIN common c ON c.mode = m.mode
+    WHERE m.molecule_id NOT IN (SELECT molecule_id FROM {name})"""
 
 
 def _ranked_out(df, *columns):
@@ -379,7 +383,8 @@ def _large(spark, d):
 
 _LARGE = f"""{_cand('u', 'large')}, {_fused('u', 0.0)},
 u_b AS (SELECT molecule_id, key, any_value(smiles) AS smiles, max(score) AS score FROM u_top GROUP BY ALL),
-u_list AS (SELECT molecule_id, key, smiles, row_number() OVER (PARTITION BY molecule_id ORDER BY round(score, 9) DESC, key) AS rank FROM u_b QUALIFY rank <= 50)"""
+u_list AS (SELECT molecule_id, key, smiles, row_number() OVER (PARTITION BY molecule_id ORDER BY round(score, 9) DESC, key) AS rank
+    FROM u_b QUALIFY rank <= 50)"""
 
 
 @query(f"{_FOUND}, {_WINDOW}, {_LARGE} SELECT molecule_id, rank, key, smiles FROM u_list")
