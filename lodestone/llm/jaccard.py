@@ -143,34 +143,60 @@ def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
     return pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(flat, pa.int64())).cast(pa.list_(pa.int64()))
 
 
-def _offers(docs: DataFrame, rule: Rule) -> DataFrame:
-    """n, node, sketch and keys of each document, behind its columns but the text; keys are empty where the task
-    offered that set before.
-    """
+def _noded(docs: DataFrame, rule: Rule) -> DataFrame:
+    """n, node and sketch of each document, behind its columns but the text; a task gives each set's sketch once."""
     kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working()
         seen: set[int] = set()
-        cache: dict = {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sizes, nodes, sketches, keys = [], [], [], []
-                for own in shingle_sets(part.column(len(kept)).to_pylist(), rule.words):
-                    sizes.append(len(own))
-                    node = node_of(own) if len(own) else None
-                    new = node is not None and node not in seen
-                    if new and len(seen) < SEEN:
-                        seen.add(node)
-                    nodes.append(node)
-                    sketches.append(sketch_of(own) if new else None)
-                    keys.append(offered(own, rule, cache) if new else None)
-                made = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), _lists(sketches), _lists(keys)]
-                yield pa.record_batch([*part.columns[: len(kept)], *made], [*kept, "n", "node", "sketch", "keys"])
+        for part in _slices(batches):
+            sizes, nodes, sketches = [], [], []
+            for own, node, new in _new_sets(part.column(len(kept)), rule, seen):
+                sizes.append(len(own))
+                nodes.append(node)
+                sketches.append(sketch_of(own) if new else None)
+            made = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), _lists(sketches)]
+            yield pa.record_batch([*part.columns[: len(kept)], *made], [*kept, "n", "node", "sketch"])
 
     schema = "".join(f"{c} {t}, " for c, t in docs.dtypes if c != "text")
-    return docs.select(*kept, "text").mapInArrow(tidied(run), f"{schema}n long, node long, sketch array<long>, keys array<long>")
+    return docs.select(*kept, "text").mapInArrow(tidied(run), f"{schema}n long, node long, sketch array<long>")
+
+
+def _keyed(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(node, key): what each set offers, once for each task that holds it.
+
+    Sets are made anew from the texts, for the keys of all documents would take more room than their texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working()
+        seen: set[int] = set()
+        cache: dict = {}
+        for part in _slices(batches):
+            found = [(node, offered(own, rule, cache)) for own, node, new in _new_sets(part.column(0), rule, seen) if new]
+            if found:
+                nodes, keys = zip(*found, strict=True)
+                yield pa.record_batch([pa.array(nodes, pa.int64()), _lists(list(keys))], ["node", "keys"])
+
+    made = docs.select("text").mapInArrow(tidied(run), "node long, keys array<long>")
+    return made.select("node", F.explode("keys").alias("key"))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            yield batch.slice(at, 256)
+
+
+def _new_sets(texts: pa.Array, rule: Rule, seen: set[int]) -> Iterator[tuple[np.ndarray, int | None, bool]]:
+    """(set, node, whether it is new to seen) of each text."""
+    for own in shingle_sets(texts.to_pylist(), rule.words):
+        node = node_of(own) if len(own) else None
+        new = node is not None and node not in seen
+        if new and len(seen) < SEEN:
+            seen.add(node)
+        yield own, node, new
 
 
 def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -198,56 +224,55 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(F.col("both") * 100 >= percent * (F.col("total") - F.col("both"))).select("u", "v")
 
 
-def _hot(offers: DataFrame) -> list[int]:
-    """Keys that very many nodes share, as far as one node in HOT_SHARE tells: they need no look for a second node.
+def _hot(docs: DataFrame, rule: Rule) -> list[int]:
+    """Keys that very many nodes share, as far as one text in HOT_SHARE tells: they need no look for a second node.
 
     They only decide how buckets are found; a key that is missed takes the common way to the same bucket.
     """
-    some = offers.where((F.size("keys") > 0) & (F.pmod(F.xxhash64("node", F.lit(3)), F.lit(HOT_SHARE)) == 0))
-    often = some.select("node", F.explode("keys").alias("key")).distinct().groupBy("key").count().where(F.col("count") >= HOT_NODES // HOT_SHARE)
+    some = docs.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(HOT_SHARE)) == 0)
+    often = _keyed(some, rule).distinct().groupBy("key").count().where(F.col("count") >= HOT_NODES // HOT_SHARE)
     return [r.key for r in often.orderBy(F.desc("count"), "key").limit(HOT_KEYS).collect()]
 
 
-def _buckets(offers: DataFrame) -> DataFrame:
-    """(key, node) of the keys that several nodes offer. Neighbours in a key's order tell; hot keys are known to."""
-    keys = offers.select("node", F.explode("keys").alias("key"))
-    hot = _hot(offers)
-    by_key = Window.partitionBy("key").orderBy("node")
-    own = keys
-    if hot:
-        listed = F.broadcast(offers.sparkSession.createDataFrame([(k,) for k in hot], "key long"))  # HOT_KEYS at most
-        own = keys.join(listed, "key", "left_anti")
-    met = own.select("key", "node", F.lag("node").over(by_key).alias("last"), F.lead("node").over(by_key).alias("next"))
-    found = met.where("last <> node or next <> node").select("key", "node")
+def _buckets(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(key, node) of the keys that several nodes offer.
+
+    Neighbours in a key's order tell. Hot keys are known to be offered by several, so their nodes go to many tasks.
+    """
+    keys, hot = _keyed(docs, rule), _hot(docs, rule)
     if hot:
-        found = found.union(keys.join(listed, "key", "left_semi").select("key", "node"))
-    return found.distinct()
+        listed = F.broadcast(docs.sparkSession.createDataFrame([(k, True) for k in hot], "key long, hot boolean"))  # HOT_KEYS at most
+        keys = keys.join(listed, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        keys = keys.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(HOT_NODES))).otherwise(0))
+    by_key = Window.partitionBy("key", *(["salt"] if hot else [])).orderBy("node")
+    met = keys.withColumn("last", F.lag("node").over(by_key)).withColumn("next", F.lead("node").over(by_key))
+    several = F.expr("last <> node or next <> node")
+    return met.where(F.col("hot") | several if hot else several).select("key", "node").distinct()
 
 
 def _placed(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(rows, (node, component) of every node): component is the least node of those that links reach.
 
-    docs: doc_id long, text, and further columns. rows: all but the text, n (of shingles) and node.
+    docs: doc_id long, text, and further columns. rows: all but the text, n (of shingles), node and sketch.
     """
     ship(docs.sparkSession)
-    offers = cut(_offers(docs, rule))
-    nodes = offers.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.max(F.when(F.size("sketch") > 0, F.col("sketch"))).alias("sketch"), F.max("n").alias("n"))
-    buckets = cut(_buckets(offers))
-    rows = buckets.count()
-    known = cut(offers.drop("sketch", "keys"))
-    all_nodes = known.where("node is not null").select("node").distinct()
-    if not rows:
-        return known, all_nodes.select("node", F.col("node").alias("component"))
-    buckets = sized(buckets, rows)
-    touched = cut(sized(buckets.select("node").distinct().join(nodes, "node"), rows))
-    n = touched.count()
-    offers = nodes = None  # the largest tables have had their use
+    rows = cut(_noded(docs, rule))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.max(F.when(F.size("sketch") > 0, F.col("sketch"))).alias("sketch"), F.max("n").alias("n"))
+    all_nodes = nodes.select("node")
+    buckets = cut(_buckets(docs, rule))
+    size = buckets.count()
+    if not size:
+        return rows, all_nodes.select("node", F.col("node").alias("component"))
     release(docs.sparkSession)
+    buckets = sized(buckets, size)
+    touched = cut(sized(buckets.select("node").distinct().join(nodes, "node"), size))
+    n = touched.count()
     wanted = touched.select(F.col("least").alias("id")).distinct()
     some = docs.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    sets = cut(_sets(some, rule).groupBy("node").agg(F.first("own").alias("own")).join(touched.select("node"), "node", "left_semi").coalesce(max(8, -(-n // 20_000))))
-    links = _all_links(buckets, touched, sets, rule, rows)
-    return known, all_nodes.join(links, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    of_touched = _sets(some, rule).join(touched.select("node"), "node", "left_semi")
+    sets = cut(of_touched.groupBy("node").agg(F.first("own").alias("own")).coalesce(max(8, -(-n // 20_000))))
+    links = _all_links(buckets, touched, sets, rule, size)
+    return rows, all_nodes.join(links, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def _with_first(rows: DataFrame, order: Column) -> DataFrame:
@@ -263,8 +288,8 @@ def _with_first(rows: DataFrame, order: Column) -> DataFrame:
 
 def components_by_jaccard(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs (doc_id, text)."""
-    offers, placed = _placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rule)
-    known = offers.select("doc_id", F.col("n").alias("n_shingles"), "node")
+    rows, placed = _placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rule)
+    known = rows.select("doc_id", F.col("n").alias("n_shingles"), "node")
     of_node = known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     placed = of_node.join(placed, "node")
     placed = _with_first(placed, F.col("least")).select("node", F.col("first").alias("component_id"))
@@ -279,8 +304,8 @@ def later_copies(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     is xxhash64 of the text. Rows that are equal in both are one row here. Texts without words are in nobody's component.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    offers, placed = _placed(own, rule)
-    rows = offers.where("node is not null").select("doc_id", "text_hash", "node").distinct().join(placed, "node")
+    known, placed = _placed(own, rule)
+    rows = known.where("node is not null").select("doc_id", "text_hash", "node").distinct().join(placed, "node")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     return _with_first(rows, order).where(order != F.col("first")).select("doc_id", "text_hash")
 
