@@ -54,7 +54,9 @@ def propagated(window: DataFrame, anchors: DataFrame, cfg: EngineConfig = DEFAUL
     each = anchors.groupBy("query_id").agg(F.collect_list(F.struct("sim", "a_fp", "a_pop")).alias("anchors"))
     weight = lambda a: F.pow(a["sim"], cfg.exponent) * B.tanimoto(F.col("fp"), a["a_fp"], F.col("popcount"), a["a_pop"])
     best = F.coalesce(F.array_max(F.transform("anchors", weight)), F.lit(0.0))
-    return window.join(each, "query_id", "left").withColumn("prop", best).withColumn("has_anchors", F.col("anchors").isNotNull()).drop("anchors")
+    # By a fixed number: rows are few bytes and much work, which adaptive execution would put into few tasks.
+    parts = int(window.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return window.repartition(parts, "query_id").join(each, "query_id", "left").withColumn("prop", best).withColumn("has_anchors", F.col("anchors").isNotNull()).drop("anchors")
 
 
 def canonical_top(pooled: DataFrame, canonical: DataFrame | None, cfg: EngineConfig = DEFAULT, k: int | None = None) -> DataFrame:
