@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, decontaminate, fingerprint, jaccard, langid, packing, pii, suffixes, token_store, unigram
+from . import blocks, decontaminate, fingerprint, jaccard, langid, packing, pii, suffixes, token_store, toxicity, unigram, whitening
 from .common import dropped_at_end, new_folder, table
 from .oracles import ORACLES
 
@@ -63,6 +63,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding. See whitening."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learned from labels that are not held out. See toxicity."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.predict(docs, model, [F.col("doc_id"), toxicity.held_out().alias("held_out")])
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_langid, op3_token_store, op4_jaccard, op5_suffixes, op6_pack, op7_fingerprint, op8_blocks, op9_pii, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_langid, op3_token_store, op4_jaccard, op5_suffixes, op6_pack, op7_fingerprint, op8_blocks, op9_pii, op10_token_counts, op11_whitening, op12_toxicity)}

@@ -17,6 +17,8 @@ COLUMNS = {
     "op8": ["doc_id", "n_words", "n_removed", "kept_sha256"],
     "op9": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
     "op10": ["doc_id", "n_chars", "n_tokens"],
+    "op11": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
+    "op12": ["doc_id", "held_out", "score", "predicted"],
 }
 NAMES = {n.split("_")[0]: n for n in entry.queries() if n.startswith("op")}
 
@@ -29,8 +31,9 @@ def test_one_query_for_each_operator():
 def test_columns_and_rows(spark, op):
     got = entry.queries()[NAMES[op]](spark, SF)
     assert got.columns[: len(COLUMNS[op])] == COLUMNS[op]
-    ids = {r.doc_id for r in got.select("doc_id").distinct().collect()}
-    known = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    key, name = ("vec_id", "embeddings") if op == "op11" else ("doc_id", "documents")
+    ids = {r[key] for r in got.select(key).distinct().collect()}
+    known = {r[key] for r in spark.read.parquet(f"{SF}/{name}.parquet").select(key).collect()}
     assert ids == known if op != "op1" else ids <= known
 
 
