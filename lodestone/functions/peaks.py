@@ -55,8 +55,8 @@ def top_peaks(peaks: Column, k: int) -> Column:
     return let(peaks, lambda p: F.when(F.size(p) <= k, p).otherwise(F.array_sort(F.transform(F.slice(strongest(p), 1, k), lambda x: F.struct(x["b"].alias("mz"), (-x["a"]).alias("intensity"))))))
 
 
-def merge_anchored(peaks: Column, tol: float) -> Column:
-    """Consensus peaks: runs within tol of their first peak; weighted mean mz, summed intensity over the maximum.
+def merge_anchored(peaks: Column, tol: float, scaled: bool = True) -> Column:
+    """Consensus peaks: runs within tol of their first peak; weighted mean mz, summed intensity (scaled: over the greatest).
 
     The state of the fold holds the open run's first mz and sums, and the closed runs.
     """
@@ -72,6 +72,8 @@ def merge_anchored(peaks: Column, tol: float) -> Column:
         )
 
     runs = F.aggregate(F.array_sort(peaks), start, step, lambda a: F.when(a["first"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(closed(a)))))
+    if not scaled:
+        return runs
     return let(runs, lambda r: let(F.array_max(field(r, "intensity")), lambda top: F.when(top > 0, F.transform(r, lambda x: F.struct(x["mz"].alias("mz"), (x["intensity"] / top).alias("intensity")))).otherwise(r)))
 
 

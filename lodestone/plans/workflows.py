@@ -10,6 +10,7 @@ from ..functions import bits as B
 from ..functions import peaks as P
 from ..functions import scores as S
 from ..functions.families import block_scorer
+from ..operators import diagnostics as D
 from ..operators import evaluate as E
 from ..operators import joins as J
 from ..operators import library as L
@@ -227,10 +228,10 @@ SELECT query_id, key, round(prop, 6) AS prop
 def q5_propagate(spark, d):
     pool = C.pool(spark, d).select("key", "mass", "fp", "popcount")
     q = C.queries(spark, d)
-    window = J.band_join(q, pool, "center", "mass", 3.0)
-    near = pool.select((F.col("key") % 50).alias("g"), ((F.col("key") % 10 + 1) / 10.0).alias("sim"), F.col("fp").alias("a_fp"), F.col("popcount").alias("a_pop"))
-    anchors = q.select("query_id", (F.col("query_id") % 50).alias("g")).join(near, "g").select("query_id", "sim", "a_fp", "a_pop")
-    scored = V.propagated(window, anchors).where("prop > 0")
+    window = J.band_join(q, pool, "center", "mass", 3.0).withColumn("g", F.col("query_id") % 50)
+    # Anchors belong to a fiftieth of the queries each: they are packed once and not for every query.
+    anchors = pool.select((F.col("key") % 50).alias("g"), ((F.col("key") % 10 + 1) / 10.0).alias("sim"), F.col("fp").alias("a_fp"), F.col("popcount").alias("a_pop"))
+    scored = V.propagated(window, anchors, by="g").where("prop > 0")
     return R.top_k(scored, ["query_id"], [F.round("prop", 9).desc(), F.col("key")], 50).select("query_id", "key", F.round("prop", 6).alias("prop"))
 
 
@@ -490,9 +491,7 @@ SELECT round(corr(t, mass), 6) AS r, round(regr_slope(mass, t), 4) AS slope, rou
 def q14_diagnostics(spark, d):
     """How far a fingerprint's nearest neighbour explains another score."""
     p = C.pool(spark, d).select("key", "label", "mass", "fp", "popcount")
-    o = p.select("label", F.col("key").alias("other"), F.col("fp").alias("o_fp"), F.col("popcount").alias("o_pop"))
-    pairs = p.join(o, "label").where("key <> other").select("key", "mass", B.tanimoto(F.col("fp"), F.col("o_fp"), F.col("popcount"), F.col("o_pop")).alias("t"))
-    n = pairs.groupBy("key").agg(F.first("mass").alias("mass"), F.max("t").alias("t"))
+    n = D.nearest_others(p, ["label"], "key").withColumnRenamed("nearest", "t")
     return n.agg(F.round(F.corr("t", "mass"), 6).alias("r"), F.round(F.regr_slope("mass", "t"), 4).alias("slope"), F.round(F.avg("t"), 6).alias("headroom"))
 
 
