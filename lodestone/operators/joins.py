@@ -46,11 +46,63 @@ def band_join(queries: DataFrame, pool: DataFrame, center: str, mass: str, width
     return q.join(p, [*on, "__cell"]).where(in_band(F.col(mass), F.col(center), width)).drop("__cell")
 
 
+def cells_of(mass: Column, widths: tuple[float, ...]) -> Column:
+    """For each width, from level 1 on: the cell of that width that a mass is in."""
+    return F.array(*(F.struct(F.lit(k).alias("level"), F.floor(mass / F.lit(w)).cast("long").alias("cell")) for k, w in enumerate(widths, 1)))
+
+
+def touched_cells(center: Column, widths: tuple[float, ...]) -> Column:
+    """For each width, the cells that a band of that width around center meets (three at most, as cells are as wide)."""
+    cell = lambda c, w: F.floor(c / F.lit(w)).cast("long")
+    each = [F.transform(F.sequence(cell(center - w, w), cell(center + w, w)), _at_level(k)) for k, w in enumerate(widths, 1)]
+    return F.concat(*each)
+
+
+def _at_level(level: int):
+    return lambda c: F.struct(F.lit(level).alias("level"), c.alias("cell"))
+
+
+def least_levels(queries: DataFrame, pool: DataFrame, query_id: str, center: str, mass: str, widths: tuple[float, ...] = DEFAULT.widths) -> DataFrame:
+    """(query_id, center, level): the least width, from 1, at which a query's band holds a mass of the pool; queries without one are left out.
+
+    No candidate is joined for it. The pool is summed up to the least and greatest mass of each cell, at each width
+    (in its own tasks first: a cell of any number of rows is two numbers). A band of twice a cell's width ends inside
+    two cells and covers those between, so those two numbers tell whether it holds any of a cell's masses.
+    """
+    known = pool.select(F.col(mass).alias("m")).where(F.col("m").isNotNull()).select("m", F.explode(cells_of(F.col("m"), widths)).alias("c"))
+    sums = known.groupBy("c.level", "c.cell").agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
+    asked = queries.select(query_id, F.col(center).alias("center")).where(F.col("center").isNotNull()).distinct().withColumn("c", F.explode(touched_cells(F.col("center"), widths)))
+    met = asked.select(query_id, "center", "c.level", "c.cell").join(sums, ["level", "cell"])
+    width = F.element_at(F.array(*map(F.lit, widths)), F.col("level"))
+    return met.where((F.col("hi") >= F.col("center") - width) & (F.col("lo") <= F.col("center") + width)).groupBy(query_id, "center").agg(F.min("level").alias("level"))
+
+
 def widening_join(queries: DataFrame, pool: DataFrame, query_id: str, center: str, mass: str, widths: tuple[float, ...] = DEFAULT.widths, accept: Column | None = None) -> DataFrame:
     """Each query's band join at the least width at which it finds something; adds level (from 1).
 
-    accept: a row only counts as found where this holds (rows that don't are dropped). A cascade: each width
-    joins the queries that narrower ones left open, so that dense pools are never joined at the widest one.
+    Widths are decided first, by counting (least_levels); one join follows, in which each query looks only into cells
+    of its own width, and only pool rows of cells that some query looks into are moved. accept: a row only counts as
+    found where this holds (rows that don't are dropped); as it may need both sides, queries then widen one join after
+    the other.
+    """
+    if accept is not None:
+        return widening_cascade(queries, pool, query_id, center, mass, widths, accept)
+    levels = least_levels(queries, pool, query_id, center, mass, widths).withColumnsRenamed({query_id: "__id", "center": "__center"})
+    open_ = queries.join(levels, (F.col(query_id) == F.col("__id")) & (F.col(center) == F.col("__center"))).drop("__id", "__center")
+    looked = open_.withColumn("__c", F.explode(F.filter(touched_cells(F.col(center), widths), lambda c: c["level"] == F.col("level"))))
+    looked = looked.withColumn("__cell", F.col("__c.cell")).drop("__c")
+    wanted = bounded_broadcast(looked.select(F.col("level").alias("__level"), "__cell").distinct())
+    offered = pool.withColumn("__c", F.explode(cells_of(F.col(mass), widths))).withColumns({"__level": F.col("__c.level"), "__cell": F.col("__c.cell")}).drop("__c").join(wanted, ["__level", "__cell"], "left_semi")
+    width = F.element_at(F.array(*map(F.lit, widths)), F.col("level"))
+    met = looked.join(offered.withColumnRenamed("__cell", "__own"), (F.col("level") == F.col("__level")) & (F.col("__cell") == F.col("__own")))
+    inside = (F.col(mass) >= F.col(center) - width) & (F.col(mass) <= F.col(center) + width)
+    names = [F.col(f"`{c}`") for c in [*queries.columns, *pool.columns]]
+    return met.where(inside).select(*names, "level")
+
+
+def widening_cascade(queries: DataFrame, pool: DataFrame, query_id: str, center: str, mass: str, widths: tuple[float, ...] = DEFAULT.widths, accept: Column | None = None) -> DataFrame:
+    """The same, width by width: each joins the queries that narrower ones left open.
+
     Each turn's rows are kept, or each would compute all before it again.
     """
     found, open_ = None, durable(queries)

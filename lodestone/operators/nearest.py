@@ -121,22 +121,26 @@ def _blocked(df: DataFrame, by: list[str], most: int, band) -> DataFrame:
     return met.withColumn("__block", F.when(F.col("__parts").isNull(), F.struct(F.lit(0).alias("band"), F.lit(0).cast("long").alias("part"))).otherwise(F.struct(F.col("__band").alias("band"), part.alias("part")))).drop("__band", "__parts")
 
 
-def weighted_best(rows: DataFrame, anchors: DataFrame, by: list[str], name: str = "best", counted: str | None = None, apart: tuple[str, str] | None = None) -> DataFrame:
+def weighted_best(rows: DataFrame, anchors: DataFrame, by: list[str], name: str = "best", counted: str | None = None, apart: tuple[str, str] | None = None, few_anchors: bool = False) -> DataFrame:
     """rows with the greatest weight * Tanimoto over the anchors of their group (0 without any), and has_anchors.
 
     rows: by, fp (long words), popcount, anything else; anchors: by, a_fp, a_pop, weight. Groups (equal columns ``by``,
     none of them null) may have any number of either. counted: a column of the pairs whose bits were compared, which
     sum up to all of them. apart: whole-number columns of rows and anchors; a pair that agrees in them is left out.
+    few_anchors: the caller vouches that no group has more than a block of anchors (as a search's top list), so they
+    are neither counted nor divided.
     """
     # Both are counted before they are packed, and rows get numbers: they are kept, or all that makes them would run again.
     numbered = durable(rows.withColumn("__n", F.monotonically_increasing_id()))
-    known = durable(anchors.where((F.col("weight") > 0) & F.col("a_fp").isNotNull()))
+    known = anchors.where((F.col("weight") > 0) & F.col("a_fp").isNotNull())
+    known = known if few_anchors else durable(known)
     pop_band = lambda c: F.floor(F.log(F.coalesce(c, F.lit(0)) + 1.0) * 8).cast("int")
     weight_band = F.floor(-2 * F.log2("weight")).cast("int") * 1000
     # Ids that are null, or that nobody asked for, differ from all others.
     own_id, a_id = (F.coalesce(F.col(f"`{c}`").cast("long"), F.lit(null)) for c, null in zip(apart, (-(2**63), -(2**63) + 1), strict=True)) if apart else (F.lit(0).cast("long"), F.lit(1).cast("long"))
     own = _blocked(numbered.select(*by, "fp", "popcount", F.col("__n").alias("n"), own_id.alias("id")), by, ROWS, pop_band(F.col("popcount")))
-    of = _blocked(known.select(*by, "weight", "a_fp", "a_pop", a_id.alias("id")), by, ANCHORS, weight_band + pop_band(F.col("a_pop")))
+    of = known.select(*by, "weight", "a_fp", "a_pop", a_id.alias("id"))
+    of = of.withColumn("__block", F.lit(0)) if few_anchors else _blocked(of, by, ANCHORS, weight_band + pop_band(F.col("a_pop")))
     cells = own.groupBy(*by, F.col("__block").alias("__c")).agg(
         F.collect_list(F.struct("n", "fp", F.col("popcount").alias("pop"), "id")).alias("__rows"), F.min("popcount").alias("__lo"), F.max("popcount").alias("__hi")
     )
@@ -152,17 +156,23 @@ def weighted_best(rows: DataFrame, anchors: DataFrame, by: list[str], name: str
     first = lists.groupBy(*by).agg(F.max_by(F.struct("__a", "__anchors"), F.struct("__w", "__a")).alias("__f"), F.count("*").alias("__lists"))
     met = cells.join(first, by).select(*kept[:-3], "__lo", "__hi", "__f.*", "__lists", "__rows", none)
     flat = "n long, v double, compared long"
-    few = met.where("__lists = 1").select("__rows", "__anchors", "__best").mapInArrow(_flat, flat)
-    # Larger groups: the best list first, then those whose bound beats the least value that it left in the block.
-    many = met.where("__lists > 1").select(*kept, "__rows", "__anchors", "__best")
-    listed = StructType([*many.schema.fields[: len(kept)], StructField("n", ArrayType(LongType())), StructField("v", ArrayType(DoubleType())), StructField("compared", LongType())])
-    start = many.mapInArrow(_listed, listed)
-    open_ = start.select(*by, "__c", F.col("__a").alias("__met"), "__lo", "__hi", F.array_min("v").alias("__least"), F.map_from_arrays("n", "v").alias("__seen"))
-    later = open_.join(lists, by).where((F.col("__a") != F.col("__met")) & (bound > F.col("__least"))).drop("__lo", "__hi")
-    again = later.join(cells, [*by, "__c"]).select("__rows", "__anchors", F.transform("__rows", lambda r: F.col("__seen")[r["n"]]).alias("__best"))
-    rest = again.mapInArrow(_flat, flat)
-    each = start.select(F.explode(F.arrays_zip("n", "v")).alias("z"), (F.col("compared") / F.size("n")).alias("c")).select("z.n", "z.v", "c")
-    every = few.select("n", "v", F.col("compared").cast("double").alias("c")).unionByName(each).unionByName(rest.select("n", "v", F.col("compared").cast("double").alias("c")))
+    few = met if few_anchors else met.where("__lists = 1")
+    few = few.select("__rows", "__anchors", "__best").mapInArrow(_flat, flat)
+
+    def of_many() -> DataFrame:
+        """Larger groups: the best list first, then those whose bound beats the least value that it left in the block."""
+        many = met.where("__lists > 1").select(*kept, "__rows", "__anchors", "__best")
+        listed = StructType([*many.schema.fields[: len(kept)], StructField("n", ArrayType(LongType())), StructField("v", ArrayType(DoubleType())), StructField("compared", LongType())])
+        start = many.mapInArrow(_listed, listed)
+        open_ = start.select(*by, "__c", F.col("__a").alias("__met"), "__lo", "__hi", F.array_min("v").alias("__least"), F.map_from_arrays("n", "v").alias("__seen"))
+        later = open_.join(lists, by).where((F.col("__a") != F.col("__met")) & (bound > F.col("__least"))).drop("__lo", "__hi")
+        again = later.join(cells, [*by, "__c"]).select("__rows", "__anchors", F.transform("__rows", lambda r: F.col("__seen")[r["n"]]).alias("__best"))
+        rest = again.mapInArrow(_flat, flat)
+        each = start.select(F.explode(F.arrays_zip("n", "v")).alias("z"), (F.col("compared") / F.size("n")).alias("c")).select("z.n", "z.v", "c")
+        return each.unionByName(rest.select("n", "v", F.col("compared").cast("double").alias("c")))
+
+    every = few.select("n", "v", F.col("compared").cast("double").alias("c"))
+    every = every if few_anchors else every.unionByName(of_many())
     values = every.groupBy(F.col("n").alias("__n")).agg(F.max("v").alias("__v"), F.sum("c").alias("__k"))
     own = [F.col(f"`{c}`") for c in rows.columns]
     told = [F.coalesce("__k", F.lit(0.0)).alias(counted)] if counted else []

@@ -11,7 +11,7 @@ from ..functions import peaks as P
 from ..functions import scores as S
 from .joins import durable, widening_join
 from .library import frequent_by_mode, search
-from .nearest import weighted_best
+from .nearest import ANCHORS, weighted_best
 from .ranking import first_per_key, max_pool, tier_fill, top_k
 
 
@@ -47,14 +47,15 @@ def anchors_with_bits(anchors: DataFrame, pool: DataFrame) -> DataFrame:
     return anchors.join(pool.select("key", F.col("fp").alias("a_fp"), F.col("popcount").alias("a_pop")), "key").select("query_id", "sim", "a_fp", "a_pop")
 
 
-def propagated(window: DataFrame, anchors: DataFrame, cfg: EngineConfig = DEFAULT, by: str = "query_id") -> DataFrame:
+def propagated(window: DataFrame, anchors: DataFrame, cfg: EngineConfig = DEFAULT, by: str = "query_id", few_anchors: bool = False) -> DataFrame:
     """window rows with prop: the greatest sim ** exponent * Tanimoto over the query's anchors, 0 without a pool hit.
 
-    has_anchors tells whether a query has any. Queries may share anchors, and a query may have any number of them:
-    most pairs are ruled out by bounds (nearest.py). by: what rows and anchors have in common.
+    has_anchors tells whether a query has any. Queries may share anchors (by: what rows and anchors have in common)
+    and may have any number of them, most pairs being ruled out by bounds (nearest.py); few_anchors: none has more
+    than a search leaves.
     """
     weighted = anchors.select(by, "a_fp", "a_pop", F.pow("sim", F.lit(cfg.exponent)).alias("weight"))
-    return weighted_best(window, weighted, [by], "prop")
+    return weighted_best(window, weighted, [by], "prop", few_anchors=few_anchors)
 
 
 def canonical_top(pooled: DataFrame, canonical: DataFrame | None, cfg: EngineConfig = DEFAULT, k: int | None = None) -> DataFrame:
@@ -104,10 +105,11 @@ def scored_windows(spectra: DataFrame, library: DataFrame, anchor_pool: DataFram
     probs: seq, p of raw spectra (averaged over a group), unless alpha is 1. loglik(window, probs) may give
     another model score as column lik.
     """
-    queries = neutral_mass(consensus(spectra, cfg), cfg).where("mass is not null")
+    # Kept: the widths, the window and the search each start from it, and its folds make long plans.
+    queries = durable(neutral_mass(consensus(spectra, cfg), cfg).where("mass is not null"))
     window = widening_join(queries.select("query_id", "molecule_id", "seq", "mass"), pool.select("key", "smiles", "exact_mass", "fp", "popcount"), "query_id", "mass", "exact_mass", cfg.widths)
     if alpha > 0:
-        window = propagated(window, anchors_with_bits(search(queries, library, cfg), anchor_pool), cfg).withColumn("prop", F.when(F.col("has_anchors"), F.col("prop")))
+        window = propagated(window, anchors_with_bits(search(queries, library, cfg), anchor_pool), cfg, few_anchors=cfg.fine_top <= ANCHORS).withColumn("prop", F.when(F.col("has_anchors"), F.col("prop")))
     else:
         window = window.withColumn("prop", F.lit(None).cast("double"))
     if alpha < 1:

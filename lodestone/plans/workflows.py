@@ -16,7 +16,7 @@ from ..operators import joins as J
 from ..operators import library as L
 from ..operators import predict as V
 from ..operators import ranking as R
-from ..sources import readers, writers
+from ..sources import pools, readers, writers
 from . import carriers as C
 from .carriers import table
 from .registry import query
@@ -393,6 +393,17 @@ def q8_rank_large_pool(spark, d):
     return _ranked_out(V.rank_large_pool(_test_spectra(spark, d), _library(spark, d), _pool(spark, d), _large(spark, d), _probs(spark, d), WIDE), "key", "smiles")
 
 
+@query(
+    f"""WITH {C.QUERIES}, {C.POOL} SELECT query_id, key
+    FROM queries JOIN pooled ON mass >= center - 0.35::DOUBLE AND mass <= center + 0.35::DOUBLE"""
+)
+def q8_stored_pool(spark, d):
+    """A band join against a pool that is stored by mass: only files that some band meets are opened."""
+    path = pools.write_pool(C.pool(spark, d).select("key", "mass"), writers.scratch(spark, "pool"), "mass", 8)
+    q = C.queries(spark, d)
+    return J.band_join(q, pools.in_bands(spark, path, q, "center", 0.35), "center", "mass", 0.35).select("query_id", "key")
+
+
 @query(
     f"""{_FOUND}, {_WINDOW}, {_cand('t', 'named')}, {_fused('t', 0.3)}, {_listed('t')}, {_LARGE},
 joined AS (

@@ -194,3 +194,29 @@ def test_stream_replays_nothing_twice(spark, tmp_path):
         stream = ingest.spectra_stream(spark, folder, "id long", 1)
         ingest.each_batch(stream, lambda b: b.select((F.col("id") * 2).alias("x")), out, at).awaitTermination()
     assert sorted(r.x for r in spark.read.parquet(out).collect()) == [2 * i for i in range(20)]
+
+
+def test_widths_by_counting_are_those_of_the_cascade(spark):
+    import random
+
+    from lodestone.operators import joins as J
+
+    rng, widths = random.Random(9), (0.001, 0.01, 0.1, 1.0)
+    masses = [round(rng.uniform(100, 140), rng.choice([0, 2, 4, 6])) for _ in range(400)]
+    pool = spark.createDataFrame([*((k, m) for k, m in enumerate(masses)), (-1, None), (-2, -3.0)], "key int, mass double")
+    exact = [m + s * w for m, w, s in zip(masses, widths * 40, [-1, 1, 1.0000001] * 60, strict=False)]
+    queries = spark.createDataFrame([*enumerate([*exact, *(rng.uniform(90, 150) for _ in range(300))]), (-1, None), (-2, -2.5), (0, 120.0)], "query_id int, center double")
+    got = J.widening_join(queries, pool, "query_id", "center", "mass", widths)
+    assert got.columns == ["query_id", "center", "key", "mass", "level"]
+    want = {}
+    for q in queries.collect():
+        for level, w in enumerate(widths, 1):
+            hits = [(p.key, p.mass) for p in pool.collect() if None not in (q.center, p.mass) and q.center - w <= p.mass <= q.center + w] if q.center is not None else []
+            if hits:
+                want[q.query_id, q.center] = sorted((*h, level) for h in hits)
+                break
+    have = {}
+    for r in got.collect():
+        have.setdefault((r.query_id, r.center), []).append((r.key, r.mass, r.level))
+    assert {k: sorted(v) for k, v in have.items()} == want
+    assert J.widening_join(queries, pool.where("key > 999"), "query_id", "center", "mass", widths).count() == 0
