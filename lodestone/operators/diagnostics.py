@@ -24,10 +24,48 @@ def competition_ranks(scored: DataFrame, by: list[str], rankers: dict[str, str],
     return ranks.select(*by, "n", each).select(*by, "r.ranker", "r.rank", "n")
 
 
+#: Bits of a digit of exact_medians: so many values of a group meet in one task at most.
+DIGIT = 16
+
+
+def exact_medians(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, median) of whole numbers from 0 to 2^32 - 1: the mean of the two middle ones; nulls are left out.
+
+    By selection: rows are counted by their upper digit, which tells the digits of the two middle places, then those
+    rows by their lower one. A group of any size is counts of at most 2^DIGIT digits, made in the tasks that read it,
+    where the median of an aggregate keeps all distinct values of a group in one buffer.
+    """
+    low = (1 << DIGIT) - 1
+    own = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("long").alias("__v"))
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by]
+
+    def placed(counts: DataFrame, groups: list[str], digit: str) -> DataFrame:
+        w = Window.partitionBy(*groups).orderBy(digit)
+        return counts.withColumn("__upto", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__before", F.col("__upto") - F.col("__c"))
+
+    upper = placed(own.groupBy(*by, F.shiftright("__v", DIGIT).alias("__hi")).agg(F.count("*").alias("__c")), by, "__hi")
+    sized = upper.withColumn("__n", F.sum("__c").over(Window.partitionBy(*by)))
+    wanted = sized.select(*by, "__hi", "__before", "__upto", F.posexplode(F.array(F.floor((F.col("__n") + 1) / 2), F.floor(F.col("__n") / 2) + 1)).alias("__side", "__k"))
+    wanted = wanted.where((F.col("__before") < F.col("__k")) & (F.col("__k") <= F.col("__upto"))).withColumn("__k", F.col("__k") - F.col("__before")).drop("__before", "__upto")
+    condition = F.shiftright("o.__v", DIGIT) == F.col("w.__hi")
+    for c in same("o", "w"):
+        condition = condition & c
+    near = own.alias("o").join(wanted.alias("w"), condition).select(*(F.col(f"w.{c}") for c in by), "__side", "__hi", "__k", F.col("__v").bitwiseAND(F.lit(low)).alias("__lo"))
+    groups = [*by, "__side", "__hi", "__k"]
+    lower = placed(near.groupBy(*groups, "__lo").agg(F.count("*").alias("__c")), groups, "__lo")
+    found = lower.where((F.col("__before") < F.col("__k")) & (F.col("__k") <= F.col("__upto")))
+    return found.groupBy(*by).agg(F.avg(F.shiftleft("__hi", DIGIT) + F.col("__lo")).alias("median"))
+
+
 def rank_summary(ranks: DataFrame, by: list[str], k: int = 25) -> DataFrame:
     """MRR@k, top-1 rate, median rank and number, for each of by."""
     rr = F.when(F.col("rank") <= k, 1 / F.col("rank")).otherwise(0.0)
-    return ranks.groupBy(*by).agg(F.avg(rr).alias("mrr"), F.avg((F.col("rank") == 1).cast("double")).alias("top1"), F.median("rank").alias("median"), F.count("*").alias("n"))
+    means = ranks.groupBy(*by).agg(F.avg(rr).alias("mrr"), F.avg((F.col("rank") == 1).cast("double")).alias("top1"), F.count("*").alias("n"))
+    middle = exact_medians(ranks, by, "rank").withColumnsRenamed({c: f"__{c}" for c in by})
+    condition = F.lit(True)
+    for c in by:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return means.join(middle, condition).select(*by, "mrr", "top1", "median", "n")
 
 
 def nearest_others(rows: DataFrame, by: list[str], key: str) -> DataFrame:
@@ -87,3 +125,53 @@ def headroom(window: DataFrame, probs: DataFrame, truth: DataFrame, lambdas: lis
     ranks = scored.withColumn("own", own).where("own is not null").groupBy(by, "lam").agg((1 + F.count_if(F.col("score") > F.col("own"))).alias("rank"), F.first("tanimoto").alias("tanimoto"))
     rr: Column = F.when(F.col("rank") <= k, 1 / F.col("rank")).otherwise(0.0)
     return ranks.groupBy("lam").agg(F.avg("tanimoto").alias("tanimoto"), F.avg(rr).alias("mrr"), F.avg((F.col("rank") == 1).cast("double")).alias("top1"), F.count("*").alias("n"))
+
+
+def reranked(window: DataFrame, probs: DataFrame, truth: DataFrame, weights: list[tuple[float, float]], by: str = "query_id", eps: float = 1e-4) -> DataFrame:
+    """(by, n, base, reranked) of each truth: its rank in the whole window by the model's logits, and by logits weighted bit by bit.
+
+    window: by, key, fp; probs: by, p; truth: by, fp, anything else that comes along; weights: weight and bias of each
+    bit, as a fit gives them. A truth that its window lacks has null ranks; queries without probabilities are left out.
+    Scores that agree to nine digits are ties, which count for the truth.
+    """
+    w, b = (F.array(*(F.lit(float(x[k])) for x in weights)) for k in (0, 1))
+    logits = probs.select(by, F.transform("p", lambda x: S.logit(x, eps)).alias("base"))
+    values = logits.withColumn("moved", F.transform("base", lambda l, i: l * F.get(w, i) + F.get(b, i)))
+    bit = lambda i: F.call_function("shiftright", F.get("fp", F.floor(i / 32).cast("int")), (i % 32).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+    places = F.filter(F.sequence(F.lit(0), F.size("base") - 1), lambda i: bit(i) != 0)
+    score = lambda c: F.round(F.aggregate("on", F.lit(0.0), lambda a, i: a + F.get(c, i)), 9)
+    scored = window.join(values, by).withColumn("on", places).select(by, "fp", score("base").alias("base"), score("moved").alias("moved"))
+    own = truth.join(scored, [by, "fp"]).groupBy(by).agg(F.max("base").alias("own_base"), F.max("moved").alias("own_moved"))
+    counts = scored.join(own, by, "left").groupBy(by).agg(
+        F.count("*").alias("n"), F.max("own_base").alias("has"),
+        (1 + F.count_if(F.col("base") > F.col("own_base"))).alias("base"), (1 + F.count_if(F.col("moved") > F.col("own_moved"))).alias("reranked"),
+    )
+    told = counts.select(by, "n", *(F.when(F.col("has").isNotNull(), F.col(c)).alias(c) for c in ("base", "reranked")))
+    return truth.drop("fp").join(told, by)
+
+
+def reranking_summary(ranks: DataFrame, by: str, k: int = 25) -> DataFrame:
+    """(by, n, present, and of either ranking the MRR@k over all, the median rank and the number in the first k of those present)."""
+    rr = lambda c: F.avg(F.when(F.col(c) <= k, 1 / F.col(c)).otherwise(0.0))
+    sums = ranks.groupBy(by).agg(F.count("*").alias("n"), F.count("base").alias("present"), *(x for c in ("base", "reranked") for x in (rr(c).alias(f"mrr_{c}"), F.count_if(F.col(c) <= k).alias(f"top_{c}"))))
+    for c in ("base", "reranked"):
+        sums = sums.join(exact_medians(ranks, [by], c).withColumnRenamed("median", f"median_{c}"), by, "left")
+    return sums
+
+
+def keep_rates(populations: DataFrame, filters: dict[str, Column], by: str = "population") -> DataFrame:
+    """(by, filter, n, kept): what share of each population a filter keeps; a filter that is null for a row doesn't keep it.
+
+    A filter is worth its place if it keeps what is looked for and drops what only stands beside it in a window.
+    """
+    kept = [F.avg(F.coalesce(f.cast("int"), F.lit(0))).alias(name) for name, f in filters.items()]
+    rates = populations.groupBy(by).agg(F.count("*").alias("n"), *kept)
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("filter"), F.col(name).alias("kept")) for name in filters))).alias("e")
+    return rates.select(by, "n", each).select(by, "e.filter", "n", "e.kept")
+
+
+def around_median(rows: DataFrame, mass: str, width: float, steps: int = 1000) -> DataFrame:
+    """Rows within width of the median mass: a population as the windows of a pool see it. Masses are told to 1 / steps."""
+    at = exact_medians(rows.withColumn("__v", F.round(F.col(mass) * steps).cast("long")), [], "__v")
+    one = F.broadcast(at.select((F.col("median") / steps).alias("__at")))  # one row
+    return rows.join(one, (F.col(mass) >= F.col("__at") - width) & (F.col(mass) <= F.col("__at") + width)).drop("__at")

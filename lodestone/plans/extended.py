@@ -311,6 +311,47 @@ def q14_headroom(spark, d):
     return out.select("lam", F.round("tanimoto", 6).alias("tanimoto"), F.round("mrr", 6).alias("mrr"), F.round("top1", 6).alias("top1"), "n")
 
 
+@query(
+    f"WITH {C.POOL}, {_WORDS}, pr AS (SELECT label, i, avg(1 / (1 + exp(-8 * embedding[i + 1]::DOUBLE))) AS p FROM embeddings, range(0, 64) t(i) GROUP BY ALL), "
+    "lg AS (SELECT label, i, ln(least(greatest(p, 1e-4::DOUBLE), 1 - 1e-4::DOUBLE)) - ln(1 - least(greatest(p, 1e-4::DOUBLE), 1 - 1e-4::DOUBLE)) AS l FROM pr), "
+    "mv AS (SELECT label, i, l, l * (1 + (i % 7 - 3) * 0.25::DOUBLE) + (i % 5 - 2) * 0.125::DOUBLE AS m FROM lg), "
+    "sc AS (SELECT w.label AS label, key, round(sum(l * bit), 9) AS s, round(sum(m * bit), 9) AS t FROM w JOIN mv USING (label, i) GROUP BY ALL), "
+    "tr AS (SELECT key AS query_id, label, w0, w1, label % 2 AS kind FROM pool WHERE key % 100 = 0), "
+    "own AS (SELECT query_id, max(s) AS s, max(t) AS t FROM tr JOIN pool p ON p.label = tr.label AND p.w0 = tr.w0 AND p.w1 = tr.w1 JOIN sc ON sc.key = p.key GROUP BY ALL), "
+    "rk AS (SELECT tr.query_id AS query_id, kind, 1 + count(*) FILTER (sc.s > own.s) AS base, 1 + count(*) FILTER (sc.t > own.t) AS reranked FROM tr JOIN own USING (query_id) JOIN sc ON sc.label = tr.label GROUP BY ALL) "
+    "SELECT kind, count(*) AS n, count(base) AS present, round(avg(CASE WHEN base <= 25 THEN 1.0::DOUBLE / base ELSE 0 END), 6) AS mrr_base, round(avg(CASE WHEN reranked <= 25 THEN 1.0::DOUBLE / reranked ELSE 0 END), 6) AS mrr_reranked, "
+    "count(*) FILTER (base <= 25) AS top_base, count(*) FILTER (reranked <= 25) AS top_reranked, median(base) AS median_base, median(reranked) AS median_reranked FROM rk GROUP BY kind"
+)
+def q14_reranked(spark, d):
+    """Ranks of the truth in whole windows with and without weights of bits; queries are the keys divisible by 100."""
+    p = C.pool(spark, d).select("key", "label", "fp")
+    e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    mean = e.groupBy("label", "i").agg(F.avg(S.sigmoid(8 * F.col("x").cast("double"))).alias("p"))
+    probs = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]).alias("p"))  # 64 each
+    asked = p.where("key % 100 = 0").select(F.col("key").alias("query_id"), "label", "fp", (F.col("label") % 2).alias("kind"))
+    window = asked.select("query_id", "label").join(p.select("label", "key", "fp"), "label").drop("label")
+    of = asked.select("query_id", "label").join(probs, "label").drop("label")
+    ranks = G.reranked(window, of, asked.drop("label"), [(1 + (i % 7 - 3) * 0.25, (i % 5 - 2) * 0.125) for i in range(64)])
+    out = G.reranking_summary(ranks, "kind")
+    return out.select("kind", "n", "present", *(F.round(f"mrr_{c}", 6).alias(f"mrr_{c}") for c in ("base", "reranked")), "top_base", "top_reranked", "median_base", "median_reranked")
+
+
+@query(
+    """WITH m AS (SELECT median(round(p_retailprice * 1000)::BIGINT) / 1000 AS middle FROM part),
+pop AS (SELECT 'known' AS population, p_size, p_name, p_type FROM part WHERE p_brand = 'Brand#3'
+    UNION ALL SELECT 'window', p_size, p_name, p_type FROM part, m WHERE p_retailprice >= middle - 5.0::DOUBLE AND p_retailprice <= middle + 5.0::DOUBLE),
+f AS (SELECT population, unnest([struct_pack(f := 'size', k := p_size >= 10), struct_pack(f := 'name', k := length(p_name) % 3 <> 0),
+        struct_pack(f := 'loose', k := p_size >= 10 AND length(p_name) % 3 <> 0), struct_pack(f := 'tight', k := p_size >= 10 AND length(p_name) % 3 <> 0 AND length(p_type) % 2 = 0)]) AS e FROM pop)
+SELECT population, e.f AS filter, count(*) AS n, round(avg(coalesce(e.k::INT, 0)), 6) AS kept FROM f GROUP BY ALL"""
+)
+def q14_calibrated(spark, d):
+    """Shares that filters and their combinations keep, of known rows and of what a window around the median mass holds."""
+    p = table(spark, d, "part").select("p_brand", "p_size", "p_name", "p_type", "p_retailprice")
+    both = p.where("p_brand = 'Brand#3'").withColumn("population", F.lit("known")).unionByName(G.around_median(p, "p_retailprice", 5.0).withColumn("population", F.lit("window")))
+    size, name, kind = F.col("p_size") >= 10, F.length("p_name") % 3 != 0, F.length("p_type") % 2 == 0
+    return G.keep_rates(both, {"size": size, "name": name, "loose": size & name, "tight": size & name & kind}).withColumn("kept", F.round("kept", 6))
+
+
 # --- streams -----------------------------------------------------------------------------------------------------
 
 
