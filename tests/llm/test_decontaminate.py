@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from lodestone.llm import decontaminate as D
@@ -131,3 +132,94 @@ def test_blocks_and_parts_make_no_difference(spark, monkeypatch):
     assert found(spark, texts, items) == whole and len(whole) > 10
     monkeypatch.setattr(D, "MOST_ITEMS", 9)
     assert len(found(spark, texts, items) ^ whole) <= 1  # weights of words outside a part are shared ones
+
+
+def topical(rng, topics=10, concepts=100):
+    """Of each topic, its concepts, each with two words for it; and common words."""
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=8))
+    return [[(word(), word()) for _ in range(concepts)] for _ in range(topics)], [word()[:3] for _ in range(30)]
+
+
+def spoken(rng, topic, common, n, share=0.65):
+    """n words: common ones, or a concept of the topic by either of its words."""
+    return [rng.choice(common) if rng.random() < share else rng.choice(rng.choice(topic)) for _ in range(n)]
+
+
+def test_synonyms_that_only_the_latent_space_finds(spark):
+    """Paraphrases that keep common words and the answer, and say each rarer word by its synonym."""
+    rng = random.Random(21)
+    topics, common = topical(rng)
+    other = {w: v for topic in topics for a, b in topic for w, v in ((a, b), (b, a))}
+    corpus = [" ".join(spoken(rng, topics[k % len(topics)], common, 96)) for k in range(3000)]
+    items, changed = [], []
+    for k in range(60):
+        body, answer = spoken(rng, topics[k % len(topics)], common, 40), rng.choices(common, k=6)
+        items.append(" ".join(body) + ". " + " ".join(answer) + ".")
+        changed.append(" ".join(other.get(w, w) for w in body) + ". " + " ".join(answer) + ".")
+    docs = corpus + [corpus[7 * k].split(" ", 48)[-1] + " " + t for k, t in enumerate(changed)]
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(8)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rule = {(len(corpus) + k, k) for k, item in enumerate(items) if accepted(item, D.words_of(docs[len(corpus) + k]), part=0.65)}
+    lexical = {(r.doc_id, r.item_id) for r in D.contaminated(table, bench, rank=0).collect()}
+    both = {(r.doc_id, r.item_id) for r in D.contaminated(table, bench).collect()}
+    print(f"of {len(rule)} paraphrases: lexical {len(rule & lexical)}, latent too {len(rule & both)}, others {len(both - rule)}")
+    assert lexical <= both and len(rule) >= 25
+    assert len(rule & lexical) <= 0.1 * len(rule) and len(rule & both) >= 0.9 * len(rule)
+
+
+def test_directions_against_a_full_decomposition():
+    """The sketch's leading directions span those of the matrix, with its singular values."""
+    rng = np.random.default_rng(3)
+    a = rng.standard_normal((60, 5)) @ rng.standard_normal((5, D.HASHED))
+    vectors, values, floor = D._directions(a.T @ (a @ D._drawn(12)), 4)
+    want = np.linalg.svd(a, compute_uv=False)
+    assert np.allclose(values, want[:4]) and np.isclose(floor, want[4]) and vectors.shape == (D.HASHED, 4)
+    assert np.allclose(np.linalg.norm(a @ vectors, axis=0), values)
+
+
+def test_sketch_is_the_product(spark):
+    """The summed sketch against one dense matrix of all passages, empty and null texts among them."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "eps"], k=rng.randrange(150))) for _ in range(40)] + [None, "", "?!"]
+    table = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    places = D.Places([b"alpha", b"beta"])
+    idf = np.linspace(0.5, 2, places.size)
+    rows = []
+    for t in texts:
+        words = D.words_of(t)
+        for at in range(0, len(words), D.WINDOW):
+            own = places.of(D._hashed(words[at : at + D.WINDOW]))
+            rows.append(np.bincount(places.folded()[own], weights=idf[own], minlength=D.HASHED) / np.sqrt((idf[own] ** 2).sum()))
+    a = np.stack(rows)
+    assert np.allclose(D._sketch(table, places, idf, 6), a.T @ (a @ D._drawn(6)), rtol=1e-4, atol=1e-4)
+
+
+def test_bounds_lose_no_candidate(spark):
+    """Candidates behind bounds against every passage multiplied with every item."""
+    items, texts = column("benchmark", 40), long_docs()[:120]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    (space,) = D._spaces(table, bench, list(enumerate(items)), 0, 0.28, 0.5)
+    got = {(t, i, s): c for t, i, c, _, s, _ in D._search(texts, space, 2.0, 0.65)}
+    want = {}
+    for t, text in enumerate(texts):
+        words = space.places.of(D._hashed(D.words_of(text)))
+        for i, item in enumerate(items):
+            told = space.places.of(D._hashed(D.words_of(item)))
+            for k in range(0, len(told), D.WINDOW):
+                own = np.bincount(told[k : k + D.WINDOW], minlength=len(space.idf)) * space.idf
+                own *= space.idf / np.linalg.norm(own)
+                for at in range(0, len(words), D.STEP):
+                    near = words[at : at + D.WINDOW]
+                    cosine = own[near].sum() / np.sqrt((space.idf[near] ** 2).sum())
+                    if cosine >= space.least[i] + 1e-5:
+                        want[t, i, at] = min(max(cosine, want.get((t, i, at), 0)), 1.0)
+    assert want and set(want) <= set(got) and all(abs(got[k] - c) < 1e-4 for k, c in want.items())
+
+
+def test_nulls_clashing_columns_and_a_very_long_text(spark):
+    item = column("benchmark", 1)[0]
+    long = " ".join(t for t in column("documents", 400))
+    docs = spark.createDataFrame([(1, long + " " + item, "x", 0.5), (None, item, None, None), (2, None, "y", None), (3, "", "z", 1.0)], "doc_id long, text string, item_id string, cosine double")
+    bench = spark.createDataFrame([(7, item, "a"), (None, None, "b"), (8, "", "c")], "item_id long, text string, doc_id string")
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(docs, bench).collect()} == {(1, 7), (None, 7)}

@@ -67,15 +67,16 @@ def test_contamination(spark):
 
 
 def test_retrieval_recall_against_all_pairs(spark):
-    """Candidates by latent cosine among those that plain TF-IDF cosine finds."""
+    """Candidates by TF-IDF cosine among those of plain vectors, pair by pair."""
     import numpy as np
 
     docs, items = rows()
     rng = random.Random(4)
     texts = [t for _, t, *_ in docs if t] + [" ".join(rng.sample(t.split(), 30)) for _, t in items]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    (space,) = decontaminate._spaces(table, items, 256)
-    found = {(t, i) for t, i, *_ in decontaminate._search(texts, space, 0.33)}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    (space,) = decontaminate._spaces(table, bench, items, 40, 0.33, 0.5)
+    found = {(t, i) for t, i, *_ in decontaminate._search(texts, space, 2.0, 0.65)}
     size = len(space.idf)
     vector = lambda words: np.bincount(space.places.of(decontaminate._hashed(words)), minlength=size) * space.idf
     want = set()
