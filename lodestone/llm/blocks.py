@@ -10,8 +10,8 @@ whole stand for each other and are not swept one by one. ``repeats`` tells of th
 documents share.
 
 Words are maximal runs without ASCII white space, unchanged, and compared by 64 bits each. A null or wordless text has
-no words and keeps the empty string. Rows with equal id and text are repeats of each other and give a row each; rows
-with null ids take part. An empty table gives no rows; columns other than id and text are ignored.
+no words and keeps the empty string. Rows with equal id and text are repeats of each other and give a row each, though
+two at most are worked on; rows with null ids take part. An empty table gives no rows; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -127,8 +127,10 @@ class State:
         whose, left = np.full(len(runs), batch, dtype=np.int64), self.at[runs] - low
         return Segments(self.blocks[self.at[runs]], whose, runs, left.astype(np.int32), sizes.astype(np.int32), starts.astype(np.int32), np.cumsum(sizes) - sizes, flat)
 
-    def prints(self, starts: np.ndarray, size: int) -> np.ndarray:
-        return run_hashes(self.hashes, size)[starts] if len(starts) else np.zeros(0, np.uint64)
+    def prints(self, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        if not len(starts):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return run_hashes(self.hashes, size)[starts], run_hashes(mixed(self.hashes + _FACTOR), size)[starts]
 
     def finished(self, over: dict[int, np.ndarray]) -> pa.Table:
         gone = over[self.rule.window]

@@ -15,7 +15,10 @@ texts     What repeats is marked in the documents.
 
 However often a batch holds a gram with a segment, it sends it once. A gram with more than ``hot_kinds`` different
 segments, such as one inside a passage that very many documents share, would be one task's work: its windows are
-fingerprinted instead (64 bits) and met by fingerprint, which spreads them over all tasks; results are the same.
+fingerprinted instead (128 bits) and met by fingerprint, which spreads them over all tasks; results are the same.
+
+Rows of equal id and text have equal results. However many there are, two of them take part, so that what repeats in
+them is seen; each tells how many rows it stands for, and is given back as often.
 """
 
 from __future__ import annotations
@@ -27,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import BROADCAST_IDS, cut, ship
 from .suffix_family import Family, Segments, pack_arrays, spread, unpack_arrays
 
 #: Code points in a batch, about, and those whose fingerprints a bucket gets.
 BATCH_CHARS, BUCKET_CHARS = 4_000_000, 16_000_000
+#: Rows that a row which stands for equal ones is given back as in one piece; pieces are dealt over tasks.
+PIECE = 100_000
 #: Different segments of a gram beyond which windows are met by fingerprint.
 HOT_KINDS = 20_000
 #: What rows hold. Told to batches: a run is repeated whole, or has to be sent, or its windows have; which starts match.
@@ -126,50 +131,17 @@ def rows_of(prints: np.ndarray, buckets: int, bits: int) -> list[tuple[int, int,
     return list(zip(own[starts].tolist(), starts.tolist(), np.append(starts[1:], len(own)).tolist(), strict=True))
 
 
-class Levels:
-    """A logarithmic family of sorted arrays.
-
-    A new array is scanned against each level for entries that are in both, and then becomes a level; levels
-    of the same size class are merged, so that there are logarithmically many.
-    """
-
-    def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # entries in order, and where each came from
-        self.met: list[np.ndarray] = []
-
-    def add(self, entries: np.ndarray) -> None:
-        """entries: ascending and distinct."""
-        source = len(self.met)
-        self.met.append(np.zeros(len(entries), dtype=bool))
-        refs = (np.int64(source) << 40) | np.arange(len(entries), dtype=np.int64)
-        for level, owners in self.levels:
-            at = np.searchsorted(level, entries)
-            inside = np.flatnonzero(at < len(level))
-            same = inside[level[at[inside]] == entries[inside]]
-            if len(same):
-                self.met[source][same] = True
-                self._mark(owners[at[same]])
-        self.levels.append((entries, refs))
-        while len(self.levels) > 1 and len(self.levels[-2][0]).bit_length() <= len(self.levels[-1][0]).bit_length():
-            (a, ra), (b, rb) = self.levels.pop(), self.levels.pop()
-            # Entries in both have met; one of each stands for all that are equal.
-            at = np.searchsorted(b, a)
-            new = np.ones(len(a), dtype=bool)
-            new[at < len(b)] = b[at[at < len(b)]] != a[at < len(b)]
-            self.levels.append((np.insert(b, at[new], a[new]), np.insert(rb, at[new], ra[new])))
-
-    def _mark(self, refs: np.ndarray) -> None:
-        sources = refs >> 40
-        for s in np.unique(sources):
-            self.met[s][(refs[sources == s]) & ((1 << 40) - 1)] = True
-
-
-def meet_levels(arrays: list[np.ndarray]) -> list[np.ndarray]:
-    """Which entries of each ascending array are in another one, by a logarithmic family."""
-    family = Levels()
-    for a in arrays:
-        family.add(a)
-    return family.met
+def meet_prints(rows: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Which of each row's fingerprints (two halves of 128 bits, all different within a row) another row has too."""
+    if not rows:
+        return []
+    first, second = (np.concatenate(half) for half in zip(*rows, strict=True))
+    order = np.lexsort((second, first))
+    same = (first[order[1:]] == first[order[:-1]]) & (second[order[1:]] == second[order[:-1]])
+    met = np.zeros(len(order), dtype=bool)
+    met[order[1:][same]] = True
+    met[order[:-1][same]] = True
+    return np.split(met, np.cumsum([len(one) for one, _ in rows])[:-1])
 
 
 def shared(arrays: list[np.ndarray]) -> np.ndarray:
@@ -375,7 +347,8 @@ def _windows(state, places: np.ndarray, rule) -> dict[int, tuple[np.ndarray, Sor
     found = {}
     for kind, size in ((LONG, rule.length), (BRIEF, rule.short)):
         own = np.unique(starts[starts + size <= ends])
-        found[kind] = own, Sorted.of(state.prints(own, size), 64)
+        first, second = state.prints(own, size)
+        found[kind] = own, Sorted.of(first, 64, second)
     return found
 
 
@@ -404,7 +377,7 @@ def meet_suffixes(rule, add: int | None = None):
         for kind in (LONG, BRIEF):
             own = [r for r in rows if r["kind"] == kind]
             if own:
-                masks = meet_levels([unpacked(r["payload"]) for r in own])
+                masks = meet_prints([(unpacked(r["payload"]), np.frombuffer(r["more"], "<u8")) for r in own])
                 out += [row(-1, r["batch"], kind, packed(np.flatnonzero(m) + r["start"])) for r, m in zip(own, masks, strict=True) if m.any()]
         kept = _alive(levels.to_pylist()) if levels is not None else []
         old = [Segments.unpacked(r["payload"]) for r in kept]
@@ -436,18 +409,38 @@ def covered(starts: np.ndarray, length: int, size: int) -> np.ndarray:
     return np.cumsum(change)[:size] > 0
 
 
-def dealt(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """(docs as doc_id, text, k, batch; the logarithm of their size; buckets).
+def dealt(docs: DataFrame) -> tuple[DataFrame, int, int, bool]:
+    """(docs as doc_id, text, k, times, batch; the logarithm of their size; buckets; whether any row stands for others).
 
-    Batches and buckets are of bounded size, so that there are more of them the larger the corpus is.
+    Of rows of the same id and text (told by 128 bits), two are kept at most, and times is the number of rows that
+    each stands for. Batches and buckets are of bounded size, so that there are more of them the larger the corpus is.
     """
     spark = docs.sparkSession
-    total = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("k"), F.xxhash64("doc_id", "text", F.lit(29)).alias("other"))
+    same = keyed.groupBy("k", "other").agg(F.count("*").alias("n"), F.max(F.length("text").cast("long")).alias("chars"))
+    total, often = same.agg(F.sum(F.least("n", F.lit(2)) * F.col("chars")), F.count(F.when(F.col("n") > 2, 1))).first()
+    total = total or 0
+    rows = keyed.select("doc_id", "text", "k", F.lit(1).cast("long").alias("times"))
+    if often:
+        listed = cut(same.where("n > 2").select("k", "other", "n"))
+        marked = keyed.join(F.broadcast(listed) if often <= BROADCAST_IDS else listed, ["k", "other"], "left")
+        alone = marked.where("n is null").select("doc_id", "text", "k", F.lit(1).cast("long").alias("times"))
+        # Tasks keep one of their equal rows each before any is moved.
+        one = marked.where("n is not null").groupBy("k", "other").agg(*(F.first(c).alias(c) for c in ("doc_id", "text", "n")))
+        rows = alone.union(one.select("doc_id", "text", "k", F.explode(F.array(F.col("n") - 1, F.lit(1).cast("long")))))
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     batches, buckets = max(least, -(-total // BATCH_CHARS)), max(least, -(-total // BUCKET_CHARS))
-    # Rows of the same id and text are one and the same to all that follows, and keep a row each.
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("k"))
-    return keyed.withColumn("batch", F.pmod(F.xxhash64("k", F.lit(11)), F.lit(batches).cast("long"))), int(total).bit_length(), buckets
+    batch = F.pmod(F.xxhash64("k", F.lit(11)), F.lit(batches).cast("long"))
+    return rows.withColumn("batch", batch), int(total).bit_length(), buckets, bool(often)
+
+
+def given_back(rows: DataFrame) -> DataFrame:
+    """rows, each as often as its times says, without times."""
+    names = [c for c in rows.columns if c != "times"]
+    pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / PIECE))))
+    spread_out = pieces.repartition(F.xxhash64(*names, "piece"))
+    own = F.least(F.col("times") - F.col("piece") * PIECE, F.lit(PIECE)).cast("int")
+    return spread_out.withColumn("piece", F.explode(F.array_repeat(F.lit(0), own))).select(*names)
 
 
 def last_step(rule):
@@ -475,7 +468,8 @@ def last_step(rule):
                 twice = own.counts > 1
                 twice[told.get(kind, np.zeros(0, np.int64))] = True
                 marks[rule.length if kind == LONG else rule.short][starts[twice[own.group]]] = True
-        return state.finished({size: covered(np.flatnonzero(marked), size, state.size) for size, marked in marks.items()})
+        done = state.finished({size: covered(np.flatnonzero(marked), size, state.size) for size, marked in marks.items()})
+        return done.append_column("times", state.table.column("times"))
 
     return last
 
@@ -484,14 +478,14 @@ def repeats(docs: DataFrame, rule, hot_kinds: int = HOT_KINDS) -> DataFrame:
     """The rule's results for each row of docs (doc_id, text); nothing is dropped or capped.
 
     rule: length and short (windows that are removed, and shorter ones that are counted), schema, and state(table, told), a
-    batch's texts, with size (symbols), entries (grams of runs), spans(runs) -> (first start, starts, end of the segment),
-    segments(runs, batch), prints(starts, size) and finished(what windows of each size cover). A rule with references
+    batch's texts, with table (its rows, in order), size (symbols), entries (grams of runs), spans(runs) -> (first start,
+    starts, end of the segment), segments(runs, batch), prints(starts, size) -> (two hashes of each) and finished(what windows of each size cover). A rule with references
     has bits (of grams that meet there, fit for a corpus of 2**size_bits by for_corpus), and its states have
     probes() -> (entries of references, of all others), and know their runs from what they were told: the entries
     that MET, or the PLACES that they kept then.
     """
     ship(docs.sparkSession)
-    keyed, size_bits, buckets = dealt(docs)
+    keyed, size_bits, buckets, several = dealt(docs)
     rule = rule.for_corpus(size_bits)
     grouped = keyed.groupBy("batch")
     if rule.references:
@@ -502,4 +496,5 @@ def repeats(docs: DataFrame, rule, hot_kinds: int = HOT_KINDS) -> DataFrame:
     met = grams.groupBy("bucket").applyInArrow(alone(meet_grams(hot_kinds)), ROW)
     sent = grouped.cogroup(met.groupBy("batch")).applyInArrow(second_step(rule, buckets), ROW)
     told = sent.groupBy("bucket").applyInArrow(alone(meet_suffixes(rule)), ROW)
-    return grouped.cogroup(told.groupBy("batch")).applyInArrow(last_step(rule), rule.schema)
+    found = grouped.cogroup(told.groupBy("batch")).applyInArrow(last_step(rule), f"{rule.schema}, times long")
+    return given_back(found) if several else found.drop("times")

@@ -11,7 +11,7 @@ folder: a new batch of documents gets its own arrays, which are merge-scanned ag
 of repeats between all batches so far, and becomes a level; levels of equal size class merge.
 
 Texts are UTF-8; matches stay within documents, and every byte that a repeated window covers is removed. A
-null text is empty. Rows with equal id and text are repeats of each other and give a row each; rows with
+null text is empty. Rows with equal id and text are repeats of each other and give a row each, though two at most are worked on; rows with
 null ids take part. An empty table gives no rows; columns other than id and text are ignored. Segments are
 compared byte by byte; that two runs have equal grams and equal segments is told by 128 bits of hashes.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship, working
-from .repeats import HOT_KINDS, LEVEL, MATCHED, ROW, SENT, WHOLE, Sorted, alone, covered, dealt, first_step, last_step, meet_grams, meet_suffixes, repeats, second_step
+from .repeats import HOT_KINDS, LEVEL, MATCHED, ROW, SENT, WHOLE, Sorted, alone, covered, dealt, first_step, given_back, last_step, meet_grams, meet_suffixes, repeats, second_step
 from .suffix_family import Segments, spread
 from .wordhash import BYTES, CHUNK, mixed, powers, run_hashes
 
@@ -35,6 +35,7 @@ from .wordhash import BYTES, CHUNK, mixed, powers, run_hashes
 SHORT, PLACE = 256, 21
 #: Buckets of a growing index, which stay as they are.
 INDEX_BUCKETS = 64
+TEXTS = "doc_id long, text string, k long, times long, batch long"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,9 +101,9 @@ def _runs(raw: np.ndarray, offsets: np.ndarray, length: int, short: int, gram: i
     return Runs(*(np.concatenate(c) for c in zip(*found, strict=True)))
 
 
-def _prints(raw: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Fingerprints of the windows at ascending starts; bytes outside them are not looked at."""
-    found = np.zeros(len(starts), dtype=np.uint64)
+def _prints(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two fingerprints of each of the windows at ascending starts; bytes outside them are not looked at."""
+    found = np.zeros(len(starts), dtype=np.uint64), np.zeros(len(starts), dtype=np.uint64)
     lo = 0
     while lo < len(starts):
         hi = int(np.searchsorted(starts, starts[lo] + CHUNK, "left"))
@@ -110,7 +111,9 @@ def _prints(raw: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
         own = starts[lo:hi] - first
         wanted = covered(own, length, int(own[-1]) + length)
         moved = np.cumsum(wanted) - 1
-        found[lo:hi] = run_hashes(BYTES[raw[first : first + len(wanted)][wanted]], length)[moved[own]]
+        seen = BYTES[raw[first : first + len(wanted)][wanted]]
+        for half, values in zip(found, (seen, mixed(seen + _BASE)), strict=True):
+            half[lo:hi] = run_hashes(values, length)[moved[own]]
         lo = hi
     return found
 
@@ -161,7 +164,7 @@ class State:
         whose, left = np.full(len(runs), batch, dtype=np.int64), self.runs.anchor[runs] - low
         return Segments(self.runs.gram[runs], whose, runs, left.astype(np.int32), sizes.astype(np.int32), starts.astype(np.int32), np.cumsum(sizes) - sizes, flat)
 
-    def prints(self, starts: np.ndarray, size: int) -> np.ndarray:
+    def prints(self, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         return _prints(self.raw, starts, size)
 
     def finished(self, over: dict[int, np.ndarray]) -> pa.Table:
@@ -214,10 +217,9 @@ class SuffixIndex:
     def add(self, docs: DataFrame) -> None:
         """Adds docs (doc_id, text) as one batch of the index."""
         k, rule = self.adds, self.rule
-        keyed, _, _ = dealt(docs)
-        texts = "doc_id long, text string, k long, batch long"
+        keyed, _, _, _ = dealt(docs)
         keyed.withColumn("batch", F.col("batch") + (k << 40)).write.mode("overwrite").parquet(f"{self.path}/texts/add={k}")
-        new, every = self._read_one("texts", texts, k), self._read("texts", texts, k + 1)
+        new, every = self._read_one("texts", TEXTS, k), self._read("texts", TEXTS, k + 1)
         entries = new.groupBy("batch").applyInArrow(alone(first_step(rule, INDEX_BUCKETS)), ROW)
         grams = self._read("grams", ROW, k).where(F.col("kind") == LEVEL)
         met = entries.groupBy("bucket").cogroup(grams.groupBy("bucket")).applyInArrow(meet_grams(None, k), ROW)
@@ -237,5 +239,6 @@ class SuffixIndex:
     def results(self) -> DataFrame:
         """remove_repeats of all documents that were added."""
         told = self._read("suffixes", ROW, self.adds).where(F.col("kind").isin(WHOLE, MATCHED))
-        texts = self._read("texts", "doc_id long, text string, k long, batch long", self.adds)
-        return texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(last_step(self.rule), RESULT)
+        texts = self._read("texts", TEXTS, self.adds)
+        found = texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(last_step(self.rule), f"{RESULT}, times long")
+        return given_back(found)

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import blocks, repeats, suffix_family, suffixes
 
@@ -145,12 +146,38 @@ def test_packing_of_numbers():
         assert np.array_equal(repeats.unpacked(repeats.packed(values)), values)
 
 
-def test_levels_find_what_occurs_twice():
+def test_fingerprints_that_meet():
+    """Both halves have to be equal; few different values make many halves agree alone."""
     rng = np.random.default_rng(2)
-    arrays = [np.unique(rng.integers(0, 900, rng.integers(0, 60)).astype(np.uint64)) for _ in range(40)]
-    family = repeats.Levels()
-    for a in arrays:
-        family.add(a)
-    seen = Counter(int(x) for a in arrays for x in a)
-    assert all((m == np.array([seen[int(x)] > 1 for x in a], dtype=bool)).all() for a, m in zip(arrays, family.met, strict=True))
-    assert len(family.levels) <= 12
+    rows = []
+    for _ in range(40):
+        own = sorted({(int(a), int(b)) for a, b in rng.integers(0, 40, (rng.integers(0, 60), 2))})
+        rows.append(own)
+    halves = [(np.array([a for a, _ in own], np.uint64), np.array([b for _, b in own], np.uint64)) for own in rows]
+    seen = Counter(x for own in rows for x in own)
+    assert [m.tolist() for m in repeats.meet_prints(halves)] == [[seen[x] > 1 for x in own] for own in rows]
+    assert repeats.meet_prints([]) == []
+
+
+@pytest.mark.parametrize("piece", [100_000, 7])
+def test_equal_rows_are_worked_on_once(spark, monkeypatch, piece):
+    """Of very many equal rows (ids null, given, and texts null), two meet in a batch; all are given back."""
+    monkeypatch.setattr(repeats, "PIECE", piece)
+    rng = random.Random(5)
+    text = " ".join(rng.choices([f"w{i}é" for i in range(30)], k=60))
+    few = [(i, " ".join(rng.choices([f"w{i}é" for i in range(30)], k=30)) + (text if i % 3 == 0 else "")) for i in range(12)]
+    rows = [*few, *[(None, text)] * 5000, *[(4, text + " x")] * 40, *[(None, None)] * 30, *[(None, "")] * 3, (5, few[3][1]), (5, few[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    keyed, _, _, several = repeats.dealt(docs)
+    kept = keyed.groupBy("doc_id", "text").agg(F.count("*").alias("rows"), F.sum("times").alias("times")).collect()
+    assert several and max(r.rows for r in kept) == 2 and sum(r.times for r in kept) == len(rows)
+    assert {(r.doc_id, r.text): r.times for r in kept} == dict(Counter(rows))
+    once = [r for r, n in Counter(rows).items() for _ in range(min(n, 2))]
+    for got, brute in ((suffixes.remove_repeats(docs, 90, 40), brute_bytes(once, 90, 40)), (blocks.remove_repeats(docs, 8), brute_words(once, 8))):
+        want = Counter()
+        result = {}
+        for row, found in zip(once, brute, strict=True):
+            result[row] = found
+        for row, n in Counter(rows).items():
+            want[result[row]] += n
+        assert Counter(tuple(r) for r in got.collect()) == want
