@@ -8,7 +8,9 @@ times that of its language within the family.
 
 Families come from the fixed table below; a language that is not in it is a family of its own. The model
 learns from a bounded sample of labelled rows: ``per_lang`` rows at most for each of the ``most_langs`` most
-frequent languages, those of least hash of id and text. Prediction reads every text whole, in blocks of bounded size.
+frequent languages, those of least hash of id and text. Each machine is fitted by a task of its own, which gets the
+rows of its two sides: of a family's rest, ``MOST_REST`` rows in equal parts of its languages. The driver holds
+weights, not rows. Prediction reads every text whole, in blocks of bounded size.
 
 Null texts and texts without a letter get ``und`` with score 0, as do all texts where nothing could be
 learned. With one learned language, all others get it with score 1. Rows are kept as they are, repeated ones
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import ship, tidied, working
+from .common import cut, ship, tidied, working
 
 #: Families of languages by ISO 639-1 code (fixed values).
 FAMILIES = {
@@ -44,6 +46,8 @@ UNKNOWN = "und"
 BINS, BLOCK = 1 << 14, 1 << 19
 #: Labelled rows that a language is learned from, at most; languages that are learned, at most.
 PER_LANG, MOST_LANGS = 600, 100
+#: Rows that stand for all languages outside a family when it is told from them, about.
+MOST_REST = 3000
 
 
 def _letters() -> np.ndarray:
@@ -186,38 +190,51 @@ def _machine(bins: np.ndarray, shares: np.ndarray, starts: np.ndarray, sign: np.
     return w, b, float(4.0 / max(np.median(margin), 0.05))
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model | None:
-    """A model from (language, bins, shares * 100) of labelled texts; None without any."""
-    rows = [r for r in rows if len(r[1])]
-    langs = sorted({r[0] for r in rows})
+def fit(sample: DataFrame) -> Model | None:
+    """A model from (lang, place, bins, shares): features of labelled texts, numbered within their language; None without any.
+
+    Each machine is a group, and so a task; rows of a language go to the machines that it takes part in.
+    """
+    langs = sorted(r.lang for r in sample.select("lang").distinct().collect())  # MOST_LANGS, or what a caller asked for
     if not langs:
         return None
     families: dict[str, list[str]] = {}
     for lang in langs:
         families.setdefault(FAMILY_OF.get(lang, lang), []).append(lang)
     names = sorted(families)
-
-    def trained(own: list, positive) -> tuple[np.ndarray, float, float]:
-        starts = np.cumsum([0] + [len(r[1]) for r in own[:-1]])
-        return _machine(np.concatenate([r[1] for r in own]), np.concatenate([r[2] for r in own]), starts, np.array([1.0 if positive(r[0]) else -1.0 for r in own]))
-
-    machines, got = [], []
-    for family in names if len(names) > 1 else []:
-        if len(names) == 2 and family == names[1]:  # the mirror image of the first
-            w, b, s = got[0]
-            got.append((-w, -b, s))
-        else:
-            got.append(trained(rows, lambda lang, f=family: lang in families[f]))
-        machines.append(("family", family))
-    for family in names:
-        for i, one in enumerate(families[family]):
-            for other in families[family][i + 1 :]:
-                got.append(trained([r for r in rows if r[0] in (one, other)], lambda lang, o=one: lang == o))
-                machines.append((family, one, other))
-    weights = np.zeros((BINS + 1, len(got)), dtype=np.float32)
-    for k, (w, _, _) in enumerate(got):
-        weights[:BINS, k] = w * 100
-    return Model(names, families, weights, np.array([b for _, b, _ in got]), np.array([s for _, _, s in got]), machines)
+    machines: list[tuple[str, ...]] = [("family", family) for family in names] if len(names) > 1 else []
+    machines += [(family, one, other) for family in names for i, one in enumerate(families[family]) for other in families[family][i + 1 :]]
+    mirrored = len(names) == 2  # the second family's machine is the first one's mirror image
+    sides = []
+    for k, m in enumerate(machines):
+        if m[0] != "family":
+            sides += [(k, m[1], 1.0, None), (k, m[2], -1.0, None)]
+        elif not (mirrored and k == 1):
+            own = families[m[1]]
+            each = -(-MOST_REST // (len(langs) - len(own)))
+            sides += [(k, lang, 1.0, None) if lang in own else (k, lang, -1.0, each) for lang in langs]
+    got: dict[int, tuple[np.ndarray, float, float]] = {}
+    if sides:
+        taking = F.broadcast(sample.sparkSession.createDataFrame(sides, "machine int, lang string, sign double, upto long"))
+        dealt = sample.join(taking, "lang").where("upto is null or place <= upto").select("machine", "lang", "sign", "bins", "shares")
+        fitted = dealt.repartition(len(machines), "machine").groupBy("machine").applyInArrow(_fitted, "machine int, weights binary, bias double, scale double")
+        got = {r.machine: (np.frombuffer(r.weights, "<f8"), r.bias, r.scale) for r in fitted.collect()}
+    if mirrored:
+        w, b, scale = got[0]
+        got[1] = -w, -b, scale
+    weights = np.zeros((BINS + 1, len(machines)), dtype=np.float32)
+    for k in range(len(machines)):
+        weights[:BINS, k] = got[k][0] * 100
+    return Model(names, families, weights, np.array([got[k][1] for k in range(len(machines))]), np.array([got[k][2] for k in range(len(machines))]), machines)
+
+
+def _fitted(key: tuple, table: pa.Table) -> pa.Table:
+    """One machine from its rows, in an order of their own."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("lang", "bins", "shares", "sign")), strict=True))
+    bins, shares = [np.frombuffer(r[1], "<i4") for r in rows], [np.frombuffer(r[2], "<f4") for r in rows]
+    starts = np.cumsum([0] + [len(x) for x in bins[:-1]])
+    w, b, scale = _machine(np.concatenate(bins).astype(np.int64), np.concatenate(shares).astype(np.float64), starts, np.array([r[3] for r in rows]))
+    return pa.table({"machine": pa.array([key[0].as_py()], pa.int32()), "weights": pa.array([w.astype("<f8").tobytes()], pa.binary()), "bias": [b], "scale": [scale]})
 
 
 def learn(labelled: DataFrame, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS) -> Model | None:
@@ -232,18 +249,18 @@ def learn(labelled: DataFrame, per_lang: int = PER_LANG, most_langs: int = MOST_
     hashed = known.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(5)).alias("h"))
     some = hashed.where(F.pmod("h", F.lit(1 << 24)) < share * (1 << 24))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    sample = some.withColumn("place", place).where(F.col("place") <= per_lang).select("lang", "text")
+    sample = some.withColumn("place", place.cast("long")).where(F.col("place") <= per_lang).select("lang", "place", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                got = list(features(part.column(1)))
-                yield pa.record_batch([part.column(0), pa.array([b.astype("<i4").tobytes() for b, _ in got], pa.binary()), pa.array([(s * 100).astype("<f4").tobytes() for _, s in got], pa.binary())], ["lang", "bins", "shares"])
+                got = list(features(part.column(2)))
+                made = (pa.array([x.astype(kind).tobytes() for x in column], pa.binary()) for column, kind in (([b for b, _ in got], "<i4"), ([s * 100 for _, s in got], "<f4")))
+                yield pa.record_batch([part.column(0), part.column(1), *made], ["lang", "place", "bins", "shares"])
 
-    rows = sample.mapInArrow(tidied(counted), "lang string, bins binary, shares binary").collect()
-    rows.sort(key=lambda r: (r.lang, bytes(r.bins), bytes(r.shares)))
-    return fit([(r.lang, np.frombuffer(r.bins, "<i4").astype(np.int64), np.frombuffer(r.shares, "<f4").astype(np.float64)) for r in rows])
+    made = sample.mapInArrow(tidied(counted), "lang string, place long, bins binary, shares binary")
+    return fit(cut(made.where(F.length("bins") > 0)))
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str | Column] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -107,7 +107,60 @@ def test_names_that_clash_and_dirty_labels(spark):
 def test_sample_is_bounded_whatever_repeats(spark, monkeypatch):
     """One row, repeated very often, and rows without an id: never more than the bound is learned from."""
     held = []
-    monkeypatch.setattr(langid, "fit", lambda rows: held.append(len(rows)))
+    monkeypatch.setattr(langid, "fit", lambda rows: held.append(rows.count()))
     same = spark.range(3000).selectExpr("cast(null as long) as doc_id", "'same text again' as text", "'en' as lang")
     langid.learn(same.union(spark.range(50).selectExpr("id", "concat('text ', id)", "'de'")), per_lang=40)
     assert held[0] <= 80
+
+
+def many_languages(rng, langs, each):
+    """Texts in invented languages: of shared syllables, each language prefers its own few."""
+    syllables = [a + b for a in "bdfgklmnprstv" for b in "aeiou"]
+    for k in range(langs):
+        own = rng.sample(syllables, 12)
+        for i in range(each):
+            words = ["".join(rng.choices(own, k=rng.randint(1, 3))) for _ in range(25)]
+            yield k * each + i, " ".join(words), f"x{k}"
+
+
+def test_a_hundred_languages(spark):
+    """A machine is a task: a hundred families, each told from a bounded part of all others."""
+    import random
+
+    rows = list(many_languages(random.Random(3), 100, 24))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs.where("doc_id % 4 > 0"))
+    assert len(model.machines) == 100
+    told = langid.predict(docs.where("doc_id % 4 = 0"), model, ["lang"])
+    assert told.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] >= 0.95
+
+
+def test_machines_against_a_plain_fit(spark, monkeypatch):
+    """What tasks fit is what the same descent, written out over dense rows, gives; the rest of a family is cut evenly."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(langid, "MOST_REST", 12)
+    langs = ["de", "en", "fr", "xx"]
+    rows = [(i, t, langs[int(lang[1:])]) for i, t, lang in many_languages(random.Random(4), 4, 10)]
+    sample = [(lang, i % 10 + 1, b.astype("<i4").tobytes(), (s * 100).astype("<f4").tobytes()) for (i, _, lang), (b, s) in zip(rows, langid.features(pa.array([t for _, t, _ in rows])), strict=True)]
+    model = langid.fit(spark.createDataFrame(sample, "lang string, place long, bins binary, shares binary"))
+    assert model.machines == [("family", "germanic"), ("family", "romance"), ("family", "xx"), ("germanic", "de", "en")]
+    for k, (positive, negative, upto) in enumerate([(("de", "en"), ("fr", "xx"), 6), (("fr",), ("de", "en", "xx"), 4), (("xx",), ("de", "en", "fr"), 4), (("de",), ("en",), 10)]):
+        chosen = sorted((r for r in sample if r[0] in positive or (r[0] in negative and r[1] <= upto)), key=lambda r: (r[0], r[2], r[3]))
+        x = np.zeros((len(chosen), langid.BINS + 1))
+        x[:, -1] = 1
+        for i, r in enumerate(chosen):
+            x[i, np.frombuffer(r[2], "<i4")] = np.frombuffer(r[3], "<f4")
+        sign = np.array([1.0 if r[0] in positive else -1.0 for r in chosen])
+        weight = 15 / np.where(sign > 0, (sign > 0).sum(), (sign < 0).sum())
+        rate = 1 / (1 + 2 * (weight * (x**2).sum(axis=1)).sum())
+        w = v = np.zeros(langid.BINS + 1)
+        decay = np.append(np.full(langid.BINS, 0.1 / 30), 0)
+        for step in range(150):
+            slope = decay * v - 2 * x.T @ (weight * sign * np.maximum(0, 1 - sign * (x @ v)))
+            new = v - rate * slope
+            v, w = new + step / (step + 3) * (new - w), new
+        assert np.allclose(model.weights[:-1, k], w[:-1] * 100, rtol=1e-4, atol=1e-6) and np.isclose(model.biases[k], w[-1])
