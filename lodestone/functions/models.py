@@ -190,21 +190,46 @@ def fingerprints(structures: DataFrame, fingerprint: Fingerprinter, chunk: int =
     return structures.select("key", "smiles").mapInArrow(run, "key string, smiles string, fingerprint binary, exact_mass double")
 
 
-def fit_bit_weights(positives: np.ndarray, decoys: np.ndarray, valid: np.ndarray, logits: np.ndarray, steps: int = 200, rate: float = 0.05, tau: float = 10.0, pull: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weight and bias of each bit's logit, by a listwise softmax of the truth over its decoys.
+def fit_bit_weights(lists: DataFrame, bits: int, steps: int = 200, rate: float = 0.05, tau: float = 10.0, pull: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Weight and bias of each bit's logit, by a listwise softmax of a truth over its decoys.
 
-    positives (n, bits), decoys (n, k, bits), valid (n, k), logits (n, bits). Starts at, and is pulled to, (1, 0).
+    lists: a row for each truth with truth array<tinyint>, decoys array<array<tinyint>> (of bounded number; a row without
+    any, or with a null, tells nothing and is left out) and logits array<double>, all of ``bits`` places. Starts at, and is pulled to, (1, 0), where it
+    stays without rows. Every step is a pass over all rows, which should be stored: tasks sum their gradients, sums
+    are summed by bit, and 2 * bits numbers reach the driver, whatever the number of rows and tasks.
     """
-    w, b = np.ones(logits.shape[1]), np.zeros(logits.shape[1])
-    rows = np.concatenate([positives[:, None], decoys], axis=1).astype(float)
-    mask = np.concatenate([np.ones((len(valid), 1), bool), valid], axis=1)
-    for _ in range(steps):
-        score = np.einsum("nkb,nb->nk", rows, logits * w + b) / tau
-        score = np.where(mask, score, -np.inf)
-        p = np.exp(score - score.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[:, 0] -= 1
-        pulled = np.einsum("nk,nkb->nb", p, rows) / tau
-        w -= rate * ((pulled * logits).mean(axis=0) + 2 * pull * (w - 1))
-        b -= rate * (pulled.mean(axis=0) + 2 * pull * b)
+    known = lists.where("truth is not null and logits is not null and size(decoys) > 0").select("truth", "decoys", "logits")
+    n, w, b = known.count(), np.ones(bits), np.zeros(bits)
+    for _ in range(steps if n else 0):
+        parts = known.mapInArrow(_gradients(w.copy(), b.copy(), tau), "bit int, of_weight double, of_bias double")
+        sums = np.zeros((2, bits))
+        for r in parts.groupBy("bit").agg(F.sum("of_weight").alias("w"), F.sum("of_bias").alias("b")).collect():
+            sums[:, r.bit] = r.w, r.b
+        w -= rate * (sums[0] / n + 2 * pull * (w - 1))
+        b -= rate * (sums[1] / n + 2 * pull * b)
     return w, b
+
+
+def _gradients(w: np.ndarray, b: np.ndarray, tau: float, rows: int = 256):
+    """A function for mapInArrow: a task's sums of the gradients by weight and by bias, a row for each bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_weight, of_bias = np.zeros(len(w)), np.zeros(len(w))
+        flat = lambda x: x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(w))
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                truths, decoys, logits = batch.slice(at, rows).columns
+                t, d, z = flat(truths), flat(decoys.flatten()), flat(logits)
+                counts = decoys.value_lengths().to_numpy(zero_copy_only=False)
+                begins, whose = np.cumsum(counts) - counts, np.repeat(np.arange(len(counts)), counts)
+                adjusted = z * w + b
+                true, other = (t * adjusted).sum(axis=1) / tau, (d * adjusted[whose]).sum(axis=1) / tau
+                most = np.maximum(true, np.maximum.reduceat(other, begins))
+                true, other = np.exp(true - most), np.exp(other - most[whose])
+                total = true + np.add.reduceat(other, begins)
+                pulled = (true / total - 1)[:, None] * t + np.add.reduceat((other / total[whose])[:, None] * d, begins, axis=0)
+                of_weight += (pulled * z).sum(axis=0) / tau
+                of_bias += pulled.sum(axis=0) / tau
+        yield pa.record_batch([pa.array(np.arange(len(w)), pa.int32()), pa.array(of_weight), pa.array(of_bias)], ["bit", "of_weight", "of_bias"])
+
+    return run

@@ -175,3 +175,20 @@ def around_median(rows: DataFrame, mass: str, width: float, steps: int = 1000) -
     at = exact_medians(rows.withColumn("__v", F.round(F.col(mass) * steps).cast("long")), [], "__v")
     one = F.broadcast(at.select((F.col("median") / steps).alias("__at")))  # one row
     return rows.join(one, (F.col(mass) >= F.col("__at") - width) & (F.col(mass) <= F.col("__at") + width)).drop("__at")
+
+
+def decoy_lists(candidates: DataFrame, decoys: int = 8, cell: int = 64) -> DataFrame:
+    """(key, label, bits, decoys): for each row, the bits of up to ``decoys`` other rows of its label.
+
+    Rows of a label are dealt by the hash of their key into cells of about ``cell`` rows, however many the label has, and
+    a row's decoys are those behind it in its cell, the first ones following on the last. A row alone in its cell has none; null
+    labels are a label. candidates: key, label, bits; keys are unique.
+    """
+    sizes = candidates.groupBy("label").agg(F.count("*").alias("of_label"))
+    known = candidates.alias("c").join(sizes.alias("s"), F.col("c.label").eqNullSafe(F.col("s.label"))).select("c.key", "c.label", "c.bits", "of_label")
+    cells = known.withColumn("cell", F.pmod(F.xxhash64("key"), F.ceil(F.col("of_label") / cell)))
+    place = Window.partitionBy("label", "cell").orderBy(F.xxhash64("key", F.lit(7)), "key")
+    behind = F.collect_list("bits").over(place.rowsBetween(1, decoys))
+    first = F.collect_list("bits").over(place.rowsBetween(Window.unboundedPreceding, -1))
+    both = F.concat(behind, F.slice(first, 1, decoys))
+    return cells.select("key", "label", "bits", F.slice(both, 1, decoys).alias("decoys"))

@@ -545,20 +545,15 @@ def c14_hard_decoys(spark, d):
 
 @query()
 def c13_bit_weights(spark, d):
-    """Weights of bits fitted on decoys of bounded number (decoys a truth, truths a sample), then applied as rows."""
-    import numpy as np
-
+    """Weights of bits, fitted on every candidate as a truth against decoys of its label; gradients are summed by tasks."""
     from ..functions import models as M
+    from ..operators.diagnostics import decoy_lists
+    from ..sources.shared import shared_dir
 
-    p = C.pool(spark, d).select("key", "label", "embedding")
-    truth = p.orderBy(F.xxhash64("key")).limit(64)
-    rows = truth.alias("t").join(p.alias("c"), (F.col("t.label") == F.col("c.label")) & (F.col("t.key") != F.col("c.key"))).select("t.key", F.col("t.embedding").alias("e"), F.col("c.embedding").alias("o"), F.col("c.key").alias("ck"))
-    kept = R.top_k(rows, ["key"], [F.xxhash64("ck")], 8).groupBy("key").agg(F.first("e").alias("e"), F.collect_list("o").alias("o")).orderBy("key").collect()
-    signs = lambda x: (np.array(x) > 0).astype(float)
-    k = max(len(r.o) for r in kept)
-    decoys = np.stack([np.concatenate([signs(r.o), np.zeros((k - len(r.o), 64))]) for r in kept])
-    valid = np.array([[i < len(r.o) for i in range(k)] for r in kept])
-    w, b = M.fit_bit_weights(np.stack([signs(r.e) for r in kept]), decoys, valid, np.stack([np.array(r.e) * 8 for r in kept]), steps=50)
+    p = C.pool(spark, d).select("key", "label", F.transform("embedding", lambda x: (x > 0).cast("byte")).alias("bits"), F.transform("embedding", lambda x: x.cast("double") * 8).alias("logits"))
+    lists = decoy_lists(p).select("key", F.col("bits").alias("truth"), "decoys").join(p.select("key", "logits"), "key")
+    shared_dir(spark)
+    w, b = M.fit_bit_weights(lists.drop("key").checkpoint(), 64, steps=50)
     return spark.createDataFrame([(i, float(round(x, 6)), float(round(y, 6))) for i, (x, y) in enumerate(zip(w, b, strict=True))], "bit int, weight double, bias double")
 
 
