@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame
 from .shared import dropped_at_end, new_folder
 
 
+#: Full files that a task of reshard writes; its tasks at most.
+FILES, MOST_TASKS = 200, 2048
+
+
 def csv(df: DataFrame, path: str, single: bool = True) -> str:
     """With a header; in one file if the reader needs one."""
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
@@ -25,8 +29,12 @@ def chunked(df: DataFrame, path: str, rows: int = 1_000_000) -> str:
 
 
 def reshard(df: DataFrame, path: str, by: str, rows: int) -> str:
-    """Files of at most so many rows; partitions that a run doesn't touch stay as they are."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows).partitionBy(by).parquet(path)
+    """Files of at most so many rows; partitions that a run doesn't touch stay as they are.
+
+    Files are what takes time, and a compressed table is few tasks to Spark: it is dealt into tasks of FILES files each.
+    """
+    tasks = min(-(-df.count() // (rows * FILES)), MOST_TASKS)
+    (df.repartition(tasks) if tasks > 1 else df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows).partitionBy(by).parquet(path)
     return path
 
 
