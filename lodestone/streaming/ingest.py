@@ -42,8 +42,9 @@ def windowed(spark: SparkSession, events: DataFrame, time: str, length: str, lat
     folder, out, checkpoint = scratch(spark, "in"), scratch(spark, "counts"), scratch(spark, "progress")
     events.repartition(4).write.mode("overwrite").parquet(folder)
     counts = windowed_counts(spectra_stream(spark, folder, events.schema, 2), time, length, late, *by)
-    # A complete result replaces the one before: a batch that runs again changes nothing.
-    write = lambda batch, _: batch.coalesce(1).write.mode("overwrite").parquet(out)
+    # A complete result replaces the one before: a batch that runs again changes nothing. It is shuffled into its file: were
+    # it coalesced, one task would hold the state and the hash tables of all partitions at once.
+    write = lambda batch, _: batch.repartition(1).write.mode("overwrite").parquet(out)
     counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
 
