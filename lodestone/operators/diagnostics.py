@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from .joins import durable
 from .nearest import weighted_best
+from .ranking import counts_above
 from .sweeps import with_grid
 
 
@@ -128,11 +130,12 @@ def headroom(window: DataFrame, probs: DataFrame, truth: DataFrame, lambdas: lis
 
 
 def reranked(window: DataFrame, probs: DataFrame, truth: DataFrame, weights: list[tuple[float, float]], by: str = "query_id", eps: float = 1e-4) -> DataFrame:
-    """(by, n, base, reranked) of each truth: its rank in the whole window by the model's logits, and by logits weighted bit by bit.
+    """truth (but for fp) with n, base and reranked: its rank in the whole window by the model's logits, and by logits weighted bit by bit.
 
-    window: by, key, fp; probs: by, p; truth: by, fp, anything else that comes along; weights: weight and bias of each
-    bit, as a fit gives them. A truth that its window lacks has null ranks; queries without probabilities are left out.
-    Scores that agree to nine digits are ties, which count for the truth.
+    window: by, key, fp; probs: by, p; truth: by, fp, anything else that comes along, any number of rows for a window;
+    weights: weight and bias of each bit, as a fit gives them. A truth that its window lacks has null ranks; windows
+    without probabilities are left out. Scores that agree to nine digits are ties, which count for the truth. A score
+    depends on the window and the fingerprint alone: each is made once, and ranks are read off counts of scores.
     """
     w, b = (F.array(*(F.lit(float(x[k])) for x in weights)) for k in (0, 1))
     logits = probs.select(by, F.transform("p", lambda x: S.logit(x, eps)).alias("base"))
@@ -140,19 +143,19 @@ def reranked(window: DataFrame, probs: DataFrame, truth: DataFrame, weights: lis
     bit = lambda i: F.call_function("shiftright", F.get("fp", F.floor(i / 32).cast("int")), (i % 32).cast("int")).bitwiseAND(F.lit(1).cast("long"))
     places = F.filter(F.sequence(F.lit(0), F.size("base") - 1), lambda i: bit(i) != 0)
     score = lambda c: F.round(F.aggregate("on", F.lit(0.0), lambda a, i: a + F.get(c, i)), 9)
-    scored = window.join(values, by).withColumn("on", places).select(by, "fp", score("base").alias("base"), score("moved").alias("moved"))
-    own = truth.join(scored, [by, "fp"]).groupBy(by).agg(F.max("base").alias("own_base"), F.max("moved").alias("own_moved"))
-    counts = scored.join(own, by, "left").groupBy(by).agg(
-        F.count("*").alias("n"), F.max("own_base").alias("has"),
-        (1 + F.count_if(F.col("base") > F.col("own_base"))).alias("base"), (1 + F.count_if(F.col("moved") > F.col("own_moved"))).alias("reranked"),
-    )
-    told = counts.select(by, "n", *(F.when(F.col("has").isNotNull(), F.col(c)).alias(c) for c in ("base", "reranked")))
-    return truth.drop("fp").join(told, by)
+    distinct = window.groupBy(by, "fp").agg(F.count("*").alias("rows"))
+    scored = durable(distinct.join(values, by).withColumn("on", places).select(by, "fp", "rows", score("base").alias("own_base"), score("moved").alias("own_moved")))
+    found = truth.join(scored.groupBy(by).agg(F.sum("rows").alias("n")), by).join(scored.drop("rows"), [by, "fp"], "left").drop("fp")
+    for own, name in (("own_base", "base"), ("own_moved", "reranked")):
+        above = counts_above(scored, [by], own, "rows").select(by, own, (1 + F.col("above")).alias(name))
+        found = found.join(above, [by, own], "left")
+    return found.drop("own_base", "own_moved")
 
 
 def reranking_summary(ranks: DataFrame, by: str, k: int = 25) -> DataFrame:
     """(by, n, present, and of either ranking the MRR@k over all, the median rank and the number in the first k of those present)."""
     rr = lambda c: F.avg(F.when(F.col(c) <= k, 1 / F.col(c)).otherwise(0.0))
+    ranks = durable(ranks)  # read by each of the medians' passes
     sums = ranks.groupBy(by).agg(F.count("*").alias("n"), F.count("base").alias("present"), *(x for c in ("base", "reranked") for x in (rr(c).alias(f"mrr_{c}"), F.count_if(F.col(c) <= k).alias(f"top_{c}"))))
     for c in ("base", "reranked"):
         sums = sums.join(exact_medians(ranks, [by], c).withColumnRenamed("median", f"median_{c}"), by, "left")

@@ -56,3 +56,19 @@ def dense_code(df: DataFrame, column: str, code: str) -> DataFrame:
     before = F.broadcast(df.sparkSession.createDataFrame(firsts, "__part long, __first long"))  # a row for each range
     own = placed.withColumn("__part", F.shiftright("__at", 33)).join(before, "__part")
     return own.select(column, (F.col("__first") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).alias(code))
+
+
+def counts_above(rows: DataFrame, by: list[str], value: str, count: str, ranges: int | None = None) -> DataFrame:
+    """(by, value, above) of each distinct value: how many rows of its group have a greater one. rows: by, value, count.
+
+    Distinct values are sorted into ranges, so that a group of any size is dealt over tasks; what greater ranges hold is
+    a number for each range that a group is in. No group is null.
+    """
+    parts = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    same = rows.groupBy(*by, value).agg(F.sum(count).alias("__c"))
+    placed = durable(same.repartitionByRange(parts, *by, F.col(value).desc()).withColumn("__range", F.spark_partition_id()))
+    greater = lambda w: F.coalesce(F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranged = placed.groupBy(*by, "__range").agg(F.sum("__c").alias("__c"))
+    before = ranged.select(*by, "__range", greater(Window.partitionBy(*by).orderBy("__range")).alias("__before"))
+    within = placed.withColumn("__within", greater(Window.partitionBy(*by, "__range").orderBy(F.col(value).desc())))
+    return within.join(before, [*by, "__range"]).select(*by, value, (F.col("__within") + F.col("__before")).alias("above"))

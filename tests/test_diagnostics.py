@@ -48,3 +48,27 @@ def test_keep_rates(spark):
     masses = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 50, 99)], "m double")
     assert sorted(r.m for r in G.around_median(masses, "m", 1.0).collect()) == [2.0, 3.0] and G.around_median(masses.where("m < 0"), "m", 1.0).count() == 0
     assert pytest.approx(0.5) == got["a", "low"][1]
+
+
+def test_truths_of_one_window_share_its_scores(spark):
+    rng = random.Random(5)
+    fps = [rng.getrandbits(8) for _ in range(300)]
+    probs = [rng.random() for _ in range(32)]
+    window = spark.createDataFrame([(g, k, [f]) for g in (1, 2) for k, f in enumerate(fps[: 300 // g])], "g int, key int, fp array<bigint>")
+    truth = spark.createDataFrame([(g, k, [fps[k]]) for g in (1, 2) for k in range(0, 300 // g, 10)], "g int, query_id int, fp array<bigint>")
+    ranks = G.reranked(window, spark.createDataFrame([(1, probs), (2, probs)], "g int, p array<double>"), truth, [(1.0, 0.0)] * 32, "g")
+    import math
+
+    logit = [math.log(p) - math.log(1 - p) for p in (min(max(p, 1e-4), 1 - 1e-4) for p in probs)]
+    base = [round(sum(l for i, l in enumerate(logit) if f >> i & 1), 9) for f in fps]
+    want = {(g, k): (300 // g, 1 + sum(s > base[k] for s in base[: 300 // g])) for g in (1, 2) for k in range(0, 300 // g, 10)}
+    assert {(r.g, r.query_id): (r.n, r.base) for r in ranks.collect()} == want and all(r.base == r.reranked for r in ranks.collect())
+
+
+def test_counts_above_over_ranges(spark):
+    from lodestone.operators.ranking import counts_above
+
+    rng = random.Random(6)
+    rows = [(g, rng.randrange(40) / 4, rng.randrange(1, 4)) for g in (1, 1, 1, 2) for _ in range(100)]
+    got = {(r.g, r.v): r.above for r in counts_above(spark.createDataFrame(rows, "g int, v double, c long"), ["g"], "v", "c", 7).collect()}
+    assert got == {(g, v): sum(c for h, u, c in rows if h == g and u > v) for g, v, _ in rows}
