@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, EngineConfig
 from ..functions import peaks as P
 from ..functions.matching import modified_cosines
+from .joins import durable
 from .ranking import keep_best, top_k
+from .values import alike
 
 REQUIRED = ("key", "smiles", "precursor_mz", "adduct", "mode", "mzs", "intensities")
 
@@ -54,9 +56,17 @@ def search(queries: DataFrame, library: DataFrame, cfg: EngineConfig = DEFAULT)
     """Anchors of each query: (query_id, spec_id, key, smiles, sim, rank), by a coarse screen and exact rescoring.
 
     queries: query_id, mode, precursor_mz, peaks. sim is the modified cosine, plus a bonus for precursors
-    within ppm; rows of sim 0 are left out, and several adducts of a key may stay.
+    within ppm; rows of sim 0 are left out, and several adducts of a key may stay. Queries of equal mode, precursor
+    and peaks are searched once.
     """
-    q = queries.withColumn("peaks", P.top_peaks(F.col("peaks"), cfg.peaks_kept)).where(F.size("peaks") > 0)
+    q = queries.select("query_id", "mode", "precursor_mz", P.top_peaks(F.col("peaks"), cfg.peaks_kept).alias("peaks")).where(F.size("peaks") > 0)
+    one, every = alike(q, "query_id", ["mode", "precursor_mz", "peaks"], ["query_id"])
+    found = durable(searched(one, library, cfg)).withColumnRenamed("query_id", "of")
+    return every.join(found, "of").select("query_id", "spec_id", "key", "smiles", "sim", "rank")
+
+
+def searched(q: DataFrame, library: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """search() of queries that all differ, and whose peaks are cut already."""
     screened = coarse(q, binned(library, "spec_id", cfg), cfg)
     # Weights are made once for each spectrum, not for each pair.
     own = q.select("query_id", F.col("precursor_mz").alias("q_mz"), P.reweighted(F.col("peaks")).alias("q_peaks"))
