@@ -13,6 +13,7 @@ from .joins import durable, widening_join
 from .library import frequent_by_mode, search
 from .nearest import ANCHORS, weighted_best
 from .ranking import first_per_key, max_pool, tier_fill, top_k
+from .values import alike
 
 
 def tied(score: Column) -> Column:
@@ -79,6 +80,15 @@ def molecules_of(spectra: DataFrame) -> DataFrame:
     return spectra.groupBy("molecule_id").agg(F.lower(F.trim(F.min_by("mode", "seq"))).alias("mode"))
 
 
+#: What a query's answer depends on, and what else it has.
+CONTENT, OWN = ["mode", "precursor_mz", "mass", "peaks"], ["query_id", "molecule_id", "seq"]
+
+
+def of_every(every: DataFrame, found: DataFrame) -> DataFrame:
+    """found (query_id of a content's one query, ...) for each query of that content."""
+    return every.join(durable(found.withColumnRenamed("query_id", "of")), "of").drop("of")
+
+
 def predict_v1(spectra: DataFrame, library: DataFrame, canonical: DataFrame | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Library search of each spectrum; the best similarity of each key."""
     queries = spectra.select(F.col("seq").alias("query_id"), "molecule_id", F.lower(F.trim("mode")).alias("mode"), "precursor_mz", P.make_peaks(F.col("mzs"), F.col("intensities")).alias("peaks"))
@@ -89,13 +99,15 @@ def predict_v1(spectra: DataFrame, library: DataFrame, canonical: DataFrame | No
 
 def predict_v2(spectra: DataFrame, library: DataFrame, pool: DataFrame, canonical: DataFrame | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Consensus spectra; similarities of anchors carried over to candidates of the mass, which widens until one scores."""
-    queries = neutral_mass(consensus(spectra, cfg), cfg).where("mass is not null")
+    each_query = neutral_mass(consensus(spectra, cfg), cfg).where("mass is not null")
+    queries, every = alike(each_query, "query_id", CONTENT, OWN)
     anchors = anchors_with_bits(search(queries, library, cfg), pool)
     each = anchors.groupBy("query_id").agg(F.collect_list(F.struct("sim", "a_fp", "a_pop")).alias("anchors"))
     best = F.array_max(F.transform("anchors", lambda a: F.pow(a["sim"], cfg.exponent) * B.tanimoto(F.col("fp"), a["a_fp"], F.col("popcount"), a["a_pop"])))
-    carried = queries.select("query_id", "molecule_id", "seq", "mass").join(each, "query_id")
+    carried = queries.select("query_id", "mass").join(each, "query_id")
     hits = widening_join(carried, pool.select("key", "smiles", "exact_mass", "fp", "popcount"), "query_id", "mass", "exact_mass", cfg.widths, best > 0).withColumn("score", best)
-    cut = top_k(hits, ["query_id"], [tied(F.col("score")).desc(), F.col("key")], cfg.fine_top)
+    cut = top_k(hits.select("query_id", "key", "smiles", "score"), ["query_id"], [tied(F.col("score")).desc(), F.col("key")], cfg.fine_top)
+    cut = of_every(every, cut)
     return with_fallback(canonical_top(max_pool(cut, ["molecule_id", "key"], "score", "smiles", "seq"), canonical, cfg), molecules_of(spectra), library, cfg)
 
 
@@ -105,19 +117,23 @@ def scored_windows(spectra: DataFrame, library: DataFrame, anchor_pool: DataFram
     probs: seq, p of raw spectra (averaged over a group), unless alpha is 1. loglik(window, probs) may give
     another model score as column lik.
     """
+    each_query, content = neutral_mass(consensus(spectra, cfg), cfg).where("mass is not null"), CONTENT
+    if alpha < 1:
+        each_query, content = each_query.join(mean_probs(spectra, probs), "query_id", "left"), [*CONTENT, "p"]
     # Kept: the widths, the window and the search each start from it, and its folds make long plans.
-    queries = durable(neutral_mass(consensus(spectra, cfg), cfg).where("mass is not null"))
-    window = widening_join(queries.select("query_id", "molecule_id", "seq", "mass"), pool.select("key", "smiles", "exact_mass", "fp", "popcount"), "query_id", "mass", "exact_mass", cfg.widths)
+    queries, every = alike(each_query, "query_id", content, OWN)
+    window = widening_join(queries.select("query_id", "mass"), pool.select("key", "smiles", "exact_mass", "fp", "popcount"), "query_id", "mass", "exact_mass", cfg.widths)
     if alpha > 0:
         window = propagated(window, anchors_with_bits(search(queries, library, cfg), anchor_pool), cfg, few_anchors=cfg.fine_top <= ANCHORS).withColumn("prop", F.when(F.col("has_anchors"), F.col("prop")))
     else:
         window = window.withColumn("prop", F.lit(None).cast("double"))
     if alpha < 1:
-        window = (loglik or plain_loglik)(window, mean_probs(spectra, probs), cfg)
+        window = (loglik or plain_loglik)(window, queries.select("query_id", "p").where("p is not null"), cfg)
     else:
         window = window.withColumn("lik", F.lit(0.0))
     score = S.fused(F.col("prop"), F.col("lik"), ["query_id"], alpha, cfg.model_floor)
-    return top_k(window.withColumn("score", score).where("score > 0"), ["query_id"], [tied(F.col("score")).desc(), F.col("key")], cfg.fine_top)
+    best = top_k(window.withColumn("score", score).where("score > 0"), ["query_id"], [tied(F.col("score")).desc(), F.col("key")], cfg.fine_top)
+    return of_every(every, best)
 
 
 def mean_probs(spectra: DataFrame, probs: DataFrame) -> DataFrame:

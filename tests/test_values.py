@@ -84,3 +84,30 @@ def test_large_windows_keep_their_decoys(spark, tmp_path):
     got = QUERIES["c14_hard_decoys"](spark, str(tmp_path))
     asked = n - (n + 4) // 5  # the others' centers lie beyond the pool
     assert got.count() == 8 * asked
+
+
+def test_rows_of_equal_content_are_worked_on_once(spark):
+    rows = spark.createDataFrame([(5, "a", [1.0]), (3, "a", [1.0]), (4, None, None), (2, None, None), (1, "a", [2.0])], "i int, x string, y array<double>")
+    one, every = U.alike(rows, "i", ["x", "y"], ["i"])
+    assert sorted(r.i for r in one.collect()) == [1, 2, 3]
+    assert sorted((r.of, r.i) for r in every.collect()) == [(1, 1), (2, 2), (2, 4), (3, 3), (3, 5)]
+
+
+def test_copies_of_spectra_are_searched_and_predicted_once(spark, monkeypatch):
+    from lodestone.operators import library as L
+    from lodestone.operators import predict as V
+    from lodestone.plans import workflows as W
+
+    from .conftest import SF_SMALL
+
+    asked = []
+    core = L.searched
+    monkeypatch.setattr(L, "searched", lambda q, *a: (asked.append(q.count()), core(q, *a))[1])
+    lib, pool, probs = W._library(spark, SF_SMALL).localCheckpoint(), W._pool(spark, SF_SMALL).localCheckpoint(), W._probs(spark, SF_SMALL)
+    tests = W._test_spectra(spark, SF_SMALL).localCheckpoint()
+    moved = lambda df: df.withColumn("seq", F.col("seq") + 10**6)
+    twice = tests.unionByName(moved(tests).withColumn("molecule_id", F.col("molecule_id") + 10**6))
+    want = sorted(map(tuple, V.predict_v3(tests, lib, pool, probs, None, W.WIDE).collect()))
+    got = sorted(map(tuple, V.predict_v3(twice, lib, pool, probs.unionByName(moved(probs)), None, W.WIDE).collect()))
+    assert got == sorted([*want, *((m + 10**6, *rest) for m, *rest in want)])
+    assert len(set(asked)) == 1
