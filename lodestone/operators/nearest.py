@@ -21,6 +21,8 @@ from .joins import bounded_broadcast, durable
 
 #: Rows of a block, anchors of a block; rows that are worked on at once.
 ROWS, ANCHORS, STEP = 1024, 512, 1 << 14
+#: Parts that the lists of a block of rows are dealt into; tasks of a stage at most.
+PIECES, MOST_TASKS = 8, 4096
 
 
 def best_values(words, pops, ids, block, a_words, a_pops, a_ids, a_weights, a_at, best) -> int:
@@ -161,12 +163,17 @@ def weighted_best(rows: DataFrame, anchors: DataFrame, by: list[str], name: str
 
     def of_many() -> DataFrame:
         """Larger groups: the best list first, then those whose bound beats the least value that it left in the block."""
-        many = met.where("__lists > 1").select(*kept, "__rows", "__anchors", "__best")
+        # Blocks are few bytes and much work: tasks are counted by rows, or adaptive execution puts all blocks into a few.
+        tasks = min(max(2 * numbered.count() // ROWS, numbered.sparkSession.sparkContext.defaultParallelism), MOST_TASKS)
+        many = met.where("__lists > 1").select(*kept, "__rows", "__anchors", "__best").repartition(tasks, *by, "__c")
         listed = StructType([*many.schema.fields[: len(kept)], StructField("n", ArrayType(LongType())), StructField("v", ArrayType(DoubleType())), StructField("compared", LongType())])
         start = many.mapInArrow(_listed, listed)
         open_ = start.select(*by, "__c", F.col("__a").alias("__met"), "__lo", "__hi", F.array_min("v").alias("__least"), F.map_from_arrays("n", "v").alias("__seen"))
         later = open_.join(lists, by).where((F.col("__a") != F.col("__met")) & (bound > F.col("__least"))).drop("__lo", "__hi")
-        again = later.join(cells, [*by, "__c"]).select("__rows", "__anchors", F.transform("__rows", lambda r: F.col("__seen")[r["n"]]).alias("__best"))
+        on = [*by, "__c", "__piece"]
+        pieces = cells.select(*by, "__c", "__rows", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))).alias("__piece")).repartition(tasks, *on)
+        later = later.withColumn("__piece", F.pmod(F.xxhash64("__a"), F.lit(PIECES)).cast("int")).repartition(tasks, *on)
+        again = later.join(pieces.hint("shuffle_hash"), on).select("__rows", "__anchors", F.transform("__rows", lambda r: F.col("__seen")[r["n"]]).alias("__best"))
         rest = again.mapInArrow(_flat, flat)
         each = start.select(F.explode(F.arrays_zip("n", "v")).alias("z"), (F.col("compared") / F.size("n")).alias("c")).select("z.n", "z.v", "c")
         return each.unionByName(rest.select("n", "v", F.col("compared").cast("double").alias("c")))

@@ -72,3 +72,12 @@ def test_a_row_and_itself(spark):
         of = [(g, f, p, 1.0) for g, k, f, p, _ in own if k != r.k]
         assert r.nearest == pytest.approx(plainly(r.fp, r.g, of))
     assert {r.nearest for r in got if r.g == 0 and r.k in (0, 1000)} == {1.0}
+
+
+def test_blocks_are_dealt_over_tasks_counted_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(N, "ROWS", 16)
+    monkeypatch.setattr(N, "ANCHORS", 8)
+    own, of = tables(spark, random.Random(3), 1, 300, 90)
+    plan = N.weighted_best(spark.createDataFrame(own, SCHEMAS[0]), spark.createDataFrame(of, SCHEMAS[1]), ["g"])._jdf.queryExecution().executedPlan().toString()
+    # 300 rows of one group: 37 tasks, which adaptive execution leaves as they are.
+    assert plan.count("37), REPARTITION_BY_NUM") >= 3
