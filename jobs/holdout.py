@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.ranking import keep_best
+from lodestone.operators.ranking import best_with
 
 from .common import configured, log, main
 
@@ -30,19 +30,25 @@ ROWS = "key string, doc_id bigint, text string, source string, quality int, n_ro
 def keyed(documents: DataFrame, labels: DataFrame, held_out: list[str]) -> DataFrame:
     """Rows with a text: their key, quality and whether their source is held out."""
     best = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    own = documents.select("doc_id", "text", "lang", "source", F.lower(F.trim(F.regexp_replace("text", r"[ \t\n\r\f]+", " "))).alias("normal"))
-    full = own.where(F.col("normal") != "").join(best, "doc_id", "left")
+    # Other white space becomes spaces by plain replacement: the pattern then only meets the few runs of several.
+    spaced = F.col("text")
+    for c in "\t\n\r\f":
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    normal = F.lower(F.trim(F.regexp_replace(spaced, " {2,}", " ")))
+    # A text is empty once normalised if it has white space only, which its first letter tells: no text is normalised for it.
+    full = documents.where(F.col("text").rlike(r"[^ \t\n\r\f]")).join(best, "doc_id", "left")
     lang = F.coalesce(F.nullif("lang", F.lit("")), F.lit("none"))
-    return full.select(F.sha2("normal", 256).alias("key"), "doc_id", "text", lang.alias("lang"), "source", "quality", F.coalesce(F.col("source").isin(held_out), F.lit(False)).alias("held"))
+    return full.select(F.sha2(normal, 256).alias("key"), "doc_id", "text", lang.alias("lang"), "source", "quality", F.coalesce(F.col("source").isin(held_out), F.lit(False)).alias("held"))
 
 
 def split(rows: DataFrame, validation_percent: int) -> DataFrame:
     """The best row of each key, and where it goes. Keys are pre-aggregated in their tasks: one that a third of all rows share is a few rows in the shuffle."""
-    best = keep_best(rows, ["key"], [F.col("quality").desc_nulls_last(), F.col("doc_id").asc_nulls_last(), F.col("source").asc_nulls_last(), F.col("lang"), F.col("text")])
-    of_key = rows.groupBy("key").agg(F.count("*").alias("n_rows"), F.size(F.collect_set("source")).cast("long").alias("n_sources"), F.min("held").alias("all_held"), F.max("held").alias("any_held"))
+    order = [("quality", True), ("doc_id", False), ("source", False), ("lang", False), ("text", False)]
+    of_key = [F.count("*").alias("n_rows"), F.size(F.collect_set("source")).cast("long").alias("n_sources"), F.min("held").alias("all_held"), F.max("held").alias("any_held")]
+    best = best_with(rows, ["key"], order, *of_key)
     validation = F.conv(F.substring("key", 1, 4), 16, 10).cast("int") % 100 < validation_percent
     where = F.when(F.col("all_held"), "held").when(validation, "validation").otherwise("train")
-    return best.drop("held").join(of_key, "key").withColumn("leaked", F.col("any_held") & ~F.col("all_held")).withColumn("split", where)
+    return best.drop("held").withColumn("leaked", F.col("any_held") & ~F.col("all_held")).withColumn("split", where)
 
 
 def run(spark: SparkSession, documents: str, labels: str, output: str, config: dict | None = None) -> str:

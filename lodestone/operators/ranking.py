@@ -29,6 +29,21 @@ def keep_best(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return top_k(df, by, order, 1, "__n").drop("__n")
 
 
+def best_with(df: DataFrame, by: list[str], order: list[tuple[str, bool]], *aggregates: Column) -> DataFrame:
+    """One row of each group, the first in order, and aggregates of the whole group, in one pass over df.
+
+    order: (column, whether it falls); only whole numbers fall; nulls are last. Columns that are not in it break ties.
+    Each task sums up its own groups first: a group that many rows share is a few rows in the shuffle.
+    """
+    types, falls = dict(df.dtypes), dict(order)
+    rest = [c for c in df.columns if c not in (*by, *falls)]
+    ordered = [x for c, fall in order for x in (F.col(c).isNull().alias(f"__no_{c}"), (-F.col(c).cast("long") if fall else F.col(c)).alias(c))]
+    found = df.groupBy(*by).agg(F.min(F.struct(*ordered, *rest)).alias("__first"), *aggregates)
+    own = lambda c: F.col("__first")[c]
+    out = [((-own(c)).cast(types[c]) if falls.get(c) else own(c)).alias(c) for c in df.columns if c not in by]
+    return found.select(*by, *out, *(c for c in found.columns if c not in (*by, "__first")))
+
+
 def tier_fill(first: DataFrame, second: DataFrame, by: str, key: str, rank: str, k: int, cap: int | None = None) -> DataFrame:
     """first's rows up to cap, then second's with keys not there yet, up to k; groups that are full skip second."""
     cap = k if cap is None else min(cap, k)

@@ -116,3 +116,28 @@ def test_command_line(tmp_path):
     root = __file__.rsplit("/", 2)[0]
     done = subprocess.run([sys.executable, "-m", "jobs.holdout", "--documents", f"{SF}/documents.parquet", "--labels", f"{SF}/labels.parquet", "--output", str(tmp_path / "o")], cwd=root, capture_output=True, text=True, timeout=300, check=True)
     assert "wrote split=train" in done.stderr and list((tmp_path / "o" / "rows").rglob("*.parquet"))
+
+
+def test_holdout_normalises_each_text_once(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    plan = holdout.split(holdout.keyed(docs, labels, ["src4"]), 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1
+
+
+def test_holdout_keys_are_those_of_the_plain_pattern(spark):
+    texts = ["A  b\t\nC", " a B\rc\f ", " a b c", "A　B", "\t\n\r\f  ", "", None, "\t x\n\n\ny  ", "Z\x0by", "Ä \t Ö"]
+    docs = spark.createDataFrame([(k, t, "en", "src1") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    got = {r.doc_id: r.key for r in holdout.keyed(docs, labels, []).collect()}
+    plain = docs.selectExpr("doc_id", r"lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' '))) AS n").where("n <> ''").selectExpr("doc_id", "sha2(n, 256) AS key")
+    assert got == {r.doc_id: r.key for r in plain.collect()} and got[0] == got[1]
+
+
+def test_best_with_puts_nulls_last(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.operators.ranking import best_with
+
+    table = spark.createDataFrame([("a", None, 1, "z"), ("a", 3, None, "y"), ("a", 3, 5, "x"), ("a", 2, 0, "w"), ("b", None, None, "v"), ("b", None, None, "u")], "g string, q int, i long, t string")
+    got = sorted(map(tuple, best_with(table, ["g"], [("q", True), ("i", False)], F.count("*").alias("n")).collect()))
+    assert got == [("a", 3, 5, "x", 4), ("b", None, None, "u", 2)]
