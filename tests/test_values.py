@@ -64,6 +64,35 @@ def test_hot_values_and_nulls(spark, monkeypatch):
     assert got.distinct().count() == 294 * 1499
 
 
+def test_a_hot_value_is_copied_by_the_root_of_its_pairs(spark, monkeypatch):
+    """Both sides of a value are divided: before, its right side went whole to every part of the left."""
+    monkeypatch.setattr(U, "PAIRS", 1000)
+    sizes = spark.createDataFrame([(2000, 2000), (100_000, 10), (10, 100_000), (3, 1)], "l long, r long")
+    lefts, rights = U.grid(F.col("l") * F.col("r"), F.col("l"), F.col("r"))
+    for x in sizes.select("l", "r", lefts.alias("a"), rights.alias("b")).collect():
+        pairs = x.l * x.r
+        assert 1 <= x.a * x.b <= 2 * (pairs // 1000 + 1) and x.l / x.a * x.r / x.b <= 1000
+        assert x.l * x.b + x.r * x.a <= 4 * (pairs / 1000**0.5 + x.l + x.r)
+
+
+def test_pairs_are_made_apart_from_the_join(spark, monkeypatch):
+    """Fused with the join, all pairs of a list are kept in memory before the first one leaves the task."""
+    monkeypatch.setattr(U, "PAIRS", 1000)
+    queries, pool = spark.range(300).select(F.col("id").alias("q"), F.lit(1.0).alias("c")), spark.range(700).select(F.col("id").alias("k"), F.lit(1.0).alias("m"))
+    got = U.band_pairs(queries, pool, "c", "m", 1.0)
+    assert got.distinct().count() == got.count() == 300 * 700
+    lines = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Generate" in x or "Coalesce" in x or "ShuffledHashJoin" in x]
+    kinds = [next(k for k in ("Generate", "Coalesce", "ShuffledHashJoin") if k in x) for x in lines]
+    assert kinds[: kinds.index("ShuffledHashJoin") + 1] == ["Generate", "Generate", "Coalesce", "ShuffledHashJoin"]
+
+
+def test_slices_hold_each_row_once(spark):
+    lists = spark.createDataFrame([(1, list(range(10))), (2, list(range(4))), (3, [None] * 5)], "k int, xs array<int>")
+    got = U._sliced(lists, "xs", 4).collect()
+    assert sorted((r.k, len(r.xs)) for r in got) == [(1, 2), (1, 4), (1, 4), (2, 4), (3, 1), (3, 4)]
+    assert sorted(x for r in got if r.k == 1 for x in r.xs) == list(range(10))
+
+
 def test_spans(spark):
     """As many windows as their contents differ, whatever the number of queries."""
     queries = spark.range(5000).select((F.col("id") / 500.0).alias("c"))
