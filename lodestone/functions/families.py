@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,4 +93,33 @@ def block_scorer(layout: dict[str, tuple[int, int]], weight: float, pooled: bool
         score = block_score(kept, ["query_id"], named, weight, pooled, None if families is None else [f"__{n}" for n in families])
         return kept.withColumn("lik", score).drop(*sums)
 
+    def on_block(words: np.ndarray, probs: list, eps: float, windows: list[np.ndarray]) -> np.ndarray:
+        """The same for queries (rows of probs: values and which are missing) and candidates, of whose words only a query's window counts."""
+        wide, missing = max(bits_of(layout), 1), float(np.log(eps) - np.log1p(-eps))
+        weights = np.full((len(probs), wide), missing)
+        for k, x in enumerate(probs):
+            if x is not None:
+                n = min(wide, len(x[0]))
+                weights[k, :n] = S.logits(x[0][:n], x[1][:n], eps)
+        sums = {n: S.sums_of_bits(words, weights[:, :hi], lo) for n, (lo, hi) in layout.items()}
+        first, *others = [sums[n] for n in layout if n == next(iter(layout)) or families is None or n in families]
+        out = np.zeros((len(probs), len(words)))
+        for k, at in enumerate(windows):
+            z = lambda x, at=at, k=k: _z(x[k, at])
+            if not len(at):
+                continue
+            if weight <= 0 or not others:
+                out[k, at] = first[k, at] if pooled else z(first)
+            elif pooled:
+                out[k, at] = z(first) + weight * z(sum(others[1:], others[0]))
+            else:
+                out[k, at] = sum((weight / len(others) * z(x) for x in others), z(first))
+        return out
+
+    scorer.on_block = on_block
     return scorer
+
+
+def _z(x: np.ndarray) -> np.ndarray:
+    """S.z_score of one window."""
+    return (x - x.mean()) / x.std() if x.max() > x.min() else np.zeros(len(x))

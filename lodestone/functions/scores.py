@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+#: Bits of a word of a fingerprint.
+WORD = 32
+
 
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
@@ -65,3 +71,27 @@ def family_blocks(first: Column, families: list[Column], by: list[str], weight:
 def extreme_adjusted(top: Column, mean: Column, sd: Column, n: Column) -> Column:
     """How far a maximum stands out of n draws: its z-score less sqrt(2 ln n); minus infinity without any."""
     return F.when(n == 0, F.lit(float("-inf"))).when((n < 3) | (sd == 0) | sd.isNull(), 0.0).otherwise((top - mean) / sd - F.sqrt(2 * F.ln(n)))
+
+
+# --- the same on arrays of numpy, in which sums are made in the same order ------------------------------------
+
+
+def _bits(words: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of the first n bits: which, and the rows (0 or 1) that have it."""
+    for i in range(min(n, words.shape[1] * WORD)):
+        yield i, (words[:, i // WORD] >> np.uint64(i % WORD) & np.uint64(1)).astype(float)
+
+
+def logits(p: np.ndarray, missing: np.ndarray, eps: float) -> np.ndarray:
+    """As logit: a missing value counts as the least, one that is no number as the greatest."""
+    p = np.clip(np.where(missing, eps, np.where(np.isnan(p), 1 - eps, p)), eps, 1 - eps)
+    return np.log(p) - np.log1p(-p)
+
+
+def sums_of_bits(words: np.ndarray, weights: np.ndarray, lo: int = 0) -> np.ndarray:
+    """Of each query (row of weights) and candidate: the weights of the bits from lo that it has, added in the order of bits."""
+    out = np.zeros((len(weights), len(words)))
+    for i, has in _bits(words, weights.shape[1]):
+        if i >= lo:
+            out += weights[:, i][:, None] * has
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
-from ..sources.shared import shared_dir
+from ..sources.shared import dropped_at_end, new_folder, shared_dir
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -15,6 +15,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same as Parquet, for many or wide rows: a checkpoint writes them as they are in memory, several times as large."""
+    spark = df.sparkSession
+    path = dropped_at_end(spark, new_folder(spark, "stored"))
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 #: Bytes that a side may be estimated to have for a broadcast hint.
 BROADCAST_BYTES = 64 << 20
 

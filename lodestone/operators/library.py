@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, EngineConfig
 from ..functions import peaks as P
 from ..functions.matching import modified_cosines
-from .joins import durable
+from .joins import stored
 from .ranking import keep_best, top_k
 from .values import alike
 
@@ -61,7 +61,7 @@ def search(queries: DataFrame, library: DataFrame, cfg: EngineConfig = DEFAULT)
     """
     q = queries.select("query_id", "mode", "precursor_mz", P.top_peaks(F.col("peaks"), cfg.peaks_kept).alias("peaks")).where(F.size("peaks") > 0)
     one, every = alike(q, "query_id", ["mode", "precursor_mz", "peaks"], ["query_id"])
-    found = durable(searched(one, library, cfg)).withColumnRenamed("query_id", "of")
+    found = stored(searched(one, library, cfg)).withColumnRenamed("query_id", "of")
     return every.join(found, "of").select("query_id", "spec_id", "key", "smiles", "sim", "rank")
 
 

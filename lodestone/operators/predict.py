@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
-from ..functions import bits as B
 from ..functions import peaks as P
 from ..functions import scores as S
 from .joins import durable, widening_join
@@ -14,6 +13,7 @@ from .library import frequent_by_mode, search
 from .nearest import ANCHORS, weighted_best
 from .ranking import first_per_key, max_pool, tier_fill, top_k
 from .values import alike
+from .windows import best_of_windows, best_until_scored, levels_of
 
 
 def tied(score: Column) -> Column:
@@ -101,39 +101,49 @@ def predict_v2(spectra: DataFrame, library: DataFrame, pool: DataFrame, canonica
     """Consensus spectra; similarities of anchors carried over to candidates of the mass, which widens until one scores."""
     each_query = neutral_mass(consensus(spectra, cfg), cfg).where("mass is not null")
     queries, every = alike(each_query, "query_id", CONTENT, OWN)
-    anchors = anchors_with_bits(search(queries, library, cfg), pool)
-    each = anchors.groupBy("query_id").agg(F.collect_list(F.struct("sim", "a_fp", "a_pop")).alias("anchors"))
-    best = F.array_max(F.transform("anchors", lambda a: F.pow(a["sim"], cfg.exponent) * B.tanimoto(F.col("fp"), a["a_fp"], F.col("popcount"), a["a_pop"])))
-    carried = queries.select("query_id", "mass").join(each, "query_id")
-    hits = widening_join(carried, pool.select("key", "smiles", "exact_mass", "fp", "popcount"), "query_id", "mass", "exact_mass", cfg.widths, best > 0).withColumn("score", best)
-    cut = top_k(hits.select("query_id", "key", "smiles", "score"), ["query_id"], [tied(F.col("score")).desc(), F.col("key")], cfg.fine_top)
+    cut = best_until_scored(queries.select("query_id", "mass"), listed_anchors(search(queries, library, cfg), pool, cfg), pool, cfg.widths, cfg.fine_top, cfg)
     cut = of_every(every, cut)
     return with_fallback(canonical_top(max_pool(cut, ["molecule_id", "key"], "score", "smiles", "seq"), canonical, cfg), molecules_of(spectra), library, cfg)
 
 
+def listed_anchors(found: DataFrame, pool: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """(query_id, anchors) of queries that have any: weight, fp and pop of the keys found that the pool has."""
+    bits = anchors_with_bits(found, pool).where((F.col("sim") > 0) & F.col("a_fp").isNotNull())
+    return bits.groupBy("query_id").agg(F.collect_list(F.struct(F.pow("sim", F.lit(cfg.exponent)).alias("weight"), F.col("a_fp").alias("fp"), F.col("a_pop").alias("pop"))).alias("anchors"))
+
+
 def scored_windows(spectra: DataFrame, library: DataFrame, anchor_pool: DataFrame, pool: DataFrame, probs: DataFrame | None, alpha: float, cfg: EngineConfig = DEFAULT, loglik=None) -> DataFrame:
     """Candidates of each (molecule, adduct) with their fused score, the best of each.
 
-    probs: seq, p of raw spectra (averaged over a group), unless alpha is 1. loglik(window, probs) may give
-    another model score as column lik.
+    probs: seq, p of raw spectra (averaged over a group), unless alpha is 1. loglik may give another model score: by its
+    ``on_block`` (windows.py), or else as loglik(window, probs), for which all pairs of queries and candidates are made.
     """
     each_query, content = neutral_mass(consensus(spectra, cfg), cfg).where("mass is not null"), CONTENT
     if alpha < 1:
         each_query, content = each_query.join(mean_probs(spectra, probs), "query_id", "left"), [*CONTENT, "p"]
-    # Kept: the widths, the window and the search each start from it, and its folds make long plans.
+    # Kept: the widths, the windows and the search each start from it, and its folds make long plans.
     queries, every = alike(each_query, "query_id", content, OWN)
+    if loglik is not None and not hasattr(loglik, "on_block"):
+        return of_every(every, best_of_pairs(queries, library, anchor_pool, pool, alpha, cfg, loglik))
+    asked, own = durable(levels_of(queries.select("query_id", "mass"), pool, cfg.widths)), queries.select("query_id", *(["p"] if alpha < 1 else []))
+    if alpha > 0:
+        own = own.join(listed_anchors(search(queries, library, cfg), anchor_pool, cfg), "query_id", "left")
+    return of_every(every, best_of_windows(asked, own, pool, cfg.widths, cfg.fine_top, alpha, cfg, getattr(loglik, "on_block", None)))
+
+
+def best_of_pairs(queries: DataFrame, library: DataFrame, anchor_pool: DataFrame, pool: DataFrame, alpha: float, cfg: EngineConfig, loglik) -> DataFrame:
+    """The best of each window, from a row for each pair, which loglik gets whole."""
     window = widening_join(queries.select("query_id", "mass"), pool.select("key", "smiles", "exact_mass", "fp", "popcount"), "query_id", "mass", "exact_mass", cfg.widths)
     if alpha > 0:
         window = propagated(window, anchors_with_bits(search(queries, library, cfg), anchor_pool), cfg, few_anchors=cfg.fine_top <= ANCHORS).withColumn("prop", F.when(F.col("has_anchors"), F.col("prop")))
     else:
         window = window.withColumn("prop", F.lit(None).cast("double"))
     if alpha < 1:
-        window = (loglik or plain_loglik)(window, queries.select("query_id", "p").where("p is not null"), cfg)
+        window = loglik(window, queries.select("query_id", "p").where("p is not null"), cfg)
     else:
         window = window.withColumn("lik", F.lit(0.0))
     score = S.fused(F.col("prop"), F.col("lik"), ["query_id"], alpha, cfg.model_floor)
-    best = top_k(window.withColumn("score", score).where("score > 0"), ["query_id"], [tied(F.col("score")).desc(), F.col("key")], cfg.fine_top)
-    return of_every(every, best)
+    return top_k(window.withColumn("score", score).where("score > 0"), ["query_id"], [tied(F.col("score")).desc(), F.col("key")], cfg.fine_top)
 
 
 def mean_probs(spectra: DataFrame, probs: DataFrame) -> DataFrame:
