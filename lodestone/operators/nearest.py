@@ -4,7 +4,8 @@ A Tanimoto is at most the smaller popcount over the larger, so weight * min / ma
 and anchors of a group are packed into blocks of bounded size; a large group has several, by bands of weight and
 popcount. Each block of rows first meets the block of anchors of the greatest bound; of the others only those whose
 bound beats the least of the block's best values so far. Within a pair of blocks anchors go by falling weight, and a
-row leaves when no weight that is left can beat its best. Bits are counted in numpy on Arrow batches.
+row leaves when no weight that is left can beat its best. Bits are counted in numpy on Arrow batches: where many anchors
+have a weight, tile by tile, for of equal weight and popcount the anchor that shares most bits is the best one.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .joins import bounded_broadcast, durable
+from .joins import bounded_broadcast, durable, stored
 
 #: Rows of a block, anchors of a block; rows that are worked on at once.
-ROWS, ANCHORS, STEP = 1024, 512, 1 << 14
+ROWS, ANCHORS, STEP = 8192, 16384, 1 << 14
+#: Anchors of a weight from which pairs are counted in tiles; rows and anchors of a tile.
+RUN, TILE = 32, (256, 256)
 #: Parts that the lists of a block of rows are dealt into; tasks of a stage at most.
 PIECES, MOST_TASKS = 8, 4096
 
@@ -31,6 +34,77 @@ def best_values(words, pops, ids, block, a_words, a_pops, a_ids, a_weights, a_at
     block: the pair of blocks that each row is in; a_at: where the anchors of each pair of blocks start, by falling
     weight. A row and an anchor of equal ids don't meet.
     """
+    pairs = np.arange(len(a_at) - 1)
+    runs = np.bincount(np.repeat(pairs, np.diff(a_at))[np.flatnonzero(_starts(a_weights, a_at))], minlength=len(pairs))
+    tiled = np.diff(a_at) >= RUN * np.maximum(runs, 1)
+    if not tiled.any():
+        return _one_by_one(words, pops, ids, block, a_words, a_pops, a_ids, a_weights, a_at, best)
+    compared, at = 0, np.searchsorted(block, np.arange(len(a_at)))
+    for k in np.flatnonzero(tiled):
+        own, of = slice(at[k], at[k + 1]), slice(a_at[k], a_at[k + 1])
+        compared += _in_tiles(words[own], pops[own], ids[own], a_words[of], a_pops[of], a_ids[of], a_weights[of], best[own])
+    rest = np.flatnonzero(~tiled[block])
+    if len(rest):
+        mine = best[rest]
+        compared += _one_by_one(words[rest], pops[rest], ids[rest], block[rest], a_words, a_pops, a_ids, a_weights, a_at, mine)
+        best[rest] = mine
+    return compared
+
+
+def _starts(a_weights: np.ndarray, a_at: np.ndarray) -> np.ndarray:
+    """Where a run of anchors of equal weight starts, in a pair of blocks."""
+    first = np.diff(a_weights, prepend=np.inf) != 0
+    first[a_at[:-1][np.diff(a_at) > 0]] = True
+    return first
+
+
+def _packed(words: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same bits in half as many words, where none uses its upper half."""
+    if words.shape[1] < 2 or (words >> np.uint64(32)).any() or (others >> np.uint64(32)).any():
+        return words, others
+    half = lambda x: x[:, ::2] | np.pad(x[:, 1::2], ((0, 0), (0, x.shape[1] % 2))) << np.uint64(32)
+    return half(words), half(others)
+
+
+def _in_tiles(words, pops, ids, a_words, a_pops, a_ids, a_weights, best) -> int:
+    """best_values of one pair of blocks, anchors by falling weight."""
+    compared, by_pop = 0, np.argsort(pops, kind="stable")
+    words, a_words = _packed(words, a_words)
+    order = np.lexsort((a_pops, -a_weights))
+    words, a_words, a_pops, a_ids, a_weights = np.ascontiguousarray(words[by_pop].T), np.ascontiguousarray(a_words[order].T), a_pops[order], a_ids[order], a_weights[order]
+    pops, ids, mine = pops[by_pop], ids[by_pop], best[by_pop]
+    same = len(np.intersect1d(ids, a_ids)) > 0
+    # Anchors of equal weight and popcount are a run, and long runs are cut to tiles.
+    first = np.flatnonzero((np.diff(a_weights, prepend=np.inf) != 0) | (np.diff(a_pops, prepend=-1) != 0))
+    w, ap, ends = a_weights[first], a_pops[first].astype(float), np.append(first[1:], len(a_pops))
+    for lo in range(0, len(pops), TILE[0]):
+        p, value = pops[lo : lo + TILE[0]].astype(float), mine[lo : lo + TILE[0]]
+        ratio = np.where(p[-1] < ap, p[-1] / np.maximum(ap, 1), np.where(ap < p[0], ap / max(p[0], 1), 1.0))
+        bound = w * ratio
+        # The most promising runs first: what they give rules others out.
+        left = np.argsort(-bound, kind="stable")
+        while len(left := left[bound[left] > value.min()]):
+            n = max(1, int(np.searchsorted(np.cumsum(ends[left] - first[left]), TILE[1], side="right")))
+            some, left = left[:n], left[n:]
+            at = np.concatenate([np.arange(first[r], ends[r]) for r in some])
+            starts = np.concatenate([[0], np.cumsum(ends[some] - first[some])[:-1]])
+            for cut in range(0, len(at), 8 * TILE[1]) if n == 1 else (0,):
+                own = at[cut : cut + 8 * TILE[1]] if n == 1 else at
+                both = np.zeros((len(p), len(own)), dtype=np.uint16) if len(words) != 1 else np.bitwise_count(words[0, lo : lo + TILE[0], None] & a_words[0, own])
+                for c, a in zip(words, a_words, strict=True) if len(words) > 1 else ():
+                    both += np.bitwise_count(c[lo : lo + TILE[0], None] & a[own])
+                if same:
+                    both[ids[lo : lo + TILE[0], None] == a_ids[own]] = 0
+                most = (both.max(axis=1)[:, None] if n == 1 else np.maximum.reduceat(both, starts, axis=1)).astype(float)
+                either = p[:, None] + ap[some] - most
+                np.maximum(value, (w[some] * np.divide(most, either, out=np.zeros_like(most), where=either > 0)).max(axis=1), out=value)
+                compared += both.size
+    best[by_pop] = mine
+    return compared
+
+
+def _one_by_one(words, pops, ids, block, a_words, a_pops, a_ids, a_weights, a_at, best) -> int:
+    """best_values where weights differ: of each row the next anchor that may beat its best."""
     compared = 0
     columns, a_columns = ([np.ascontiguousarray(c) for c in x.T] for x in (words, a_words))
     for lo in range(0, len(words), STEP):
@@ -133,7 +207,7 @@ def weighted_best(rows: DataFrame, anchors: DataFrame, by: list[str], name: str
     are neither counted nor divided.
     """
     # Both are counted before they are packed, and rows get numbers: they are kept, or all that makes them would run again.
-    numbered = durable(rows.withColumn("__n", F.monotonically_increasing_id()))
+    numbered = stored(rows.withColumn("__n", F.monotonically_increasing_id()))
     known = anchors.where((F.col("weight") > 0) & F.col("a_fp").isNotNull())
     known = known if few_anchors else durable(known)
     pop_band = lambda c: F.floor(F.log(F.coalesce(c, F.lit(0)) + 1.0) * 8).cast("int")
@@ -158,13 +232,20 @@ def weighted_best(rows: DataFrame, anchors: DataFrame, by: list[str], name: str
     first = lists.groupBy(*by).agg(F.max_by(F.struct("__a", "__anchors"), F.struct("__w", "__a")).alias("__f"), F.count("*").alias("__lists"))
     met = cells.join(first, by).select(*kept[:-3], "__lo", "__hi", "__f.*", "__lists", "__rows", none)
     flat = "n long, v double, compared long"
-    few = met if few_anchors else met.where("__lists = 1")
-    few = few.select("__rows", "__anchors", "__best").mapInArrow(_flat, flat)
+    if not few_anchors:
+        # Blocks are few bytes and much work: tasks are counted by rows, or adaptive execution puts all blocks into a few.
+        tasks = min(max(2 * numbered.count() // ROWS, numbered.sparkSession.sparkContext.defaultParallelism), MOST_TASKS)
+        parts = numbered.groupBy(*by).agg(F.least(F.ceil(F.count("*") / ROWS), F.lit(PIECES)).alias("__parts"))
+        lone, on = first.where("__lists = 1").join(parts, by), [*by, "__piece"]
+        given = lone.select(*by, F.col("__f.__anchors").alias("__anchors"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)).alias("__piece"))
+        dealt = cells.join(lone.select(*by, "__parts"), by).withColumn("__piece", F.pmod(F.xxhash64("__c"), F.col("__parts"))).select(*on, "__rows")
+        few = dealt.repartition(tasks, *on).join(given.repartition(tasks, *on).hint("merge"), on).select("__rows", "__anchors", none)
+    else:
+        few = met.select("__rows", "__anchors", "__best")
+    few = few.mapInArrow(_flat, flat)
 
     def of_many() -> DataFrame:
         """Larger groups: the best list first, then those whose bound beats the least value that it left in the block."""
-        # Blocks are few bytes and much work: tasks are counted by rows, or adaptive execution puts all blocks into a few.
-        tasks = min(max(2 * numbered.count() // ROWS, numbered.sparkSession.sparkContext.defaultParallelism), MOST_TASKS)
         many = met.where("__lists > 1").select(*kept, "__rows", "__anchors", "__best").repartition(tasks, *by, "__c")
         listed = StructType([*many.schema.fields[: len(kept)], StructField("n", ArrayType(LongType())), StructField("v", ArrayType(DoubleType())), StructField("compared", LongType())])
         start = many.mapInArrow(_listed, listed)

@@ -2,11 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import nearest as N
 
+IN_TILES = N._in_tiles
+
 
 def tables(spark, rng, groups, rows, anchors, words=2):
     word = lambda: rng.getrandbits(32) & rng.getrandbits(32) if rng.random() < 0.5 else rng.getrandbits(32)
@@ -81,3 +84,37 @@ def test_blocks_are_dealt_over_tasks_counted_by_rows(spark, monkeypatch):
     plan = N.weighted_best(spark.createDataFrame(own, SCHEMAS[0]), spark.createDataFrame(of, SCHEMAS[1]), ["g"])._jdf.queryExecution().executedPlan().toString()
     # 300 rows of one group: 37 tasks, which adaptive execution leaves as they are.
     assert plan.count("37), REPARTITION_BY_NUM") >= 3
+
+
+@pytest.mark.parametrize("wide", [1, 2, 3])
+def test_anchors_of_a_weight_are_met_in_tiles(wide, monkeypatch):
+    """Row by row and anchor by anchor, pairs took some thirty times as long; values are the same."""
+    monkeypatch.setattr(N, "TILE", (16, 20))
+    rng = np.random.default_rng(wide)
+    bits = lambda n: rng.integers(0, 2**32, (n, wide), dtype=np.uint64) & rng.integers(0, 2**32, (n, wide), dtype=np.uint64)
+    words, a_words, a_at = bits(300), bits(700), np.array([0, 400, 420, 420, 700])
+    a_words[:5], words[:3], words[3] = 0, 0, a_words[10]
+    if wide == 3:
+        a_words[7, 0] |= np.uint64(1 << 40)
+    block = np.sort(rng.integers(0, 4, 300))
+    weights = np.concatenate([np.sort(rng.choice([0.2, 0.7, 1.0], 400))[::-1], np.sort(rng.random(20))[::-1], np.full(280, 0.5)])
+    pops, a_pops = (np.bitwise_count(x).sum(axis=1).astype(np.int64) for x in (words, a_words))
+    for ids, a_ids in ((np.zeros(300, np.int64), np.ones(700, np.int64)), (np.arange(300), np.arange(700) % 350)):
+        got, want = np.zeros(300), np.zeros(300)
+        met = []
+        monkeypatch.setattr(N, "_in_tiles", lambda *a, f=IN_TILES, met=met: (met.append(len(a[0]) * len(a[3])), f(*a))[1])
+        compared = N.best_values(words, pops, ids, block, a_words, a_pops, a_ids, weights, a_at, got)
+        N._one_by_one(words, pops, ids, block, a_words, a_pops, a_ids, weights, a_at, want)
+        assert np.array_equal(got, want) and len(met) == 2
+        assert 0 < compared <= sum((block == k).sum() * (a_at[k + 1] - a_at[k]) for k in range(4))
+        again = got.copy()
+        assert N.best_values(words, pops, ids, block, a_words, a_pops, a_ids, weights, a_at, again) <= compared and np.array_equal(again, got)
+
+
+def test_a_group_of_one_list_is_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(N, "ROWS", 16)
+    own, of = tables(spark, random.Random(4), 1, 300, 40)
+    got = N.weighted_best(spark.createDataFrame(own, SCHEMAS[0]), spark.createDataFrame(of, SCHEMAS[1]), ["g"])
+    assert got._jdf.queryExecution().executedPlan().toString().count("37), REPARTITION_BY_NUM") >= 5
+    for r in got.collect():
+        assert r.best == pytest.approx(plainly(r.fp, r.g, of), abs=1e-12)
